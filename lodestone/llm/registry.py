@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from lodestone.llm import exact_dedup, exact_topk, language_id, mixing, packing, warc
+from lodestone.llm import exact_dedup, exact_topk, language_id, mixing, packing, toxicity, warc
 
-MODULES = (exact_dedup, mixing, exact_topk, language_id, warc, packing)
+MODULES = (exact_dedup, mixing, exact_topk, language_id, warc, toxicity, packing)
 QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
 ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

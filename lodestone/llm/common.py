@@ -35,4 +35,12 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     spark = df.sparkSession
     path = fresh_path(spark, label)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    written = spark.read.schema(df.schema).parquet(path)
+    written.written_to = path
+    return written
+
+
+def release(written: DataFrame) -> None:
+    """Delete what materialize() wrote; for tables that no later step reads."""
+    path = written.sparkSession._jvm.org.apache.hadoop.fs.Path(written.written_to)
+    path.getFileSystem(written.sparkSession._jsc.hadoopConfiguration()).delete(path, True)

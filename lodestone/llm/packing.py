@@ -13,6 +13,7 @@ Pieces are written to the shared folder between the stages, so that a lost execu
 from __future__ import annotations
 
 import os
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,7 +25,8 @@ from lodestone.llm.common import materialize, table
 
 WINDOW, OPEN, MERGE = 4096, 32, 64
 END_ID = 2
-CACHE_WORDS = 400_000
+CACHE_WORDS, BATCH_RUNS = 1_200_000, 4096
+MARK = re.compile(rb"(?<=[a-z])(?=[.,;:!?|#*])")
 TOKENIZER = "word_bpe_49k.json"
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -34,8 +36,14 @@ Piece = tuple[object, int, bytes, int]  # doc_id, start, ids, doc_tokens
 
 
 class Encoder:
-    """Little-endian 32-bit ids of whole texts. The tokenizer drops white space and never joins across it, so runs
-    between white space are encoded once and remembered (CACHE_WORDS of them, then anew)."""
+    """Little-endian 32-bit ids of whole texts.
+
+    The tokenizer lower-cases, drops white space and never joins letters with white space or with the marks in MARK, so
+    runs between these are encoded once and remembered by the worker process (CACHE_WORDS of them, then anew).
+    Runs of letters are one unit to the tokenizer each and are encoded many at a time.
+    """
+
+    shared: dict[str, "Encoder"] = {}
 
     def __init__(self, path: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it owns
@@ -43,14 +51,48 @@ class Encoder:
 
         self.tokenizer, self.known = Tokenizer.from_file(path), {}
 
+    @classmethod
+    def of(cls, path: str) -> "Encoder":
+        if path not in cls.shared:
+            cls.shared[path] = cls(path)
+        return cls.shared[path]
+
+    @staticmethod
+    def runs(text: str) -> list[bytes]:
+        data = text.encode("utf-8", "replace")
+        if b"<|" in data:  # a special token must not be made by lower-casing, nor cut
+            return data.split()
+        return MARK.sub(b" ", data.lower()).split()
+
+    def learn(self, runs: list[bytes]) -> None:
+        letters = [r for r in runs if r.isalpha() or (not r.isascii() and r.decode().isalpha())]
+        for at in range(0, len(letters), BATCH_RUNS):
+            part = letters[at : at + BATCH_RUNS]
+            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
+            ids, unit = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
+            cuts = [0, *(4 * (np.flatnonzero(np.diff(unit)) + 1)).tolist(), len(ids)]
+            if len(cuts) == len(part) + 1:
+                self.known.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
+        rest = [r for r in runs if r not in self.known]
+        for run, found in zip(rest, self.tokenizer.encode_batch_fast([r.decode() for r in rest], add_special_tokens=False), strict=True):
+            self.known[run] = np.array(found.ids, "<u4").tobytes()
+
     def encode(self, texts: list[str]) -> list[bytes]:
-        split = [t.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") for t in texts]
         if len(self.known) > CACHE_WORDS:
             self.known = {}
-        if missing := list(set().union(*split) - self.known.keys()):
-            for word, found in zip(missing, self.tokenizer.encode_batch_fast(missing, add_special_tokens=False), strict=True):
-                self.known[word] = np.array(found.ids, "<u4").tobytes()
-        return [b"".join(map(self.known.__getitem__, words)) for words in split]
+        split = [self.runs(t) for t in texts]
+        found = [list(map(self.known.get, runs)) for runs in split]
+        holes: list[tuple[int, int]] = []
+        for k, parts in enumerate(found):
+            at = -1
+            for _ in range(parts.count(None)):
+                at = parts.index(None, at + 1)
+                holes.append((k, at))
+        if holes:
+            self.learn(list({split[k][at] for k, at in holes}))
+            for k, at in holes:
+                found[k][at] = self.known[split[k][at]]
+        return [b"".join(parts) for parts in found]
 
 
 class Packer:
@@ -130,7 +172,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer, end = Encoder(tokenizer_path), Packer(), np.array([END_ID], "<u4").tobytes()
+        encoder, packer, end = Encoder.of(tokenizer_path), Packer(), np.array([END_ID], "<u4").tobytes()
         base = TaskContext.get().partitionId() << 40
         number = 0
         for batch in batches:

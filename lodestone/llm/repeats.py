@@ -32,7 +32,7 @@ from lodestone.llm.wordhash import _VALUES, mix64, powers, text_slices
 
 LENGTH = bwt.STEP * bwt.DEPTH
 GRAM = 32
-MOST_CONTEXTS, CELL_BYTES, SHARDS = 64, 1 << 20, 4
+MOST_CONTEXTS, CELL_BYTES, SHARDS = 64, 1 << 18, 2
 RUNS = (12, 1)  # lengths of the runs of windows that the contexts of a common anchor are cut into
 _U = np.uint64
 _FULL = _U(0xFFFFFFFF)

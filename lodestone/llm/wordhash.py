@@ -11,7 +11,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 3 << 18
 _U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
 _rng = np.random.Generator(np.random.PCG64(20240501))

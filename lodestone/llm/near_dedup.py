@@ -1,37 +1,40 @@
 """Operator 3, MinHash near-dedup with sequential Bayesian verification.
 
 Documents with the same word sequence form a class with one representative (its smallest doc_id). Representatives get
-HASHES minimum hashes over their five-word shingles; BANDS bands of ROWS of them make buckets (a pair at the threshold
-shares none with probability (1 - 0.85**5)**24 < 1e-6). Candidate pairs are compared in batches of signature values: under
-a uniform prior the posterior of the similarity after m matches of n is Beta(m + 1, n - m + 1), and a pair is pruned once
-its chance of reaching the threshold is below MISS. Survivors are verified exactly on their full shingle sets.
-
-Pairs are taken so that groups of copies never expand into all pairs: first every member against one pivot of its
-buckets, then, in buckets that still hold several components, every member against a pivot of the bucket, and last all
-pairs across components in the buckets that are still not one. Pairs within one component add nothing and are left out.
+BANDS bands of ROWS minimum hashes over their five-word shingles, which make buckets (a pair at the threshold
+shares none with probability (1 - 0.85**5)**24 < 1e-6). Members of shared buckets get a signature of HASHES further
+minimum hashes. Candidate pairs are compared in batches of signature values: under a uniform prior the posterior of the
+similarity after m matches of n is Beta(m + 1, n - m + 1), and a pair is pruned once its chance of reaching the threshold
+is below MISS. Survivors are verified exactly on their full shingle sets.
+
+Pairs are taken so that groups of copies never expand into all pairs. In two rounds members meet a pivot: the member of
+their buckets that shares most buckets with most others, then the like member of those not yet linked with it. Last, the pairs
+across components in buckets that still hold several are compared in blocks of BLOCK members, in memory, and only
+survivors become rows. Pairs within one component add nothing and are left out.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
-from math import comb
+from math import ceil, comb
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import materialize, table
+from lodestone.llm.common import WORD, materialize, table
 from lodestone.llm.components import components
 from lodestone.llm.wordhash import distinct, mix64, powers, shingles, text_slices, words
 
 PERCENT = 85
-BANDS, ROWS, HASHES, BATCH = 24, 5, 128, 32
-MISS = 1e-7
+BANDS, ROWS, HASHES, BATCH = 24, 5, 384, 64
+MISS = 1e-6
 PAIR_BYTES = 1 << 20
+BLOCK, CELL_ROWS = 256, 4096
 _rng = np.random.Generator(np.random.PCG64(99))
-_XOR = _rng.integers(0, 2**32, HASHES, dtype=np.uint32)
-_ODD = _rng.integers(0, 2**32, HASHES, dtype=np.uint32) | np.uint32(1)
+_XOR = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32)
+_ODD = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32) | np.uint32(1)
 _SEED = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
 SALT = 0x5DEECE66D1234567
 
@@ -57,17 +60,17 @@ def surviving(a: np.ndarray, b: np.ndarray, least: dict[int, int]) -> np.ndarray
     return alive
 
 
-def minima(hashes: np.ndarray, offsets: np.ndarray) -> np.ndarray:
-    """HASHES minimum hashes (32 bit) of each row; rows must not be empty."""
+def minima(hashes: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np.ndarray:
+    """The minimum hashes (32 bit) number first..last - 1 of each row; rows must not be empty."""
     h = (hashes >> np.uint64(32)).astype(np.uint32)
-    out = np.empty((len(offsets) - 1, HASHES), np.uint32)
-    for k in range(HASHES):
-        out[:, k] = np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], offsets[:-1])
+    out = np.empty((len(offsets) - 1, last - first), np.uint32)
+    for k in range(first, last):
+        out[:, k - first] = np.minimum.reduceat((h ^ _XOR[k]) * _ODD[k], offsets[:-1])
     return out
 
 
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text -> doc_id, k1, k2 (of the word sequence), n_shingles, signature, bands."""
+    """doc_id, text -> doc_id, k1, k2 (of the word sequence), n_shingles, bands."""
     for batch in batches:
         for first, data, row_offsets in text_slices(batch.column(1)):
             w, word_offsets = words(data, row_offsets)
@@ -78,33 +81,81 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             rows = np.repeat(np.arange(n), np.diff(word_offsets))
             place = powers(int(np.diff(word_offsets).max(initial=0)) + 1)[0][np.arange(len(w)) - word_offsets[rows]] if len(w) else w
             keys = np.zeros((2, n), np.uint64)
-            signatures: list[bytes | None] = [None] * n
             bands: list[list[int] | None] = [None] * n
             if len(full):
                 starts = word_offsets[full]
                 keys[0, full] = mix64(np.add.reduceat(w * place, starts))
                 keys[1, full] = mix64(np.add.reduceat(mix64(w ^ np.uint64(SALT)) * place, starts) + np.uint64(1))
-                found = minima(sets, np.concatenate((set_offsets[full], [len(sets)])))
-                parts = found[:, : BANDS * ROWS].astype(np.uint64).reshape(len(full), BANDS, ROWS)
+                found = minima(sets, np.concatenate((set_offsets[full], [len(sets)])), 0, BANDS * ROWS)
+                parts = found.astype(np.uint64).reshape(len(full), BANDS, ROWS)
                 mixed = np.tile(_SEED, (len(full), 1))
                 for k in range(ROWS):
                     mixed = mix64(mixed ^ parts[:, :, k])
-                short, mixed = found.astype(np.uint16), mixed.view(np.int64).tolist()
-                for k, row in enumerate(full):
-                    signatures[row], bands[row] = short[k].tobytes(), mixed[k]
+                for row, made in zip(full, mixed.view(np.int64).tolist(), strict=True):
+                    bands[row] = made
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).slice(first, n), *(pa.array(x.view(np.int64)) for x in keys), pa.array(np.diff(set_offsets)), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "k1", "k2", "n_shingles", "signature", "bands"],
+                [batch.column(0).slice(first, n), *(pa.array(x.view(np.int64)) for x in keys), pa.array(np.diff(set_offsets)), pa.array(bands, pa.list_(pa.int64()))],
+                ["doc_id", "k1", "k2", "n_shingles", "bands"],
             )
 
 
+def sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, n_shingles, bands, text -> the same and signature (the low bytes of the minimum hashes). No text is empty."""
+    for batch in batches:
+        found: list[bytes] = []
+        for _, data, offsets in text_slices(batch.column(3)):
+            sets, ends = distinct(*shingles(*words(data, offsets)))
+            found += [m.tobytes() for m in minima(sets, ends, BANDS * ROWS, BANDS * ROWS + HASHES).astype(np.uint8)]
+        yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(found, pa.binary())], [*batch.schema.names, "signature"])
+
+
+def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(-1, HASHES)
+
+
 def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """a, b, sa, sb -> a, b of the pairs that the posterior bounds leave."""
     least = least_matches()
     for batch in batches:
         if batch.num_rows:
-            sa, sb = (np.frombuffer(b"".join(batch.column(k).to_pylist()), np.uint16).reshape(-1, HASHES) for k in (2, 3))
-            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(surviving(sa, sb, least))) for k in (0, 1)], ["a", "b"])
+            alive = surviving(matrix(batch.column(2)), matrix(batch.column(3)), least)
+            yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
+
+
+def prune_cell(cell: pa.Table) -> pa.Table:
+    """Pairs a, b that survive among the members of each block pair (key, i, j) of a cell, across labels.
+
+    A pair that shares an earlier band is left to that band's bucket.
+    """
+    least = least_matches()
+    cell = cell.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
+    key, i, j, block, node, label, size = (cell.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "label", "n_shingles"))
+    signatures = matrix(cell.column("signature"))
+    bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
+    cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
+    out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
+    for first, last in zip([0, *cuts], [*cuts, len(key)], strict=True):
+        rows = np.arange(first, last)
+        if i[first] == j[first]:
+            p, q = np.triu_indices(len(rows), 1)
+            a, b = rows[p], rows[q]
+        else:
+            a, b = (x.ravel() for x in np.meshgrid(rows[block[rows] == i[first]], rows[block[rows] == j[first]], indexing="ij"))
+        low, high = np.minimum(size[a], size[b]), np.maximum(size[a], size[b])
+        good = (label[a] != label[b]) & (100 * low >= PERCENT * high)
+        a, b, matches = a[good], b[good], np.zeros(int(good.sum()), np.int64)
+        for n, fewest in least.items():
+            for at in range(0, len(a), 1 << 16):
+                part = slice(at, at + (1 << 16))
+                matches[part] += (signatures[a[part], n - BATCH : n] == signatures[b[part], n - BATCH : n]).sum(1)
+            good = matches >= fewest
+            a, b, matches = a[good], b[good], matches[good]
+        if len(a):
+            band = int(np.flatnonzero(bands[first] == key[first])[0])
+            good = ~(bands[a, :band] == bands[b, :band]).any(1)
+            out.append(np.column_stack([node[a[good]], node[b[good]]]))
+    found = np.concatenate(out)
+    return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -142,51 +193,58 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     An empty table gives an empty result.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    ddl = "doc_id long, k1 long, k2 long, n_shingles long, signature binary, bands array<long>"
-    described = materialize(docs.mapInArrow(describe, ddl), "described")
+    described = materialize(docs.mapInArrow(describe, "doc_id long, k1 long, k2 long, n_shingles long, bands array<long>"), "described")
     classes = materialize(described.filter("n_shingles > 0").groupBy("k1", "k2").agg(F.min("doc_id").alias("node")), "classes")
     members = described.select("doc_id", "k1", "k2", "n_shingles").join(classes, ["k1", "k2"], "left")
     reps = described.join(classes.withColumn("doc_id", F.col("node")), ["k1", "k2", "doc_id"])
-    reps = materialize(reps.select("node", "n_shingles", "signature", "bands"), "reps")
+    reps = materialize(reps.select("node", "n_shingles", "bands"), "reps")
+
+    banded = reps.select("node", F.explode("bands").alias("key")).distinct()
+    buckets = materialize(banded.groupBy("key").agg(F.count("*").alias("n")).filter("n > 1"), "buckets")
+    shared = materialize(banded.join(buckets, "key"), "shared")
+    scores = materialize(shared.groupBy("node").agg(F.sum("n").alias("score")), "scores")
+    known = reps.join(scores.select("node"), "node").join(docs.select(F.col("doc_id").alias("node"), "text"), "node")
+    known = known.select("node", "n_shingles", "bands", "text").filter(F.col("text").rlike(WORD))
+    known = materialize(known.mapInArrow(sign, "node long, n_shingles long, bands array<long>, text string, signature binary"), "known")
 
-    banded = reps.select("node", F.explode("bands").alias("key"))
-    pivot = lambda salt: F.min(F.col("node").bitwiseXOR(salt)).bitwiseXOR(salt)
-    buckets = banded.groupBy("key").agg(F.count("*").alias("n"), pivot(F.lit(SALT)).alias("pivot"))
-    buckets = materialize(buckets.filter("n > 1").drop("n"), "buckets")
-    shared = materialize(banded.join(buckets, "key").distinct(), "shared")
-    candidates = materialize(shared.select("node").distinct(), "candidates")
-    known = reps.select("node", "n_shingles", "signature").join(candidates, "node")
-    known = materialize(known.join(docs.select(F.col("doc_id").alias("node"), "text"), "node"), "known")
+    def similar(pairs: DataFrame) -> DataFrame:
+        """The pairs (a, b) that are links, by exact comparison."""
+        side = lambda x, t: known.select(F.col("node").alias(x), F.col("text").alias(t))
+        return pairs.join(side("a", "ta"), "a").join(side("b", "tb"), "b").select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
 
     def linked(pairs: DataFrame) -> DataFrame:
-        """The pairs (a, b) that are links."""
-        side = lambda x, *more: known.select(F.col("node").alias(x), *more)
-        sized = pairs.join(side("a", F.col("n_shingles").alias("na"), F.col("signature").alias("sa")), "a")
-        sized = sized.join(side("b", F.col("n_shingles").alias("nb"), F.col("signature").alias("sb")), "b")
-        sized = sized.filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
-        left = materialize(sized.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), "survivors")
-        texts = left.join(side("a", F.col("text").alias("ta")), "a").join(side("b", F.col("text").alias("tb")), "b")
-        return texts.select("a", "b", "ta", "tb").mapInArrow(verify, "a long, b long")
-
-    starred = shared.filter("node <> pivot").groupBy(F.col("node").alias("a")).agg(
-        F.min(F.col("pivot").bitwiseXOR(F.lit(SALT))).bitwiseXOR(F.lit(SALT)).alias("b")
-    )
-    labels = components(linked(starred))
+        side = lambda x: known.select(F.col("node").alias(x), F.col("n_shingles").alias(f"n{x}"), F.col("signature").alias(f"s{x}"))
+        sized = pairs.join(side("a"), "a").join(side("b"), "b").filter(100 * F.least("na", "nb") >= PERCENT * F.greatest("na", "nb"))
+        return similar(materialize(sized.select("a", "b", "sa", "sb").mapInArrow(prune, "a long, b long"), "survivors"))
+
+    scored = shared.join(scores, "node")
+    best = F.max(F.struct("score", "node"))
+    pivots = materialize(scored.groupBy("key").agg(best.alias("pivot")), "pivots")
+    met = shared.join(pivots, "key").filter(F.col("node") != F.col("pivot.node")).groupBy("node").agg(F.max("pivot").alias("pivot"))
+    labels = components(linked(met.select(F.col("node").alias("a"), F.col("pivot.node").alias("b"))))
     for last in (False, True):
-        labelled = shared.select("key", "node").join(labels, "node", "left").select("key", "node", F.coalesce("component", "node").alias("label"))
+        labelled = scored.join(labels, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
         labelled = materialize(labelled, "labelled")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), pivot(F.col("key")).alias("pivot"))
-        mixed = materialize(mixed.filter("low <> high").select("key", "pivot"), "mixed")
+        top = F.max(F.struct("score", "node", "label")).alias("top")
+        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), top).filter("low <> high")
+        mixed = materialize(mixed.select("key", "top"), "mixed")
         if mixed.isEmpty():
             break
         rows = labelled.join(mixed, "key")
         if last:
-            other = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("other"))
-            pairs = rows.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("label < other")
+            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            dealt = rows.select("key", "node", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+            dealt = materialize(dealt.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "dealt")
+            cells = max(1, ceil(dealt.count() / CELL_ROWS))
+            dealt = dealt.join(known.select("node", "n_shingles", "bands", "signature"), "node")
+            dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
+            found = similar(materialize(dealt.groupBy("cell").applyInArrow(prune_cell, "a long, b long"), "survivors"))
         else:
-            other = labelled.select("key", F.col("node").alias("b"), F.col("label").alias("other")).join(mixed.withColumn("b", F.col("pivot")).select("key", "b"), ["key", "b"])
-            pairs = rows.select("key", F.col("node").alias("a"), "label").join(other, "key").filter("label <> other")
-        found = linked(pairs.select("a", "b").distinct())
+            rest = rows.filter(F.col("label") != F.col("top.label"))
+            second = materialize(rest.groupBy("key").agg(F.max(F.struct("score", "node", "label")).alias("second")), "second")
+            pairs = labelled.join(second, "key").filter(F.col("label") != F.col("second.label"))
+            found = linked(pairs.select(F.col("node").alias("a"), F.col("second.node").alias("b")).distinct())
         named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: E731, B023
         contracted = found.join(named("a"), "a", "left").join(named("b"), "b", "left")
         contracted = components(contracted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))

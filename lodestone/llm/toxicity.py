@@ -131,12 +131,12 @@ def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGO
     return fit_chain(np.concatenate([*sets, np.zeros(0, np.uint64)]), offsets, y, np.array([r.doc_id % FOLDS for r in got], int))
 
 
-def score(docs: DataFrame, chain: list[Link], categories: Sequence[str] = CATEGORIES, keep: Sequence[str] = ()) -> DataFrame:
-    """doc_id, one probability column p_<category> a category, and the columns named by keep, for each row of docs (doc_id, text).
+def score(docs: DataFrame, chain: list[Link], categories: Sequence[str] = CATEGORIES, keep: Sequence[str] = (), prefix: str = "p_") -> DataFrame:
+    """doc_id, one probability column <prefix><category> a category, and the columns named by keep, for each row of docs (doc_id, text).
 
     Null and empty texts have no words and get the models' biases. Whole texts are read; repeated rows are scored alike.
     """
-    names = [f"p_{c}" for c in categories]
+    names = [f"{prefix}{c}" for c in categories]
     kept = docs.select("doc_id", "text", *[c for c in keep if c not in ("doc_id", "text")])
     out = ["doc_id", *(["text"] if "text" in keep else []), *kept.columns[2:]]
 

@@ -21,6 +21,7 @@ from lodestone.llm.common import table
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 96
 _random = random.Random(8)
+MOST_BROADCAST = 1000  # templates; more are joined by shuffling
 SEEDS = tuple(_random.getrandbits(64) - 2**63 for _ in range(BANDS))
 
 # Notices by which public licenses are referred to, as (license, text).
@@ -84,7 +85,9 @@ def license_scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     windows = windows.select("doc_id", "class", "start", F.array_distinct(F.slice("shingles", F.col("start") + 1, 2 * F.col("class"))).alias("held"), F.monotonically_increasing_id().alias("window"))
     windows = windows.filter(F.arrays_overlap("held", literal))
     banded = lambda df, of: df.select("*", F.posexplode(minima(F.col(of))).alias("band", "hash"))
-    retrieved = banded(windows, "held").join(banded(known, "wanted"), ["class", "band", "hash"])
+    asked = banded(known, "wanted")
+    asked = F.broadcast(asked) if len(rows) <= MOST_BROADCAST else asked
+    retrieved = banded(windows, "held").join(asked, ["class", "band", "hash"])
     pairs = retrieved.dropDuplicates(["window", "template_id"])
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")
     return pairs.select("doc_id", "template_id", "license", "start", share.alias("containment")).filter(F.col("containment") >= CONTAINED)

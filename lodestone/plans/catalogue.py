@@ -1,10 +1,9 @@
-"""Queries over the test tables, one per operator family, with DuckDB twins."""
+"""All queries over the test tables and their DuckDB twins, by name."""
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from lodestone.plans import ranking_queries, source_queries, text_queries
 
-from pyspark.sql import DataFrame, SparkSession
-
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
+MODULES = (text_queries, ranking_queries, source_queries)
+QUERIES = {name: query for module in MODULES for name, query in module.QUERIES.items()}
+ORACLE_SQL = {name: sql for module in MODULES for name, sql in module.ORACLE_SQL.items()}

@@ -23,7 +23,7 @@ def citation_score(count: Column, full: float = 500.0) -> Column:
 
 
 def recency_score(year: Column, base: int = 2026, a_year: float = 0.08, unknown: float = 0.4) -> Column:
-    return F.coalesce(F.greatest(F.lit(0.0), 1 - a_year * F.greatest(F.lit(0), base - year)), F.lit(unknown))
+    return F.when(year.isNull(), F.lit(unknown)).otherwise(F.greatest(F.lit(0.0), 1 - a_year * F.greatest(F.lit(0), base - year)))
 
 
 def prerank_score(features: Mapping[str, Column], weights: Mapping[str, float] = PRERANK_WEIGHTS) -> Column:

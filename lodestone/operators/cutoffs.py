@@ -79,12 +79,13 @@ def percentile_drop(ranked: DataFrame, by: str, score: str, drop: float = 0.15,
     return got.select(by, F.when(cliff, F.greatest(floor, F.least("at", F.lit(most)))).otherwise(prefix).cast("long").alias("k"))
 
 
-def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02) -> DataFrame:
+def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02, most: int = 20) -> DataFrame:
     """by, g_hat, k, best: the controller's k for ranked (by, rank, p, kind).
 
     The number of answers is fused from the type's prior, the density of good results and the probabilities. The curve
     2 * hits / (k + answers), to 4 places, ends before the first rank (from 2) under the type's least probability;
-    of the k within slack of its maximum the largest is taken.
+    of the k within slack of its maximum the largest is taken. If the first ten probabilities are all alike and low (mean
+    under 0.35, deviation under 0.05), at most 5 results are taken, 10 for broad types.
     """
     spark = ranked.sparkSession
     profile = F.broadcast(spark.createDataFrame(PROFILES, "query_type string, prior double, least double, broad boolean"))
@@ -92,18 +93,22 @@ def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", sl
         F.count("*").alias("n"),
         (0.35 * F.sum(F.when(F.col(p) >= 0.50, 2).when(F.col(p) >= 0.25, 1).otherwise(0))).alias("pool"),
         F.sum(F.when(F.col(p) > 0.05, F.col(p)).otherwise(0.0)).alias("visible"),
+        F.avg(F.when(F.col("rank") <= 10, F.col(p))).alias("mean"),
+        F.stddev_pop(F.when(F.col("rank") <= 10, F.col(p))).alias("spread"),
     )
-    agg = agg.join(profile, agg[kind] == profile["query_type"], "left").select(agg["*"], F.coalesce("prior", F.lit(4.0)).alias("scope"), F.coalesce("least", F.lit(0.22)).alias("least"))
+    agg = agg.join(profile, agg[kind] == profile["query_type"], "left").select(agg["*"], F.coalesce("prior", F.lit(4.0)).alias("scope"), F.coalesce("least", F.lit(0.22)).alias("least"), F.coalesce("broad", F.lit(False)).alias("broad"))
     pool = F.greatest(F.lit(1.0), F.col("pool"))
     mixed = lambda a, b, c: a * F.col("scope") + b * pool + c * F.col("visible")
     fused = F.when((F.col("visible") < 3) & (F.col("scope") > 10), mixed(0.45, 0.35, 0.20)).when(F.col("visible") > 8, mixed(0.25, 0.25, 0.50)).otherwise(mixed(0.35, 0.35, 0.30))
     g = F.least(F.lit(60.0), F.greatest(F.lit(1.0), fused, 0.5 * F.col("scope")))
-    rows = ranked.select(by, "rank", p).join(agg.select(by, g.alias("g_hat"), "least", "n"), by)
+    alike = (F.col("n") >= 3) & (F.col("mean") < 0.35) & (F.col("spread") < 0.05)
+    top = F.least(F.col("n"), F.lit(most), F.when(alike, F.when(F.col("broad"), 10).otherwise(5)))
+    rows = ranked.select(by, "rank", p).join(agg.select(by, g.alias("g_hat"), "least", top.alias("top")), by)
     prefix = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(by)
     rows = rows.withColumn("f1", F.round(2 * F.sum(p).over(prefix) / (F.col("rank") + F.col("g_hat")), 4))
     stop = F.min(F.when((F.col("rank") >= 2) & (F.col(p) < F.col("least")), F.col("rank") - 1)).over(whole)
-    rows = rows.withColumn("cap", F.coalesce(stop, F.col("n"))).filter(F.col("rank") <= F.col("cap"))
+    rows = rows.withColumn("cap", F.least(F.col("top"), F.coalesce(stop, F.col("top")))).filter(F.col("rank") <= F.col("cap"))
     rows = rows.withColumn("best", F.max("f1").over(whole)).filter(F.round(F.col("best") - F.col("f1"), 6) <= slack)
     return rows.groupBy(by).agg(F.round(F.max("g_hat"), 4).alias("g_hat"), F.max("rank").alias("k"), F.max("best").alias("best"))
 

@@ -35,5 +35,5 @@ def similar(queries: DataFrame, candidates: DataFrame, k: int, least: float | No
 
 def summed(hits: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     """Scores of several queries added up per key."""
-    total = hits.groupBy(*by, key).agg(F.round(F.sum("score"), 5).alias("score"), F.count("*").alias("hits"))
+    total = hits.groupBy(*by, key).agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("hits"))
     return ranked(total, by, [F.desc("score"), key], k)

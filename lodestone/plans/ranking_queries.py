@@ -286,10 +286,10 @@ a AS (SELECT o_custkey, max(rng) AS rng, max(top) AS top, list_sort(list(gap) FI
 p AS (SELECT o_custkey, min(rank) AS spot FROM q JOIN a USING (o_custkey) WHERE gap = largest GROUP BY 1)
 SELECT o_custkey, CASE WHEN gaps[len(gaps) // 2 + 1] > 0 AND largest / gaps[len(gaps) // 2 + 1] > 2.5 THEN greatest(greatest(1, rng // 4), least(spot, 20)) ELSE greatest(greatest(1, rng // 4), least(20, greatest(1, coalesce(below - 1, rng)))) END::BIGINT AS k FROM a LEFT JOIN p USING (o_custkey)"""
 _EXPECTED = f"""WITH {CUSTOMER_SCORES_SQL}, {TYPED_SQL}, {PROFILE_SQL},
-a AS (SELECT o_custkey, query_type, count(*) AS n, greatest(1, 0.35::DOUBLE * sum(CASE WHEN score >= 0.5 THEN 2 WHEN score >= 0.25 THEN 1 ELSE 0 END)) AS pool, sum(CASE WHEN score > 0.05 THEN score ELSE 0 END) AS vis FROM typed GROUP BY 1, 2),
-g AS (SELECT o_custkey, n, least, least(60, greatest(1, 0.5 * prior, CASE WHEN vis < 3 AND prior > 10 THEN 0.45::DOUBLE * prior + 0.35::DOUBLE * pool + 0.2::DOUBLE * vis WHEN vis > 8 THEN 0.25 * prior + 0.25 * pool + 0.5 * vis ELSE 0.35::DOUBLE * prior + 0.35::DOUBLE * pool + 0.3::DOUBLE * vis END)) AS g_hat FROM a JOIN prof USING (query_type)),
+a AS (SELECT o_custkey, query_type, count(*) AS n, greatest(1, 0.35::DOUBLE * sum(CASE WHEN score >= 0.5 THEN 2 WHEN score >= 0.25 THEN 1 ELSE 0 END)) AS pool, sum(CASE WHEN score > 0.05 THEN score ELSE 0 END) AS vis, avg(score) FILTER (rank <= 10) AS mean, stddev_pop(score) FILTER (rank <= 10) AS spread FROM typed GROUP BY 1, 2),
+g AS (SELECT o_custkey, least(n, 20, CASE WHEN n >= 3 AND mean < 0.35 AND spread < 0.05 THEN CASE WHEN query_type IN ('latest_work', 'broad_topic', 'survey') THEN 10 ELSE 5 END END) AS n, least, least(60, greatest(1, 0.5 * prior, CASE WHEN vis < 3 AND prior > 10 THEN 0.45::DOUBLE * prior + 0.35::DOUBLE * pool + 0.2::DOUBLE * vis WHEN vis > 8 THEN 0.25 * prior + 0.25 * pool + 0.5 * vis ELSE 0.35::DOUBLE * prior + 0.35::DOUBLE * pool + 0.3::DOUBLE * vis END)) AS g_hat FROM a JOIN prof USING (query_type)),
 f AS (SELECT t.*, g_hat, n, least, round(2 * sum(score) OVER (PARTITION BY o_custkey ORDER BY rank) / (rank + g_hat), 4) AS f1 FROM typed t JOIN g USING (o_custkey)),
-c AS (SELECT *, coalesce(min(CASE WHEN rank >= 2 AND score < least THEN rank - 1 END) OVER (PARTITION BY o_custkey), n) AS cap FROM f),
+c AS (SELECT *, least(n, coalesce(min(CASE WHEN rank >= 2 AND score < least THEN rank - 1 END) OVER (PARTITION BY o_custkey), n)) AS cap FROM f),
 m AS (SELECT *, max(f1) OVER (PARTITION BY o_custkey) AS best FROM c WHERE rank <= cap)
 SELECT o_custkey, round(max(g_hat), 4) AS g_hat, max(rank) AS k, max(best) AS best FROM m WHERE round(best - f1, 6) <= 0.02 GROUP BY 1"""
 _DYNAMIC = f"""WITH {CUSTOMER_SCORES_SQL}, {TYPED_SQL}, a AS (SELECT o_custkey, query_type, count(*) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, count(*) FILTER (score >= 0.4) AS good FROM typed GROUP BY 1, 2)
@@ -304,7 +304,7 @@ ORACLE_SQL = {
     "rrf_fusion": f"WITH {RRF_SQL} " + _RRF.format("1.0::DOUBLE", ""),
     "rrf_weighted": f"WITH {RRF_SQL} " + _RRF.format("CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 1.5 END::DOUBLE", "WHERE l_returnflag <> 'R'"),
     "vector_topk": f"WITH {VEC_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5",
-    "vector_multi": f"WITH {VEC_SQL}, t AS (SELECT query_id % 3 AS query_group, vec_id, round(sum(score), 5) AS score, count(*) AS hits FROM r WHERE rank <= 20 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY score DESC, vec_id) AS rank FROM t) WHERE rank <= 10",
+    "vector_multi": f"WITH {VEC_SQL}, t AS (SELECT query_id % 3 AS query_group, vec_id, round(sum(score), 6) AS score, count(*) AS hits FROM r WHERE rank <= 20 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY score DESC, vec_id) AS rank FROM t) WHERE rank <= 10",
     "vector_recall_at_k": f"WITH {VEC_SQL} SELECT query_id, round(count(*) FILTER (a.label = b.label) / count(*), 4) AS precision_at_10 FROM r JOIN v a ON a.vec_id = r.vec_id JOIN v b ON b.vec_id = r.query_id WHERE rank <= 10 GROUP BY 1",
     "citation_score": f"WITH {PART_STATS_SQL} SELECT p_partkey, round(least(ln(1 + citations) / ln(501), 1), 6) AS citation, round(CASE WHEN year IS NULL THEN 0.4 ELSE greatest(0, 1 - 0.08::DOUBLE * greatest(0, 2002 - year)) END, 6)::DOUBLE AS recency FROM part_stats",
     "prerank_score": f"WITH {PART_STATS_SQL}, {FEATURES_SQL} SELECT p_partkey, round(prerank, 6) AS score FROM pr",

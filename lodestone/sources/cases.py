@@ -34,7 +34,7 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.text(path).select((F.monotonically_increasing_id()).alias("line"), F.regexp_replace("value", "^﻿", "").alias("record"))
         return _cases(text)
     if kind == "json":
-        whole = spark.read.option("wholetext", "true").text(path).select(F.regexp_replace("value", "^﻿", "").alias("v"))
+        whole = spark.read.text(path, wholetext=True).select(F.regexp_replace("value", "^﻿", "").alias("v"))
         listed = F.coalesce(F.from_json("v", "array<string>"), *[F.from_json(F.get_json_object("v", f"$.{w}"), "array<string>") for w in WRAPPERS], F.array("v"))
         return _cases(whole.select(F.posexplode(listed).alias("line", "record")))
     rows = spark.read.option("header", "true").option("multiLine", "true").option("sep", "\t" if kind == "tsv" else ",").csv(path)

@@ -19,7 +19,7 @@ def fixture(spark: SparkSession) -> DataFrame:
 
 def titles(spark: SparkSession, path: str) -> DataFrame:
     """arxiv_id, title, title_key from one JSON object of id to title; titles without letters are left out, of equal keys the last id wins."""
-    whole = spark.read.option("wholetext", "true").text(path).select(F.explode(F.from_json("value", "map<string,string>")).alias("arxiv_id", "title"))
+    whole = spark.read.text(path, wholetext=True).select(F.explode(F.from_json("value", "map<string,string>")).alias("arxiv_id", "title"))
     keyed = whole.withColumn("title_key", T.letters_key(F.col("title"))).filter("title_key <> ''")
     return keyed.groupBy("title_key").agg(F.max_by("title", "arxiv_id").alias("title"), F.max("arxiv_id").alias("arxiv_id"))
 
@@ -27,7 +27,7 @@ def titles(spark: SparkSession, path: str) -> DataFrame:
 def references(spark: SparkSession, path: str) -> DataFrame:
     """title_key, position, reference of papers with sections of reference titles, distinct in order of appearance."""
     ddl = "title string, abstract string, sections map<string,array<string>>"
-    whole = spark.read.option("wholetext", "true").text(path).select(F.from_json("value", ddl).alias("p")).filter("p.title IS NOT NULL")
+    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", ddl).alias("p")).filter("p.title IS NOT NULL")
     listed = F.array_distinct(F.flatten(F.map_values("p.sections")))
     return whole.select(T.letters_key(F.col("p.title")).alias("title_key"), F.posexplode(listed).alias("position", "reference"))
 

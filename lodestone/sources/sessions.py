@@ -84,10 +84,10 @@ def rollout_lines(spark: SparkSession, path: str) -> DataFrame:
 @register("markdown")
 def markdown(spark: SparkSession, path: str) -> DataFrame:
     """Files with blocks `#### <role>` ... `</role>`."""
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.md").text(path, wholetext=True)
     block = r"(?s)####\s*<(\w+)>\s*(.*?)</\1>"
     found = files.select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_modification_time").cast("string").alias("ts"), F.posexplode(F.regexp_extract_all("value", F.lit(block), F.lit(0))).alias("line", "b"))
-    rows = found.select("file", "line", _stem(F.col("file")).alias("session_id"), F.regexp_extract("b", block, 1).alias("role"), "ts", F.trim(F.regexp_extract("b", block, 2)).alias("plain_text"), F.lit(None).cast("string").alias("workspace"))
+    rows = found.select("file", "line", _stem(F.col("file")).alias("session_id"), F.regexp_extract("b", block, 1).alias("role"), "ts", F.regexp_replace(F.regexp_extract("b", block, 2), r"^\s+|\s+$", "").alias("plain_text"), F.lit(None).cast("string").alias("workspace"))
     return _numbered(rows, "markdown", ["file", "line"])
 
 
@@ -95,7 +95,7 @@ def markdown(spark: SparkSession, path: str) -> DataFrame:
 def session_json(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object a session with messages."""
     ddl = "sessionId string, projectDir string, messages array<struct<role:string,content:string,timestamp:string>>"
-    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").option("wholetext", "true").text(path)
+    files = spark.read.option("recursiveFileLookup", "true").option("pathGlobFilter", "*.json").text(path, wholetext=True)
     r = files.select(F.col("_metadata.file_path").alias("file"), F.from_json("value", ddl).alias("r")).filter("r.messages IS NOT NULL")
     rows = r.select("file", F.coalesce("r.sessionId", _stem(F.col("file"))).alias("session_id"), F.col("r.projectDir").alias("workspace"), F.posexplode("r.messages").alias("line", "m"))
     rows = rows.select("file", "line", "session_id", F.col("m.role").alias("role"), F.col("m.timestamp").alias("ts"), flat_content(F.col("m.content")).alias("plain_text"), "workspace")

@@ -5,7 +5,7 @@ import pytest
 
 ROOT = Path(__file__).resolve().parents[1]
 sys.path.insert(0, str(ROOT))
-DATA = "/root/testdata/sf0.001"
+from helpers import DATA  # noqa: E402
 
 
 @pytest.fixture(scope="session")
@@ -37,23 +37,3 @@ def duck():
         path = f"{DATA}/{name}.parquet"
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{path if os.path.isfile(path) else path + '/*.parquet'}')")
     return con
-
-
-def normal(value):
-    if value is None or value != value:
-        return None
-    if isinstance(value, float):
-        return round(value, 6)
-    return str(value)[:10] if hasattr(value, "isoformat") else value
-
-
-def rows_of(columns, rows):
-    order = sorted(range(len(columns)), key=lambda k: columns[k])
-    return sorted((tuple(normal(r[k]) for k in order) for r in rows), key=lambda r: tuple(("" if v is None else str(v)) for v in r))
-
-
-def assert_same(df, con, sql):
-    found = con.execute(sql)
-    names = [d[0] for d in found.description]
-    assert sorted(df.columns) == sorted(names)
-    assert rows_of(df.columns, df.collect()) == rows_of(names, found.fetchall())

@@ -1,7 +1,7 @@
 """Every query of the library gives the rows of its SQL twin; queries without one give rows."""
 
 import pytest
-from conftest import DATA, assert_same
+from helpers import DATA, assert_same
 
 from lodestone.plans import catalogue
 

@@ -81,3 +81,34 @@ def test_health_replay_and_stream(spark, tmp_path):
     query = health.stream(rows).writeStream.format("memory").queryName("health").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {(r.provider, r.ts): (r.state, r.allowed) for r in spark.table("health").collect()} == want
+
+
+def test_stores(spark, tmp_path):
+    from lodestone.sources import stores
+
+    names = [c.split()[0] for c in stores.RUNS.split(", ")]
+    row = lambda **x: tuple(x.get(n) for n in names)
+    store = spark.createDataFrame([row(job_id="a", status="running", started_at="1", created_at="1", updated_at="1"), row(job_id="b", status="done", updated_at="1")], stores.RUNS)
+    new = spark.createDataFrame([row(job_id="a", status="half", started_at="5", updated_at="2"), row(job_id="a", status="done", started_at="6", updated_at="3"), row(job_id="c", status="queued", started_at="7", updated_at="1")], stores.RUNS)
+    got = {r.job_id: r for r in stores.upserted_runs(store, new).collect()}
+    assert (got["a"].status, got["a"].started_at, got["a"].created_at, got["b"].status, got["c"].started_at) == ("done", "1", "1", "done", "7")
+    assert {r.job_id: r.status for r in stores.recovered_runs(store).collect()} == {"a": "failed", "b": "done"}
+    path = str(tmp_path / "sessions")
+    rows = spark.createDataFrame([("x", "s", 0), ("y", "t", 0)], "agent string, session_id string, ordinal int")
+    stores.write_sessions(rows, path)
+    stores.write_sessions(rows.filter("agent = 'x'").withColumn("session_id", F.lit("new")), path)
+    assert sorted((r.agent, r.session_id) for r in spark.read.parquet(path).collect()) == [("x", "new"), ("y", "t")]
+    papers_ = spark.createDataFrame([(1, "T", None), (2, " ", "a"), (3, "U", "b")], "id int, title string, abstract string")
+    assert [r.text for r in stores.missing_vectors(papers_, papers_.filter("id = 3"), "id").collect()] == ["T"]
+
+
+def test_hooks(spark):
+    from lodestone.operators import hooks
+
+    answers = spark.createDataFrame([("q", '{"results": [{"paper_id": "1", "relevance_score": 1.7, "relevance_probability": 0.9, "relevance_level": "top"}, {"x": 1}]}')], "q string, a string")
+    got = hooks.judged(answers, "q", "a").collect()
+    assert [(r.paper_id, r.score, r.level, r.confidence) for r in got] == [("1", 1.0, "low", 0.5)]
+    pool = spark.createDataFrame([("q", "1", 0.6), ("q", "2", 0.1)], "q string, paper_id string, local double")
+    out = {r.paper_id: r for r in hooks.reviewed(pool, "q", "local", lambda c: hooks.judged(answers, "q", "a")).collect()}
+    assert (out["1"].score, out["2"].score, out["2"].level) == (1.0, 0.1, "low")
+    assert hooks.reviewed(pool, "q", "local").filter("level = 'high'").count() == 1

@@ -14,7 +14,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialize, table
 
 MIN_CHUNK, MAX_CHUNK, CUT = 256, 4096, "a-d"
 Naming = Callable[[Column], Column]
@@ -49,8 +49,10 @@ def exact_dedup(docs: DataFrame, namings: Sequence[Naming] = NAMINGS) -> DataFra
         F.octet_length("text").alias("n_bytes"),
         F.transform(chunks(F.col("text")), naming).alias("recipe"),
     )
+    rows = materialize(rows, "recipes")  # so that row numbers are the same in both uses, and texts are read once
     groups = rows.groupBy("recipe", "n_bytes").agg(F.max(F.struct("doc_id", "row")).alias("keep"), F.count("*").alias("group_size"))
-    return rows.join(groups, ["recipe", "n_bytes"]).select(
+    # Written out, the groups are dealt anew for the join, which then can split the rows of a large group over tasks.
+    return rows.join(materialize(groups, "groups"), ["recipe", "n_bytes"]).select(
         "doc_id",
         F.col("keep.doc_id").alias("keep_id"),
         "group_size",

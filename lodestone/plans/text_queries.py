@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
-from lodestone.operators import evaluation, resolve, search, selection
+from lodestone.operators import evaluation, search, selection
 from lodestone.operators.search import ranked
 from lodestone.plans.tables import PASSAGES_SQL, passages, table
 

@@ -79,13 +79,13 @@ def percentile_drop(ranked: DataFrame, by: str, score: str, drop: float = 0.15,
     return got.select(by, F.when(cliff, F.greatest(floor, F.least("at", F.lit(most)))).otherwise(prefix).cast("long").alias("k"))
 
 
-def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02, most: int = 20) -> DataFrame:
+def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02, most: int | str = 20) -> DataFrame:
     """by, g_hat, k, best: the controller's k for ranked (by, rank, p, kind).
 
     The number of answers is fused from the type's prior, the density of good results and the probabilities. The curve
     2 * hits / (k + answers), to 4 places, ends before the first rank (from 2) under the type's least probability;
     of the k within slack of its maximum the largest is taken. If the first ten probabilities are all alike and low (mean
-    under 0.35, deviation under 0.05), at most 5 results are taken, 10 for broad types.
+    under 0.35, deviation under 0.05), at most 5 results are taken, 10 for broad types. most is a number or a column of ranked.
     """
     spark = ranked.sparkSession
     profile = F.broadcast(spark.createDataFrame(PROFILES, "query_type string, prior double, least double, broad boolean"))
@@ -95,6 +95,7 @@ def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", sl
         F.sum(F.when(F.col(p) > 0.05, F.col(p)).otherwise(0.0)).alias("visible"),
         F.avg(F.when(F.col("rank") <= 10, F.col(p))).alias("mean"),
         F.stddev_pop(F.when(F.col("rank") <= 10, F.col(p))).alias("spread"),
+        F.max(most if isinstance(most, str) else F.lit(most)).alias("most"),
     )
     agg = agg.join(profile, agg[kind] == profile["query_type"], "left").select(agg["*"], F.coalesce("prior", F.lit(4.0)).alias("scope"), F.coalesce("least", F.lit(0.22)).alias("least"), F.coalesce("broad", F.lit(False)).alias("broad"))
     pool = F.greatest(F.lit(1.0), F.col("pool"))
@@ -102,7 +103,7 @@ def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", sl
     fused = F.when((F.col("visible") < 3) & (F.col("scope") > 10), mixed(0.45, 0.35, 0.20)).when(F.col("visible") > 8, mixed(0.25, 0.25, 0.50)).otherwise(mixed(0.35, 0.35, 0.30))
     g = F.least(F.lit(60.0), F.greatest(F.lit(1.0), fused, 0.5 * F.col("scope")))
     alike = (F.col("n") >= 3) & (F.col("mean") < 0.35) & (F.col("spread") < 0.05)
-    top = F.least(F.col("n"), F.lit(most), F.when(alike, F.when(F.col("broad"), 10).otherwise(5)))
+    top = F.least(F.col("n"), F.col("most"), F.when(alike, F.when(F.col("broad"), 10).otherwise(5)))
     rows = ranked.select(by, "rank", p).join(agg.select(by, g.alias("g_hat"), "least", top.alias("top")), by)
     prefix = Window.partitionBy(by).orderBy("rank").rowsBetween(Window.unboundedPreceding, 0)
     whole = Window.partitionBy(by)
@@ -148,3 +149,28 @@ def k_diagnosis(rows: DataFrame) -> DataFrame:
         .otherwise("good_match")
     )
     return rows.withColumn("diagnosis", kind)
+
+
+def composed_k(ranked: DataFrame, by: str, score: str, p: str | None = None, kind: str = "query_type", most: int = 12, least: int = 1, floor: int = 5, recall_floor: int = 20, terms: str | None = None) -> DataFrame:
+    """by, k as a synthesis step takes it: the score gap, else the percentile drop, bounds the results.
+
+    With probabilities p of a model the controller may take fewer. Without, at least `floor` are taken, and for recall-first types
+    with 50 results or more and two query terms (column terms) or more, recall_floor; at most `most` and what there is.
+    """
+    gap = score_gap(ranked, by, score, 0.08, 0.10, most, 2).withColumnRenamed("k", "gap")
+    drop = percentile_drop(ranked, by, score, most=most, least=least).withColumnRenamed("k", "drop")
+    bound = gap.join(drop, by).select(by, F.least(F.coalesce("gap", "drop"), F.lit(most)).alias("bound"))
+    if p is not None:
+        chosen = expected_f1(ranked.join(bound, by), by, p, kind, most="bound").select(by, F.col("k").alias("chosen"))
+        return bound.join(chosen, by, "left").select(by, F.greatest(F.lit(least), F.least(F.col("bound"), F.coalesce("chosen", "bound"))).cast("long").alias("k"))
+    wide = ("unknown", "broad_topic", "survey", "latest_work", "dataset_constraint", "method_comparison")
+    n = ranked.groupBy(by).agg(F.count("*").alias("n"), F.max(kind).alias("kind"), F.max(terms if terms else F.lit(0)).alias("terms"))
+    recall = F.col("kind").isin(*wide) & (F.col("n") >= 50) & (F.col("terms") >= 2)
+    low = F.when(recall, max(floor, min(most, recall_floor))).otherwise(floor)
+    return bound.join(n, by).select(by, F.least(F.lit(most), F.col("n"), F.greatest("bound", low)).cast("long").alias("k"))
+
+
+def tier_summary(tiered: DataFrame, by: str, p: str) -> DataFrame:
+    """by, and per tier its size, and the mass of the high one, as a report shows them."""
+    count = lambda t: F.count(F.when(F.col("tier") == t, 1)).alias(t)
+    return tiered.groupBy(by).agg(count("high"), count("partial"), count("excluded"), F.round(F.sum(F.when(F.col("tier") == "high", F.col(p))), 6).alias("high_mass"))

@@ -149,6 +149,16 @@ def dynamic_k(spark: SparkSession, d: str) -> DataFrame:
     return cutoffs.dynamic_k(_typed(spark, d), "o_custkey", "score", "query_type")
 
 
+def composed(spark: SparkSession, d: str) -> DataFrame:
+    rows = _typed(spark, d)
+    with_model = cutoffs.composed_k(rows, "o_custkey", "score", "score").withColumnRenamed("k", "model_k")
+    return cutoffs.composed_k(rows, "o_custkey", "score").withColumnRenamed("k", "fallback_k").join(with_model, "o_custkey")
+
+
+def tier_summary(spark: SparkSession, d: str) -> DataFrame:
+    return cutoffs.tier_summary(cutoffs.tiers(customer_scores(spark, d), "o_custkey", "score"), "o_custkey", "score")
+
+
 TYPED_SQL = "typed AS (SELECT *, [" + ", ".join(f"'{p[0]}'" for p in cutoffs.PROFILES) + "][o_custkey % 9 + 1] AS query_type FROM scores)"
 PROFILE_SQL = "prof(query_type, prior, least) AS (VALUES " + ", ".join(f"('{n}', {p}::DOUBLE, {q}::DOUBLE)" for n, p, q, _ in cutoffs.PROFILES) + ")"
 CURVE_SQL = """c AS (SELECT *, sum(score) OVER (PARTITION BY o_custkey ORDER BY rank) AS hits, sum(score) OVER (PARTITION BY o_custkey) AS total FROM scores)"""
@@ -264,7 +274,7 @@ def budget_reserve(spark: SparkSession, d: str) -> DataFrame:
 QUERIES = {
     "rrf_fusion": rrf_fusion, "rrf_weighted": rrf_weighted, "vector_topk": vector_topk, "vector_multi": vector_multi, "vector_recall_at_k": vector_recall, "citation_score": citation_score,
     "prerank_score": prerank, "final_score": final, "calibrate": calibrate, "evidence_validation": validate, "fbeta_cutoff": fbeta, "tier_partition": tier_partition, "score_gap_k": score_gap,
-    "percentile_drop_k": percentile_drop, "expected_f1_k": expected_f1, "dynamic_k_rules": dynamic_k, "refchain_expand": refchain, "induced_graph": induced, "link_prior": link_prior,
+    "percentile_drop_k": percentile_drop, "expected_f1_k": expected_f1, "dynamic_k_rules": dynamic_k, "composed_k": composed, "tier_summary": tier_summary, "refchain_expand": refchain, "induced_graph": induced, "link_prior": link_prior,
     "components": components, "key_overlap_join": key_overlap, "topic_clusters": topic_clusters, "cutoff_filter": cutoff_filter, "publication_dates": publication_dates, "parse_event_props": event_props,
     "cost_rollup": cost_rollup, "llm_usage": model_usage, "run_latest": run_latest, "stage_budget": stage_budget, "provider_health": provider_health, "budget_reserve": budget_reserve,
 }
@@ -295,6 +305,11 @@ SELECT o_custkey, round(max(g_hat), 4) AS g_hat, max(rank) AS k, max(best) AS be
 _DYNAMIC = f"""WITH {CUSTOMER_SCORES_SQL}, {TYPED_SQL}, a AS (SELECT o_custkey, query_type, count(*) AS n, max(score) FILTER (rank = 1) AS s1, max(score) FILTER (rank = 2) AS s2, count(*) FILTER (score >= 0.4) AS good FROM typed GROUP BY 1, 2)
 SELECT o_custkey, least(12, CASE WHEN query_type IN ('exact_title', 'single_gold', 'specific_paper') AND s1 - s2 >= 0.15 THEN 1 WHEN query_type IN ('exact_title', 'single_gold') THEN least(1, n) WHEN query_type = 'specific_paper' THEN least(2, n)
   WHEN query_type IN ('dataset_constraint', 'method_comparison') THEN least(6, n) WHEN query_type IN ('survey', 'broad_topic', 'latest_work') THEN least(10, n) WHEN good > 0 THEN least(good, 20) ELSE least(5, n) END)::BIGINT AS k FROM a"""
+_GAP12 = _GAP.replace("least(20, greatest(2, spot))", "least(12, greatest(2, spot))").replace("rank <= 25", "rank <= 17")
+_DROP12 = _DROP.replace("least(20, count(*)", "least(12, count(*)").replace("least(spot, 20)", "least(spot, 12)").replace("least(20, greatest(1, coalesce", "least(12, greatest(1, coalesce")
+_COMPOSED = f"""WITH gp AS ({_GAP12}), dp AS ({_DROP12}), b AS (SELECT o_custkey, least(12, coalesce(gp.k, dp.k)) AS bound FROM gp JOIN dp USING (o_custkey)), cnt AS (SELECT o_custkey, count(*) AS n FROM orders GROUP BY 1),
+e AS ({_EXPECTED.replace("least(n, 20, CASE", "least(n, (SELECT bound FROM b WHERE b.o_custkey = a.o_custkey), CASE")})
+SELECT o_custkey, least(12, n, greatest(bound, 5))::BIGINT AS fallback_k, greatest(1, least(bound, k))::BIGINT AS model_k FROM b JOIN cnt USING (o_custkey) JOIN e USING (o_custkey)"""
 _TOP = f"WITH {EDGES_SQL}, top AS (SELECT p_partkey AS node FROM part_stats ORDER BY citations DESC, p_partkey LIMIT 200)"
 _COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
 r AS (SELECT a AS node, a AS reach FROM sym UNION SELECT r.node, sym.b FROM r JOIN sym ON sym.a = r.reach)
@@ -311,7 +326,8 @@ ORACLE_SQL = {
     "final_score": _FINAL, "calibrate": _CALIBRATE, "evidence_validation": VALIDATE_SQL,
     "fbeta_cutoff": f"WITH {CUSTOMER_SCORES_SQL}, {CURVE_SQL}, {FBETA_SQL.format(1, 2, 1)} SELECT o_custkey, k, round(best, 6) AS best, round(best / 2, 6) AS tau FROM fb1",
     "tier_partition": f"WITH {CUSTOMER_SCORES_SQL}, {CURVE_SQL}, {FBETA_SQL.format(1, 2, 1)}, {FBETA_SQL.format(2, 3.25, 2.25)} SELECT CASE WHEN rank <= a.k THEN 'high' WHEN rank <= greatest(a.k, b.k) THEN 'partial' ELSE 'excluded' END AS tier, count(*) AS n, sum(rank)::BIGINT AS ranks FROM scores JOIN fb1 a USING (o_custkey) JOIN fb2 b USING (o_custkey) GROUP BY 1",
-    "score_gap_k": _GAP, "percentile_drop_k": _DROP, "expected_f1_k": _EXPECTED, "dynamic_k_rules": _DYNAMIC,
+    "score_gap_k": _GAP, "percentile_drop_k": _DROP, "expected_f1_k": _EXPECTED, "dynamic_k_rules": _DYNAMIC, "composed_k": _COMPOSED,
+    "tier_summary": f"WITH {CUSTOMER_SCORES_SQL}, {CURVE_SQL}, {FBETA_SQL.format(1, 2, 1)}, {FBETA_SQL.format(2, 3.25, 2.25)}, t AS (SELECT o_custkey, score, CASE WHEN rank <= a.k THEN 'high' WHEN rank <= greatest(a.k, b.k) THEN 'partial' ELSE 'excluded' END AS tier FROM scores JOIN fb1 a USING (o_custkey) JOIN fb2 b USING (o_custkey)) SELECT o_custkey, count(*) FILTER (tier = 'high') AS high, count(*) FILTER (tier = 'partial') AS partial, count(*) FILTER (tier = 'excluded') AS excluded, round(sum(score) FILTER (tier = 'high'), 6) AS high_mass FROM t GROUP BY 1",
     "refchain_expand": f"WITH {EDGES_SQL} SELECT source AS seed, target, route, p AS position FROM (SELECT *, row_number() OVER (PARTITION BY source, route ORDER BY position, target) AS p FROM edges JOIN seeds ON seed = source) WHERE p <= 10",
     "induced_graph": f"{_TOP} SELECT DISTINCT source, target FROM one WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top)",
     "link_prior": f"{_TOP} SELECT node, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source = node AND target IN (SELECT node FROM top)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prior FROM top",

@@ -223,13 +223,13 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 def cutoff_filter(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
     latest = o.agg(F.date_sub(F.max("day"), 7).alias("cut"))
-    return o.join(F.broadcast(latest), F.col("day").isNull() | (F.col("day") <= F.col("cut"))).select("o_orderkey", "day")
+    return o.join(F.broadcast(latest), F.col("day").isNull() | (F.col("day") <= F.col("cut"))).select("o_orderkey", F.col("day").cast("string").alias("day"))
 
 
 def publication_dates(spark: SparkSession, d: str) -> DataFrame:
     day = F.to_date("o_orderdate")
     raw = F.when(F.col("o_orderkey") % 5 == 0, F.date_format(day, "yyyyMMdd")).when(F.col("o_orderkey") % 5 == 1, F.date_format(day, "yyyy-MM")).when(F.col("o_orderkey") % 5 == 2, F.date_format(day, "yyyy")).when(F.col("o_orderkey") % 5 == 3, F.date_format(day, "yyyy-MM-dd")).otherwise("soon")
-    return table(spark, d, "orders").select("o_orderkey", T.publication_date(raw).alias("published"))
+    return table(spark, d, "orders").select("o_orderkey", T.publication_date(raw).cast("string").alias("published"))
 
 
 def _log(spark: SparkSession, d: str) -> DataFrame:
@@ -238,7 +238,7 @@ def _log(spark: SparkSession, d: str) -> DataFrame:
 
 def event_props(spark: SparkSession, d: str) -> DataFrame:
     k = F.get_json_object("props", "$.k").cast("int")
-    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min(F.to_date("ts")).alias("first_day"))
+    return table(spark, d, "events").groupBy(k.alias("k")).agg(F.count("*").alias("n"), F.min(F.to_date("ts")).cast("string").alias("first_day"))
 
 
 def cost_rollup(spark: SparkSession, d: str) -> DataFrame:
@@ -252,7 +252,9 @@ def model_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def run_latest(spark: SparkSession, d: str) -> DataFrame:
-    return usage.latest(_log(spark, d), "user_id", ["ts", "event_id"], "event_type")
+    out = usage.latest(_log(spark, d), "user_id", ["ts", "event_id"], "event_type")
+    shown = lambda c: F.date_format(c, "yyyy-MM-dd HH:mm:ss").alias(c)
+    return out.select("user_id", shown("started_at"), shown("updated_at"), "status", "updates")
 
 
 def stage_budget(spark: SparkSession, d: str) -> DataFrame:
@@ -334,12 +336,12 @@ ORACLE_SQL = {
     "components": _COMPONENTS,
     "key_overlap_join": "WITH p AS (SELECT p_partkey, unnest(['k' || (p_partkey % 50), 's' || p_size]) AS k FROM part), s AS (SELECT s_suppkey, unnest(['k' || s_suppkey, 's' || s_nationkey]) AS k FROM supplier) SELECT p_partkey, s_suppkey, count(*) AS shared FROM p JOIN s USING (k) GROUP BY 1, 2",
     "topic_clusters": "WITH t AS (SELECT unnest(['gear', 'bolt', 'ring', 'economy', 'blue']) AS topic) SELECT coalesce(topic, 'General') AS topic, count(*) AS parts, min(p_partkey) AS first FROM part LEFT JOIN t ON contains(lower(concat_ws(' ', p_name, p_type)), topic) GROUP BY 1",
-    "cutoff_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders WHERE o_orderdate IS NULL OR CAST(o_orderdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) - 7 FROM orders)",
-    "publication_dates": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN make_date(year(o_orderdate), month(o_orderdate), 28) WHEN 2 THEN make_date(year(o_orderdate), 12, 31) WHEN 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END AS published FROM orders",
-    "parse_event_props": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, min(CAST(ts AS DATE)) AS first_day FROM events GROUP BY 1",
+    "cutoff_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE o_orderdate IS NULL OR CAST(o_orderdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) - 7 FROM orders)",
+    "publication_dates": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN make_date(year(o_orderdate), month(o_orderdate), 28) WHEN 2 THEN make_date(year(o_orderdate), 12, 31) WHEN 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END::VARCHAR AS published FROM orders",
+    "parse_event_props": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, min(CAST(ts AS DATE))::VARCHAR AS first_day FROM events GROUP BY 1",
     "cost_rollup": "SELECT event_type, user_id % 10 AS job, count(*) AS calls, round(sum(value), 4) AS elapsed, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY ROLLUP (event_type, user_id % 10)",
     "llm_usage": "SELECT 'm' || (user_id % 3) AS model, count(*) AS calls, sum(greatest(1, floor(value))::BIGINT)::BIGINT AS tokens, round(sum(value), 4) AS elapsed FROM events GROUP BY 1",
-    "run_latest": "SELECT user_id, min(ts) AS started_at, max(ts) AS updated_at, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS updates FROM events GROUP BY 1",
+    "run_latest": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS updates FROM events GROUP BY 1",
     "stage_budget": "SELECT stage, count(*) AS calls, round(sum(value), 4) AS elapsed FROM (SELECT value, unnest(CASE event_type WHEN 'view' THEN ['retrieval'] WHEN 'click' THEN ['retrieval', 'evidence'] WHEN 'purchase' THEN ['synthesis'] ELSE ['other'] END) AS stage FROM events) GROUP BY 1",
     "provider_health": "WITH r AS (SELECT user_id % 20 AS provider, event_id, count(*) FILTER (event_type = 'signup') OVER w AS limits, count(*) FILTER (event_type = 'error') OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 20 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT provider, max(limits) AS limits, max(errors) AS errors, min(event_id) FILTER (limits >= 30 OR errors >= 40) AS any_blocked, count(*) FILTER (limits >= 30 OR errors >= 40) AS blocked_events FROM r GROUP BY 1",
     "budget_reserve": "WITH r AS (SELECT user_id % 20 AS provider, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM events) SELECT provider, count(*) FILTER (used <= 500000) AS allowed, max(used) AS used FROM r GROUP BY 1",

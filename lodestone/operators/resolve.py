@@ -29,25 +29,26 @@ def merged(rows: DataFrame, key: Column, order: str, absorb: Sequence[str] = (),
     return rows.groupBy(key.alias("key")).agg(F.min(order).alias(order), *fields, F.count("*").alias("merged"))
 
 
-def components(edges: DataFrame, cut: Cut | None = None, most_rounds: int = 40) -> DataFrame:
-    """node, component (smallest node reachable) for edges (a, b): labels spread to neighbours and jump until nothing moves.
+def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
+    """node, component (smallest node reachable) for edges (a, b): labels spread to neighbours and to the nodes they name, and jump, until nothing moves.
 
-    Every round is one aggregation and two joins; cut materialises it (checkpoint() in the shared folder by default).
+    Labels only fall, so this ends. Every round is two aggregations and four joins; cut materialises it (checkpoint() in the shared folder by default).
     """
     cut = cut or (lambda df: df.checkpoint())
     both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
     both = cut(both)
     labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    for _ in range(most_rounds):
+    done = False
+    while not done:
         near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        hooked = labels.join(near, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
+        met = labels.join(near, "node", "left")
+        told = met.select("node", "near").union(met.select("label", "near")).groupBy("node").agg(F.min("near").alias("near"))
+        hooked = labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
         jump = hooked.select(F.col("node").alias("_of"), F.col("next").alias("_to"))
         moved = hooked.join(jump, F.col("next") == F.col("_of"), "left").select("node", "label", F.least("next", F.coalesce("_to", "next")).alias("next"))
         moved = cut(moved)
         done = moved.filter("next <> label").isEmpty()
         labels = moved.select("node", F.col("next").alias("label"))
-        if done:
-            break
     return labels.select("node", F.col("label").alias("component"))
 
 

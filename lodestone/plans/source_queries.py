@@ -67,11 +67,11 @@ def admitted_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """Order lines as records: equal part and quantity, or equal supplier and price, are one entity."""
-    rows = table(spark, d, "lineitem").filter("l_discount = 0.10 AND l_tax = 0.0").select(
+    """All order lines as records: equal part and return flag, or equal supplier and quantity, are one entity."""
+    rows = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
         F.concat_ws("|", "l_partkey", "l_returnflag").alias("doi"),
-        F.when(F.col("l_quantity") > 45, F.concat_ws("|", "l_suppkey", "l_quantity")).alias("arxiv_id"),
+        F.concat_ws("|", "l_suppkey", "l_quantity").alias("arxiv_id"),
     )
     return resolve.resolve_entities(rows, ["doi", "arxiv_id"], "pos").groupBy("entity").agg(F.count("*").alias("records"))
 

@@ -200,9 +200,8 @@ def link_prior(spark: SparkSession, d: str) -> DataFrame:
 
 
 def components(spark: SparkSession, d: str) -> DataFrame:
-    """Components of parts and suppliers linked by large order lines."""
-    lines = table(spark, d, "lineitem").filter("l_quantity = 50")
-    edges = lines.select((F.col("l_partkey") * 2).alias("a"), (F.col("l_orderkey") * 2 + 1).alias("b"))
+    """Components of parts and orders linked by order lines."""
+    edges = table(spark, d, "lineitem").select((F.col("l_partkey") * 2).alias("a"), (F.col("l_orderkey") * 2 + 1).alias("b"))
     return resolve.components(edges)
 
 

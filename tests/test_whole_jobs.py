@@ -49,3 +49,8 @@ def test_entity_resolution_links_every_line(spark, tmp_path):
     want = Counter(union_find(pairs).values())
     assert 1 < len(want) < len(rows)
     assert {r.entity: r.records for r in catalogue.QUERIES["entity_resolution"](spark, str(tmp_path)).collect()} == want
+
+
+def test_components_link_every_line(spark, tmp_path):
+    want = union_find((part * 2, order * 2 + 1) for order, _, part, *_ in write_lines(spark, tmp_path))
+    assert {r.node: r.component for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()} == want

@@ -1,13 +1,17 @@
-"""Vector search by exact inner products. Queries are a stated, small set; candidates stay distributed."""
+"""Vector search by exact inner products, in cells of query and candidate blocks."""
 
 from __future__ import annotations
 
+from math import ceil
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.operators.search import ranked
 
-MOST_QUERIES = 10_000
+QUERY_BLOCK, BLOCK, STEP = 4096, 8192, 64
 
 
 def inner(a: Column, b: Column) -> Column:
@@ -21,18 +25,51 @@ def cosine(a: Column, b: Column) -> Column:
 def similar(queries: DataFrame, candidates: DataFrame, k: int, least: float | None = None, digits: int = 6) -> DataFrame:
     """query_id, rank, vec_id, score: the k best candidates (vec_id, embedding) of each query (query_id, embedding), but itself.
 
-    Queries are broadcast behind a check of their number; more of them need blocks (exact top-k search does that).
+    Cells of a block of queries and a block of candidates each keep their k best of every query; these are merged.
+    Vectors have one length; a score with a null or shorter vector is null and comes last.
     """
-    if (n := queries.limit(MOST_QUERIES + 1).count()) > MOST_QUERIES:
-        raise ValueError(f"more than {MOST_QUERIES} queries ({n}); search in blocks")
-    asked = F.broadcast(queries.select("query_id", F.col("embedding").alias("asked")))
-    pairs = candidates.join(asked, F.col("vec_id") != F.col("query_id"))
-    scored = pairs.select("query_id", "vec_id", F.round(inner(F.col("asked"), F.col("embedding")), digits).alias("score"))
-    if least is not None:
-        scored = scored.filter(F.col("score") >= least)
+    queries = queries.filter("query_id IS NOT NULL").select("query_id", F.col("embedding").alias("asked"))
+    candidates = candidates.filter("vec_id IS NOT NULL").select("vec_id", "embedding")
+    blocks, others = (max(1, ceil(df.count() / n)) for df, n in ((queries, QUERY_BLOCK), (candidates, BLOCK)))
+
+    def dealt(rows: DataFrame, key: str, own: str, blocks: int, other: str, others: int) -> DataFrame:
+        rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
+        return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("i", "j")
+
+    def best(q: pa.Table, c: pa.Table) -> pa.Table:
+        c = c.sort_by("vec_id")
+        names, ids = (t.column(n).to_numpy() for t, n in ((q, "query_id"), (c, "vec_id")))
+        x, y = _matrices(q.column("asked"), c.column("embedding"))
+        found: list[tuple[np.ndarray, ...]] = [(names[:0], ids[:0], np.zeros(0))]
+        for first in range(0, len(names), STEP):
+            part = x[first : first + STEP]
+            sums = np.zeros((len(part), len(ids)))
+            for n in range(x.shape[1]):  # in the order of inner(), so that sums are the same
+                sums += part[:, n, None] * y[None, :, n]
+            rounded = np.copysign(np.floor(np.abs(sums) * 10**digits + 0.5) / 10**digits, sums)
+            for row, name in enumerate(names[first : first + STEP]):
+                own = np.flatnonzero(ids != name)
+                if least is not None:
+                    own = own[rounded[row, own] >= least]
+                own = own[np.argsort(-rounded[row, own], kind="stable")[:k]]
+                found.append((np.full(len(own), name, names.dtype), ids[own], sums[row, own]))
+        out = [np.concatenate(part) for part in zip(*found, strict=True)]
+        return pa.table({"query_id": out[0], "vec_id": out[1], "score": pa.array(out[2], from_pandas=True)})
+
+    kinds = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(candidates.dtypes)['vec_id']}, score double"
+    cells = dealt(queries, "query_id", "i", blocks, "j", others).cogroup(dealt(candidates, "vec_id", "j", others, "i", blocks))
+    scored = cells.applyInArrow(best, kinds).select("query_id", "vec_id", F.round("score", digits).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
+def _matrices(*columns: pa.ChunkedArray) -> list[np.ndarray]:
+    """Rows of equal length; those of null or shorter vectors are NaN."""
+    rows = [c.to_pylist() for c in columns]
+    width = max((len(v) for part in rows for v in part if v is not None), default=0)
+    whole = lambda v: v if v is not None and len(v) == width and None not in v else [np.nan] * width
+    return [np.array([whole(v) for v in part], np.float64).reshape(len(part), width) for part in rows]
+
+
 def summed(hits: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     """Scores of several queries added up per key."""
     total = hits.groupBy(*by, key).agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("hits"))

@@ -3,7 +3,10 @@
 from collections import Counter
 from random import Random
 
-from lodestone.operators import resolve
+import pytest
+from helpers import DATA
+
+from lodestone.operators import resolve, vectors
 from lodestone.plans import catalogue
 
 
@@ -54,3 +57,30 @@ def test_entity_resolution_links_every_line(spark, tmp_path):
 def test_components_link_every_line(spark, tmp_path):
     want = union_find((part * 2, order * 2 + 1) for order, _, part, *_ in write_lines(spark, tmp_path))
     assert {r.node: r.component for r in catalogue.QUERIES["components"](spark, str(tmp_path)).collect()} == want
+
+
+def nearest(rows, k):
+    """query_id, vec_id, score, rank by brute force for ids divisible by 50."""
+    out = set()
+    for q, x in rows:
+        if q % 50 == 0:
+            scores = sorted((-round(sum(a * b for a, b in zip(x, y, strict=True)), 6), v) for v, y in rows if v != q)
+            out |= {(q, v, -s, n + 1) for n, (s, v) in enumerate(scores[:k])}
+    return out
+
+
+@pytest.mark.parametrize("sizes", [(4096, 8192), (3, 70)])
+def test_vectors_of_every_fiftieth_row(spark, monkeypatch, sizes):
+    monkeypatch.setattr(vectors, "QUERY_BLOCK", sizes[0])
+    monkeypatch.setattr(vectors, "BLOCK", sizes[1])
+    rows = [(r.vec_id, r.embedding) for r in spark.read.parquet(f"{DATA}/embeddings.parquet").collect()]
+    got = {(r.query_id, r.vec_id, r.score, r.rank) for r in catalogue.QUERIES["vector_topk"](spark, DATA).collect()}
+    assert got == nearest(rows, 5)
+    asked = {r.query_id for r in catalogue.QUERIES["vector_recall_at_k"](spark, DATA).collect()}
+    assert asked == {v for v, _ in rows if v % 50 == 0}
+
+
+def test_vectors_of_missing_values_come_last(spark):
+    rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.5, 1.0])], "vec_id long, embedding array<float>")
+    got = vectors.similar(rows.filter("vec_id = 1").withColumnRenamed("vec_id", "query_id"), rows, 5).orderBy("rank").collect()
+    assert [(r.vec_id, r.score) for r in got] == [(3, 0.5), (2, None)]

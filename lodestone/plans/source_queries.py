@@ -97,7 +97,7 @@ def rows_only_jsonrepair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows_only_seqmatch(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", F.substring(T.first_line(F.col("text")), 1, 80).alias("title"))
+    docs = table(spark, d, "documents").select("doc_id", "lang", T.first_line(F.col("text")).alias("title"))
     pairs = ranked(docs, ["lang"], ["doc_id"])
     other = pairs.select("lang", (F.col("rank") + 1).alias("rank"), F.col("title").alias("before"))
     return pairs.join(other, ["lang", "rank"]).select("doc_id", F.round(repair.title_similarity(F.col("title"), F.col("before")), 6).alias("similarity"))

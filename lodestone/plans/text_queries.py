@@ -16,7 +16,7 @@ TOPIC_STOP = "(" + ", ".join(f"'{w}'" for w in T.TOPIC_STOPWORDS) + ")"
 
 
 def normalize_title(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", T.title_key(F.substring("text", 1, 200)).alias("title"))
+    return table(spark, d, "documents").select("doc_id", T.title_key(F.col("text")).alias("title"))
 
 
 def letters(spark: SparkSession, d: str) -> DataFrame:

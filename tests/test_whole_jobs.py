@@ -1,11 +1,14 @@
 """Queries take every row and the whole of each text: held against brute force on small tables."""
 
+import re
 from collections import Counter
 from random import Random
 
 import pytest
 from helpers import DATA
+from pyspark.sql import functions as F
 
+from lodestone.functions import repair
 from lodestone.operators import resolve, vectors
 from lodestone.plans import catalogue
 
@@ -84,3 +87,15 @@ def test_vectors_of_missing_values_come_last(spark):
     rows = spark.createDataFrame([(1, [1.0, 0.0]), (2, None), (3, [0.5, 1.0])], "vec_id long, embedding array<float>")
     got = vectors.similar(rows.filter("vec_id = 1").withColumnRenamed("vec_id", "query_id"), rows, 5).orderBy("rank").collect()
     assert [(r.vec_id, r.score) for r in got] == [(3, 0.5), (2, None)]
+
+
+def test_titles_are_normalised_and_compared_whole(spark, tmp_path):
+    same = "a b c d e f g h i j " * 30
+    rows = [(1, "en", same + "First tail\nx"), (2, "en", same + "wholly other words, 12345 and 67890 " * 30 + "\ny")]
+    spark.createDataFrame(rows, "doc_id long, lang string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    titles = {r.doc_id: r.title for r in catalogue.QUERIES["normalize_title"](spark, str(tmp_path)).collect()}
+    assert titles == {k: " ".join(re.findall("[a-z0-9]+", text.lower())) for k, _, text in rows}
+    first, second = (text.split("\n")[0] for _, _, text in rows)
+    want = spark.createDataFrame([(second, first)], "a string, b string").select(repair.title_similarity(F.col("a"), F.col("b"))).first()[0]
+    got = catalogue.QUERIES["rows_only_seqmatch"](spark, str(tmp_path)).collect()
+    assert [(r.doc_id, r.similarity) for r in got] == [(2, round(want, 6))] and want < 0.9

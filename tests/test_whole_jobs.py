@@ -99,3 +99,17 @@ def test_titles_are_normalised_and_compared_whole(spark, tmp_path):
     want = spark.createDataFrame([(second, first)], "a string, b string").select(repair.title_similarity(F.col("a"), F.col("b"))).first()[0]
     got = catalogue.QUERIES["rows_only_seqmatch"](spark, str(tmp_path)).collect()
     assert [(r.doc_id, r.similarity) for r in got] == [(2, round(want, 6))] and want < 0.9
+
+
+def test_passages_are_planned_and_searched_whole(spark, tmp_path):
+    words = [f"word{k}" for k in range(12)]
+    texts = [(4, " ".join(words) + " survey of retrieval augmented generation"), (9, "x " * 20 + "dataset")]
+    spark.createDataFrame(texts, "item_id long, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    docs = [(1, words[11]), (2, " ".join(words[:6])), (3, " ".join(words)), *((k, f"other text {k}") for k in range(4, 12))]
+    spark.createDataFrame(docs, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    run = lambda name: catalogue.QUERIES[name](spark, str(tmp_path)).collect()
+    plans = {r.item_id: r for r in run("query_plans")}
+    assert plans[4].query_type == "survey" and "retrieval augmented generation" in plans[4].methods and plans[9].query_type == "dataset_constraint"
+    assert {r.query_type: r.queries for r in run("query_types")} == {"survey": 1, "dataset_constraint": 1}
+    assert {r.doc_id: r.phase for r in run("two_phase_search") if r.item_id == 4} == {1: 1, 2: 1, 3: 0}
+    assert {r.doc_id for r in run("bm25_fields") if r.item_id == 4} == {1, 2, 3}

@@ -54,7 +54,7 @@ def recommend(spark: SparkSession, d: str) -> DataFrame:
 
 QUERIES = {"query_plans": query_plans, "routed_searches": routed_searches, "query_types": query_types, "recommend": recommend}
 ORACLE_SQL = {
-    "query_types": """WITH q AS (SELECT item_id % 5 AS m, ['Find papers on ', 'A survey of ', 'compare ', 'latest work on LLM ', ''][item_id % 5 + 1] || array_to_string(list_slice(regexp_split_to_array(text, '\\s+'), 1, 12), ' ') AS q FROM benchmark),
+    "query_types": """WITH q AS (SELECT item_id % 5 AS m, ['Find papers on ', 'A survey of ', 'compare ', 'latest work on LLM ', ''][item_id % 5 + 1] || array_to_string(regexp_split_to_array(text, '\\s+'), ' ') AS q FROM benchmark),
 t AS (SELECT lower(q) AS q, q AS raw FROM q) SELECT CASE WHEN regexp_matches(q, 'survey|review') THEN 'survey' WHEN regexp_matches(q, 'comparison|compare') THEN 'method_comparison' WHEN regexp_matches(q, 'dataset|bench|eval') THEN 'dataset_constraint'
   WHEN regexp_matches(q, 'latest|recent|newest') THEN 'latest_work' WHEN regexp_matches(q, 'author|et al|written by|published by') AND len(list_filter(regexp_split_to_array(raw, '\\s+'), lambda w: len(w) > 4)) >= 5 THEN 'specific_paper'
   WHEN contains(q, 'papers on') THEN 'broad_topic' ELSE 'unknown' END AS query_type, count(*) AS queries FROM t GROUP BY 1""",

@@ -58,7 +58,7 @@ def vector_recall(spark: SparkSession, d: str) -> DataFrame:
 
 
 VEC_SQL = """v AS (SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS e FROM embeddings),
-s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 6) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id < 10),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, round(list_sum(list_transform(range(1, len(q.e) + 1), lambda i: q.e[i] * c.e[i])), 6) AS score FROM v q JOIN v c ON c.vec_id <> q.vec_id WHERE q.vec_id % 50 = 0),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM s)"""
 
 
@@ -312,10 +312,6 @@ _COMPOSED = f"""WITH gp AS ({_GAP12}), dp AS ({_DROP12}), b AS (SELECT o_custkey
 e AS ({_EXPECTED.replace("least(n, 20, CASE", "least(n, (SELECT bound FROM b WHERE b.o_custkey = a.o_custkey), CASE")})
 SELECT o_custkey, least(12, n, greatest(bound, 5))::BIGINT AS fallback_k, greatest(1, least(bound, k))::BIGINT AS model_k FROM b JOIN cnt USING (o_custkey) JOIN e USING (o_custkey)"""
 _TOP = f"WITH {EDGES_SQL}, top AS (SELECT p_partkey AS node FROM part_stats ORDER BY citations DESC, p_partkey LIMIT 200)"
-_COMPONENTS = """WITH RECURSIVE e AS (SELECT DISTINCT l_partkey * 2 AS a, l_orderkey * 2 + 1 AS b FROM lineitem WHERE l_quantity = 50), sym AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS reach FROM sym UNION SELECT r.node, sym.b FROM r JOIN sym ON sym.a = r.reach)
-SELECT node, min(reach) AS component FROM r GROUP BY 1"""
-
 ORACLE_SQL = {
     "rrf_fusion": f"WITH {RRF_SQL} " + _RRF.format("1.0::DOUBLE", ""),
     "rrf_weighted": f"WITH {RRF_SQL} " + _RRF.format("CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 1.5 END::DOUBLE", "WHERE l_returnflag <> 'R'"),
@@ -332,7 +328,6 @@ ORACLE_SQL = {
     "refchain_expand": f"WITH {EDGES_SQL} SELECT source AS seed, target, route, p AS position FROM (SELECT *, row_number() OVER (PARTITION BY source, route ORDER BY position, target) AS p FROM edges JOIN seeds ON seed = source) WHERE p <= 10",
     "induced_graph": f"{_TOP} SELECT DISTINCT source, target FROM one WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top)",
     "link_prior": f"{_TOP} SELECT node, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source = node AND target IN (SELECT node FROM top)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prior FROM top",
-    "components": _COMPONENTS,
     "key_overlap_join": "WITH p AS (SELECT p_partkey, unnest(['k' || (p_partkey % 50), 's' || p_size]) AS k FROM part), s AS (SELECT s_suppkey, unnest(['k' || s_suppkey, 's' || s_nationkey]) AS k FROM supplier) SELECT p_partkey, s_suppkey, count(*) AS shared FROM p JOIN s USING (k) GROUP BY 1, 2",
     "topic_clusters": "WITH t AS (SELECT unnest(['gear', 'bolt', 'ring', 'economy', 'blue']) AS topic) SELECT coalesce(topic, 'General') AS topic, count(*) AS parts, min(p_partkey) AS first FROM part LEFT JOIN t ON contains(lower(concat_ws(' ', p_name, p_type)), topic) GROUP BY 1",
     "cutoff_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE o_orderdate IS NULL OR CAST(o_orderdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) - 7 FROM orders)",

@@ -76,13 +76,6 @@ def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
     return resolve.resolve_entities(rows, ["doi", "arxiv_id"], "pos").groupBy("entity").agg(F.count("*").alias("records"))
 
 
-ENTITY_SQL = """WITH RECURSIVE x AS (SELECT l_orderkey * 10 + l_linenumber AS pos, 'd' || l_partkey || '|' || l_returnflag AS k1, CASE WHEN l_quantity > 45 THEN 'a' || l_suppkey || '|' || l_quantity END AS k2 FROM lineitem WHERE l_discount = 0.10 AND l_tax = 0.0),
-k AS (SELECT pos, k1 AS k FROM x UNION SELECT pos, k2 FROM x WHERE k2 IS NOT NULL), h AS (SELECT k, min(pos) AS b FROM k GROUP BY 1),
-e AS (SELECT pos AS a, b FROM k JOIN h USING (k)), s AS (SELECT a, b FROM e UNION SELECT b, a FROM e),
-r AS (SELECT a AS node, a AS reach FROM s UNION SELECT r.node, s.b FROM r JOIN s ON s.a = r.reach)
-SELECT entity, count(*) AS records FROM (SELECT node, min(reach) AS entity FROM r GROUP BY 1) GROUP BY 1"""
-
-
 def health_replay(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events")
     kind = F.when(F.col("event_type") == "error", "timeout").when(F.col("event_type") == "signup", "server_error").otherwise("success")
@@ -123,5 +116,4 @@ ORACLE_SQL = {
     "noise_drop": "WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AS noise, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY round(o_totalprice)::BIGINT, o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE NOT (noise AND nth <= n // 5)",
     "selection_budgets": "SELECT o_custkey, least([40, 65, 50, 45][o_custkey % 4 + 1], count(*) * 5)::BIGINT AS budget FROM orders GROUP BY 1",
     "admitted_queries": "WITH r(route, provider, cap) AS (VALUES ('R', 'arxiv', 2), ('A', 'arxiv', 2), ('N', 'pubmed', 3)), x AS (SELECT provider, cap, row_number() OVER (PARTITION BY l_orderkey, provider ORDER BY l_linenumber) AS nth FROM lineitem JOIN r ON route = l_returnflag) SELECT provider, count(*) AS admitted FROM x WHERE nth <= cap GROUP BY 1",
-    "entity_resolution": ENTITY_SQL,
 }

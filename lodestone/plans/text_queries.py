@@ -258,8 +258,7 @@ si AS (SELECT token, greatest(1e-6, ln(((SELECT count(*) FROM m) - count(*) + 0.
 sh AS (SELECT agent, conv_id, turn, m.msg, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / (SELECT avg(len(w)) FROM m)))), 6) AS score
   FROM m JOIN st USING (msg) JOIN si USING (token) GROUP BY ALL)"""
 
-SHORT_BM25_SQL = BM25_SQL.replace("1, 12)", "1, 3)")
-FIELDS_SQL = f"""WITH {BM25_SQL.replace("1, 12)", "1, 6)")},
+FIELDS_SQL = f"""WITH {BM25_SQL},
 ft AS (SELECT doc_id, token, sum(w) AS tf FROM (SELECT doc_id, token, 0.35 AS w FROM toks UNION ALL
   SELECT doc_id, unnest(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')), 1.0 FROM documents) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2),
 fl AS (SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) + len(regexp_extract_all(lower(split_part(text, chr(10), 1)), '[a-z0-9]+')) AS len FROM documents),
@@ -287,7 +286,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
-    "normalize_title": "SELECT doc_id, nullif(trim(regexp_replace(lower(substring(text, 1, 200)), '[^a-z0-9]+', ' ', 'g')), '') AS title FROM documents",
+    "normalize_title": "SELECT doc_id, nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), '') AS title FROM documents",
     "keep_letters_key": "SELECT doc_id, md5(lower(regexp_replace(text, '[^\\p{L}]', '', 'g'))) AS key FROM documents",
     "normalize_url": "SELECT page_id, regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(lower(trim(url)), '#.*$', ''), '^https?://', ''), '^www\\.', ''), 'utm_[a-z]+=[^&]*&?', '', 'g'), '[?&]$', ''), '/$', '') AS url FROM pages",
     "html_title_extract": "SELECT page_id, trim(regexp_extract(html, '(?is)<title>(.*?)</title>', 1)) AS title FROM pages",
@@ -298,7 +297,7 @@ ORACLE_SQL = {
     "bm25_topk": f"WITH {BM25_SQL} SELECT item_id, doc_id, score, rank FROM bmr WHERE rank <= 5",
     "title_tf_topk": f"WITH {TITLE_SQL} SELECT item_id, doc_id, score, rank FROM tr WHERE rank <= 5",
     "hybrid_search": f"WITH {BM25_SQL}, {TITLE_SQL}, f AS (SELECT item_id, doc_id, round(sum(w / (60 + rank - 1)), 9) AS score FROM (SELECT item_id, doc_id, rank, 1.5::DOUBLE AS w FROM bmr WHERE rank <= 50 UNION ALL SELECT item_id, doc_id, rank, 1.0 FROM tr WHERE rank <= 50) GROUP BY 1, 2), r AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id) AS rank FROM f) SELECT item_id, doc_id, score, rank FROM r WHERE rank <= 10",
-    "two_phase_search": f"WITH {SHORT_BM25_SQL}, w AS (SELECT item_id, count(*) AS wanted FROM qt GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS held FROM qt JOIN tf USING (token) GROUP BY 1, 2), r AS (SELECT item_id, doc_id, CASE WHEN held = wanted THEN 0 ELSE 1 END::BIGINT AS phase, score FROM bm JOIN h USING (item_id, doc_id) JOIN w USING (item_id)), x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, score DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, phase, score, rank FROM x WHERE rank <= 20",
+    "two_phase_search": f"WITH {BM25_SQL}, w AS (SELECT item_id, count(*) AS wanted FROM qt GROUP BY 1), h AS (SELECT item_id, doc_id, count(*) AS held FROM qt JOIN tf USING (token) GROUP BY 1, 2), r AS (SELECT item_id, doc_id, CASE WHEN held = wanted THEN 0 ELSE 1 END::BIGINT AS phase, score FROM bm JOIN h USING (item_id, doc_id) JOIN w USING (item_id)), x AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY phase, score DESC, doc_id) AS rank FROM r) SELECT item_id, doc_id, phase, score, rank FROM x WHERE rank <= 20",
     "bm25_fields": FIELDS_SQL,
     "dedupe_exact": "SELECT md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ''), '')) AS key, min(doc_id) AS doc_id, count(*) AS copies FROM documents GROUP BY 1",
     "dedupe_merge": "SELECT md5(coalesce(nullif(trim(regexp_replace(lower(text), '[^a-z0-9]+', ' ', 'g')), ''), '')) AS key, min(doc_id) AS doc_id, max(n_chars) AS n_chars, array_to_string(list_sort(list(DISTINCT source) FILTER (source IS NOT NULL)), ',') AS sources, arg_min(lang, doc_id) AS lang, count(*) AS merged FROM documents GROUP BY 1",

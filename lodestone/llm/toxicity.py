@@ -4,7 +4,8 @@ Categories are predicted in a fixed order by logistic models over hashed words;
 logits of the categories before it. For training, those earlier probabilities are out of fold: each labelled row gets
 them from models that were fitted without its fold. Words are runs of letters (a-z after lower-casing, and all bytes
 above 127). A category's model uses the FEATURES words with the largest chi-square against its label, and is fitted by
-Newton steps with a ridge.
+Newton steps with a ridge. The labelled sample's words are counted by the executors, and only the CANDIDATES words of each
+category with the largest chi-square over the whole sample come to the driver, with the rows' hits among them.
 """
 
 from __future__ import annotations
@@ -17,12 +18,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialize, table
 from lodestone.llm.wordhash import text_slices, words
 
 CATEGORIES = ("quality", "toxic")
 TRAINING_ROWS = 8_000  # labelled rows used for fitting, those with the smallest hash of doc_id
-FEATURES, FOLDS, RIDGE, LEAST_DOCS = 128, 5, 0.1, 2
+FEATURES, CANDIDATES, FOLDS, RIDGE, LEAST_DOCS = 128, 4096, 5, 0.1, 2
 THRESHOLD = 0.3  # on held-out labels: recall 0.98 with no clean document above it
 _LETTERS = np.full(256, 0x20, np.uint8)
 _LETTERS[97:123] = np.arange(97, 123)
@@ -109,21 +110,51 @@ def letter_words(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray
 def train(docs: DataFrame, labels: DataFrame, categories: Sequence[str] = CATEGORIES, rows: int = TRAINING_ROWS) -> list[Link]:
     """The chain from docs (doc_id, text) and labels (doc_id and one 0/1 column a category, null where unknown).
 
-    The labelled sample is bounded by `rows`, so it may be broadcast and its hashed words come to the driver.
+    The sample is at most `rows` labelled documents, those with the smallest hash of doc_id, then doc_id, then words, so
+    it is the same on every run. What comes to the driver is bounded by rows and CANDIDATES, however long texts are.
     """
     known = labels.select("doc_id", *[F.col(c).cast("double").alias(f"y{k}") for k, c in enumerate(categories)]).filter("doc_id IS NOT NULL")
     sample = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(rows)
-    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")
+    joined = docs.select("doc_id", "text").join(F.broadcast(sample), "doc_id")  # at most `rows` ids and labels
+    ys = [f"y{k}" for k in range(len(categories))]
 
     def features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            found = []
+            found: list[bytes] = []
             for _, hashes, offsets in letter_words(batch.column(1)):
                 found += [np.unique(hashes[a:b]).tobytes() for a, b in zip(offsets[:-1], offsets[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], ["doc_id", "words", *batch.schema.names[2:]])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.binary()), *batch.columns[2:]], ["doc_id", "words", *ys])
 
-    ys = ", ".join(f"y{k} double" for k in range(len(categories)))
-    got = joined.mapInArrow(features, f"doc_id long, words binary, {ys}").limit(4 * rows).collect()
+    held = joined.mapInArrow(features, f"doc_id long, words binary, {', '.join(f'{y} double' for y in ys)}")
+    held = held.orderBy(F.xxhash64("doc_id"), "doc_id", F.sha2("words", 256)).limit(rows)
+    held = materialize(held.repartition(max(1, rows // 500)), "labelled")
+
+    def words_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                found = np.frombuffer(batch.column(1)[row].as_py(), np.int64)
+                for at in range(0, len(found), 1 << 16):
+                    part = found[at : at + (1 << 16)]
+                    yield pa.RecordBatch.from_arrays([pa.array(part), *(pa.repeat(c[row], len(part)) for c in batch.columns[2:])], ["word", *ys])
+
+    totals = held.agg(*[F.count(y).alias(f"n{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(f"p{y}") for y in ys]).first()
+    counted = held.mapInArrow(words_of, f"word long, {', '.join(f'{y} double' for y in ys)}").groupBy("word")
+    counted = materialize(counted.agg(*[F.count(y).alias(f"n{y}") for y in ys], *[F.coalesce(F.sum(y), F.lit(0)).alias(f"p{y}") for y in ys]), "counted")
+    chosen: set[int] = set()
+    for y in ys:
+        n, p, df, a = float(totals[f"n{y}"]), float(totals[f"p{y}"]), F.col(f"n{y}"), F.col(f"p{y}")
+        off = F.abs(a * n - df * p)  # ad - bc
+        chi = n * F.pow(off - F.least(F.lit(n / 2), off), F.lit(2.0)) / F.greatest(df * (n - df) * p * (n - p), F.lit(1e-9))
+        best = counted.filter(df >= LEAST_DOCS).orderBy(F.desc(chi), "word").limit(CANDIDATES).select("word").collect()
+        chosen |= {r.word for r in best}
+    every = np.sort(np.array(sorted(chosen), np.int64).view(np.uint64))
+
+    def within(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            kept = [np.intersect1d(np.frombuffer(w, np.uint64), every, assume_unique=True).tobytes() for w in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(kept, pa.binary()), *batch.columns[2:]], batch.schema.names)
+
+    got = held.mapInArrow(within, held.schema).collect()  # at most rows times the candidate words
     got.sort(key=lambda r: (r.doc_id, bytes(r.words)))
     sets = [np.frombuffer(r.words, np.uint64) for r in got]
     offsets = np.concatenate(([0], np.cumsum([len(s) for s in sets]))).astype(np.int64)

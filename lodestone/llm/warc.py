@@ -6,7 +6,9 @@ only files that finished tasks report are read.
 
 Reading: files are cut into byte ranges. A task looks for gzip magic in its range, takes a candidate for a member
 only if it inflates to a WARC version line and header block (and, at the first, if what follows it is the file's end
-or another such member), and owns the records whose members start inside its range; the last may end beyond it.
+or another such member), and owns the records whose members start inside its range; the last may end beyond it. A damaged or cut
+member is an error, not a gap: members must follow one another to the file's end, and the records read are counted
+against those written.
 """
 
 from __future__ import annotations
@@ -85,6 +87,10 @@ def write_warc(pages: DataFrame, folder: str, least: int = LEAST_REVISIT) -> Dat
     return materialize(planned(pages, least).mapInArrow(write, "path string, bytes long, records long"), "warc-files")
 
 
+class Damaged(ValueError):
+    """A file whose members don't follow one another to its end."""
+
+
 class Members:
     """Walks the gzip members of a file from a byte position on."""
 
@@ -113,18 +119,33 @@ class Members:
             return None
         return whole, position - len(inflate.unused_data)
 
-    def owned(self, start: int, end: int) -> Iterator[bytes]:
-        position = self.first(start, end)
+    def begins(self, start: int) -> bool:
+        """Whether a member that opens with a WARC version line starts at start; reads its first bytes only."""
+        self.file.seek(start)
+        try:
+            return zlib.decompressobj(31).decompress(self.file.read(1 << 12), 64).startswith(b"WARC/1.")
+        except zlib.error:
+            return False
+
+    def owned(self, start: int, end: int, strict: bool = False) -> Iterator[bytes]:
+        """The members that start in the range. strict: raise Damaged where none follows on the last, or one can't be read."""
+        if strict and start == 0 and self.size and not self.begins(0):
+            raise Damaged("no WARC record at the file's start")
+        position = self.first(start, end, strict)
         while position is not None and position < end:
             found = self.at(position)
             if found is None:
+                if strict:
+                    raise Damaged(f"the record at byte {position} can't be read")
                 position = self.first(position + 1, end)
                 continue
             yield found[0]
             position = found[1]
+            if strict and position < self.size and not self.begins(position):
+                raise Damaged(f"no WARC record at byte {position}")
 
-    def first(self, start: int, end: int) -> int | None:
-        """The first member that starts in the range."""
+    def first(self, start: int, end: int, strict: bool = False) -> int | None:
+        """The first member that starts in the range. strict: raise Damaged if one begins but can't be read to its end."""
         position, tail = start, b""
         while position < end:
             self.file.seek(position)
@@ -133,8 +154,10 @@ class Members:
                 return None
             at = data.find(MAGIC)
             while at >= 0 and position + at < end:
-                found = self.at(position + at)
-                if found and (found[1] >= self.size or self.at(found[1])):
+                found = self.at(position + at) if self.begins(position + at) else None
+                if strict and found is None and self.begins(position + at):
+                    raise Damaged(f"the record at byte {position + at} can't be read")
+                if found and (found[1] >= self.size or self.begins(found[1])):
                     return position + at
                 at = data.find(MAGIC, at + 1)
             position += max(1, len(data) - len(MAGIC) + 1) if position + len(data) < self.size else len(data)
@@ -156,8 +179,11 @@ def parsed(content: bytes) -> tuple:
     return name, url, "response", None, digest, len(payload), payload
 
 
-def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
-    """The records of files (path, bytes), as in RECORDS. A revisit has no payload of its own."""
+def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES, strict: bool = True) -> DataFrame:
+    """The records of files (path, bytes), as in RECORDS. A revisit has no payload of its own.
+
+    A damaged or cut member fails the read; with strict off it is left out and the reader goes on at the next.
+    """
     spark = files.sparkSession
     root = files.select("path", "bytes")
     ranges = root.withColumn("start", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("bytes") - 1, F.lit(0)), F.lit(range_bytes).cast("long"))))
@@ -170,7 +196,7 @@ def read_warc(files: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFrame:
             for path, size, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 with store.open_input_file(path) as file:
                     kept, held = [], 0
-                    for content in Members(file, size).owned(start, min(size, start + range_bytes)):
+                    for content in Members(file, size).owned(start, min(size, start + range_bytes), strict):
                         kept.append(parsed(content))
                         held += len(content)
                         if held >= READ_BYTES * 4:
@@ -197,7 +223,11 @@ def resolved(records: DataFrame) -> DataFrame:
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     files = write_warc(table(spark, sf_dir, "pages"), fresh_path(spark, "warc"))
-    return resolved(materialize(read_warc(files).drop("payload", "url"), "warc-records"))
+    records = materialize(read_warc(files).drop("payload", "url"), "warc-records")
+    written, read = files.agg(F.coalesce(F.sum("records"), F.lit(0))).first()[0], records.count()
+    if written != read:
+        raise Damaged(f"{written} records were written and {read} read")
+    return resolved(records)
 
 
 QUERIES = {"op6_warc": op6_warc}

@@ -16,8 +16,12 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 
 STEP, DEPTH = 25, 8
+DEAL_BITS = 11
+_LOW = np.uint32((1 << DEAL_BITS) - 1)
 
 
 @dataclass
@@ -32,10 +36,14 @@ class Transform:
 
 
 def _dealt(symbols: np.ndarray) -> np.ndarray:
-    """The stable order of symbols (nonzero ranks)."""
-    keys = (symbols.astype(np.uint64) << np.uint64(32)) | np.arange(len(symbols), dtype=np.uint64)
-    keys.sort()
-    return (keys & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    """The stable order of symbols (nonzero ranks), dealt by DEAL_BITS bits at a time; Arrow orders so narrow a range by counting."""
+    rest = symbols.astype(np.uint32)
+    order = np.arange(len(rest), dtype=np.uint64)
+    while True:
+        order = order[pc.array_sort_indices(pa.array((rest & _LOW)[order])).to_numpy()]
+        rest = rest >> np.uint32(DEAL_BITS)
+        if not rest.any():
+            return order.astype(np.int64)
 
 
 def _refined(symbols: np.ndarray, blocks: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -91,8 +99,11 @@ def repeated(grams: np.ndarray, first: np.ndarray, last: np.ndarray, shards: int
     grams: a 64-bit hash of the STEP bytes from each place on; the places of the final STEP - 1 bytes and one more are
     the empty suffixes, so a string of m bytes has m + 1 places here, of which m - STEP + 1 have a gram.
     """
-    _, ranks = np.unique(grams, return_inverse=True)
-    ranks = ranks.astype(np.int64) + 1
+    return repeated_ranks(np.unique(grams, return_inverse=True)[1].astype(np.int64) + 1, first, last, shards)
+
+
+def repeated_ranks(ranks: np.ndarray, first: np.ndarray, last: np.ndarray, shards: int) -> np.ndarray:
+    """The same from the grams' ranks (under 2**32, from 1) in any order of the grams."""
     cuts = np.searchsorted(np.cumsum(last - first), np.linspace(0, (last - first).sum(), shards + 1)[1:-1])
     parts = [p for p in np.split(np.arange(len(first)), cuts) if len(p)]
     level = [transform(ranks, first[p], last[p]) for p in parts]

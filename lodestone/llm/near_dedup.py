@@ -1,11 +1,11 @@
 """Operator 3, MinHash near-dedup with sequential Bayesian verification.
 
-Documents with the same word sequence form a class with one representative (its smallest doc_id). Representatives get
+Documents with the same word sequence (by a 128-bit digest of its bytes) form a class with one representative (its smallest doc_id). Representatives get
 BANDS bands of ROWS minimum hashes over their five-word shingles, which make buckets (a pair at the threshold
 shares none with probability (1 - 0.85**5)**24 < 1e-6). Members of shared buckets get a signature of HASHES further
 minimum hashes. Candidate pairs are compared in batches of signature values: under a uniform prior the posterior of the
 similarity after m matches of n is Beta(m + 1, n - m + 1), and a pair is pruned once its chance of reaching the threshold
-is below MISS. Survivors are verified exactly on their full shingle sets.
+is below MISS. Survivors are verified exactly, on the words of their full shingle sets.
 
 Pairs are taken so that groups of copies never expand into all pairs. In two rounds members meet a pivot: the member of
 their buckets that shares most buckets with most others, then the like member of those not yet linked with it. Last, the pairs
@@ -16,6 +16,7 @@ survivors become rows. Pairs within one component add nothing and are left out.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import ceil, comb
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm.common import WORD, materialize, table
 from lodestone.llm.components import components
-from lodestone.llm.wordhash import distinct, mix64, powers, shingles, text_slices, words
+from lodestone.llm.wordhash import SHINGLE, distinct, mix64, shingles, text_slices, words
 
 PERCENT = 85
 BANDS, ROWS, HASHES, BATCH = 24, 5, 384, 64
@@ -36,7 +37,6 @@ _rng = np.random.Generator(np.random.PCG64(99))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32) | np.uint32(1)
 _SEED = _rng.integers(0, 2**63, BANDS, dtype=np.uint64)
-SALT = 0x5DEECE66D1234567
 
 
 def least_matches(percent: int = PERCENT, miss: float = MISS) -> dict[int, int]:
@@ -69,6 +69,11 @@ def minima(hashes: np.ndarray, offsets: np.ndarray, first: int, last: int) -> np
     return out
 
 
+def word_list(text: bytes) -> list[bytes]:
+    """The words of a text: bytes.lower() touches A-Z only, and bytes.split() cuts at space and \\t..\\r."""
+    return text.lower().split()
+
+
 def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text -> doc_id, k1, k2 (of the word sequence), n_shingles, bands."""
     for batch in batches:
@@ -78,14 +83,11 @@ def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             s, shingle_offsets = shingles(w, word_offsets)
             sets, set_offsets = distinct(s, shingle_offsets)
             full = np.flatnonzero(np.diff(set_offsets))
-            rows = np.repeat(np.arange(n), np.diff(word_offsets))
-            place = powers(int(np.diff(word_offsets).max(initial=0)) + 1)[0][np.arange(len(w)) - word_offsets[rows]] if len(w) else w
             keys = np.zeros((2, n), np.uint64)
+            for row in full.tolist():
+                keys[:, row] = np.frombuffer(blake2b(b" ".join(word_list(data[row_offsets[row] : row_offsets[row + 1]].tobytes())), digest_size=16).digest(), "<u8")
             bands: list[list[int] | None] = [None] * n
             if len(full):
-                starts = word_offsets[full]
-                keys[0, full] = mix64(np.add.reduceat(w * place, starts))
-                keys[1, full] = mix64(np.add.reduceat(mix64(w ^ np.uint64(SALT)) * place, starts) + np.uint64(1))
                 found = minima(sets, np.concatenate((set_offsets[full], [len(sets)])), 0, BANDS * ROWS)
                 parts = found.astype(np.uint64).reshape(len(full), BANDS, ROWS)
                 mixed = np.tile(_SEED, (len(full), 1))
@@ -166,22 +168,19 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PAIR_BYTES)))
             part = batch.slice(at, end - at)
-            sets = [shingle_sets(part.column(k)) for k in (2, 3)]
             good = []
-            for k, (x, y) in enumerate(zip(*sets, strict=True)):
-                both = len(np.intersect1d(x, y, assume_unique=True))
-                if len(x) and len(y) and 100 * both >= PERCENT * (len(x) + len(y) - both):
+            for k, (x, y) in enumerate(zip(*(map(shingle_set, part.column(c).to_pylist()) for c in (2, 3)), strict=True)):
+                both = len(x & y)
+                if x and y and 100 * both >= PERCENT * (len(x) + len(y) - both):
                     good.append(k)
             yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
             at = end
 
 
-def shingle_sets(column: pa.Array) -> list[np.ndarray]:
-    out = []
-    for _, data, offsets in text_slices(column):
-        sets, ends = distinct(*shingles(*words(data, offsets)))
-        out += [sets[a:b] for a, b in zip(ends[:-1], ends[1:], strict=True)]
-    return out
+def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
+    """The shingles of a text, as words."""
+    w = word_list((text or "").encode("utf-8", "surrogatepass"))
+    return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
 
 
 def near_dedup(docs: DataFrame) -> DataFrame:
@@ -225,14 +224,15 @@ def near_dedup(docs: DataFrame) -> DataFrame:
     for last in (False, True):
         labelled = scored.join(labels, "node", "left").select("key", "node", "n", "score", F.coalesce("component", "node").alias("label"))
         labelled = materialize(labelled, "labelled")
-        top = F.max(F.struct("score", "node", "label")).alias("top")
-        mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"), top).filter("low <> high")
-        mixed = materialize(mixed.select("key", "top"), "mixed")
+        best = F.max(F.struct("score", "node")).alias("best")
+        named = materialize(labelled.groupBy("key", "label").agg(best), "named")  # few rows a bucket once copies are linked
+        top = F.max(F.struct("best", "label")).alias("top")
+        mixed = materialize(named.groupBy("key").agg(F.count("*").alias("labels"), top).filter("labels > 1").select("key", "top"), "mixed")
         if mixed.isEmpty():
             break
-        rows = labelled.join(mixed, "key")
         if last:
             blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+            rows = labelled.join(mixed.select("key"), "key")
             dealt = rows.select("key", "node", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
             dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
             dealt = materialize(dealt.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "dealt")
@@ -241,12 +241,12 @@ def near_dedup(docs: DataFrame) -> DataFrame:
             dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
             found = similar(materialize(dealt.groupBy("cell").applyInArrow(prune_cell, "a long, b long"), "survivors"))
         else:
-            rest = rows.filter(F.col("label") != F.col("top.label"))
-            second = materialize(rest.groupBy("key").agg(F.max(F.struct("score", "node", "label")).alias("second")), "second")
+            rest = named.join(mixed, "key").filter(F.col("label") != F.col("top.label"))
+            second = materialize(rest.groupBy("key").agg(F.max(F.struct("best", "label")).alias("second")), "second")
             pairs = labelled.join(second, "key").filter(F.col("label") != F.col("second.label"))
-            found = linked(pairs.select(F.col("node").alias("a"), F.col("second.node").alias("b")).distinct())
-        named = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: E731, B023
-        contracted = found.join(named("a"), "a", "left").join(named("b"), "b", "left")
+            found = linked(pairs.select(F.col("node").alias("a"), F.col("second.best.node").alias("b")).distinct())
+        ends = lambda x: labels.select(F.col("node").alias(x), F.col("component").alias(f"c{x}"))  # noqa: E731, B023
+        contracted = found.join(ends("a"), "a", "left").join(ends("b"), "b", "left")
         contracted = components(contracted.select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b")))
         moved = labels.join(contracted.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left")
         old = moved.select("node", F.coalesce("to", "component").alias("component"))

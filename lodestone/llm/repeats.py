@@ -12,13 +12,16 @@ A passage is LENGTH bytes. Which bytes belong to a passage that starts anywhere
 4. An anchor with more than MOST_CONTEXTS distinct contexts would make a cell unbounded. Its contexts are compared by
    counting hashes of ever shorter runs of windows instead, which is as exact and splits over tasks.
 
-Hashes are of 64 bits over the anchor and 64 over the content, so equal means equal in 128 bits.
+Contexts are equal when the 128 bits of their BLAKE2 digests are; runs of windows when 128 bits of SHA-256 are. Anchors and
+the transforms' grams go by 64-bit hashes: a shared anchor hash only adds contexts to compare, and grams of a cell with equal
+hashes are compared byte by byte.
 """
 
 from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from hashlib import blake2b
 from math import ceil
 
 import numpy as np
@@ -28,7 +31,7 @@ from pyspark.sql import functions as F
 
 from lodestone.llm import bwt
 from lodestone.llm.common import materialize, release, table
-from lodestone.llm.wordhash import _VALUES, mix64, powers, text_slices
+from lodestone.llm.wordhash import grams, mix64, text_slices
 
 LENGTH = bwt.STEP * bwt.DEPTH
 GRAM = 32
@@ -38,12 +41,23 @@ _U = np.uint64
 _FULL = _U(0xFFFFFFFF)
 
 
-def polynomial(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Prefix sums whose differences, times the second array, hash any range of data."""
-    up, down = powers(len(data) + 1)
-    sums = np.zeros(len(data) + 1, _U)
-    np.cumsum(_VALUES[data] * up[: len(data)], out=sums[1:])
-    return sums, down
+def gram_ranks(data: np.ndarray, size: int = bwt.STEP, hashes: np.ndarray | None = None) -> np.ndarray:
+    """A rank (from 1) of the size bytes from each place of data on, equal for equal bytes only; 16 < size <= 32."""
+    if len(data) < size:
+        return np.zeros(0, np.int64)
+    halves = grams(data, 16) if hashes is None else None
+    hashes = mix64(halves[: len(data) - size + 1] * _U(3) + halves[size - 16 :]) if hashes is None else hashes
+    order = np.argsort(hashes, kind="stable")
+    change = hashes[order[1:]] != hashes[order[:-1]]
+    rows = np.lib.stride_tricks.as_strided(data, (len(data) - size + 1, size), (1, 1))
+    same = np.flatnonzero(~change)
+    for at in range(0, len(same), 1 << 16):
+        part = same[at : at + (1 << 16)]
+        if (rows[order[part]] != rows[order[part + 1]]).any():  # a collision: rank the bytes themselves
+            return np.unique(np.ascontiguousarray(rows).view(f"V{size}").ravel(), return_inverse=True)[1].astype(np.int64) + 1
+    ranks = np.empty(len(hashes), np.int64)
+    ranks[order] = np.concatenate(([1], 1 + np.cumsum(change)))
+    return ranks
 
 
 def smallest(keys: np.ndarray, width: int) -> np.ndarray:
@@ -58,18 +72,17 @@ def smallest(keys: np.ndarray, width: int) -> np.ndarray:
 
 
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """doc_id, text_key, text -> doc_id, text_key, anchor, content, first, last, place: the contexts of each text.
+    """doc_id, text_key, text -> doc_id, text_key, anchor, c1, c2, first, last, place: the contexts of each text.
 
-    Windows first..last of a text share an anchor that starts at first + place; content hashes all their bytes and place.
+    Windows first..last of a text share an anchor that starts at first + place; c1 and c2 are the digest of their bytes and place.
     """
-    names = ["doc_id", "text_key", "anchor", "content", "first", "last", "place"]
+    names = ["doc_id", "text_key", "anchor", "c1", "c2", "first", "last", "place"]
     for batch in batches:
         for row, data, offsets in text_slices(batch.column(2)):
             if len(data) < LENGTH:
                 continue
-            sums, down = polynomial(data)
-            grams = mix64((sums[GRAM:] - sums[:-GRAM]) * down[: len(data) - GRAM + 1])
-            keys = (grams & ~_FULL) | (_FULL - np.arange(len(grams), dtype=_U))  # the later of equal grams
+            hashes = grams(data, GRAM)
+            keys = (hashes & ~_FULL) | (_FULL - np.arange(len(hashes), dtype=_U))  # the later of equal grams
             anchor = (_FULL - (smallest(keys, LENGTH - GRAM + 1) & _FULL)).astype(np.int64)
             doc = np.searchsorted(offsets, np.arange(len(anchor)), "right") - 1
             inside = np.arange(len(anchor)) + LENGTH <= offsets[doc + 1]
@@ -82,24 +95,46 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             stop[:-1] &= ~inside[1:] | start[1:]
             last = np.flatnonzero(stop)
             doc, at = doc[first], anchor[first]
-            content = mix64((sums[last + LENGTH] - sums[first]) * down[first] + _U(3) * (at - first).astype(_U) + _U(7 << 32) * (last - first).astype(_U))
+            raw = data.tobytes()
+            ends = zip(first.tolist(), (last + LENGTH).tolist(), (at - first).tolist(), strict=True)
+            content = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16, key=b"%d" % place).digest() for a, b, place in ends]), np.int64).reshape(-1, 2)
             found = [batch.column(k).take(pa.array(row + doc)) for k in (0, 1)]
-            found += [pa.array(grams[at].view(np.int64)), pa.array(content.view(np.int64)), pa.array((first - offsets[doc]).astype(np.int32)), pa.array((last - offsets[doc]).astype(np.int32)), pa.array((at - first).astype(np.int32))]
+            found += [pa.array(hashes[at].view(np.int64)), *(pa.array(np.ascontiguousarray(content[:, k])) for k in (0, 1))]
+            found += [pa.array((first - offsets[doc]).astype(np.int32)), pa.array((last - offsets[doc]).astype(np.int32)), pa.array((at - first).astype(np.int32))]
             yield pa.RecordBatch.from_arrays(found, names)
 
 
+ASKED = "anchor long, c1 long, c2 long, contexts long, first int, last int, place int"
+
+
+def cut_contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """doc_id, text_key, text, asked (contexts) -> doc_id, text_key, the fields of ASKED, bytes: one row per context."""
+    names = [x.split()[0] for x in ASKED.split(", ")]
+    for batch in batches:
+        for row in range(batch.num_rows):
+            data = batch.column(2)[row].as_buffer()
+            listed = batch.column(3)[row].values
+            for at in range(0, len(listed), 4096):
+                part = listed.slice(at, 4096)
+                fields = [part.field(n) for n in names]
+                spans = zip(part.field("first").to_pylist(), part.field("last").to_pylist(), strict=True)
+                cut = pa.array([data[a : b + LENGTH].to_pybytes() for a, b in spans], pa.binary())
+                same = [pa.repeat(batch.column(k)[row], len(part)) for k in (0, 1)]
+                yield pa.RecordBatch.from_arrays([*same, *fields, cut], ["doc_id", "text_key", *names, "bytes"])
+
+
 def repeats_of_cell(part: pa.Table) -> pa.Table:
     """Of distinct contexts (doc_id, text_key, first, bytes): the runs of windows that repeat, by merged transforms."""
-    part = part.sort_by([("anchor", "ascending"), ("content", "ascending")])
+    part = part.sort_by([("anchor", "ascending"), ("c1", "ascending"), ("c2", "ascending")])
     chunks = part.column("bytes").to_pylist()
     lengths = np.array([len(c) for c in chunks], np.int64)
     data = np.frombuffer(b"".join(c + b"\0" for c in chunks), np.uint8)
     end = np.cumsum(lengths + 1)
     begin = end - lengths - 1
-    sums, down = polynomial(data)
-    grams = np.zeros(len(data), _U)
-    grams[: len(data) - bwt.STEP] = mix64((sums[bwt.STEP : -1] - sums[: -bwt.STEP - 1]) * down[: len(data) - bwt.STEP])
-    found = bwt.repeated(grams, begin, end, SHARDS)
+    ranks = np.ones(len(data), np.int64)
+    made = gram_ranks(data)
+    ranks[: len(made)] = made
+    found = bwt.repeated_ranks(ranks, begin, end, SHARDS)
     k = np.searchsorted(end, found, "right")
     breaks = np.flatnonzero(np.concatenate(([True], (np.diff(found) != 1) | (np.diff(k) != 0)))) if len(found) else found
     ends = np.append(breaks[1:], len(found)) - 1 if len(found) else found
@@ -125,7 +160,8 @@ def repeats_of_common(rows: DataFrame) -> DataFrame:
         begin = F.col("run") * length + F.col("place")
         runs = runs.select(*keys, F.greatest("low", begin).alias("a"), F.least(F.col("high"), begin + (length - 1)).alias("b"), "bytes")
         span = F.substring(F.col("bytes"), F.col("a") + 1, F.col("b") - F.col("a") + LENGTH)
-        hashed = F.xxhash64(span, F.col("a") - F.col("place"), F.col("b") - F.col("place"))
+        placed = F.concat(span, F.concat_ws(",", F.lit(""), F.col("a") - F.col("place"), F.col("b") - F.col("place")).cast("binary"))
+        hashed = F.unhex(F.substring(F.sha2(placed, 256), 1, 32))
         runs = materialize(runs.select(*keys, "a", "b", hashed.alias("hash"), *(["bytes"] if length > 1 else [])), "runs")
         row = F.struct("doc_id", "text_key", "first", "a")
         again = runs.groupBy("anchor", "hash").agg(F.count("*").alias("n"), F.min(row).alias("one")).filter("n > 1").drop("n")
@@ -165,24 +201,27 @@ def keyed(docs: DataFrame) -> DataFrame:
 def repeated_runs(docs: DataFrame) -> DataFrame:
     """doc_id, text_key, first, last: windows (by start byte, inclusive) of each text that start anywhere else too."""
     texts = keyed(docs).drop("named")
-    made = texts.mapInArrow(contexts, "doc_id long, text_key long, anchor long, content long, first int, last int, place int")
+    made = texts.mapInArrow(contexts, "doc_id long, text_key long, anchor long, c1 long, c2 long, first int, last int, place int")
     every = materialize(made, "contexts")
-    anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), (F.min("content") != F.max("content")).alias("differ")).filter("n > 1").drop("n")
+    differ = (F.min("c1") != F.max("c1")) | (F.min("c2") != F.max("c2"))
+    anchors = every.groupBy("anchor").agg(F.count("*").alias("n"), differ.alias("differ")).filter("n > 1").drop("n")
     again = materialize(every.join(materialize(anchors, "anchors"), "anchor"), "again")
     release(every)
+    key = ["anchor", "c1", "c2"]
     one = F.min(F.struct("doc_id", "text_key", "first", "last", "place")).alias("one")
-    groups = materialize(again.groupBy("anchor", "content", "differ").agg(F.count("*").alias("n"), one), "groups")
-    equal = groups.filter("n > 1").select("anchor", "content")
-    whole = again.join(equal, ["anchor", "content"]).select("doc_id", "text_key", "first", "last")
+    groups = materialize(again.groupBy(*key, "differ").agg(F.count("*").alias("n"), one), "groups")
+    whole = again.join(groups.filter("n > 1").select(key), key).select("doc_id", "text_key", "first", "last")
 
-    distinct = groups.filter("differ").select("anchor", "content", "one.*")
+    distinct = groups.filter("differ").select(*key, "one.*")
     sizes = materialize(distinct.groupBy("anchor").agg(F.count("*").alias("contexts")), "sizes")
     size = F.col("last") - F.col("first") + LENGTH
-    cut = distinct.join(sizes, "anchor").join(texts, ["doc_id", "text_key"]).withColumn("bytes", F.substring(F.col("text").cast("binary"), F.col("first") + 1, size))
-    cut = materialize(cut.drop("text"), "cut")
+    asked = F.struct(*key, "contexts", "first", "last", "place")
+    per_text = distinct.join(sizes, "anchor").groupBy("doc_id", "text_key").agg(F.collect_list(asked).alias("asked"))
+    cut = texts.join(per_text, ["doc_id", "text_key"]).mapInArrow(cut_contexts, f"doc_id long, text_key long, {ASKED}, bytes binary")
+    cut = materialize(cut, "cut")
     rare, common = cut.filter(F.col("contexts") <= MOST_CONTEXTS), cut.filter(F.col("contexts") > MOST_CONTEXTS)
     cells = max(1, ceil((rare.agg(F.sum(size)).first()[0] or 0) / CELL_BYTES))
-    rare = rare.select("doc_id", "text_key", "anchor", "content", "first", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell"))
+    rare = rare.select("doc_id", "text_key", *key, "first", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell"))
     merged = rare.groupBy("cell").applyInArrow(repeats_of_cell, INTERVALS)
     return whole.unionByName(merged).unionByName(repeats_of_common(common))
 

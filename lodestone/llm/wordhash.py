@@ -1,28 +1,31 @@
 """Vectorised word and shingle hashes of whole Arrow text columns (NumPy, no loop over words).
 
-Words are the maximal runs of bytes other than space and \\t..\\r, after lower-casing A-Z. A word's hash is a polynomial
-over random 64-bit values of its bytes, taken as the difference of two prefix sums, then mixed.
+Words are the maximal runs of bytes other than space and \\t..\\r, after lower-casing A-Z. A word of up to PLACES bytes
+hashes to the sum of random 64-bit values, one for each pair of place and byte (simple tabulation): two different words
+agree with probability 2**-64, whatever their bytes. A longer word hashes to 64 bits of its BLAKE2 digest.
+Grams of bytes hash by doubling: the hashes of two neighbouring halves are multiplied and mixed.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
 
 SLICE_BYTES = 3 << 18
 _U = np.uint64
-_BASE = 0x9E3779B97F4A7C15
+PLACES = 64
 _rng = np.random.Generator(np.random.PCG64(20240501))
-_VALUES = _rng.integers(1, 2**63, 256, dtype=np.uint64)
+_VALUES = _rng.integers(0, 2**64, PLACES * 256, dtype=np.uint64)
 _SPACE = np.zeros(256, bool)
 _SPACE[[0x20, *range(0x09, 0x0E)]] = True
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 SHINGLE = 5
 _PLACE = _rng.integers(1, 2**63, SHINGLE, dtype=np.uint64) | _U(1)
-_powers: dict[str, np.ndarray] = {"up": np.ones(1, _U), "down": np.ones(1, _U)}
+_HALVES = _rng.integers(1, 2**63, (2, 8), dtype=np.uint64) | _U(1)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
@@ -35,15 +38,19 @@ def mix64(x: np.ndarray) -> np.ndarray:
     return x
 
 
-def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
-    """The first n powers of the base and of its inverse modulo 2**64."""
-    if len(_powers["up"]) < n:
-        size = 1 << (n - 1).bit_length()
-        for name, base in (("up", _BASE), ("down", pow(_BASE, -1, 2**64))):
-            factors = np.full(size, base, _U)
-            factors[0] = 1
-            _powers[name] = np.cumprod(factors, dtype=_U)
-    return _powers["up"][:n], _powers["down"][:n]
+def grams(data: np.ndarray, size: int) -> np.ndarray:
+    """The hash of the size bytes from each place of data on; size is 2**k from 8 to 256."""
+    if len(data) < size:
+        return np.zeros(0, _U)
+    eights = np.lib.stride_tricks.as_strided(np.ascontiguousarray(data).view(np.uint8), (len(data) - 7, 8), (1, 1))
+    out = mix64(np.ascontiguousarray(eights).view("<u8").ravel().astype(_U, copy=False))
+    half, level = 8, 0
+    while half < size:
+        left = out[:-half] * _HALVES[0, level]
+        left += out[half:] * _HALVES[1, level]
+        out = mix64(left)
+        half, level = 2 * half, level + 1
+    return out
 
 
 def text_slices(column: pa.Array) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
@@ -76,11 +83,19 @@ def words(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray
     ends = inside.copy()
     ends[:-1] &= ~inside[1:] | first[1:n]
     ends = np.flatnonzero(ends) + 1
-    up, down = powers(n + 1)
-    sums = np.zeros(n + 1, _U)
-    np.cumsum(_VALUES[_LOWER[data]] * up[:n], out=sums[1:])
-    hashes = (sums[ends] - sums[starts]) * down[starts]
-    return mix64(hashes + (ends - starts).astype(_U)), np.searchsorted(starts, offsets).astype(np.int64)
+    lengths = ends - starts
+    short = np.flatnonzero(lengths <= PLACES)
+    at = np.flatnonzero(inside)
+    if len(short) < len(starts):
+        at = at[np.repeat(lengths <= PLACES, lengths)]
+    begins = np.cumsum(lengths[short]) - lengths[short]
+    place = np.arange(len(at)) - np.repeat(begins, lengths[short])
+    hashes = np.zeros(len(starts), _U)
+    if len(short):
+        hashes[short] = np.add.reduceat(_VALUES[place * 256 + _LOWER[data[at]]], begins)
+    for k in np.flatnonzero(lengths > PLACES).tolist():
+        hashes[k] = int.from_bytes(blake2b(_LOWER[data[starts[k] : ends[k]]].tobytes(), digest_size=8).digest(), "little")
+    return mix64(hashes + lengths.astype(_U)), np.searchsorted(starts, offsets).astype(np.int64)
 
 
 def shingles(hashes: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:

@@ -146,3 +146,44 @@ def test_word_hashes_ignore_case_and_blanks():
     made, ends = hashed(*words(data, offsets))
     rows = [made[a:b].tolist() for a, b in zip(ends[:-1], ends[1:], strict=True)]
     assert rows[0] == rows[1] and len(rows[0]) == 2 and rows[2] == rows[3] == [] and len(rows[4]) == 1
+
+
+def thue_morse(n):
+    """Words over ab whose polynomial hashes modulo 2**64 agree with those of their complements."""
+    return "".join("ab"[k.bit_count() % 2] for k in range(n))
+
+
+SWAPPED = str.maketrans("ab", "ba")
+
+
+def test_words_with_equal_polynomial_hashes_stay_apart(spark):
+    rng, docs = random.Random(8), []
+    for n in (32, 64, 65, 1024, 2048):
+        for word in (thue_morse(n), thue_morse(n).translate(SWAPPED)):
+            docs += [word, f"{word} one two three four five six seven", " ".join(rng.choice("cdef") for _ in range(30)) + f" {word}"]
+    docs = [(k, t) for k, t in enumerate(docs)] + [(100, docs[1].upper()), (101, f"\t{docs[3]}\n")]
+    compare(docs, near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect())
+
+
+def test_near_dedup_of_a_repeated_id(spark):
+    """Rows that repeat a doc_id are one document: it has the links of each of its texts."""
+    rng = random.Random(9)
+    one, two = (" ".join("w%d" % rng.randint(0, 10**6) for _ in range(100)) for _ in range(2))
+    docs = [(5, one), (5, two), (3, one + " x"), (7, two + " x"), (9, "something else")]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert got == {5: 3, 3: 3, 7: 3, 9: 9}
+
+
+def test_repeats_with_equal_polynomial_hashes_stay(spark):
+    texts = [thue_morse(4096), thue_morse(2048).translate(SWAPPED) + "c", "x" * 40 + thue_morse(1024) + "y" * 300, "ab" * 300]
+    rows = [(k, t) for k, t in enumerate(texts)]
+    got = {r.doc_id: (r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in repeats.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == dict(enumerate(brute_repeats(texts)))
+
+
+def test_gram_ranks_are_those_of_the_bytes(monkeypatch):
+    data = np.frombuffer(("abcab" * 40 + thue_morse(200)).encode(), np.uint8)
+    rows = [bytes(data[k : k + 25]) for k in range(len(data) - 24)]
+    for hashes in (None, np.zeros(len(rows), np.uint64)):  # all collide
+        ranks = repeats.gram_ranks(data, 25, hashes)
+        assert len(set(zip(rows, ranks.tolist(), strict=True))) == len(set(rows)) == len(set(ranks.tolist())) and ranks.min() == 1

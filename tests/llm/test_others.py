@@ -1,4 +1,5 @@
 import io
+import re
 import zlib
 from collections import defaultdict
 
@@ -94,6 +95,30 @@ def test_warc_reader_skips_false_magic():
     assert len(list(warc.Members(io.BytesIO(data), len(data)).owned(8, len(data)))) == 1
 
 
+def test_warc_damage_is_an_error(spark):
+    members = [warc.record(k, "u", f"<p>{k}" * 50, "d", None) for k in range(5)]
+    cut = b"".join(members)[:-9]
+    hurt = bytearray(b"".join(members))
+    middle = len(members[0]) + len(members[1])
+    hurt[middle + 40 : middle + 60] = b"\xff" * 20
+    headless = bytearray(b"".join(members))
+    headless[middle : middle + 2] = b"\0\0"
+    for data in (cut, bytes(hurt), bytes(headless), b"junk" + b"".join(members)):
+        with pytest.raises(warc.Damaged):
+            list(warc.Members(io.BytesIO(data), len(data)).owned(0, len(data), strict=True))
+    for data, left in ((cut, 4), (bytes(hurt), 4)):
+        assert len(list(warc.Members(io.BytesIO(data), len(data)).owned(0, len(data)))) == left
+    whole = b"".join(members)
+    assert len(list(warc.Members(io.BytesIO(whole), len(whole)).owned(0, len(whole), strict=True))) == 5
+
+
+def test_warc_ignores_other_columns(spark):
+    rows = [(1, "u", "x" * 120, "d", 7, "p", 1, 2), (2, "u", "x" * 120, "d", 7, "p", 1, 2)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, digest string, first int, path string, refers_to long, bytes long")
+    got = {r.page_id: (r.record_type, r.refers_to) for r in warc.resolved(warc.read_warc(warc.write_warc(pages, fresh_path(spark, "test-warc")))).collect()}
+    assert got == {1: ("response", None), 2: ("revisit", 1)}
+
+
 def test_license_windows(spark, edge, none):
     known = license_scan.template_table(spark)
     filler = "lorem ipsum dolor sit amet consectetur " * 10
@@ -125,6 +150,44 @@ def test_toxicity_learns(spark, edge, none):
     assert toxicity.score(edge, toxicity.train(docs, known.limit(0))).filter("p_toxic BETWEEN 0 AND 1").count() == edge.count()
 
 
+def letters_of(text):
+    """A text's distinct words by brute force: runs of a-z and bytes above 127 after lower-casing A-Z."""
+    return set(re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower()))
+
+
+def word_hash(word):
+    [(_, found, _)] = list(toxicity.letter_words(pa.array([word.decode()])))
+    return int(found[0])
+
+
+def test_chain_equals_brute_force(spark, edge):
+    """Probabilities by plain sums over words, and the optimum that Newton's steps should have found."""
+    docs = edge.unionByName(spark.createDataFrame([(100 + k, " ".join(("vile" if k % 3 == 0 else "fine", "w" + "abcdefg"[k % 7], "über" * (k % 2)))) for k in range(60)], "doc_id long, text string"), allowMissingColumns=True)
+    known = spark.createDataFrame([(100 + k, None if k % 11 == 5 else int(k % 2), int(k % 3 == 0)) for k in range(60)], "doc_id long, quality int, toxic int")
+    chain = toxicity.train(docs, known)
+    got = {(r.doc_id, r.text): (r.p_quality, r.p_toxic) for r in toxicity.score(docs, chain, keep=["text"]).collect()}
+    for (_, text), found in got.items():
+        held, logits = {word_hash(w) for w in letters_of(text) if len(w) < 4000 and b"\xff" not in w}, []
+        for link in chain:
+            z = link.bias + sum(w for f, w in zip(link.features.tolist(), link.weights, strict=True) if f in held) + sum(a * b for a, b in zip(link.earlier, logits, strict=True))
+            logits.append(max(-30.0, min(30.0, z)))
+        assert np.allclose(found, [1 / (1 + np.exp(-z)) for z in logits])
+    sets = {r.doc_id: {word_hash(w) for w in letters_of(r.text)} for r in docs.filter("doc_id >= 100").collect()}
+    rows = [(sets[r.doc_id], r.quality) for r in known.collect() if r.quality is not None]
+    link, slope = chain[0], np.zeros(len(chain[0].features) + 1)
+    for held, y in rows:
+        x = np.array([f in held for f in link.features.tolist()] + [True], float)
+        slope += x * (y - 1 / (1 + np.exp(-(x[:-1] @ link.weights + link.bias))))
+    assert np.abs(slope[:-1] - toxicity.RIDGE * link.weights).max() < 1e-4
+
+
+def test_training_sample_is_bounded_and_stable(spark):
+    docs = spark.createDataFrame([(k % 5, f"word{'abc'[k % 3]} {'vile' if k % 5 == 0 else 'good'}") for k in range(300)], "doc_id long, text string")
+    known = spark.createDataFrame([(k, 1, int(k == 0)) for k in range(5)], "doc_id long, quality int, toxic int")
+    a, b = (toxicity.train(d, known, rows=40) for d in (docs, docs.repartition(5)))
+    assert all((x.features == y.features).all() and np.allclose(x.weights, y.weights) for x, y in zip(a, b, strict=True))
+
+
 @pytest.fixture(scope="module")
 def tokenizer():
     from tokenizers import Tokenizer
@@ -179,4 +242,3 @@ def test_pour_leaves_no_padding():
 
 def test_prototypes_are_bounded(spark, edge):
     assert all(v.shape == (language_id.DIMENSIONS,) for v in language_id.train(edge).values())
-    assert pa.types.is_string(pa.string())

@@ -2,9 +2,10 @@
 
 A text is cut where its own content says so: at the first white space at least MIN_CHUNK characters on that a letter
 of CUT follows, and MAX_CHUNK characters on at the latest. Chunks get names, and the names are verified: each distinct
-chunk moves once and is compared with all that bear its name. If a name turns out to be shared, the next stronger
-naming of NAMINGS is taken, the last of which is the chunk itself. Texts are equal when their ordered lists of names
-(and byte lengths) are equal, so whole documents never move.
+chunk moves once and is compared with all that bear its name. Chunks whose name turns out to be shared get the next
+stronger one of NAMINGS, the last of which is the chunk itself; all others keep theirs (if more than MOST_SHARED names are
+shared, all change). Texts are equal when their ordered lists of names (and byte lengths) are equal, so whole documents
+never move.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ from pyspark.sql import functions as F
 from lodestone.llm.common import materialize, table
 
 MIN_CHUNK, MAX_CHUNK, CUT = 256, 4096, "a-d"
+MOST_SHARED = 1000
 Naming = Callable[[Column], Column]
 NAMINGS: tuple[Naming, ...] = (lambda c: F.xxhash64(c), lambda c: F.sha2(c, 256), lambda c: c)
 
@@ -26,11 +28,33 @@ def chunks(text: Column) -> Column:
     return F.regexp_extract_all(text, F.lit(rf"(?s).{{{MIN_CHUNK},{MAX_CHUNK}}}?\s(?=[{CUT}])|.{{1,{MAX_CHUNK}}}"), F.lit(0))
 
 
-def names_are_shared(texts: DataFrame, naming: Naming) -> bool:
-    """Whether two different chunks of the column text bear one name; a distributed comparison of all distinct chunks."""
+def shared_names(texts: DataFrame, naming: Naming) -> DataFrame:
+    """The names that two different chunks of the column text bear; a distributed comparison of all distinct chunks."""
     chunk = texts.select(F.explode(chunks(F.col("text"))).alias("chunk"))
     distinct = chunk.select(naming(F.col("chunk")).alias("name"), "chunk").distinct()
-    return not distinct.groupBy("name").count().filter("count > 1").isEmpty()
+    return distinct.groupBy("name").count().filter("count > 1").select("name")
+
+
+def names_are_shared(texts: DataFrame, naming: Naming) -> bool:
+    return not shared_names(texts, naming).isEmpty()
+
+
+def strengthened(naming: Naming, stronger: Naming, shared: Sequence, level: int) -> Naming:
+    """naming, but stronger (marked by its level) for chunks whose name is among shared."""
+    plain = lambda c: naming(c).cast("string")
+    marked = lambda c: F.concat(F.lit(f"{level}:"), stronger(c).cast("string"))
+    return lambda c: F.when(naming(c).isin(list(shared)), marked(c)).otherwise(F.concat(F.lit("0:"), plain(c)))
+
+
+def verified(texts: DataFrame, namings: Sequence[Naming] = NAMINGS) -> Naming:
+    """A naming under which no two chunks of the column text share a name."""
+    naming = namings[0]
+    for level, stronger in enumerate(namings[1:], 1):
+        shared = [r.name for r in shared_names(texts, naming).limit(MOST_SHARED + 1).collect()]
+        if not shared:
+            break
+        naming = strengthened(naming, stronger, shared, level) if len(shared) <= MOST_SHARED else stronger
+    return naming
 
 
 def exact_dedup(docs: DataFrame, namings: Sequence[Naming] = NAMINGS) -> DataFrame:
@@ -41,7 +65,7 @@ def exact_dedup(docs: DataFrame, namings: Sequence[Naming] = NAMINGS) -> DataFra
     an empty result.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"))
-    naming = next((n for n in namings[:-1] if not names_are_shared(texts, n)), namings[-1])
+    naming = verified(texts, namings)
     rows = texts.select(
         "doc_id",
         F.monotonically_increasing_id().alias("row"),

@@ -16,21 +16,24 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialize, table
 
 SCALE = 256
 K = 5
-CANDIDATES_A_BLOCK, QUERIES_A_BLOCK = 4096, 1024
+CANDIDATES_A_BLOCK, QUERIES_A_BLOCK = 65_536, 16_384  # at most; also bounded by WEIGHTS_A_BLOCK numbers
+WEIGHTS_A_BLOCK, LEAST_BLOCK = 1 << 22, 4096
+LARGEST_WEIGHT = 2.0**53
 SCORE_CELLS = 1 << 20  # of a dense score array
 
 
 def quantized(vectors: DataFrame) -> DataFrame:
     """vec_id and weights (long array) of usable rows: id and vector not null, all components finite. Repeated rows count once;
-    of different vectors under one id the least counts."""
+    of different vectors under one id the least counts. A weight beyond LARGEST_WEIGHT either way is an error: it would not be exact."""
     x = F.transform("embedding", lambda v: v.cast("double"))
     finite = F.forall(x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
     usable = vectors.filter("vec_id IS NOT NULL AND embedding IS NOT NULL").filter(F.coalesce(finite, F.lit(False)))
-    weights = F.transform(x, lambda v: F.floor(v * SCALE).cast("long"))
+    too_large = F.raise_error(F.lit("a component times SCALE is beyond LARGEST_WEIGHT")).cast("long")
+    weights = F.transform(x, lambda v: F.when(F.abs(v * SCALE) > LARGEST_WEIGHT, too_large).otherwise(F.floor(v * SCALE).cast("long")))
     return usable.select(F.col("vec_id").cast("long").alias("vec_id"), weights.alias("weights")).groupBy("vec_id").agg(F.min("weights").alias("weights"))
 
 
@@ -49,7 +52,10 @@ def best_of_cell(queries: pa.Table, candidates: pa.Table, k: int) -> pa.Table:
     ids = candidates.column("vec_id").to_numpy()
     query_ids, query_weights = queries.column("vec_id").to_numpy(), dense(queries.column("weights"), terms)
     weights = dense(candidates.column("weights"), terms)
-    narrow = terms * float(np.abs(weights).max(initial=0)) * float(np.abs(query_weights).max(initial=0)) < 2**31
+    largest = terms * int(np.abs(weights).max(initial=0)) * int(np.abs(query_weights).max(initial=0))
+    if largest >= 2**63:
+        raise ValueError("inner products of these weights may not fit 64 bits")
+    narrow = largest < 2**31
     kind = np.int32 if narrow else np.int64
     postings = [(np.flatnonzero(weights[:, t]), weights[:, t].astype(kind)) for t in range(terms)]
     postings = [(docs, values if len(docs) == len(ids) else values[docs]) for docs, values in postings]
@@ -85,10 +91,15 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
     """query_id, rank (from 1), vec_id, score: each query's k highest integer inner products (all, if fewer).
 
     Both tables have vec_id and weights (long array; a shorter array lacks the last terms). A candidate with the query's
-    own id takes no part. Ties go to the smaller vec_id. Empty tables give no rows.
+    own id takes no part. Ties go to the smaller vec_id. Weights whose products may not fit 64 bits are an error. Empty
+    tables give no rows. Other columns are ignored. A cell moves queries plus candidates for their product of scores, so
+    blocks are as large as memory allows; only small tables are cut further, to keep all cores busy.
     """
-    n, m = candidates.count(), queries.count()
-    blocks, query_blocks = max(1, ceil(n / CANDIDATES_A_BLOCK)), max(1, ceil(m / QUERIES_A_BLOCK))
+    size = lambda df: df.agg(F.count("*"), F.coalesce(F.max(F.size("weights")), F.lit(1))).first()
+    (n, terms), (m, _) = size(candidates), size(queries)
+    most = lambda rows: max(1, min(rows, WEIGHTS_A_BLOCK // max(1, terms)))
+    busy = min(2 * candidates.sparkSession.sparkContext.defaultParallelism, ceil(n / LEAST_BLOCK))
+    blocks, query_blocks = max(1, busy, ceil(n / most(CANDIDATES_A_BLOCK))), max(1, ceil(m / most(QUERIES_A_BLOCK)))
     block = lambda parts: F.pmod(F.xxhash64("vec_id"), F.lit(parts)).cast("int")
     every = lambda parts: F.explode(F.sequence(F.lit(0), F.lit(parts - 1)))
     left = queries.select("vec_id", "weights", block(query_blocks).alias("query_block"), every(blocks).alias("block"))
@@ -100,7 +111,7 @@ def top_k(queries: DataFrame, candidates: DataFrame, k: int = K) -> DataFrame:
 
 
 def op4_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    vectors = quantized(table(spark, sf_dir, "embeddings"))
+    vectors = materialize(quantized(table(spark, sf_dir, "embeddings")), "weights")
     return top_k(vectors.filter("vec_id % 50 = 0"), vectors)
 
 

@@ -21,6 +21,7 @@ from lodestone.llm.common import table
 DIMENSIONS = 512
 TRAINING_ROWS = 20_000  # at most about so many training documents a language, chosen by a hash of doc_id
 SLICE_CHARS = 200_000
+GRAMS, COUNT_CELLS = 16_384, 1 << 21  # trigrams and counts at a time
 BLANK = 32
 UNKNOWN = "und"
 
@@ -61,8 +62,16 @@ class Profiles:
         grams = ((mapped[:-2] << 42) | (mapped[1:-1] << 21) | mapped[2:])[whole]
         if len(grams):
             found, gram = np.unique(grams, return_inverse=True)
-            counts = np.bincount(row[:-2][whole] * len(found) + gram, minlength=len(texts) * len(found)).reshape(len(texts), -1)
-            out = counts.astype(np.float32) @ self.bound(found)
+            row = row[:-2][whole]
+            for low in range(0, len(found), GRAMS):  # neither vectors of grams nor counts grow with the texts
+                vectors = self.bound(found[low : low + GRAMS])
+                mine = (gram >= low) & (gram < low + GRAMS) if len(found) > GRAMS else slice(None)
+                rows, at, step = row[mine], gram[mine] - low, max(1, COUNT_CELLS // len(vectors))
+                for first in range(0, len(texts), step):
+                    last = min(len(texts), first + step)
+                    part = slice(*np.searchsorted(rows, (first, last)))
+                    counts = np.bincount((rows[part] - first) * len(vectors) + at[part], minlength=(last - first) * len(vectors))
+                    out[first:last] += counts.reshape(last - first, -1).astype(np.float32) @ vectors
         return out
 
     def slices(self, column: pa.Array) -> Iterator[tuple[int, list[str]]]:

@@ -40,6 +40,19 @@ def test_shared_names_are_found_and_left(edge):
     check(edge.collect(), exact_dedup.exact_dedup(edge, weak).collect())
 
 
+def test_only_shared_names_are_strengthened(spark, edge):
+    texts = spark.createDataFrame([("aa 1",), ("bb 1",), ("unlike",)], "text string")
+    weak = (lambda c: F.length(c).cast("long"), lambda c: F.substring(c, 1, 2), lambda c: c)
+    naming = exact_dedup.verified(texts, weak)
+    assert {r.text: r.n for r in texts.select("text", naming(F.col("text")).alias("n")).collect()} == {"aa 1": "1:aa", "bb 1": "1:bb", "unlike": "0:6"}
+    assert exact_dedup.verified(texts) is exact_dedup.NAMINGS[0]
+
+
+def test_many_shared_names_change_all(edge, monkeypatch):
+    monkeypatch.setattr(exact_dedup, "MOST_SHARED", 0)
+    check(edge.collect(), exact_dedup.exact_dedup(edge, (lambda c: F.length(c).cast("long"), lambda c: c)).collect())
+
+
 def targets(sizes):
     names = sorted([s for s in sizes if s is not None], key=lambda s: s.encode()) + [None] * (None in sizes)
     weight = {s: (3, 1, 2)[k % 3] for k, s in enumerate(names)}

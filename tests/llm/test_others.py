@@ -40,6 +40,48 @@ def test_topk_blocks(spark, monkeypatch):
     assert got == sorted(want)
 
 
+def test_topk_rejects_what_64_bits_cannot_hold(spark):
+    for x in (1e300, 2.0**40):  # the weight itself, and the product
+        good = exact_topk.quantized(spark.createDataFrame([(0, [x]), (1, [x])], "vec_id long, embedding array<double>"))
+        with pytest.raises(Exception, match="LARGEST_WEIGHT|64 bits"):
+            exact_topk.top_k(good, good).collect()
+
+
+def test_topk_ignores_other_columns(spark):
+    rows = [(0, [1.0], 5, "x", 1, 2), (1, [0.5], 6, "y", 3, 4)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>, weights int, block string, score int, query_id int")
+    good = exact_topk.quantized(df)
+    assert [tuple(r) for r in exact_topk.top_k(good.filter("vec_id % 50 = 0"), good).collect()] == [(0, 1, 1, 256 * 128)]
+
+
+def test_profiles_are_the_same_in_small_pieces(monkeypatch):
+    texts = ["some words of a text", "", "others, wholly unlike", "ab " * 50] * 7
+    whole = language_id.Profiles(64).vectors(texts)
+    monkeypatch.setattr(language_id, "GRAMS", 5)
+    monkeypatch.setattr(language_id, "COUNT_CELLS", 12)
+    assert (language_id.Profiles(64).vectors(texts) == whole).all()
+
+
+def test_predictions_equal_brute_force(spark):
+    """Prototypes and cosines by plain sums over trigrams."""
+    texts = {"en": ["the cat and the dog", "a house by the sea", "they went there"], "de": ["der hund und die katze", "ein haus am meer", "sie gingen dorthin"]}
+    rows = [(k * 3 + n, t, lang) for k, (lang, ts) in enumerate(texts.items()) for n, t in enumerate(ts)]
+    docs = spark.createDataFrame([*rows, (90, "the sea and the house", None), (91, "und der dorthin", None)], "doc_id long, text string, lang string")
+    p = language_id.Profiles(language_id.DIMENSIONS)
+
+    def vector(text):
+        s, v = f" {text} ", np.zeros(language_id.DIMENSIONS)
+        for a, b, c in zip(s, s[1:], s[2:]):
+            v += np.roll(p.letter(ord(a)), 2).astype(int) * np.roll(p.letter(ord(b)), 1) * p.letter(ord(c))
+        return v / np.linalg.norm(v)
+
+    prototypes = {lang: sum(map(vector, ts)) for lang, ts in texts.items()}
+    for r in language_id.identify(docs, language_id.train(docs)).collect():
+        text = {k: t for k, t, _ in docs.collect()}[r.doc_id]
+        cosines = {lang: vector(text) @ v / np.linalg.norm(v) for lang, v in prototypes.items()}
+        assert r.lang_pred == max(cosines, key=cosines.get) and abs(r.score - (1 + max(cosines.values())) / 2) < 1e-4
+
+
 def test_profiles_bind_and_bundle():
     p = language_id.Profiles(64)
 

@@ -4,8 +4,9 @@ Slot n of 2**m slots has the van der Corput point rev(n) / 2**m (rev reverses m
 interval into one piece per source; the piece that a slot's point falls in names the slot's source. Over all 2**m
 slots a piece of length p gets p * 2**m slots, give or take one. Slots are ranked within their source; the slot of
 rank r takes the r-th block of equally many words from the source's documents, which are shuffled by a hash of their
-ids and laid end to end twice. Sums run within (source, bucket) first and over buckets next, with about as many
-buckets as there are rows in a bucket, so that no task holds a whole source.
+ids and laid end to end twice. The result names the slots at which a document's words come up, which is the order of
+the mix. Sums run within (source, bucket) first and over buckets next, with about as many buckets as there are rows in
+a bucket, so that no task holds a whole source; sums over sources run by ranges of sources likewise.
 """
 
 from __future__ import annotations
@@ -24,15 +25,31 @@ STRIDE_BITS = 10
 
 
 def sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, source, size (words of the text; null: 0), key (the shuffling order)."""
+    """doc_id, source, size (words of the text; null: 0), key (the shuffling order; rows without an id by their text), digest (of the text)."""
+    digest = F.md5(F.coalesce("text", F.lit("")))
     return docs.select(
         "doc_id",
         "source",
         F.coalesce(F.regexp_count("text", F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))).alias("key"),
+        F.md5(F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("no id:"), digest))).alias("key"),
+        digest.alias("digest"),
     )
 
 
+def running(rows: DataFrame, order: list[Column], sums: dict[str, Column]) -> DataFrame:
+    """rows with running sums (rows so far, each included) in the given order, without a task that holds them all.
+
+    Rows are dealt by ranges of the order; sums run within a range, and over the ranges' totals, one row a range.
+    """
+    dealt = materialize(rows.repartitionByRange(*order).withColumn("_range", F.spark_partition_id()), "ranges")
+    totals = dealt.groupBy("_range").agg(*[F.sum(c).alias(f"_{n}") for n, c in sums.items()])
+    before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select("_range", *[F.coalesce(F.sum(f"_{n}").over(before), F.lit(0)).alias(f"_{n}") for n in sums])
+    within = Window.partitionBy("_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    made = dealt.withColumns({n: F.sum(c).over(within) for n, c in sums.items()}).join(F.broadcast(totals), "_range")  # at most a row a shuffle partition
+    return made.withColumns({n: F.col(n) + F.col(f"_{n}") for n in sums}).drop("_range", *[f"_{n}" for n in sums])
+
+
 def source_targets(rows: DataFrame) -> DataFrame:
     """source, source_size, target for each source of rows (source, size); one row per source.
 
@@ -40,25 +57,17 @@ def source_targets(rows: DataFrame) -> DataFrame:
     one at which the sum of min(weight * x, c) is SHARE of all words: a source is capped if that sum at its own
     level c / weight is still at most the total.
     """
-    by_source = Window.orderBy(F.col("source").asc_nulls_last())
-    per = rows.groupBy("source").agg(F.sum("size").alias("source_size"))
-    weigh = F.element_at(F.array(*map(F.lit, WEIGHTS)), (F.row_number().over(by_source) - 1) % len(WEIGHTS) + 1)
-    every = Window.partitionBy()
-    rising = Window.orderBy("level").rangeBetween(Window.unboundedPreceding, 0)
-    per = per.withColumn("weight", weigh.cast("long")).withColumn("cap", MOST_REPEATS * F.col("source_size"))
-    per = per.withColumn("level", F.col("cap") / F.col("weight"))
-    per = per.select(
-        "*",
-        (F.sum("source_size").over(every) * F.lit(SHARE)).alias("total"),
-        F.sum("cap").over(rising).alias("caps_below"),
-        (F.sum("weight").over(every) - F.sum("weight").over(rising)).alias("weight_above"),
-    )
-    capped = F.col("caps_below") + F.col("level") * F.col("weight_above") <= F.col("total")
-    per = per.withColumn("capped", capped)
-    left = F.col("total") - F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))).over(every), F.lit(0))
-    weight_left = F.sum(F.when(~F.col("capped"), F.col("weight"))).over(every)
-    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * left / weight_left)
-    return per.select("source", "source_size", target.alias("target"))
+    by_source = [F.col("source").asc_nulls_last()]
+    per = running(rows.groupBy("source").agg(F.sum("size").alias("source_size")), by_source, {"nth": F.lit(1)})
+    weigh = F.element_at(F.array(*map(F.lit, WEIGHTS)), ((F.col("nth") - 1) % len(WEIGHTS) + 1).cast("int")).cast("long")
+    per = per.withColumn("weight", weigh).withColumn("cap", MOST_REPEATS * F.col("source_size")).withColumn("level", F.col("cap") / F.col("weight"))
+    whole = per.agg((F.sum("source_size") * F.lit(SHARE)).alias("total"), F.sum("weight").alias("weights"))
+    per = running(per, [F.col("level").asc(), *by_source], {"caps_below": F.col("cap"), "weight_below": F.col("weight")}).crossJoin(F.broadcast(whole))  # one row
+    capped = F.col("caps_below") + F.col("level") * (F.col("weights") - F.col("weight_below")) <= F.col("total")
+    per = materialize(per.withColumn("capped", capped), "levels")
+    fixed = per.agg(F.coalesce(F.sum(F.when(F.col("capped"), F.col("cap"))), F.lit(0)).alias("fixed"), F.sum(F.when(~F.col("capped"), F.col("weight"))).alias("weight_left"))
+    target = F.when(F.col("capped"), F.col("cap").cast("double")).otherwise(F.col("weight") * (F.col("total") - F.col("fixed")) / F.col("weight_left"))
+    return per.crossJoin(F.broadcast(fixed)).select("source", "source_size", target.alias("target"))  # one row
 
 
 def reversed_bits(n: Column, bits: int) -> Column:
@@ -71,14 +80,16 @@ def reversed_bits(n: Column, bits: int) -> Column:
 
 def schedule(targets: DataFrame, bits: int) -> DataFrame:
     """slot, source, rank: the source of each of 2**bits slots and the slot's rank (from 0) within its source."""
-    upto = F.sum("target").over(Window.orderBy(F.col("source").asc_nulls_last()))
-    total = F.sum("target").over(Window.partitionBy())
-    edge = lambda x: F.ceil(x / total * F.lit(float(2**bits))).cast("long")
-    pieces = targets.filter("target > 0").select("source", edge(upto - F.col("target")).alias("low"), edge(upto).alias("high"))
-    stride = F.lit(1 << STRIDE_BITS)
-    pieces = pieces.filter("low < high").select(
-        "source", "low", "high", F.explode(F.sequence(F.floor(F.col("low") / stride), F.floor((F.col("high") - 1) / stride))).alias("cell")
-    )
+    total = targets.agg(F.sum("target").alias("total"))
+    edge = lambda x: F.ceil(x / F.col("total") * F.lit(float(2**bits))).cast("long")
+    placed = running(targets.filter("target > 0"), [F.col("source").asc_nulls_last()], {"upto": F.col("target")}).crossJoin(F.broadcast(total))  # one row
+    pieces = placed.select("source", edge(F.col("upto") - F.col("target")).alias("low"), edge(F.col("upto")).alias("high")).filter("low < high")
+    pieces = pieces.withColumn("cell", F.lit(0).cast("long"))
+    for level, shift in enumerate(range(-(-bits // STRIDE_BITS) * STRIDE_BITS - STRIDE_BITS, 0, -STRIDE_BITS)):  # cells of falling size, at most 2**STRIDE_BITS a row
+        above = shift + STRIDE_BITS
+        first, last = F.greatest("low", F.shiftleft("cell", above)), F.least(F.col("high"), F.shiftleft(F.col("cell") + 1, above)) - 1
+        pieces = pieces.withColumn("cell", F.explode(F.sequence(F.shiftright(first, shift), F.shiftright(last, shift))))
+        pieces = pieces.repartition("source", "cell") if level else pieces
     slots = targets.sparkSession.range(2**bits).select(F.col("id").alias("slot"), reversed_bits(F.col("id"), bits).alias("point"))
     slots = slots.withColumn("cell", F.shiftright("point", STRIDE_BITS))
     mapped = slots.join(pieces.hint("shuffle_hash"), "cell").filter("point >= low and point < high")
@@ -92,12 +103,14 @@ def schedule(targets: DataFrame, bits: int) -> DataFrame:
 
 
 def mix(docs: DataFrame) -> DataFrame:
-    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken.
+    """One row per row of docs (doc_id, text, source): doc_id, source, size, source_size, target, taken, slots.
 
-    taken counts the document's words in the mix, repeats included; it is at most MOST_REPEATS times size. A source's
+    taken counts the document's words in the mix, repeats included; it is at most MOST_REPEATS times size. slots lists,
+    for each time that the document comes up, the slot of its first word, so that rows in order of slots are the mix. A source's
     taken words fall short of its target by a block or two at most. Documents without words, and all documents when
-    there are no words at all, have taken 0. Repeated rows share their ids' words evenly in no defined order: they are
-    laid end to end like other rows. Other columns of docs are ignored.
+    there are no words at all, have taken 0 and no slots. Repeated rows are rows like others: they lie end to end in the order of
+    their ids' hash, then of their texts' digest, so a source's last words may go to one of them and not the other.
+    Rows without an id are shuffled by their text. Other columns of docs are ignored.
     """
     rows = materialize(sizes(docs).withColumn("row", F.monotonically_increasing_id()), "sizes")
     n, words = rows.agg(F.count("*"), F.coalesce(F.sum("size"), F.lit(0))).first()
@@ -106,30 +119,32 @@ def mix(docs: DataFrame) -> DataFrame:
     block = max(1, ceil(SHARE * words / 2**bits))
     buckets = max(1, round(sqrt(n)))
 
-    with_bucket = rows.withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / 2**28))
+    with_bucket = rows.filter("size > 0").withColumn("bucket", F.floor(F.conv(F.substring("key", 1, 7), 16, 10).cast("long") * buckets / 2**28))
     per_bucket = with_bucket.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
     before = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
     per_bucket = per_bucket.select("source", "bucket", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("before"))
-    within = Window.partitionBy("source", "bucket").orderBy("key", "row").rowsBetween(Window.unboundedPreceding, -1)
+    within = Window.partitionBy("source", "bucket").orderBy("key", "digest", "row").rowsBetween(Window.unboundedPreceding, -1)
     placed = with_bucket.withColumn("inside", F.coalesce(F.sum("size").over(within), F.lit(0))).alias("d")
     same = lambda a, b: F.col(f"{a}.source").eqNullSafe(F.col(f"{b}.source"))
     placed = placed.join(per_bucket.alias("b"), same("d", "b") & (F.col("d.bucket") == F.col("b.bucket")))
-    placed = placed.select("doc_id", "row", "d.source", "size", (F.col("before") + F.col("inside")).alias("start"))
+    placed = placed.select("row", "d.source", "size", (F.col("before") + F.col("inside")).alias("start"))
     placed = placed.alias("p").join(targets.alias("t"), same("p", "t"))
-    placed = placed.select("doc_id", "row", "p.source", "size", "start", "source_size", "target")
+    placed = placed.select("row", "p.source", "size", "start", "source_size", "target")
 
     start, size, end = F.col("start"), F.col("size"), F.least(F.col("at") + F.col("size"), F.round("target").cast("long"))
     laid = placed.withColumn("pass", F.explode(F.sequence(F.lit(0), F.lit(MOST_REPEATS - 1))))
     laid = laid.withColumn("at", F.col("pass") * F.col("source_size") + start).withColumn("end", end).filter("size > 0 and at < end")
     numbers = F.sequence(F.floor(F.col("at") / block), F.floor((F.col("end") - 1) / block))
-    pieces = laid.select("row", "source", "at", "end", F.explode(numbers).alias("rank"))
+    pieces = laid.select("row", "pass", "source", "at", "end", F.explode(numbers).alias("rank"))
     words_in = F.least("end", (F.col("rank") + 1) * block) - F.greatest("at", F.col("rank") * block)
-    pieces = pieces.select("row", "source", "rank", words_in.alias("words"))
+    pieces = pieces.select("row", "pass", "source", "rank", words_in.alias("words"))
     slots = schedule(targets, bits)
     used = pieces.alias("x").join(slots.alias("s"), same("x", "s") & (F.col("x.rank") == F.col("s.rank")))
-    taken = used.groupBy("row").agg(F.sum("words").alias("taken"))
-    out = placed.join(taken, "row", "left")
-    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"))
+    slots = F.array_compact(F.array(*[F.min(F.when(F.col("pass") == k, F.col("slot"))) for k in range(MOST_REPEATS)]))
+    taken = used.groupBy("row").agg(F.sum("words").alias("taken"), slots.alias("slots"))
+    out = rows.alias("d").join(targets.alias("t"), same("d", "t")).select("doc_id", "row", "d.source", "size", "source_size", "target").join(taken, "row", "left")
+    none = F.array().cast("array<bigint>")
+    return out.select("doc_id", "source", "size", "source_size", "target", F.coalesce("taken", F.lit(0)).cast("long").alias("taken"), F.coalesce("slots", none).alias("slots"))
 
 
 def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

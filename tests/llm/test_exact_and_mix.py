@@ -91,6 +91,29 @@ def test_mix_reaches_targets(spark, edge, none):
     assert got.exceptAll(again).count() == 0
 
 
+def test_slots_are_the_order_of_the_mix(spark):
+    """A source's documents come up, by slot, in the order of their ids' hashes, once and then again; sources alternate."""
+    rows = [(k, " ".join(["w"] * (200 + k)), "ab"[k % 2]) for k in range(60)]
+    got = mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+    assert {r.doc_id: len(r.slots) for r in got if r.taken == 2 * r.size} == {r.doc_id: 2 for r in got if r.taken == 2 * r.size}
+    assert all(bool(r.slots) == bool(r.taken) for r in got)
+    for source in "ab":
+        mine = sorted((r for r in got if r.source == source and r.slots), key=lambda r: hashlib.md5(str(r.doc_id).encode()).hexdigest())
+        line = [r.slots[0] for r in mine] + [r.slots[1] for r in mine if len(r.slots) > 1]
+        assert line == sorted(line) and len(mine) > 10
+    firsts = [r.source for r in sorted((r for r in got if r.slots), key=lambda r: r.slots[0])]
+    assert {*firsts[:6]} == {"a", "b"}
+
+
+def test_mix_of_many_sources_and_repeated_rows(spark):
+    rows = [(None if k % 7 == 0 else k % 90, " ".join(["w"] * (k % 40)), f"host{k % 50}" if k % 50 else None) for k in range(400)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = mixing.mix(docs)
+    check_mix(got.collect())
+    pick = ["doc_id", "source", "size", "taken", "slots"]
+    assert got.select(pick).exceptAll(mixing.mix(docs.repartition(6)).select(pick)).count() == 0
+
+
 def test_mix_without_words(spark, edge):
     rows = mixing.mix(edge.filter("text IS NULL OR trim(text) = ''")).collect()
     assert rows and all(r.taken == 0 for r in rows)

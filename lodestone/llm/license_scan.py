@@ -17,11 +17,12 @@ import random
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from lodestone.llm.common import table
+from lodestone.llm.common import materialize, table
 
 SHINGLE, CONTAINED, BANDS = 5, 0.8, 96
 _random = random.Random(8)
 MOST_BROADCAST = 1000  # templates; more are joined by shuffling
+MOST_LITERAL = 100_000  # template shingles that a plan's literal may hold; more are joined
 SEEDS = tuple(_random.getrandbits(64) - 2**63 for _ in range(BANDS))
 
 # Notices by which public licenses are referred to, as (license, text).
@@ -65,28 +66,41 @@ def template_table(spark: SparkSession, templates: tuple[tuple[str, str], ...] =
     return spark.createDataFrame(rows, "template_id int, license string, text string")
 
 
+def templates_from(spark: SparkSession, folder: str) -> DataFrame:
+    """A template table of the whole license texts in the files of a folder, each named by its license."""
+    files = spark.read.text(folder, wholetext=True).select(F.regexp_extract(F.input_file_name(), r"([^/]+?)(\.txt)?$", 1).alias("license"), F.col("value").alias("text"))
+    return files.select(F.xxhash64("license").alias("template_id"), "license", "text")
+
+
 def license_scan(docs: DataFrame, templates: DataFrame) -> DataFrame:
     """doc_id, template_id, license, start, containment: every window of a text that contains at least CONTAINED of a template.
 
     docs has doc_id and text, templates template_id, license and text; templates under five words match nothing. start
     is the window's first word. Null and empty texts match nothing; repeated rows give repeated matches. Other columns
-    are ignored. The templates are few by contract: their shingles become a literal of the plan.
+    are ignored. Up to MOST_LITERAL shingles of templates become one literal of the plan, more are joined; up to MOST_BROADCAST
+    templates are broadcast, more are joined by shuffling.
     """
     known = shingled(templates.select("template_id", "license", "text"), "text").select("template_id", "license", F.array_distinct("shingles").alias("wanted"))
     known = known.filter(F.size("wanted") > 0).withColumn("class", size_class(F.size("wanted")))
-    rows = known.collect()
-    spark, every = docs.sparkSession, sorted({s for r in rows for s in r.wanted})
-    known = spark.createDataFrame([tuple(r) for r in rows], known.schema)
-    literal = F.array(*map(F.lit, every)).cast("array<bigint>")
-    texts = shingled(docs.select("doc_id", "text"), "text").filter(F.arrays_overlap("shingles", literal) & (F.col("_row") >= 0))
-    classes = F.array(*[F.lit(c) for c in sorted({r["class"] for r in rows})]).cast("array<int>")
+    known = materialize(known, "templates")
+    n, total, sizes = known.agg(F.count("*"), F.coalesce(F.sum(F.size("wanted")), F.lit(0)), F.collect_set("class")).first()
+    texts, literal = shingled(docs.select("doc_id", "text"), "text").drop("text"), None
+    if total <= MOST_LITERAL:
+        every = known.select(F.explode("wanted").alias("s")).distinct().collect()
+        literal = F.from_json(F.lit(str(sorted(r.s for r in every))), "array<bigint>")
+        texts = texts.filter(F.arrays_overlap("shingles", literal) & (F.col("_row") >= 0))
+    else:
+        texts = materialize(texts, "shingled")  # so that row numbers are the same in both uses
+        held = texts.select("_row", F.explode(F.array_distinct("shingles")).alias("s")).join(known.select(F.explode("wanted").alias("s")).distinct(), "s", "left_semi")
+        texts = texts.join(held.select("_row").distinct(), "_row", "left_semi")
+    classes = F.array(*[F.lit(c) for c in sorted(sizes)]).cast("array<int>")
     windows = texts.withColumn("class", F.explode(classes))
     windows = windows.withColumn("start", F.explode(F.sequence(F.lit(0), F.size("shingles") - 1, F.col("class"))))
     windows = windows.select("doc_id", "class", "start", F.array_distinct(F.slice("shingles", F.col("start") + 1, 2 * F.col("class"))).alias("held"), F.monotonically_increasing_id().alias("window"))
-    windows = windows.filter(F.arrays_overlap("held", literal))
+    windows = windows.filter(F.arrays_overlap("held", literal)) if literal is not None else windows
     banded = lambda df, of: df.select("*", F.posexplode(minima(F.col(of))).alias("band", "hash"))
     asked = banded(known, "wanted")
-    asked = F.broadcast(asked) if len(rows) <= MOST_BROADCAST else asked
+    asked = F.broadcast(asked) if n <= MOST_BROADCAST else asked
     retrieved = banded(windows, "held").join(asked, ["class", "band", "hash"])
     pairs = retrieved.dropDuplicates(["window", "template_id"])
     share = F.size(F.array_intersect("held", "wanted")) / F.size("wanted")

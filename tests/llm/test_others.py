@@ -192,6 +192,23 @@ def test_toxicity_learns(spark, edge, none):
     assert toxicity.score(edge, toxicity.train(docs, known.limit(0))).filter("p_toxic BETWEEN 0 AND 1").count() == edge.count()
 
 
+def test_whole_license_texts(spark, tmp_path, monkeypatch):
+    """Templates of thousands of words, found where at least 80 % of their shingles lie within a window; both ways to filter."""
+    rng = np.random.default_rng(4)
+    draw = lambda n: [f"w{k}" for k in rng.integers(0, 5000, n)]
+    texts = {"Long-1.0": draw(3000), "Short-2.0": draw(200)}
+    for name, made in texts.items():
+        (tmp_path / f"{name}.txt").write_text(" ".join(made))
+    known = license_scan.templates_from(spark, str(tmp_path))
+    filler = draw(700)
+    rows = [(1, [*filler, *texts["Long-1.0"], *filler]), (2, [*filler[:33], *texts["Short-2.0"]]), (3, texts["Long-1.0"][:1500]), (4, filler), (5, [*texts["Long-1.0"][:2900], *filler])]
+    docs = spark.createDataFrame([(k, " ".join(t)) for k, t in rows], "doc_id long, text string")
+    for most in (license_scan.MOST_LITERAL, 10):
+        monkeypatch.setattr(license_scan, "MOST_LITERAL", most)
+        found = license_scan.license_scan(docs, known)
+        assert {(r.doc_id, r.license) for r in found.collect()} == {(1, "Long-1.0"), (2, "Short-2.0"), (5, "Long-1.0")}
+
+
 def letters_of(text):
     """A text's distinct words by brute force: runs of a-z and bytes above 127 after lower-casing A-Z."""
     return set(re.findall(rb"[a-z\x80-\xff]+", (text or "").encode().lower()))

@@ -13,11 +13,11 @@ Pieces are written to the shared folder between the stages, so that a lost execu
 from __future__ import annotations
 
 import os
-import re
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +26,8 @@ from lodestone.llm.common import materialize, table
 WINDOW, OPEN, MERGE = 4096, 32, 64
 END_ID = 2
 CACHE_WORDS, BATCH_RUNS = 1_200_000, 4096
-MARK = re.compile(rb"(?<=[a-z])(?=[.,;:!?|#*])")
+SLICE_BYTES = 8 << 20
+MARK = r"([a-z])([.,;:!?|#*])"
 TOKENIZER = "word_bpe_49k.json"
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -36,11 +37,12 @@ Piece = tuple[object, int, bytes, int]  # doc_id, start, ids, doc_tokens
 
 
 class Encoder:
-    """Little-endian 32-bit ids of whole texts.
+    """32-bit ids of whole texts.
 
     The tokenizer lower-cases, drops white space and never joins letters with white space or with the marks in MARK, so
-    runs between these are encoded once and remembered by the worker process (CACHE_WORDS of them, then anew).
-    Runs of letters are one unit to the tokenizer each and are encoded many at a time.
+    runs between these are encoded once and remembered by the worker process (CACHE_WORDS of them, then anew): a run's
+    ids are a stretch of one array. A slice of texts is split into runs and its distinct runs are looked up, both
+    without a loop over words. Runs of letters are one unit to the tokenizer each and are encoded many at a time.
     """
 
     shared: dict[str, "Encoder"] = {}
@@ -49,7 +51,13 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"  # the task's core is the only one it owns
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_file(path), {}
+        self.tokenizer = Tokenizer.from_file(path)
+        self.forget()
+
+    def forget(self) -> None:
+        """Known runs by number; the first two are the empty run and the end of a text."""
+        self.known = {"": 0}
+        self.flat, self.first = np.array([END_ID], "<u4"), np.array([0, 0, 1])
 
     @classmethod
     def of(cls, path: str) -> "Encoder":
@@ -58,41 +66,68 @@ class Encoder:
         return cls.shared[path]
 
     @staticmethod
-    def runs(text: str) -> list[bytes]:
-        data = text.encode("utf-8", "replace")
-        if b"<|" in data:  # a special token must not be made by lower-casing, nor cut
-            return data.split()
-        return MARK.sub(b" ", data.lower()).split()
-
-    def learn(self, runs: list[bytes]) -> None:
-        letters = [r for r in runs if r.isalpha() or (not r.isascii() and r.decode().isalpha())]
-        for at in range(0, len(letters), BATCH_RUNS):
-            part = letters[at : at + BATCH_RUNS]
-            found = self.tokenizer.encode(b" ".join(part).decode(), add_special_tokens=False)
-            ids, unit = np.array(found.ids, "<u4").tobytes(), np.array(found.word_ids)
-            cuts = [0, *(4 * (np.flatnonzero(np.diff(unit)) + 1)).tolist(), len(ids)]
+    def runs(texts: pa.Array) -> pa.ListArray:
+        """The runs of each text. A special token must not be made by lower-casing, nor cut: texts that may hold one are split at white space only."""
+        cut = pc.replace_substring_regex(pc.ascii_lower(texts), MARK, r"\1 \2")
+        special = pc.match_substring(texts, "<|")
+        return pc.ascii_split_whitespace(pc.if_else(special, texts, cut) if pc.any(special).as_py() else cut)
+
+    def learn(self, runs: pa.Array) -> None:
+        """Remember the ids of new, distinct runs."""
+        letters = pc.utf8_is_alpha(runs)
+        words, rest = runs.filter(letters).to_pylist(), runs.filter(pc.invert(letters)).to_pylist()
+        names: list[str] = []
+        ids: list[np.ndarray] = []
+        sizes: list[np.ndarray] = []
+        for at in range(0, len(words), BATCH_RUNS):
+            part = words[at : at + BATCH_RUNS]
+            found = self.tokenizer.encode(" ".join(part), add_special_tokens=False)
+            made, unit = np.array(found.ids, "<u4"), np.array(found.word_ids)
+            cuts = np.concatenate(([0], np.flatnonzero(np.diff(unit)) + 1, [len(made)]))
             if len(cuts) == len(part) + 1:
-                self.known.update(zip(part, map(ids.__getitem__, map(slice, cuts[:-1], cuts[1:])), strict=True))
-        rest = [r for r in runs if r not in self.known]
-        for run, found in zip(rest, self.tokenizer.encode_batch_fast([r.decode() for r in rest], add_special_tokens=False), strict=True):
-            self.known[run] = np.array(found.ids, "<u4").tobytes()
+                names += part
+                ids.append(made)
+                sizes.append(np.diff(cuts))
+            else:
+                rest += part
+        for at in range(0, len(rest), BATCH_RUNS):
+            made = [np.array(x.ids, "<u4") for x in self.tokenizer.encode_batch_fast(rest[at : at + BATCH_RUNS], add_special_tokens=False)]
+            ids += made
+            sizes.append(np.array([len(x) for x in made]))
+        names += rest
+        self.known.update(zip(names, range(len(self.first) - 1, len(self.first) - 1 + len(names)), strict=True))
+        self.first = np.concatenate([self.first, self.first[-1] + np.cumsum(np.concatenate(sizes))])
+        self.flat = np.concatenate([self.flat, *ids])
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts, each text's followed by END_ID; offsets of the texts into them). No text is null."""
+        if len(self.known) > CACHE_WORDS:
+            self.forget()
+        split = self.runs(texts)
+        ends = split.offsets.to_numpy()
+        coded = split.flatten().dictionary_encode()
+        distinct = coded.dictionary
+        number = np.array([self.known.get(r, -1) for r in distinct.to_pylist()], np.int64)
+        new = np.flatnonzero(number < 0)
+        if len(new):
+            asked = distinct.take(pa.array(new))
+            self.learn(asked)
+            number[new] = [self.known[r] for r in asked.to_pylist()]
+        number = np.append(number, 1)
+        first = self.first[number]
+        size = self.first[number + 1] - first
+        runs = np.insert(coded.indices.to_numpy(), ends[1:] - ends[0], len(number) - 1)
+        sizes = size[runs]
+        upto = np.cumsum(sizes)
+        at = np.repeat(first[runs] - upto + sizes, sizes)
+        at += np.arange(len(at))
+        last = ends[1:] - ends[0] + np.arange(len(texts))
+        return self.flat[at], np.concatenate(([0], upto[last])).astype(np.int64)
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        if len(self.known) > CACHE_WORDS:
-            self.known = {}
-        split = [self.runs(t) for t in texts]
-        found = [list(map(self.known.get, runs)) for runs in split]
-        holes: list[tuple[int, int]] = []
-        for k, parts in enumerate(found):
-            at = -1
-            for _ in range(parts.count(None)):
-                at = parts.index(None, at + 1)
-                holes.append((k, at))
-        if holes:
-            self.learn(list({split[k][at] for k, at in holes}))
-            for k, at in holes:
-                found[k][at] = self.known[split[k][at]]
-        return [b"".join(parts) for parts in found]
+        """Little-endian ids of each text, without END_ID."""
+        ids, ends = self.ids(pa.array(texts, pa.string()))
+        return [ids[a : b - 1].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
 
 
 class Packer:
@@ -172,14 +207,19 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     def first(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        encoder, packer, end = Encoder.of(tokenizer_path), Packer(), np.array([END_ID], "<u4").tobytes()
+        encoder, packer = Encoder.of(tokenizer_path), Packer()
         base = TaskContext.get().partitionId() << 40
         number = 0
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                part = batch.slice(at, 256)
-                for doc, ids in zip(part.column(0).to_pylist(), encoder.encode([t or "" for t in part.column(1).to_pylist()]), strict=True):
-                    packer.add((doc, 0, ids + end, len(ids) // 4 + 1))
+            texts = pc.fill_null(batch.column(1), "")
+            upto = pc.cumulative_sum(pc.cast(pc.binary_length(texts), pa.int64())).to_numpy()
+            at = 0
+            while at < batch.num_rows:
+                end = max(at + 1, int(np.searchsorted(upto, (upto[at - 1] if at else 0) + SLICE_BYTES, "right")))
+                ids, ends = encoder.ids(texts.slice(at, end - at))
+                for doc, first, last in zip(batch.column(0).slice(at, end - at).to_pylist(), ends[:-1].tolist(), ends[1:].tolist(), strict=True):
+                    packer.add((doc, 0, ids[first:last].tobytes(), last - first))
+                at = end
                 if packer.done:
                     yield rows(packer.done, base + number, False)
                     number, packer.done = number + len(packer.done), []
@@ -197,7 +237,7 @@ def pack(docs: DataFrame, tokenizer_path: str) -> DataFrame:
         pour(list(zip(*columns, strict=True)), done, tuple(2**k for k in range(WINDOW.bit_length() - 1, -1, -1)))
         return pa.Table.from_batches([rows(done, (1 << 62) + (key[0].as_py() << 40), False)])
 
-    packed = materialize(docs.select("doc_id", "text").mapInArrow(first, DDL), "packed")
+    packed = materialize(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(first, DDL), "packed")
     groups = packed.filter("left").withColumn("group", F.shiftright("sequence_id", 40 + MERGE.bit_length() - 1))
     poured = groups.groupBy("group").applyInArrow(merge, DDL)
     return packed.filter("not left").unionByName(poured).drop("left")

@@ -19,7 +19,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-STEP, DEPTH = 25, 8
+STEP, DEPTH = 40, 5
 DEAL_BITS = 11
 _LOW = np.uint32((1 << DEAL_BITS) - 1)
 
@@ -37,38 +37,36 @@ class Transform:
 
 def _dealt(symbols: np.ndarray) -> np.ndarray:
     """The stable order of symbols (nonzero ranks), dealt by DEAL_BITS bits at a time; Arrow orders so narrow a range by counting."""
-    rest = symbols.astype(np.uint32)
-    order = np.arange(len(rest), dtype=np.uint64)
-    while True:
+    rest = symbols.astype(np.uint32, copy=False)
+    order = pc.array_sort_indices(pa.array(rest & _LOW)).to_numpy().astype(np.int32)
+    while (rest := rest >> np.uint32(DEAL_BITS)).any():
         order = order[pc.array_sort_indices(pa.array((rest & _LOW)[order])).to_numpy()]
-        rest = rest >> np.uint32(DEAL_BITS)
-        if not rest.any():
-            return order.astype(np.int64)
+    return order
 
 
 def _refined(symbols: np.ndarray, blocks: np.ndarray, empty: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(indices into symbols of the non-empty suffixes in the new order, new blocks, where blocks begin)."""
-    has = np.flatnonzero(symbols)
+    has = np.flatnonzero(symbols).astype(np.int32)
     moved = has[_dealt(symbols[has])]
     c, b = symbols[moved], blocks[moved]
     begins = np.ones(empty + len(moved), bool)
     begins[1:empty] = False
     begins[empty + 1 :] = (c[1:] != c[:-1]) | (b[1:] != b[:-1])
-    return moved, np.cumsum(begins), begins
+    return moved, np.cumsum(begins, dtype=np.int32), begins
 
 
 def transform(ranks: np.ndarray, first: np.ndarray, last: np.ndarray) -> Transform:
-    """Of the strings ranks[first[k] : last[k]], whose final STEP places are the empty suffixes. ranks: of the grams, from 1."""
+    """Of the strings (under 2**31 places in all) ranks[first[k] : last[k]], whose final STEP places are the empty suffixes. ranks: of the grams, from 1."""
     lengths = last - first
-    inside = np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-    position = inside + np.repeat(first, lengths)
+    inside = (np.arange(lengths.sum()) - np.repeat(np.cumsum(lengths) - lengths, lengths)).astype(np.int32)
+    position = inside + np.repeat(first, lengths).astype(np.int32)
     is_empty = inside >= np.repeat(lengths, lengths) - STEP
     empty = int(is_empty.sum())
-    before = np.where(inside >= STEP, ranks[position - STEP], 0)
-    start = np.concatenate((np.flatnonzero(is_empty), np.flatnonzero(~is_empty)))
+    before = np.where(inside >= STEP, ranks[position - STEP], 0).astype(np.uint32)
+    start = np.concatenate((np.flatnonzero(is_empty), np.flatnonzero(~is_empty))).astype(np.int32)
     order = start
-    previous = np.where(inside >= STEP, np.arange(len(position)) - STEP, -1)
-    blocks, common = np.ones(len(order), np.int64), np.zeros(len(order), np.int8)
+    previous = np.where(inside >= STEP, np.arange(len(position), dtype=np.int32) - np.int32(STEP), np.int32(-1))
+    blocks, common = np.ones(len(order), np.int32), np.zeros(len(order), np.int8)
     for t in range(DEPTH):
         moved, blocks, begins = _refined(before[order], blocks, empty)
         order = np.concatenate((start[:empty], previous[order[moved]]))
@@ -81,7 +79,7 @@ def merge(a: Transform, b: Transform) -> Transform:
     head = np.concatenate((np.zeros(a.empty, bool), np.ones(b.empty, bool)))
     bits = np.concatenate((head, np.zeros(len(a.order) - a.empty, bool), np.ones(len(b.order) - b.empty, bool)))
     symbols = np.empty(len(bits), a.before.dtype)
-    blocks, common = np.ones(len(bits), np.int64), np.zeros(len(bits), np.int8)
+    blocks, common = np.ones(len(bits), np.int32), np.zeros(len(bits), np.int8)
     for t in range(DEPTH):
         symbols[~bits], symbols[bits] = a.before, b.before
         moved, blocks, begins = _refined(symbols, blocks, len(head))

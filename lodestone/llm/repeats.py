@@ -42,12 +42,14 @@ _FULL = _U(0xFFFFFFFF)
 
 
 def gram_ranks(data: np.ndarray, size: int = bwt.STEP, hashes: np.ndarray | None = None) -> np.ndarray:
-    """A rank (from 1) of the size bytes from each place of data on, equal for equal bytes only; 16 < size <= 32."""
+    """A rank (from 1) of the size bytes from each place of data on, equal for equal bytes only; size is from 9 to 512."""
     if len(data) < size:
         return np.zeros(0, np.int64)
-    halves = grams(data, 16) if hashes is None else None
-    hashes = mix64(halves[: len(data) - size + 1] * _U(3) + halves[size - 16 :]) if hashes is None else hashes
-    order = np.argsort(hashes, kind="stable")
+    if hashes is None:
+        half = 1 << ((size - 1).bit_length() - 1)
+        halves = grams(data, half)
+        hashes = mix64(halves[: len(data) - size + 1] * _U(3) + halves[size - half :])
+    order = np.argsort(hashes)
     change = hashes[order[1:]] != hashes[order[:-1]]
     rows = np.lib.stride_tricks.as_strided(data, (len(data) - size + 1, size), (1, 1))
     same = np.flatnonzero(~change)
@@ -74,7 +76,8 @@ def smallest(keys: np.ndarray, width: int) -> np.ndarray:
 def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """doc_id, text_key, text -> doc_id, text_key, anchor, c1, c2, first, last, place: the contexts of each text.
 
-    Windows first..last of a text share an anchor that starts at first + place; c1 and c2 are the digest of their bytes and place.
+    Windows first..last of a text share an anchor that starts at first + place; c1 and c2 are the digest of their bytes,
+    which settle the place too.
     """
     names = ["doc_id", "text_key", "anchor", "c1", "c2", "first", "last", "place"]
     for batch in batches:
@@ -96,8 +99,8 @@ def contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             last = np.flatnonzero(stop)
             doc, at = doc[first], anchor[first]
             raw = data.tobytes()
-            ends = zip(first.tolist(), (last + LENGTH).tolist(), (at - first).tolist(), strict=True)
-            content = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16, key=b"%d" % place).digest() for a, b, place in ends]), np.int64).reshape(-1, 2)
+            ends = zip(first.tolist(), (last + LENGTH).tolist(), strict=True)
+            content = np.frombuffer(b"".join([blake2b(raw[a:b], digest_size=16).digest() for a, b in ends]), np.int64).reshape(-1, 2)
             found = [batch.column(k).take(pa.array(row + doc)) for k in (0, 1)]
             found += [pa.array(hashes[at].view(np.int64)), *(pa.array(np.ascontiguousarray(content[:, k])) for k in (0, 1))]
             found += [pa.array((first - offsets[doc]).astype(np.int32)), pa.array((last - offsets[doc]).astype(np.int32)), pa.array((at - first).astype(np.int32))]

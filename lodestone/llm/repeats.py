@@ -202,7 +202,7 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def repeated_runs(docs: DataFrame) -> DataFrame:
-    """doc_id, text_key, first, last: windows (by start byte, inclusive) of each text that start anywhere else too."""
+    """doc_id, text_key, first, last, way: windows (by start byte, inclusive) of each text that start anywhere else too, and how they were found."""
     texts = keyed(docs).drop("named")
     made = texts.mapInArrow(contexts, "doc_id long, text_key long, anchor long, c1 long, c2 long, first int, last int, place int")
     every = materialize(made, "contexts")
@@ -226,7 +226,9 @@ def repeated_runs(docs: DataFrame) -> DataFrame:
     cells = max(1, ceil((rare.agg(F.sum(size)).first()[0] or 0) / CELL_BYTES))
     rare = rare.select("doc_id", "text_key", *key, "first", "bytes", F.pmod(F.xxhash64("anchor"), F.lit(cells)).alias("cell"))
     merged = rare.groupBy("cell").applyInArrow(repeats_of_cell, INTERVALS)
-    return whole.unionByName(merged).unionByName(repeats_of_common(common))
+    ways = {"equal contexts": whole, "merged transforms": merged, "runs of common anchors": repeats_of_common(common)}
+    found = [df.withColumn("way", F.lit(way)) for way, df in ways.items()]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
 def remove_repeats(docs: DataFrame) -> DataFrame:

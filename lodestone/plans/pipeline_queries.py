@@ -44,7 +44,8 @@ def recommend(spark: SparkSession, d: str) -> DataFrame:
     rows = rows.withColumn("dense", F.col("fused") / best)
     local = S.prerank_score({"title": F.col("dense"), "source": F.lit(1.0) / 3, "citation": S.citation_score(F.col("n_chars")), "dense": F.col("dense")})
     rows = hooks.reviewed(rows.withColumn("local", local), "item_id", "local")
-    final = S.final_score({"level": S.level_score(F.col("level")), "prerank": F.col("local"), "dense": F.col("dense"), "authority": S.citation_score(F.col("n_chars"))})
+    parts = S.final_subscores({"level": F.col("level"), "prerank": F.col("local"), "dense": F.col("dense"), "citations": F.col("n_chars")})
+    final = S.paper_score(parts, F.lit(0.0))
     p = S.calibrated(F.col("probability"), F.col("level"), F.col("local"), F.lit(2))
     scored = rows.withColumns({"final_score": F.round(final, 6), "p": p})
     order = ranked(scored, ["item_id"], [F.desc("final_score"), "doc_id"])

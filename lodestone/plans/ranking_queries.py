@@ -89,19 +89,29 @@ def prerank(spark: SparkSession, d: str) -> DataFrame:
 
 
 def final(spark: SparkSession, d: str) -> DataFrame:
-    """Final scores with levels from the pre-rank score, ranked within brands."""
+    """Final scores from all subscores, both weight sets, bonuses and caps, ranked within brands."""
     rows, f = _features(spark, d)
-    rows = rows.withColumn("prerank", S.prerank_score(f)).withColumn("level", S.level_of_score(F.col("prerank")))
-    score = S.final_score({"level": S.level_score(F.col("level")), "prerank": F.col("prerank"), "dense": f["dense"], "constraint": f["constraint"], "recency": f["recency"], "authority": f["citation"]})
+    k, size = F.col("p_partkey"), F.col("p_size")
+    path = F.slice(F.array(F.lit("provider:a"), F.lit("route:title_like"), F.lit("route:biomedical")), F.lit(1), (k % 4).cast("int"))
+    rows = rows.withColumns({"prerank": S.prerank_score(f), "path": F.when(k % 10 == 0, F.array(F.lit("title_exact"))).otherwise(path), "dense": f["dense"], "vector": (size - 25).cast("double")})
+    rows = rows.withColumns({"level": S.level_of_score(F.round(F.col("prerank") * (k % 3) / 2, 12)), "dense": S.dense_of_pool(F.col("dense"), F.col("vector"), "p_brand")})
+    text = F.concat(F.col("p_name"), F.when(k % 5 == 0, " RNA therapy").when(k % 5 == 1, " mRNA").otherwise(""))
+    parts = S.final_subscores({
+        "level": F.col("level"), "dense": F.col("dense"), "vector": F.col("vector"), "matched": size % 4, "missing": size % 3, "evidence": F.when(size % 5 > 0, (size % 10) / 8), "quotes": k % 2,
+        "path": F.col("path"), "year": F.col("year") + 20, "citations": F.col("citations"), "linked": k % 3 == 0, "listwise": F.when(k % 7 < 3, (k % 7) / 7), "prerank": F.col("prerank"),
+    })
+    score = S.paper_score(parts, S.title_bonus(F.col("path")), S.biomedical_bonus(F.col("path"), F.col("level"), text), F.when(k % 11 == 0, F.lit(0.4)))
     out = rows.select("p_brand", "p_partkey", "level", F.round(score, 6).alias("score"))
     return ranked(out, ["p_brand"], [F.desc("score"), "p_partkey"], 10)
 
 
 def calibrate(spark: SparkSession, d: str) -> DataFrame:
+    """Every level, with and without a prior, local signals and a confidence."""
     rows = table(spark, d, "customer").withColumn("s", (F.col("c_acctbal") + 1000) / 12000)
-    level = F.when(F.col("c_custkey") % 4 == 0, "high").when(F.col("c_custkey") % 4 == 1, "medium").when(F.col("c_custkey") % 4 == 2, "low").otherwise("irrelevant")
-    local = (F.col("c_custkey") % 10) / 10
-    return rows.select("c_custkey", F.round(S.logistic(F.col("s")), 6).alias("logistic"), S.calibrated(F.col("s"), level, local, F.col("c_custkey") % 3).alias("calibrated"))
+    k = F.col("c_custkey")
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "irrelevant", "unknown"))), (k % 5 + 1).cast("int"))
+    prior, local, sure = F.when(k % 7 > 0, F.col("s")), F.when(k % 3 > 0, (k % 10) / 10), F.when(k % 4 == 0, (k % 11) / 10)
+    return rows.select("c_custkey", F.round(S.logistic(F.col("s")), 6).alias("logistic"), S.calibrated(prior, level, local, k % 3, sure).alias("calibrated"))
 
 
 def validate(spark: SparkSession, d: str) -> DataFrame:
@@ -281,13 +291,28 @@ QUERIES = {
 }
 
 _RRF = "SELECT * FROM (SELECT p_brand, partkey, score, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, partkey) AS rank FROM (SELECT p_brand, partkey, round(sum({0} / (60 + rank)), 9) AS score FROM l {1} GROUP BY 1, 2)) WHERE rank <= 10"
-_FINAL = f"""WITH {PART_STATS_SQL}, {FEATURES_SQL}, lv AS (SELECT *, CASE WHEN prerank >= 0.5 THEN 'high' WHEN prerank >= 0.2 THEN 'medium' WHEN prerank >= 0.08 THEN 'low' ELSE 'irrelevant' END AS level FROM pr),
-s AS (SELECT p_brand, p_partkey, level, round(least(1, greatest(0, (CASE level WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.55 WHEN 'low' THEN 0.15 ELSE 0 END)::DOUBLE * 0.22 + prerank * 0.18 + coalesce(dense, 0) * 0.14 + coalesce(constr, 0) * 0.15 + recency * 0.04 + citation * 0.03)), 6) AS score FROM lv)
+_FINAL = f"""WITH {PART_STATS_SQL}, {FEATURES_SQL}, x AS (SELECT *, p_partkey AS k, CASE WHEN p_partkey % 10 = 0 THEN ['title_exact'] ELSE list_slice(['provider:a', 'route:title_like', 'route:biomedical'], 1, p_partkey % 4) END AS path,
+  lower(p_name || CASE p_partkey % 5 WHEN 0 THEN ' RNA therapy' WHEN 1 THEN ' mRNA' ELSE '' END) AS words, round(prerank * (p_partkey % 3) / 2, 12) AS r, max(CASE WHEN dense IS NULL AND p_size > 25 THEN p_size - 25 END) OVER (PARTITION BY p_brand) AS best FROM pr),
+lv AS (SELECT *, CASE WHEN r >= 0.5 THEN 'high' WHEN r >= 0.2 THEN 'medium' WHEN r >= 0.08 THEN 'low' ELSE 'irrelevant' END AS level, CASE WHEN k % 7 < 3 THEN (k % 7) / 7 ELSE 0 END AS listwise FROM x),
+sub AS (SELECT *, CASE level WHEN 'high' THEN 1.0 WHEN 'medium' THEN 0.55 WHEN 'low' THEN 0.15 ELSE 0.0 END::DOUBLE AS relevance, coalesce(dense, CASE WHEN best IS NOT NULL THEN least((p_size - 25) / best, 1) END, p_size - 25)::DOUBLE AS bge,
+  CASE WHEN p_size % 4 + p_size % 3 > 0 THEN (p_size % 4) / (p_size % 4 + p_size % 3) WHEN level IN ('high', 'medium') THEN 1 ELSE 0.5 END::DOUBLE AS coverage,
+  CASE WHEN p_size % 5 > 0 AND p_size % 10 > 0 THEN least((p_size % 10) / 8, 1) WHEN level IN ('high', 'medium') AND k % 2 > 0 THEN 1 ELSE 0 END::DOUBLE AS evidence,
+  CASE WHEN len(path) = 0 THEN 0.5 ELSE least(len(path) / 2, 1) END::DOUBLE AS agreement, CASE WHEN year IS NULL THEN 0.5 ELSE greatest(0, 1 - (2026 - (year + 20)) * 0.1::DOUBLE) END::DOUBLE AS fresh,
+  least(citations / 100, 1)::DOUBLE AS authority, CASE WHEN k % 3 = 0 THEN 1 ELSE 0 END AS graph, CASE WHEN list_contains(path, 'title_exact') THEN 0.10 WHEN list_contains(path, 'route:title_like') THEN 0.03 ELSE 0 END::DOUBLE AS titles,
+  CASE WHEN NOT list_contains(path, 'route:biomedical') OR NOT contains(words, 'rna') THEN 0 WHEN level = 'high' THEN CASE WHEN contains(words, 'rna therap') THEN 0.18 ELSE 0.08 END
+    WHEN level = 'medium' THEN CASE WHEN contains(words, 'rna therap') THEN 0.09 ELSE 0.04 END ELSE 0 END::DOUBLE AS biomedical FROM lv),
+w AS (SELECT *, CASE WHEN listwise > 0 THEN 0.50::DOUBLE * listwise + 0.15 * relevance + 0.12 * coverage + 0.08 * evidence + 0.05 * agreement + 0.04 * bge + 0.02 * fresh + 0.02 * authority + 0.02::DOUBLE * graph + titles
+  ELSE 0.22 * relevance + 0.18 * prerank + 0.14 * bge + 0.15 * coverage + 0.10 * agreement + 0.09 * evidence + 0.04 * fresh + 0.03 * authority + 0.05::DOUBLE * graph + titles + biomedical END AS total FROM sub),
+s AS (SELECT p_brand, p_partkey, level, round(least(greatest(least(total, 1), 0), CASE WHEN k % 11 = 0 THEN 0.4 ELSE 1 END::DOUBLE), 6) AS score FROM w)
 SELECT p_brand, p_partkey, level, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, p_partkey) AS rank FROM s) WHERE rank <= 10"""
-_CALIBRATE = """WITH x AS (SELECT c_custkey, (c_acctbal + 1000) / 12000 AS s, ['high', 'medium', 'low', 'irrelevant'][c_custkey % 4 + 1] AS level, (c_custkey % 10) / 10 AS local, CASE WHEN c_custkey % 3 < 2 THEN 0.65 ELSE 0.55 END::DOUBLE AS a FROM customer),
-y AS (SELECT *, a * s + (1 - a) * local AS f, (CASE level WHEN 'high' THEN 0.8 WHEN 'medium' THEN 0.4 WHEN 'low' THEN 0.08 ELSE 0.0 END)::DOUBLE - 0.05 AS lo, (CASE level WHEN 'high' THEN 0.95 WHEN 'medium' THEN 0.7 WHEN 'low' THEN 0.25 ELSE 0.08 END)::DOUBLE + 0.05 AS hi FROM x),
-z AS (SELECT *, least(hi, greatest(lo, f)) AS h FROM y), w AS (SELECT *, CASE WHEN local < 0.35 AND level IN ('low', 'medium') THEN least(h, 0.3, 1.15 * s) ELSE h END AS h2 FROM z)
-SELECT c_custkey, round(1 / (1 + exp(-(s - 0.5) / 0.12)), 6) AS logistic, round(least(1, greatest(0, CASE level WHEN 'low' THEN least(h2, 0.15) WHEN 'irrelevant' THEN least(h2, 0.05) ELSE h2 END)), 4)::DOUBLE AS calibrated FROM w"""
+_CALIBRATE = """WITH x AS (SELECT c_custkey AS k, (c_acctbal + 1000) / 12000 AS s, ['high', 'medium', 'low', 'irrelevant', 'unknown'][c_custkey % 5 + 1] AS level FROM customer),
+r(level, lo, hi) AS (VALUES ('high', 0.80::DOUBLE, 0.95::DOUBLE), ('medium', 0.40, 0.70), ('low', 0.08, 0.25), ('irrelevant', 0.0, 0.08), ('unknown', 0.0, 0.1)),
+y AS (SELECT x.*, lo, hi, CASE WHEN k % 7 > 0 THEN s END AS model, CASE WHEN k % 3 > 0 THEN (k % 10) / 10 ELSE (lo + hi) / 2 END AS local,
+  CASE WHEN k % 4 = 0 THEN least(greatest(0.3::DOUBLE + 0.4::DOUBLE * ((k % 11) / 10), 0.3::DOUBLE), 0.8::DOUBLE) ELSE 0.55::DOUBLE END AS a0 FROM x JOIN r USING (level)),
+z AS (SELECT *, CASE WHEN k % 3 < 2 THEN greatest(a0, 0.65::DOUBLE) ELSE a0 END AS a FROM y),
+f AS (SELECT *, least(least(1, hi + 0.05::DOUBLE), greatest(greatest(0, lo - 0.05::DOUBLE), a * coalesce(model, (lo + hi) / 2) + (1 - a) * local)) AS fused FROM z),
+c AS (SELECT *, CASE WHEN coalesce(model, fused) < 0.35 AND level IN ('low', 'medium', 'unknown') THEN least(greatest(least(fused, 0.30, coalesce(model * 1.15::DOUBLE, 1)), 0), hi + 0.05::DOUBLE) ELSE fused END AS cooled FROM f)
+SELECT k AS c_custkey, round(1 / (1 + exp(-(s - 0.5) / 0.12)), 6) AS logistic, round(CASE level WHEN 'low' THEN least(cooled, 0.15) WHEN 'irrelevant' THEN least(cooled, 0.05) ELSE cooled END, 4)::DOUBLE AS calibrated FROM c"""
 _GAP = f"""WITH {CUSTOMER_SCORES_SQL}, g AS (SELECT *, score - lead(score) OVER (PARTITION BY o_custkey ORDER BY rank) AS gap FROM scores),
 b AS (SELECT o_custkey, rank AS spot, row_number() OVER (PARTITION BY o_custkey ORDER BY gap DESC, rank) AS nth FROM g WHERE gap > 0.08 AND gap / greatest(score, 1e-6) > 0.10 AND rank <= 25)
 SELECT s.o_custkey, CASE WHEN spot IS NOT NULL THEN least(20, greatest(2, spot)) END AS k FROM (SELECT DISTINCT o_custkey FROM scores) s LEFT JOIN b ON b.o_custkey = s.o_custkey AND nth = 1"""

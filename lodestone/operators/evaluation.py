@@ -4,9 +4,129 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import corpus_id, identifier, title_key
+from lodestone.operators.resolve import components
+
+
+def match_keys(ids: Sequence[Column], corpus_ids: Sequence[Column] = (), title: Column | None = None, strict: bool = False) -> Column:
+    """The keys by which a record or a gold item is matched: ids, corpus ids and the title (strict: marked, so that it meets titles only)."""
+    name = [] if title is None else [F.concat(F.lit("title_strict:"), title_key(title)) if strict else title_key(title)]
+    return F.array_distinct(F.array_compact(F.array(*map(identifier, ids), *map(corpus_id, corpus_ids), *name)))
+
+
+def merged_gold(gold: DataFrame, results: DataFrame, by: str, key: str) -> DataFrame:
+    """by, key, item: gold's keys, where items that share a key, or that one result touches, are one item.
+
+    gold (by, gold_id, keys) and results (by, rank, keys). Each record links its keys to its first one, so links grow with the keys.
+    """
+    named = lambda k: F.concat_ws("|", F.col(by).cast("string"), k)
+    golds = gold.select(by, "gold_id", F.explode("keys").alias(key))
+    known = golds.select(by, key).distinct()
+    touched = results.select(by, "rank", F.explode("keys").alias(key)).join(known, [by, key])
+    ends = [df.withColumn("node", named(F.col(key))) for df in (golds.withColumnRenamed("gold_id", "of"), touched.withColumnRenamed("rank", "of"))]
+    links = [df.join(df.groupBy(by, "of").agg(F.min("node").alias("first")), [by, "of"]).select(F.col("node").alias("a"), F.col("first").alias("b")) for df in ends]
+    found = components(links[0].union(links[1]).filter("a <> b").distinct())
+    marked = known.withColumn("node", named(F.col(key))).join(found, "node", "left")
+    return marked.select(by, key, F.coalesce("component", "node").alias("item"))
+
+
+def scored_against_gold(results: DataFrame, gold: DataFrame, by: str, k: int | None = None) -> DataFrame:
+    """by, true_positive, predicted_count, gold_count, precision, recall, f1 of the first k results of each query that has gold.
+
+    gold (by, gold_id, keys), results (by, rank, keys); keys as match_keys gives them, strict or not. Gold items are merged first, so
+    a result can match one item at most, and matches are the items that any result touches. Results are counted as they are.
+    """
+    results = results if k is None else results.filter(F.col("rank") <= k)
+    items = merged_gold(gold, results, by, "key")
+    total = items.groupBy(by).agg(F.countDistinct("item").alias("gold_count"))
+    met = results.select(by, F.explode("keys").alias("key")).join(items, [by, "key"]).groupBy(by).agg(F.countDistinct("item").alias("true_positive"))
+    n = results.groupBy(by).agg(F.count("*").alias("predicted_count"))
+    rows = total.join(met, by, "left").join(n, by, "left").fillna(0, ["true_positive", "predicted_count"])
+    return rows.select(by, "true_positive", "predicted_count", "gold_count", *ratios(F.col("true_positive"), F.col("predicted_count"), F.col("gold_count")))
+
+
+def ratios(hits: Column, predicted: Column, gold: Column) -> list[Column]:
+    """precision, recall and f1 to 4 places; 0 where there is nothing to divide by."""
+    p, r = F.when(predicted > 0, hits / predicted).otherwise(0.0), F.when(gold > 0, hits / gold).otherwise(0.0)
+    f = F.when(p + r > 0, 2 * p * r / (p + r)).otherwise(0.0)
+    return [F.round(c, 4).alias(n) for c, n in ((p, "precision"), (r, "recall"), (f, "f1"))]
+
+
+def relaxed_matches(records: DataFrame, gold: DataFrame, by: str, record: str) -> DataFrame:
+    """by, record, gold_id: distinct pairs of a query that share a key, or one's title key holds the other's.
+
+    records (by, record, keys, title) and gold (by, gold_id, keys, title), title as title_key gives it. Titles are compared within a
+    query only, where candidates are a bounded list.
+    """
+    keyed = records.select(by, record, F.explode("keys").alias("k")).join(gold.select(by, "gold_id", F.explode("keys").alias("k")), [by, "k"])
+    named = records.select(by, record, "title").join(gold.select(by, "gold_id", F.col("title").alias("other")), by)
+    inside = named.filter((F.col("title") != "") & (F.col("other") != "") & (F.col("title").contains(F.col("other")) | F.col("other").contains(F.col("title"))))
+    return keyed.select(by, record, "gold_id").union(inside.select(by, record, "gold_id")).distinct()
+
+
+def hits_at(results: DataFrame, gold: DataFrame, by: str, ks: Sequence[int]) -> DataFrame:
+    """by, k, hit (0 or 1): whether any of the first k results matches gold, relaxed."""
+    first = relaxed_matches(results, gold, by, "rank").groupBy(by).agg(F.min("rank").alias("first"))
+    queries = gold.select(by).distinct().join(first, by, "left").select(by, "first", F.explode(F.array(*map(F.lit, ks))).alias("k"))
+    return queries.select(by, F.col("k").cast("long").alias("k"), F.coalesce((F.col("first") <= F.col("k")).cast("long"), F.lit(0)).alias("hit"))
+
+
+def relaxed_sweep(results: DataFrame, strict_results: DataFrame, gold: DataFrame, strict_gold: DataFrame, by: str, ks: Sequence[int] = (1, 2, 3, 5, 10)) -> DataFrame:
+    """by, k, hit, and precision, recall, f1 both relaxed and strict, for each k; the strict tables hold the strict keys."""
+    out = hits_at(results, gold, by, ks)
+    for kind, found, wanted in (("relaxed", results, gold), ("strict", strict_results, strict_gold)):
+        parts = [scored_against_gold(found, wanted, by, k).withColumn("k", F.lit(k).cast("long")) for k in ks]
+        every = parts[0]
+        for part in parts[1:]:
+            every = every.unionByName(part)
+        out = out.join(every.select(by, "k", *[F.col(c).alias(f"{kind}_{c}") for c in ("precision", "recall", "f1")]), [by, "k"], "left")
+    return out
+
+
+def selector_errors(pool: DataFrame, selections: DataFrame, gold: DataFrame, by: str) -> DataFrame:
+    """by, false_positive, false_negative: chosen rows that aren't gold, and gold in the pool that was judged low or not at all.
+
+    pool (by, paper_id, keys, title), selections (by, paper_id, level), gold (by, gold_id, keys, title). Matching is relaxed.
+    """
+    good = relaxed_matches(pool, gold, by, "paper_id").select(by, "paper_id").distinct().withColumn("good", F.lit(True))
+    marked = good.join(selections.select(by, "paper_id", "level"), [by, "paper_id"], "full_outer")
+    chosen, is_gold = F.coalesce(F.col("level").isin("high", "medium"), F.lit(False)), F.coalesce("good", F.lit(False))
+    lost = is_gold & (F.col("level").isNull() | F.col("level").isin("low", "irrelevant"))
+    return marked.groupBy(by).agg(F.count(F.when(chosen & ~is_gold, 1)).alias("false_positive"), F.count(F.when(lost, 1)).alias("false_negative"))
+
+
+def micro_scores(rows: DataFrame, hits: str, predicted: str, gold: str) -> DataFrame:
+    """One row: precision, recall and f1 of all hits over all results and all gold."""
+    sums = rows.agg(*[F.sum(c).alias(c) for c in (hits, predicted, gold)])
+    return sums.select(hits, predicted, gold, *ratios(F.col(hits), F.col(predicted), F.col(gold)))
+
+
+def gold_trace(gold: DataFrame, stages: dict[str, DataFrame], by: str, key: str) -> DataFrame:
+    """gold (by, key) with the best rank in each stage's rows (by, key, rank) and the last stage that still has the item."""
+    out, last = gold.select(by, key).distinct(), F.lit("absent")
+    for name, rows in stages.items():
+        out = out.join(rows.groupBy(by, key).agg(F.min("rank").alias(name)), [by, key], "left")
+        last = F.when(F.col(name).isNotNull(), name).otherwise(last)
+    return out.withColumn("last_stage", last)
+
+
+def lost_cases(scored: DataFrame, by: str, hits: str) -> DataFrame:
+    """The cases without any hit, of rows per case and setting (by, hits)."""
+    return scored.groupBy(by).agg(F.max(hits).alias("best")).filter("best = 0").select(by)
+
+
+def ablation(settings: dict[str, DataFrame], by: str, metric: str) -> DataFrame:
+    """setting, cases, mean, delta (from the setting before) of per-case results (by, metric), in the order of settings."""
+    every = None
+    for place, (name, rows) in enumerate(settings.items()):
+        one = rows.agg(F.countDistinct(by).alias("cases"), F.round(F.avg(metric), 4).alias("mean")).select(F.lit(place).alias("place"), F.lit(name).alias("setting"), "cases", "mean")
+        every = one if every is None else every.unionByName(one)
+    before = every.select((F.col("place") + 1).alias("place"), F.col("mean").alias("before"))
+    return every.join(before, "place", "left").select("setting", "cases", "mean", F.round(F.col("mean") - F.col("before"), 4).alias("delta"))
+
 
 def at_k(results: DataFrame, gold: DataFrame, by: str, key: str, ks: Sequence[int]) -> DataFrame:
     """by, k, predicted, hits, gold, precision, recall, f1, hit for each query of gold; results have rank from 1.

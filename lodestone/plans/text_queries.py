@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -184,10 +184,54 @@ def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.drop_reason(rows, 40).groupBy("reason").agg(F.count("*").alias("items"))
 
 
+def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Per customer: a pool (order lines of odd suppliers, titled by their part), its levels, and gold (returned lines)."""
+    one = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")]  # lines may repeat their number
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*one).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    lines = lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
+    paper_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    keys = F.array(F.concat(F.lit("t"), F.col("l_partkey") % 40), F.concat(F.lit("a"), F.col("l_suppkey") % 30))
+    rows = lines.select("o_custkey", paper_id.alias("paper_id"), keys.alias("keys"), T.title_key(F.concat("p_name", F.lit(" "), F.col("l_suppkey") % 4)).alias("title"), "l_returnflag", "l_suppkey", "l_linenumber")
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "irrelevant"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
+    pool = rows.filter("l_suppkey % 2 = 1 AND l_returnflag <> 'R'")
+    gold = rows.filter("l_returnflag = 'R' AND l_linenumber = 1").withColumnRenamed("paper_id", "gold_id")
+    return pool.select("o_custkey", "paper_id", "keys", "title"), pool.filter("l_linenumber <> 5").select("o_custkey", "paper_id", level.alias("level")), gold.select("o_custkey", "gold_id", "keys", "title")
+
+
 def selector_counts(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "labels")
-    count = lambda c: F.count(F.when(c, 1))
-    return rows.agg(count((F.col("quality") == 0) & (F.col("toxic") == 0)).alias("false_positive"), count((F.col("quality") == 1) & (F.col("toxic") == 1)).alias("false_negative"), count(F.col("quality") == 1).alias("gold"))
+    return evaluation.selector_errors(*_judged(spark, d), "o_custkey")
+
+
+def gold_scores(spark: SparkSession, d: str) -> DataFrame:
+    """Pools against merged gold items, by keys."""
+    pool, _, gold = _judged(spark, d)
+    results = pool.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("paper_id")))
+    return evaluation.scored_against_gold(results, gold, "o_custkey")
+
+
+def relaxed_hits(spark: SparkSession, d: str) -> DataFrame:
+    pool, _, gold = _judged(spark, d)
+    results = pool.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("paper_id")))
+    return evaluation.hits_at(results, gold, "o_custkey", (1, 3, 10))
+
+
+def micro(spark: SparkSession, d: str) -> DataFrame:
+    return evaluation.micro_scores(gold_scores(spark, d), "true_positive", "predicted_count", "gold_count")
+
+
+JUDGED_SQL = """lines AS (SELECT o_custkey, l_orderkey * 10 + l_linenumber AS id, ['t' || (l_partkey % 40), 'a' || (l_suppkey % 30)] AS keys, trim(regexp_replace(lower(p_name || ' ' || (l_suppkey % 4)), '[^a-z0-9]+', ' ', 'g')) AS title,
+  l_returnflag, l_suppkey, l_linenumber AS line FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
+pool AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY id) AS rank FROM lines WHERE l_suppkey % 2 = 1 AND l_returnflag <> 'R'), golds AS (SELECT * FROM lines WHERE l_returnflag = 'R' AND line = 1),
+pairs AS (SELECT DISTINCT p.o_custkey, p.id, p.rank, p.line FROM pool p JOIN golds g ON g.o_custkey = p.o_custkey AND (list_has_any(p.keys, g.keys) OR contains(p.title, g.title) OR contains(g.title, p.title)))"""
+SCORED_SQL = f"""RECURSIVE {JUDGED_SQL}, gk AS (SELECT DISTINCT o_custkey AS c, unnest(keys) AS k FROM golds),
+near AS (SELECT DISTINCT a.c, a.k AS a, b.k AS b FROM (SELECT o_custkey AS c, 'g' || id AS r, unnest(keys) AS k FROM golds UNION ALL SELECT o_custkey, 'p' || id, unnest(keys) FROM pool) a
+  JOIN (SELECT o_custkey AS c, 'g' || id AS r, unnest(keys) AS k FROM golds UNION ALL SELECT o_custkey, 'p' || id, unnest(keys) FROM pool) b ON a.c = b.c AND a.r = b.r
+  SEMI JOIN gk x ON x.c = a.c AND x.k = a.k SEMI JOIN gk y ON y.c = b.c AND y.k = b.k),
+reach AS (SELECT c, a AS k, a AS to_k FROM near UNION SELECT r.c, r.k, n.b FROM reach r JOIN near n ON n.c = r.c AND n.a = r.to_k),
+item AS (SELECT c, k, min(to_k) AS item FROM reach GROUP BY 1, 2), total AS (SELECT c, count(DISTINCT item) AS gold FROM item GROUP BY 1),
+met AS (SELECT c, count(DISTINCT item) AS tp FROM item JOIN (SELECT DISTINCT o_custkey AS c, unnest(keys) AS k FROM pool) USING (c, k) GROUP BY 1), n AS (SELECT o_custkey AS c, count(*) AS n FROM pool GROUP BY 1),
+sc AS (SELECT c, coalesce(tp, 0) AS tp, coalesce(n, 0) AS n, gold FROM total LEFT JOIN met USING (c) LEFT JOIN n USING (c)),
+pr AS (SELECT *, CASE WHEN n > 0 THEN tp / n ELSE 0 END AS p, tp / gold AS r FROM sc)"""
 
 
 def ngram_terms(spark: SparkSession, d: str) -> DataFrame:
@@ -280,7 +324,7 @@ QUERIES = {
     "normalize_title": normalize_title, "keep_letters_key": letters, "normalize_url": normalize_url, "html_title_extract": html_title, "normalize_identifiers": identifiers,
     "tokenize_counts": tokenize_counts, "stem_tokens": stem_tokens, "html_to_text_tokens": html_to_text_tokens, "bm25_topk": bm25_topk, "title_tf_topk": title_tf_topk, "hybrid_search": hybrid_search,
     "two_phase_search": two_phase_search, "bm25_fields": bm25_fields, "dedupe_exact": dedupe_exact, "dedupe_merge": dedupe_merge, "containment_match": containment_match, "prf_at_k": _swept,
-    "oracle_k": oracle_k, "micro_macro_recall": micro_macro, "gold_coverage": gold_coverage, "candidate_loss": candidate_loss, "drop_reason": drop_reasons, "selector_fp_fn": selector_counts,
+    "oracle_k": oracle_k, "micro_macro_recall": micro_macro, "gold_coverage": gold_coverage, "candidate_loss": candidate_loss, "drop_reason": drop_reasons, "selector_fp_fn": selector_counts, "gold_scores": gold_scores, "micro_scores": micro, "relaxed_hits": relaxed_hits,
     "ngram_terms": ngram_terms, "domain_route": domain_route, "round_robin": round_robin, "stratified_topn": stratified, "session_list": session_list, "session_stats": session_stats,
     "session_search_bm25": session_search, "search_grouped": search_grouped,
 }
@@ -308,7 +352,11 @@ ORACLE_SQL = {
     "gold_coverage": f"WITH {BM25_SQL}, {PASSAGES_SQL} SELECT item_id, doc_id, rank, rank IS NOT NULL AS matched FROM gold LEFT JOIN (SELECT item_id, doc_id, rank FROM bmr WHERE rank <= 10) USING (item_id, doc_id)",
     "candidate_loss": f"WITH {BM25_SQL}, {PASSAGES_SQL} SELECT item_id, doc_id FROM gold JOIN bmr USING (item_id, doc_id) WHERE rank <= 10 AND rank > 2",
     "drop_reason": "WITH g AS (SELECT * FROM labels JOIN documents USING (doc_id) WHERE quality = 1), p AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS cr FROM g WHERE lang <> 'fr') SELECT CASE WHEN cr IS NULL THEN 'source_missing' WHEN cr > 40 THEN 'candidate_rank_too_low' WHEN toxic = 1 AND doc_id % 2 = 0 THEN 'evidence_validator_downgrade' WHEN toxic = 1 THEN 'llm_selector_misjudge' WHEN cr > 10 THEN 'dynamic_k_cutoff' ELSE 'unknown' END AS reason, count(*) AS items FROM g LEFT JOIN p USING (doc_id) GROUP BY 1",
-    "selector_fp_fn": "SELECT count(*) FILTER (quality = 0 AND toxic = 0) AS false_positive, count(*) FILTER (quality = 1 AND toxic = 1) AS false_negative, count(*) FILTER (quality = 1) AS gold FROM labels",
+    "selector_fp_fn": f"""WITH {JUDGED_SQL}, s AS (SELECT p.o_custkey, p.line, x.id IS NOT NULL AS good FROM pool p LEFT JOIN pairs x ON x.o_custkey = p.o_custkey AND x.id = p.id)
+      SELECT o_custkey, count(*) FILTER (NOT good AND line <> 5 AND line % 4 IN (0, 1)) AS false_positive, count(*) FILTER (good AND (line = 5 OR line % 4 IN (2, 3))) AS false_negative FROM s WHERE good OR line <> 5 GROUP BY 1""",
+    "gold_scores": f"WITH {SCORED_SQL} SELECT c AS o_custkey, tp AS true_positive, n AS predicted_count, gold AS gold_count, round(p, 4) AS precision, round(r, 4) AS recall, round(CASE WHEN p + r > 0 THEN 2 * p * r / (p + r) ELSE 0 END, 4) AS f1 FROM pr",
+    "micro_scores": f"WITH {SCORED_SQL}, t AS (SELECT sum(tp)::BIGINT AS tp, sum(n)::BIGINT AS n, sum(gold)::BIGINT AS gold FROM sc) SELECT tp AS true_positive, n AS predicted_count, gold AS gold_count, round(tp / n, 4) AS precision, round(tp / gold, 4) AS recall, round(2 * (tp / n) * (tp / gold) / (tp / n + tp / gold), 4) AS f1 FROM t",
+    "relaxed_hits": f"WITH {JUDGED_SQL}, f AS (SELECT o_custkey, min(rank) AS first FROM pairs GROUP BY 1) SELECT o_custkey, k::BIGINT AS k, coalesce((first <= k)::BIGINT, 0) AS hit FROM (SELECT DISTINCT o_custkey FROM golds) g LEFT JOIN f USING (o_custkey) CROSS JOIN (SELECT unnest([1, 3, 10]) AS k)",
     "ngram_terms": "WITH b AS (SELECT list_filter(regexp_extract_all(lower(text), '[a-z0-9]+'), lambda x: len(x) > 2) AS w FROM benchmark), r AS (SELECT n, array_to_string(w[i:i+n-1], ' ') AS term FROM (SELECT w, n, unnest(range(1, len(w) - n + 2)) AS i FROM b, (SELECT unnest([1, 2, 3]) AS n))), c AS (SELECT term, n, count(*) AS c FROM r GROUP BY 1, 2 HAVING count(*) >= 2) SELECT term, CASE WHEN n > 1 THEN c * 2 ELSE c END AS weight FROM c ORDER BY weight DESC, term LIMIT 30",
     "domain_route": f"SELECT item_id, {_domain_sql('biomedical')} AS biomedical_rate, {_domain_sql('cs_ai')} AS cs_ai_rate, {_domain_sql('physics_math')} AS physics_math_rate, 'local,openalex,semantic_scholar' || CASE WHEN {_domain_sql('biomedical')} > 0 OR regexp_matches(t, 'protein|antibody|clinical|medical|biomedical|drug') THEN ',pubmed' ELSE '' END || CASE WHEN {_domain_sql('cs_ai')} > 0 OR {_domain_sql('physics_math')} > 0 OR regexp_matches(t, 'arxiv|preprint|latest|recent') THEN ',arxiv' ELSE '' END AS providers FROM (SELECT item_id, lower(text) AS t FROM benchmark)",
     "round_robin": "WITH t AS (SELECT doc_id, source, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS turn FROM documents WHERE source IS NOT NULL), p AS (SELECT *, row_number() OVER (ORDER BY turn, source) AS place FROM t) SELECT doc_id, source, turn, place FROM p WHERE place <= 40",

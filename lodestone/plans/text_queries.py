@@ -316,7 +316,7 @@ WHEN len(t) > 3 AND t LIKE '%s' AND t NOT LIKE '%ss' THEN left(t, len(t) - 1) EL
 
 
 def _domain_sql(name: str) -> str:
-    words = selection.DOMAINS[name].split("|")
+    words = selection.DOMAINS[name]
     return "round((" + " + ".join(f"contains(t, '{w}')::INT" for w in words) + f") / {len(words)}, 6)"
 
 

@@ -14,7 +14,9 @@ from pyspark.sql import functions as F
 MESSAGES = "agent string, session_id string, ordinal int, role string, ts string, plain_text string, workspace string"
 Parser = Callable[[SparkSession, str], DataFrame]
 PARSERS: dict[str, Parser] = {}
-BLOCK = "array<struct<type:string,text:string,thinking:string,name:string,content:string>>"
+BLOCK = "array<struct<type:string,text:string,thinking:string,name:string,content:string,input:map<string,string>>>"
+INNER = "array<struct<type:string,text:string,thinking:string,name:string>>"
+MOST_INPUT, MOST_RESULT, MOST_SNIPPET = 80, 400, 2000  # characters
 
 
 def register(agent: str) -> Callable[[Parser], Parser]:
@@ -38,14 +40,48 @@ def utc_time(c: Column) -> Column:
     return F.coalesce(F.date_format(made, "yyyy-MM-dd'T'HH:mm:ss'Z'"), c)
 
 
+def _inner_text(c: Column) -> Column:
+    """A tool result's content: text, or blocks whose texts are joined."""
+    blocks = F.from_json(c, INNER)
+    parts = F.transform(blocks, lambda b: F.when(b["type"] == "text", b["text"]).when(b["type"] == "thinking", F.concat(F.lit("[Thinking] "), F.substring(b["thinking"], 1, MOST_RESULT))).otherwise(F.lit("")))
+    return F.coalesce(F.when(c.startswith("["), F.array_join(F.filter(parts, lambda t: t != ""), "\n")), c, F.lit(""))
+
+
 def flat_content(c: Column) -> Column:
-    """Plain text of a message's content: a string, or typed blocks (tool calls in brackets, results cut at 400)."""
+    """Plain text of a message's content: a string, or typed blocks (tool calls with their input, results and thoughts cut short)."""
     blocks = F.from_json(c, BLOCK)
-    one = lambda b: F.when(b["type"] == "tool_use", F.concat(F.lit("[tool: "), b["name"], F.lit("]"))).when(b["type"] == "tool_result", F.substring(b["content"], 1, 400)).otherwise(F.coalesce(b["text"], b["thinking"], F.lit("")))
+    inputs = lambda b: F.array_join(F.transform(F.map_entries(b["input"]), lambda e: F.concat(e["key"], F.lit("="), F.substring(e["value"], 1, MOST_INPUT))), ", ")
+    one = lambda b: (
+        F.when(b["type"] == "text", F.coalesce(b["text"], F.lit("")))
+        .when(b["type"] == "tool_use", F.concat(F.lit("[Tool: "), F.coalesce(b["name"], F.lit("tool")), F.lit("] "), F.coalesce(inputs(b), F.lit(""))))
+        .when(b["type"] == "tool_result", F.concat(F.lit("[ToolResult] "), F.substring(_inner_text(b["content"]), 1, MOST_RESULT)))
+        .when(b["type"] == "thinking", F.concat(F.lit("[Thinking] "), F.substring(F.coalesce(b["thinking"], F.lit("")), 1, MOST_RESULT)))
+        .otherwise(F.lit(""))
+    )
     joined = F.array_join(F.filter(F.transform(blocks, one), lambda t: t != ""), "\n")
     return F.when(blocks.isNotNull(), joined).otherwise(c)
 
 
+def snippets(c: Column) -> Column:
+    """A message's content as an array of (kind, content, meta): meta is a tool's input; results are cut at MOST_SNIPPET characters."""
+    none = F.lit(None).cast("map<string,string>")
+    made = lambda kind, text, meta=none: F.struct(F.lit(kind).alias("kind"), F.coalesce(text, F.lit("")).alias("content"), meta.alias("meta"))
+    one = lambda b: (
+        F.when(b["type"] == "text", made("text", b["text"]))
+        .when(b["type"] == "tool_use", made("tool_use", F.concat(F.lit("[Tool: "), F.coalesce(b["name"], F.lit("tool")), F.lit("]")), b["input"]))
+        .when(b["type"] == "tool_result", made("tool_result", F.substring(_inner_text(b["content"]), 1, MOST_SNIPPET)))
+        .when(b["type"] == "thinking", made("thinking", b["thinking"]))
+    )
+    blocks = F.from_json(c, BLOCK)
+    plain = F.when(c != "", F.array(made("text", c))).otherwise(F.array().cast("array<struct<kind:string,content:string,meta:map<string,string>>>"))
+    return F.when(blocks.isNotNull(), F.filter(F.transform(blocks, one), lambda s: s.isNotNull())).otherwise(plain)
+
+
+def plain_text(raw: Column, pieces: Column) -> Column:
+    """A message's raw text, or where there is none its snippets' contents, a line each."""
+    return F.coalesce(F.nullif(raw, F.lit("")), F.array_join(F.transform(pieces, lambda s: s["content"]), "\n"))
+
+
 def _numbered(rows: DataFrame, agent: str, order: list) -> DataFrame:
     nth = F.row_number().over(Window.partitionBy("session_id").orderBy(*order)) - 1
     return rows.select(F.lit(agent).alias("agent"), "session_id", nth.cast("int").alias("ordinal"), "role", utc_time(F.col("ts")).alias("ts"), "plain_text", "workspace")

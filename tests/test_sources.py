@@ -15,7 +15,7 @@ def test_typed_lines(spark, tmp_path):
     ]
     (tmp_path / "a.jsonl").write_text("\n".join(map(json.dumps, lines)) + "\nnot json\n")
     got = sessions.load(spark, "typed_lines", str(tmp_path)).orderBy("ordinal").collect()
-    assert [(r.ordinal, r.role, r.plain_text) for r in got] == [(0, "user", "Hello\nthere"), (1, "assistant", "Hi\n[tool: run]")]
+    assert [(r.ordinal, r.role, r.plain_text) for r in got] == [(0, "user", "Hello\nthere"), (1, "assistant", "Hi\n[Tool: run] ")]
     one = sessions.sessions(sessions.load(spark, "typed_lines", str(tmp_path))).first()
     assert (one.title, one.message_count, one.started_at) == ("Hello", 2, "2024-01-01T00:00:00Z")
 

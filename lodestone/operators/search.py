@@ -29,20 +29,21 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
 
 
 def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
-    """query_key, key, score for each document that shares a term with a query; higher is better.
+    """query_key, key, score, held (how many of the query's terms) for each document that shares a term with a query; higher is better.
 
-    idf is log((N - n + 0.5) / (n + 0.5)), at least 1e-6; lengths count all words.
+    idf is log((N - n + 0.5) / (n + 0.5)), at least 1e-6; lengths count all words. One pass counts the asked words with their
+    document's length beside them, so lengths are never joined; another, without a shuffle of rows, gives the two statistics.
     """
-    sized = docs.select(key, F.size(T.words(F.col(text))).alias("len"))
-    stats = sized.agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-    found = postings(docs, key, text, terms)
+    stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
+    split = docs.select(key, T.words(F.col(text)).alias("_w")).select(key, F.size("_w").alias("len"), F.explode("_w").alias("token"))
+    found = split.join(terms.select("token").distinct(), "token", "left_semi").groupBy(key, "token", "len").agg(F.count("*").alias("tf"))
     df = found.groupBy("token").agg(F.count("*").alias("n"))
     idf = df.crossJoin(F.broadcast(stats)).select(  # one row of statistics
         "token", "mean_len", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf")
     )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    hits = found.join(idf, "token").join(sized, key).withColumn("part", part)
-    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"))
+    hits = found.join(idf, "token").select(key, "token", part.alias("part"))
+    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.countDistinct("token").alias("held"))
 
 
 def title_scores(docs: DataFrame, queries: DataFrame, key: str, title: str, query_key: str, text: str, most_postings: int = 80_000) -> DataFrame:
@@ -64,11 +65,10 @@ def title_scores(docs: DataFrame, queries: DataFrame, key: str, title: str, quer
     return whole.select(query_key, key, (F.col("sum") + bonus).alias("score"))
 
 
-def two_phase(scored: DataFrame, terms: DataFrame, hits: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
-    """Documents with all of a query's terms first, then those with any, each by score; k in all."""
+def two_phase(scored: DataFrame, terms: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
+    """Documents with all of a query's terms first, then those with any, each by score; k in all. scored as bm25 gives it."""
     wanted = terms.groupBy(query_key).agg(F.countDistinct("token").alias("wanted"))
-    held = terms.join(hits, "token").groupBy(query_key, key).agg(F.countDistinct("token").alias("held"))
-    rows = scored.join(held, [query_key, key]).join(wanted, query_key)
+    rows = scored.join(wanted, query_key)
     rows = rows.withColumn("phase", F.when(F.col("held") == F.col("wanted"), 0).otherwise(1).cast("long"))
     return ranked(rows, [query_key], ["phase", F.desc(F.round("score", 6)), key], k)
 

@@ -48,7 +48,8 @@ def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     worded = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", r"\s+").alias("w")).filter(F.size("w") >= 4)
     four = F.transform(F.sequence(F.lit(1), F.size("w") - 3), lambda i: F.concat_ws(" ", *[F.element_at("w", i + n) for n in range(4)]))
-    hits = worded.select("doc_id", F.explode(four).alias("k")).join(asked.select("k").distinct(), "k", "left_semi").distinct()
+    grams = worded.select("doc_id", F.explode(F.array_distinct(four)).alias("k"))
+    hits = grams.join(asked.select("k").distinct(), "k", "left_semi").distinct()
     pairs = hits.join(asked, "k").join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     short = items.filter(~long).join(docs, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
     return pairs.union(short).distinct()

@@ -108,8 +108,7 @@ def two_phase_search(spark: SparkSession, d: str) -> DataFrame:
     terms = search.query_terms(table(spark, d, "benchmark"), "item_id", "text")
     docs = table(spark, d, "documents")
     scored = search.bm25(docs, terms, "doc_id", "text", "item_id")
-    hits = search.postings(docs, "doc_id", "text", terms)
-    return search.two_phase(scored, terms, hits, "item_id", "doc_id", 20).select("item_id", "doc_id", "phase", F.round("score", 6).alias("score"), "rank")
+    return search.two_phase(scored, terms, "item_id", "doc_id", 20).select("item_id", "doc_id", "phase", F.round("score", 6).alias("score"), "rank")
 
 
 def bm25_fields(spark: SparkSession, d: str) -> DataFrame:

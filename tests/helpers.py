@@ -8,7 +8,7 @@ def normal(value):
         return None
     if isinstance(value, float):
         return round(value, 6)
-    return str(value)[:10] if hasattr(value, "isoformat") else value
+    return value.isoformat() if hasattr(value, "isoformat") else value
 
 
 def rows_of(columns, rows):

@@ -68,6 +68,33 @@ def resolve_entities(rows: DataFrame, key_columns: Sequence[str], order: str, cu
     return rows.join(found, rows[order] == found["node"], "left").select(rows["*"], F.coalesce("component", rows[order]).alias("entity"))
 
 
+def absorbed(rows: DataFrame, by: str, order: str, paper_id: str = "paper_id", keys: Sequence[str] = ("doi", "arxiv_id", "title")) -> DataFrame:
+    """rows with `entity`, the order value of the first-seen record that each one becomes part of (its own, if none).
+
+    A record is looked up by its id, then by each key in turn; the first hit absorbs it and takes over the keys that are not known
+    yet, but not its id. Unlike resolve_entities this isn't transitive. Groups are one query's candidates, a bounded list.
+    """
+
+    def absorb(part: pa.Table) -> pa.Table:
+        part = part.sort_by(order)
+        seen: list[dict] = [{} for _ in range(len(keys) + 1)]
+        entity = []
+        for place, own in zip(part.column(order).to_pylist(), zip(*(part.column(c).to_pylist() for c in (paper_id, *keys)), strict=True), strict=True):
+            found = seen[0].get(own[0])
+            for known, key in zip(seen[1:], own[1:], strict=True):
+                found = known.get(key) if found is None and key else found
+            if found is None:
+                found = seen[0][own[0]] = place
+            for known, key in zip(seen[1:], own[1:], strict=True):
+                if key:
+                    known.setdefault(key, found)
+            entity.append(found)
+        return part.append_column("entity", pa.array(entity, part.column(order).type))
+
+    kind = dict(rows.dtypes)[order]
+    return rows.groupBy(by).applyInArrow(absorb, ", ".join(f"`{c}` {t}" for c, t in [*rows.dtypes, ("entity", kind)]))
+
+
 def greedy_unique(rows: DataFrame, by: str, order: str, keys: str = "keys") -> DataFrame:
     """Rows of each group in order, without those any of whose keys an earlier kept row has. Groups are small case lists."""
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import cutoffs, evaluation, pools
+from lodestone.operators import cutoffs, evaluation, pools, resolve, selection
 from lodestone.operators.search import ranked
 from lodestone.plans.tables import CUSTOMER_SCORES_SQL, customer_scores, table
 
@@ -165,8 +165,27 @@ def session_recency(spark: SparkSession, d: str) -> DataFrame:
     return ranked(e.withColumn("day", F.col("user_id") % 7), ["day"], [F.desc(F.coalesce("started", "indexed")), "user_id"], 5).select("day", "user_id", "rank")
 
 
+def diversified_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Parts of a brand as candidates with routes, providers and four kinds of scores."""
+    k = F.col("p_partkey")
+    path = F.slice(F.array(F.concat(F.lit("r"), k % 5), F.concat(F.lit("r"), k % 3)), F.lit(1), (k % 3).cast("int"))
+    rows = table(spark, d, "part").select(
+        "p_brand", "p_partkey", k.alias("pos"), path.alias("path"), F.when(k % 4 > 0, F.concat(F.lit("s"), k % 4)).alias("source"), F.when(k % 9 > 0, F.col("p_retailprice")).alias("local"),
+        F.when(k % 7 > 0, (k * 37) % 101 / 101).alias("fused"), F.when(k % 2 == 0, F.col("p_size") % 5).alias("matched"),
+    )
+    return selection.diversified(rows, "p_brand", "p_partkey", 40, 12, 4, 6, 6).select("p_brand", "p_partkey", F.col("place").cast("long").alias("place"))
+
+
+def absorbed_pool(spark: SparkSession, d: str) -> DataFrame:
+    """Order lines of a customer as one pool: records absorbed by the first seen with their id or key."""
+    lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(F.min("l_partkey").alias("p"), F.min("l_suppkey").alias("s")).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
+    pos = F.col("l_orderkey") * 10 + F.col("l_linenumber")
+    rows = lines.select("o_custkey", pos.alias("pos"), (F.col("p") % 300).cast("string").alias("paper_id"), F.when(F.col("s") % 3 == 0, F.concat(F.lit("d"), F.col("s") % 9)).alias("doi"), F.lit("").alias("arxiv_id"), F.concat(F.lit("t"), F.col("p") % 50).alias("title"))
+    return resolve.absorbed(rows, "o_custkey", "pos").groupBy("o_custkey").agg(F.countDistinct("entity").alias("records"), F.count("*").alias("rows"))
+
+
 QUERIES = {
-    "pool_append": pool_append, "rrf_records": rrf_records, "pool_verdicts": pool_verdicts, "exact_title_lookup": exact_title_lookup, "title_fan_out": title_fan_out, "title_like_documents": title_like_documents,
+    "diversified_pool": diversified_pool, "absorbed_pool": absorbed_pool, "pool_append": pool_append, "rrf_records": rrf_records, "pool_verdicts": pool_verdicts, "exact_title_lookup": exact_title_lookup, "title_fan_out": title_fan_out, "title_like_documents": title_like_documents,
     "calls_to_run": calls_to_run, "safety_search": safety_search, "timeline": timeline, "method_clusters": method_clusters, "level_counts": level_counts, "provider_hits": provider_hits,
     "gold_distribution": gold_distribution, "batch_summary": batch_summary, "evidence_checks": evidence_checks, "route_prior": route_prior, "biomedical_topics": biomedical_topics, "stemmed_words": stemmed_words,
     "simulated_cutoffs": simulated, "gold_trace": gold_trace, "session_recency": session_recency,
@@ -178,6 +197,16 @@ _TITLED = f"""tw AS (SELECT doc_id, source, t, w, lower(array_to_string(w, ' '))
 tl AS (SELECT *, coalesce(len(w) BETWEEN 3 AND 24 AND NOT ({_OPENINGS}) AND (len(w) >= 5 OR contains(t, ':') OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 3 OR len(list_filter(w, lambda x: x = upper(x) AND len(x) >= 2)) > 0), false) AS title_like FROM tw)"""
 
 ORACLE_SQL = {
+    "diversified_pool": """WITH c AS (SELECT p_brand, p_partkey AS k, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END, 0) AS loc, coalesce(CASE WHEN p_partkey % 7 > 0 THEN (p_partkey * 37) % 101 / 101 END, 0) AS fused,
+        CASE WHEN p_partkey % 2 = 0 THEN p_size % 5 END AS met, coalesce(CASE WHEN p_partkey % 4 > 0 THEN 's' || (p_partkey % 4) END, 'unknown') AS src, list_slice(['r' || (p_partkey % 5), 'r' || (p_partkey % 3)], 1, p_partkey % 3) AS path FROM part),
+      r AS (SELECT *, unnest(path) AS route, generate_subscripts(path, 1) AS i FROM c),
+      a AS (SELECT p_brand, k, 1 AS part, 0 AS seen, 0 AS seen_i, row_number() OVER (PARTITION BY p_brand ORDER BY loc DESC, k) AS n FROM c),
+      b AS (SELECT p_brand, k, 2, first_value(k) OVER (PARTITION BY p_brand, route ORDER BY k, i), first_value(i) OVER (PARTITION BY p_brand, route ORDER BY k, i), row_number() OVER (PARTITION BY p_brand, route ORDER BY loc DESC, k) AS n FROM r),
+      s AS (SELECT p_brand, k, 3, min(k) OVER (PARTITION BY p_brand, src), 0, row_number() OVER (PARTITION BY p_brand, src ORDER BY loc DESC, k) AS n FROM c),
+      f AS (SELECT p_brand, k, 4, 0, 0, row_number() OVER (PARTITION BY p_brand ORDER BY fused DESC, k) AS n FROM c), g AS (SELECT p_brand, k, 5, 0, 0, row_number() OVER (PARTITION BY p_brand ORDER BY met DESC, k) AS n FROM c WHERE met IS NOT NULL),
+      u AS (SELECT * FROM a WHERE n <= 12 UNION ALL SELECT * FROM b WHERE n <= 4 UNION ALL SELECT * FROM s WHERE n <= 4 UNION ALL SELECT * FROM f WHERE n <= 6 UNION ALL SELECT * FROM g WHERE n <= 6),
+      o AS (SELECT p_brand, k, min(row(part, seen, seen_i, n)) AS place FROM u GROUP BY 1, 2)
+      SELECT * FROM (SELECT p_brand, k AS p_partkey, row_number() OVER (PARTITION BY p_brand ORDER BY place) AS place FROM o) WHERE place <= 40""",
     "pool_append": f"WITH {LISTS_SQL}, x AS (SELECT *, row_number() OVER (PARTITION BY p_brand, key ORDER BY list_no) AS n FROM l WHERE flag IN ('A', 'N')) SELECT * FROM (SELECT p_brand, key, row_number() OVER (PARTITION BY p_brand ORDER BY list_no, rank) AS rank FROM x WHERE n = 1) WHERE rank <= 80",
     "rrf_records": f"""WITH {LISTS_SQL}, x AS (SELECT *, (key + list_no) % 3 = 0 AS abs, (key + list_no) % 5 = 0 AS arx, row_number() OVER (PARTITION BY p_brand, key ORDER BY list_no, rank) AS n FROM l),
       a AS (SELECT p_brand, key, sum(CASE WHEN list_no = 65 THEN 1.5 ELSE 1.0 END::DOUBLE / (60 + rank)) AS score, arg_max(flag, list_no) AS last, count(*) + 1 AS names, min(list_no) AS first_list, arg_min(rank, list_no) AS first_rank,

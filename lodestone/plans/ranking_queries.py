@@ -223,10 +223,14 @@ def key_overlap(spark: SparkSession, d: str) -> DataFrame:
 
 
 def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
-    terms = spark.createDataFrame([(w,) for w in ("gear", "bolt", "ring", "economy", "blue")], "topic string")
+    """Parts by every word that any part's type has; a word finds its parts by an equi-join, as all stand alone between blanks."""
     parts = table(spark, d, "part").select("p_partkey", F.lower(F.concat_ws(" ", "p_name", "p_type")).alias("t"))
-    hits = parts.join(F.broadcast(terms), F.col("t").contains(F.col("topic")), "left")  # five fixed terms
-    return hits.groupBy(F.coalesce("topic", F.lit("General")).alias("topic")).agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))
+    topics = table(spark, d, "part").select(F.explode(F.split(F.lower("p_type"), r"\s+")).alias("topic")).filter("topic <> ''").distinct()
+    words = parts.select("p_partkey", F.explode_outer(F.array_distinct(F.split("t", r"\s+"))).alias("topic"))
+    hits = words.join(topics.withColumn("known", F.lit(True)), "topic", "left")
+    per = hits.groupBy("p_partkey").agg(F.max(F.coalesce("known", F.lit(False))).alias("any"))
+    rest = per.filter("NOT any").select("p_partkey", F.lit("General").alias("topic"))
+    return hits.filter("known").select("p_partkey", "topic").unionByName(rest).groupBy("topic").agg(F.count("*").alias("parts"), F.min("p_partkey").alias("first"))
 
 
 def cutoff_filter(spark: SparkSession, d: str) -> DataFrame:
@@ -354,7 +358,9 @@ ORACLE_SQL = {
     "induced_graph": f"{_TOP} SELECT DISTINCT source, target FROM one WHERE source IN (SELECT node FROM top) AND target IN (SELECT node FROM top)",
     "link_prior": f"{_TOP} SELECT node, CASE WHEN EXISTS (SELECT 1 FROM edges WHERE source = node AND target IN (SELECT node FROM top)) THEN 1.0::DOUBLE ELSE 0.0::DOUBLE END AS prior FROM top",
     "key_overlap_join": "WITH p AS (SELECT p_partkey, unnest(['k' || (p_partkey % 50), 's' || p_size]) AS k FROM part), s AS (SELECT s_suppkey, unnest(['k' || s_suppkey, 's' || s_nationkey]) AS k FROM supplier) SELECT p_partkey, s_suppkey, count(*) AS shared FROM p JOIN s USING (k) GROUP BY 1, 2",
-    "topic_clusters": "WITH t AS (SELECT unnest(['gear', 'bolt', 'ring', 'economy', 'blue']) AS topic) SELECT coalesce(topic, 'General') AS topic, count(*) AS parts, min(p_partkey) AS first FROM part LEFT JOIN t ON contains(lower(concat_ws(' ', p_name, p_type)), topic) GROUP BY 1",
+    "topic_clusters": """WITH t AS (SELECT DISTINCT unnest(regexp_split_to_array(lower(p_type), '\\s+')) AS topic FROM part), w AS (SELECT DISTINCT p_partkey, unnest(regexp_split_to_array(lower(p_name || ' ' || p_type), '\\s+')) AS topic FROM part),
+      h AS (SELECT p_partkey, topic FROM w WHERE topic <> '' AND topic IN (SELECT topic FROM t)), u AS (SELECT * FROM h UNION ALL SELECT p_partkey, 'General' FROM part WHERE p_partkey NOT IN (SELECT p_partkey FROM h))
+      SELECT topic, count(*) AS parts, min(p_partkey) AS first FROM u GROUP BY 1""",
     "cutoff_filter": "SELECT o_orderkey, CAST(o_orderdate AS DATE)::VARCHAR AS day FROM orders WHERE o_orderdate IS NULL OR CAST(o_orderdate AS DATE) <= (SELECT max(CAST(o_orderdate AS DATE)) - 7 FROM orders)",
     "publication_dates": "SELECT o_orderkey, CASE o_orderkey % 5 WHEN 1 THEN make_date(year(o_orderdate), month(o_orderdate), 28) WHEN 2 THEN make_date(year(o_orderdate), 12, 31) WHEN 4 THEN NULL ELSE CAST(o_orderdate AS DATE) END::VARCHAR AS published FROM orders",
     "parse_event_props": "SELECT CAST(json_extract_string(props, '$.k') AS INTEGER) AS k, count(*) AS n, min(CAST(ts AS DATE))::VARCHAR AS first_day FROM events GROUP BY 1",

@@ -277,29 +277,27 @@ def session_stats(spark: SparkSession, d: str) -> DataFrame:
     return _agents(spark, d).groupBy("agent").agg(F.countDistinct("conv_id").alias("sessions"), F.count("*").alias("messages"))
 
 
-ASKED = ("the", "and")
-
-
 def _session_hits(spark: SparkSession, d: str) -> DataFrame:
+    """Every benchmark passage's words searched in all messages."""
     rows = _agents(spark, d).withColumn("msg", F.col("conv_id") * 100_000 + F.col("turn"))
-    terms = spark.createDataFrame([(0, t) for t in ASKED], "q int, token string")
-    return search.bm25(rows, terms, "msg", "text", "q").join(rows.select("msg", "agent", "conv_id", "turn"), "msg")
+    terms = search.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    return search.bm25(rows, terms, "msg", "text", "item_id").join(rows.select("msg", "agent", "conv_id", "turn"), "msg")
 
 
 def session_search(spark: SparkSession, d: str) -> DataFrame:
     rows = _session_hits(spark, d).withColumn("score", F.round("score", 6))
-    return rows.orderBy(F.desc("score"), "msg").limit(20).select("agent", "conv_id", "turn", "score")
+    return ranked(rows, ["item_id"], [F.desc("score"), "msg"], 20).select("item_id", "agent", "conv_id", "turn", "score")
 
 
 def search_grouped(spark: SparkSession, d: str) -> DataFrame:
-    return _session_hits(spark, d).groupBy("agent", "conv_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
+    return _session_hits(spark, d).groupBy("item_id", "agent", "conv_id").agg(F.count("*").alias("hits"), F.round(F.max("score"), 6).alias("best"))
 
 
-SESSION_SQL = """m AS (SELECT 'a' || (conv_id % 4) AS agent, conv_id, turn, conv_id * 100000 + turn AS msg, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
-st AS (SELECT msg, token, count(*) AS tf FROM (SELECT msg, unnest(w) AS token FROM m) WHERE token IN ('the', 'and') GROUP BY 1, 2),
+SESSION_SQL = f"""{BM25_SQL}, m AS (SELECT 'a' || (conv_id % 4) AS agent, conv_id, turn, conv_id * 100000 + turn AS msg, regexp_extract_all(lower(text), '[a-z0-9]+') AS w FROM conversations),
+st AS (SELECT msg, token, count(*) AS tf FROM (SELECT msg, unnest(w) AS token FROM m) WHERE token IN (SELECT token FROM qt) GROUP BY 1, 2),
 si AS (SELECT token, greatest(1e-6, ln(((SELECT count(*) FROM m) - count(*) + 0.5) / (count(*) + 0.5))) AS idf FROM st GROUP BY 1),
-sh AS (SELECT agent, conv_id, turn, m.msg, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / (SELECT avg(len(w)) FROM m)))), 6) AS score
-  FROM m JOIN st USING (msg) JOIN si USING (token) GROUP BY ALL)"""
+sh AS (SELECT item_id, agent, conv_id, turn, m.msg, round(sum(idf * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * len(w) / (SELECT avg(len(w)) FROM m)))), 6) AS score
+  FROM qt JOIN st USING (token) JOIN si USING (token) JOIN m USING (msg) GROUP BY ALL)"""
 
 FIELDS_SQL = f"""WITH {BM25_SQL},
 ft AS (SELECT doc_id, token, sum(w) AS tf FROM (SELECT doc_id, token, 0.35 AS w FROM toks UNION ALL
@@ -362,6 +360,6 @@ ORACLE_SQL = {
     "stratified_topn": "WITH a AS (SELECT doc_id, row_number() OVER (PARTITION BY source ORDER BY n_chars DESC, doc_id) AS r FROM documents), b AS (SELECT doc_id, row_number() OVER (PARTITION BY lang ORDER BY n_chars DESC, doc_id) AS r FROM documents) SELECT doc_id, count(*) AS strata FROM (SELECT * FROM a UNION ALL SELECT * FROM b) WHERE r <= 10 GROUP BY 1",
     "session_list": "SELECT 'a' || (conv_id % 4) AS agent, conv_id, count(*) AS messages, max(turn) AS last_turn, substring(split_part(arg_min(text, turn) FILTER (role = 'user'), chr(10), 1), 1, 120) AS title FROM conversations GROUP BY 1, 2",
     "session_stats": "SELECT 'a' || (conv_id % 4) AS agent, count(DISTINCT conv_id) AS sessions, count(*) AS messages FROM conversations GROUP BY 1",
-    "session_search_bm25": f"WITH {SESSION_SQL} SELECT agent, conv_id, turn, score FROM sh ORDER BY score DESC, msg LIMIT 20",
-    "search_grouped": f"WITH {SESSION_SQL} SELECT agent, conv_id, count(*) AS hits, max(score) AS best FROM sh GROUP BY 1, 2",
+    "session_search_bm25": f"WITH {SESSION_SQL} SELECT item_id, agent, conv_id, turn, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, msg) AS n FROM sh) WHERE n <= 20",
+    "search_grouped": f"WITH {SESSION_SQL} SELECT item_id, agent, conv_id, count(*) AS hits, max(score) AS best FROM sh GROUP BY 1, 2, 3",
 }

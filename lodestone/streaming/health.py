@@ -74,15 +74,26 @@ class Health:
 
 def _run(health: Health, provider: str, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for r in rows.sort_values(["ts", "kind"]).itertuples():
+    for r in rows.sort_values(["ts", "kind"], kind="stable").itertuples():
         allowed = health.step(provider, r.ts, r.kind, r.elapsed or 0.0, int(r.items or 0))
         out.append((provider, r.ts, r.kind, health.state, health.errors, allowed, health.budget))
     return pd.DataFrame(out, columns=[c.split()[0] for c in OUT.split(", ")])
 
 
 def replay(events: DataFrame) -> DataFrame:
-    """The state after every event of a finished log. A provider's log is one run's calls and fits a task."""
-    return events.groupBy("provider").applyInPandas(lambda key, part: _run(Health(), key[0], part), OUT)
+    """The state after every event of a finished log: providers' logs run in order of time through a task in batches, so none is held whole."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        provider, health = None, Health()
+        for batch in batches:
+            for name, rows in batch.groupby("provider", sort=False, dropna=False):
+                if name != provider:
+                    provider, health = name, Health()
+                yield _run(health, name, rows)
+
+    columns = ["provider", "ts", "kind", "elapsed", "items"]
+    ordered = events.select(columns).repartition("provider").sortWithinPartitions("provider", "ts", "kind")
+    return ordered.mapInPandas(run, OUT)
 
 
 def stream(events: DataFrame) -> DataFrame:

@@ -122,3 +122,34 @@ def test_reports(spark):
     curve = rows(spark, [(1, k, k in (1, 3)) for k in range(1, 6)], "q int, rank int, gold boolean")
     cuts = rows(spark, [(1, 2)], "q int, k int")
     assert tuple(pools.simulated_cutoffs(curve, {"two": cuts}, "q").first())[2:] == (2, 0.5, 0.5, 0.5)
+
+
+def test_absorbing_isnt_transitive(spark):
+    from lodestone.operators import resolve
+
+    data = [
+        (1, 1, "a", "d1", "", "t1"), (1, 2, "b", "", "x2", "t2"), (1, 3, "c", "d1", "x2", "t3"),  # 3 goes to 1 by its doi, though 2 has its arXiv id
+        (1, 4, "z", "", "x2", ""), (1, 5, "c", "", "", "t9"), (1, 6, "y", None, None, "t3"), (2, 1, "a", "d1", "", "t1"),
+    ]
+    df = rows(spark, data, "q int, pos int, paper_id string, doi string, arxiv_id string, title string")
+    got = {(r.q, r.pos): r.entity for r in resolve.absorbed(df, "q", "pos").collect()}
+    assert got == {(1, 1): 1, (1, 2): 2, (1, 3): 1, (1, 4): 2, (1, 5): 5, (1, 6): 1, (2, 1): 1}
+
+
+def test_settings_prompts_and_datasets(spark, tmp_path):
+    from lodestone.sources import settings
+
+    (tmp_path / ".env").write_text("# no\nexport A='1'\nB=2\nC = x=y\n")
+    env = {"B": "old", "LOD_SEARCH_LIMIT": "7"}
+    assert settings.env_file(tmp_path / ".env", env) == {"A": "1", "C": "x=y"} and env["B"] == "old"
+    (tmp_path / "c.json").write_text('{"search": {"route": "all"}, "extra": 1}')
+    got = settings.settings({"search": {"limit": 5, "route": "x"}}, tmp_path / "c.json", environ=env, prefix="lod_")
+    assert got == {"search": {"limit": 7, "route": "all"}, "extra": 1}
+    prompts = settings.Prompts()
+    prompts.add(settings.Prompt("judge", "Judge $paper for $query", ("paper", "query"), ("level",)))
+    assert prompts.get("judge").render(paper="P", query="Q") == "Judge P for Q" and prompts.get("judge").accepts({"level": 1})
+    for bad in (lambda: prompts.get("judge").render(paper="P"), lambda: prompts.add(settings.Prompt("judge", ""))):
+        with pytest.raises(ValueError):
+            bad()
+    (tmp_path / "b.csv").write_text("q\n1\n")
+    assert [r.name for r in settings.datasets(spark, str(tmp_path)).collect()] == ["b.csv", "c.json"]

@@ -29,27 +29,38 @@ def merged(rows: DataFrame, key: Column, order: str, absorb: Sequence[str] = (),
     return rows.groupBy(key.alias("key")).agg(F.min(order).alias(order), *fields, F.count("*").alias("merged"))
 
 
+def _to_least(edges: DataFrame) -> DataFrame:
+    """Every node's larger neighbours, linked to its least neighbour or itself."""
+    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
+    least = both.groupBy("a").agg(F.min("b").alias("m"))
+    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+
+
+def _between_smaller(edges: DataFrame) -> DataFrame:
+    """Every node's smaller neighbours and the node itself, linked to the least of them."""
+    least = edges.groupBy("a").agg(F.min("b").alias("m"))
+    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
+    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+
+
 def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
-    """node, component (smallest node reachable) for edges (a, b): labels spread to neighbours and to the nodes they name, and jump, until nothing moves.
+    """node, component (smallest node reachable) for edges (a, b), by alternating two star steps until the edges no longer change.
 
-    Labels only fall, so this ends. Every round is two aggregations and four joins; cut materialises it (checkpoint() in the shared folder by default).
+    Edges only move to smaller nodes, so this ends, and after about log(n) rounds; it never stops earlier. cut materialises a
+    round's edges (checkpoint() in the shared folder of spark.checkpoint.dir by default).
     """
     cut = cut or (lambda df: df.checkpoint())
-    both = edges.select("a", "b").union(edges.select("b", "a")).filter("a <> b").distinct()
-    both = cut(both)
-    labels = cut(edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct().withColumn("label", F.col("node")))
-    done = False
-    while not done:
-        near = both.join(labels, F.col("b") == F.col("node")).groupBy(F.col("a").alias("node")).agg(F.min("label").alias("near"))
-        met = labels.join(near, "node", "left")
-        told = met.select("node", "near").union(met.select("label", "near")).groupBy("node").agg(F.min("near").alias("near"))
-        hooked = labels.join(told, "node", "left").select("node", "label", F.least("label", F.coalesce("near", "label")).alias("next"))
-        jump = hooked.select(F.col("node").alias("_of"), F.col("next").alias("_to"))
-        moved = hooked.join(jump, F.col("next") == F.col("_of"), "left").select("node", "label", F.least("next", F.coalesce("_to", "next")).alias("next"))
-        moved = cut(moved)
-        done = moved.filter("next <> label").isEmpty()
-        labels = moved.select("node", F.col("next").alias("label"))
-    return labels.select("node", F.col("label").alias("component"))
+    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
+    before = state(links)
+    while before[0]:
+        links = cut(_between_smaller(_to_least(links)))
+        now = state(links)
+        if now == before:
+            break
+        before = now
+    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
 def key_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, keys: str = "keys") -> DataFrame:

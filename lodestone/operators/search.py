@@ -43,7 +43,7 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str, query_key: str,
     )
     part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
     hits = found.join(idf, "token").select(key, "token", part.alias("part"))
-    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.countDistinct("token").alias("held"))
+    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))
 
 
 def title_scores(docs: DataFrame, queries: DataFrame, key: str, title: str, query_key: str, text: str, most_postings: int = 80_000) -> DataFrame:
@@ -67,7 +67,7 @@ def title_scores(docs: DataFrame, queries: DataFrame, key: str, title: str, quer
 
 def two_phase(scored: DataFrame, terms: DataFrame, query_key: str, key: str, k: int) -> DataFrame:
     """Documents with all of a query's terms first, then those with any, each by score; k in all. scored as bm25 gives it."""
-    wanted = terms.groupBy(query_key).agg(F.countDistinct("token").alias("wanted"))
+    wanted = terms.groupBy(query_key).agg(F.count("*").alias("wanted"))
     rows = scored.join(wanted, query_key)
     rows = rows.withColumn("phase", F.when(F.col("held") == F.col("wanted"), 0).otherwise(1).cast("long"))
     return ranked(rows, [query_key], ["phase", F.desc(F.round("score", 6)), key], k)

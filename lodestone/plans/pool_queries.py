@@ -9,6 +9,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import cutoffs, evaluation, pools, resolve, selection
 from lodestone.operators.search import ranked
+from lodestone.planning import feedback
 from lodestone.plans.tables import CUSTOMER_SCORES_SQL, customer_scores, table
 
 
@@ -184,8 +185,14 @@ def absorbed_pool(spark: SparkSession, d: str) -> DataFrame:
     return resolve.absorbed(rows, "o_custkey", "pos").groupBy("o_custkey").agg(F.countDistinct("entity").alias("records"), F.count("*").alias("rows"))
 
 
+def feedback_terms(spark: SparkSession, d: str) -> DataFrame:
+    """Terms of each source's first documents, by id."""
+    docs = ranked(table(spark, d, "documents").filter("source IS NOT NULL").select("source", "doc_id", "text"), ["source"], ["doc_id"])
+    return feedback.candidate_terms(docs, "source", "text", 5, 15).select("source", "term", "weight", "rank")
+
+
 QUERIES = {
-    "diversified_pool": diversified_pool, "absorbed_pool": absorbed_pool, "pool_append": pool_append, "rrf_records": rrf_records, "pool_verdicts": pool_verdicts, "exact_title_lookup": exact_title_lookup, "title_fan_out": title_fan_out, "title_like_documents": title_like_documents,
+    "feedback_terms": feedback_terms, "diversified_pool": diversified_pool, "absorbed_pool": absorbed_pool, "pool_append": pool_append, "rrf_records": rrf_records, "pool_verdicts": pool_verdicts, "exact_title_lookup": exact_title_lookup, "title_fan_out": title_fan_out, "title_like_documents": title_like_documents,
     "calls_to_run": calls_to_run, "safety_search": safety_search, "timeline": timeline, "method_clusters": method_clusters, "level_counts": level_counts, "provider_hits": provider_hits,
     "gold_distribution": gold_distribution, "batch_summary": batch_summary, "evidence_checks": evidence_checks, "route_prior": route_prior, "biomedical_topics": biomedical_topics, "stemmed_words": stemmed_words,
     "simulated_cutoffs": simulated, "gold_trace": gold_trace, "session_recency": session_recency,
@@ -196,7 +203,12 @@ _OPENINGS = " OR ".join(f"starts_with(low, '{p}')" for p in T.REQUEST_OPENINGS)
 _TITLED = f"""tw AS (SELECT doc_id, source, t, w, lower(array_to_string(w, ' ')) AS low FROM (SELECT doc_id, source, split_part(text, chr(10), 1) AS t, regexp_extract_all(split_part(text, chr(10), 1), '[A-Za-z][A-Za-z0-9\\-]*') AS w FROM documents)),
 tl AS (SELECT *, coalesce(len(w) BETWEEN 3 AND 24 AND NOT ({_OPENINGS}) AND (len(w) >= 5 OR contains(t, ':') OR len(list_filter(w, lambda x: regexp_matches(x, '^[A-Z]'))) >= 3 OR len(list_filter(w, lambda x: x = upper(x) AND len(x) >= 2)) > 0), false) AS title_like FROM tw)"""
 
+_STOP = "(" + ", ".join(f"'{w}'" for w in feedback.STOPWORDS) + ")"
 ORACLE_SQL = {
+    "feedback_terms": f"""WITH r AS (SELECT source, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS rank, list_filter(regexp_extract_all(lower(text), '[a-zA-Z][a-zA-Z0-9\\-]{{2,}}'), lambda w: w NOT IN {_STOP}) AS w FROM documents WHERE source IS NOT NULL),
+      g AS (SELECT source, rank, n, w, unnest(range(1, len(w) - n + 2)) AS i FROM r CROSS JOIN (SELECT unnest([1, 2, 3]) AS n) WHERE rank <= 5 AND len(w) >= n), t AS (SELECT source, rank, n, i, array_to_string(w[i:i + n - 1], ' ') AS term FROM g),
+      c AS (SELECT source, term, n, count(*) * CASE WHEN n > 1 THEN 2 ELSE 1 END AS weight, count(*) AS c, min(row(rank, n, i)) AS seen FROM t GROUP BY source, term, n)
+      SELECT * FROM (SELECT source, term, weight, row_number() OVER (PARTITION BY source ORDER BY weight DESC, seen) AS rank FROM c WHERE c >= 2) WHERE rank <= 15""",
     "diversified_pool": """WITH c AS (SELECT p_brand, p_partkey AS k, coalesce(CASE WHEN p_partkey % 9 > 0 THEN p_retailprice END, 0) AS loc, coalesce(CASE WHEN p_partkey % 7 > 0 THEN (p_partkey * 37) % 101 / 101 END, 0) AS fused,
         CASE WHEN p_partkey % 2 = 0 THEN p_size % 5 END AS met, coalesce(CASE WHEN p_partkey % 4 > 0 THEN 's' || (p_partkey % 4) END, 'unknown') AS src, list_slice(['r' || (p_partkey % 5), 'r' || (p_partkey % 3)], 1, p_partkey % 3) AS path FROM part),
       r AS (SELECT *, unnest(path) AS route, generate_subscripts(path, 1) AS i FROM c),

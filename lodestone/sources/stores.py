@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.functions.text import letters_key
+
 RUNS = "job_id string, kind string, status string, stage string, progress double, query string, started_at string, finished_at string, error string, created_at string, updated_at string"
 ONCE = ("started_at", "created_at")  # an upsert leaves these as they were
 
@@ -39,6 +44,44 @@ def reference_text(papers: DataFrame, references: str, most: int = 12_000) -> Da
     return papers.withColumn("refs", F.substring(F.concat_ws(" ", F.array_distinct(references)), 1, most))
 
 
+def write_corpus(papers: DataFrame, path: str) -> None:
+    """The full-text table: arxiv_id, title, abstract, refs, title_key. Spark commits its files at the end, so readers never see half of them."""
+    rows = reference_text(papers, "references").withColumn("title_key", letters_key(F.col("title"))).filter("title_key <> ''")
+    rows.select("arxiv_id", "title", F.coalesce("abstract", F.lit("")).alias("abstract"), "refs", "title_key").write.mode("overwrite").parquet(path)
+
+
+def read_corpus(spark: SparkSession, path: str, enabled: bool = True) -> DataFrame | None:
+    """The full-text table, or None if it is switched off or isn't there."""
+    try:
+        return spark.read.parquet(path) if enabled else None
+    except AnalysisException:
+        return None
+
+
+def vector_index(vectors: DataFrame, titles: DataFrame) -> DataFrame:
+    """vectors (arxiv_id, embedding) with their titles; those without a title can't be shown and go."""
+    return vectors.join(titles.select("arxiv_id", "title").filter("trim(title) <> ''"), "arxiv_id")
+
+
+def append_vectors(papers: DataFrame, path: str, key: str, embed: Callable[[DataFrame], DataFrame]) -> int:
+    """Embed (key, text) -> (key, embedding) what the vectors at path lack and append it there; returns how many were lacking."""
+    spark = papers.sparkSession
+    try:
+        done = spark.read.parquet(path)
+    except AnalysisException:
+        done = spark.createDataFrame([], f"`{key}` {dict(papers.dtypes)[key]}")
+    todo = missing_vectors(papers, done, key).select(key, "text")
+    n = todo.count()
+    if n:
+        embed(todo).write.mode("append").parquet(path)
+    return n
+
+
+def with_cached_vectors(texts: DataFrame, cache: DataFrame, model: str) -> DataFrame:
+    """texts (text) with the embedding that the cache (hash, embedding) holds for the model, or null."""
+    return texts.withColumn("hash", cache_key(model)).join(cache.select("hash", "embedding"), "hash", "left")
+
+
 def missing_vectors(papers: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Papers whose vector is still to be made: a build resumes with these after a stop. Needs a title."""
     titled = papers.filter("trim(coalesce(title, '')) <> ''").withColumn("text", F.concat_ws(" ", "title", "abstract"))

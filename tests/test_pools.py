@@ -153,3 +153,33 @@ def test_settings_prompts_and_datasets(spark, tmp_path):
             bad()
     (tmp_path / "b.csv").write_text("q\n1\n")
     assert [r.name for r in settings.datasets(spark, str(tmp_path)).collect()] == ["b.csv", "c.json"]
+
+
+def test_feedback_makes_new_searches(spark):
+    from lodestone.planning import feedback
+
+    found = rows(spark, [(1, 1, "Graph neural nets for molecules; graph neural nets scale"), (1, 2, "the molecules of proteins")], "q int, rank int, text string")
+    terms = feedback.candidate_terms(found, "q", "text")
+    got = [(r.term, r.weight) for r in sorted(terms.collect(), key=lambda r: r["rank"])]
+    assert got == [("graph neural", 4), ("neural nets", 4), ("graph neural nets", 4), ("graph", 2), ("neural", 2), ("nets", 2), ("molecules", 2)]
+    asked = rows(spark, [(1, "Graph neural models", None, ["x"])], "q int, search string, required array<string>, optional array<string>")
+    topics = rows(spark, [(1, "chemistry")], "q int, topic string")
+    made = feedback.feedback_queries(asked, terms, topics, "q").collect()
+    assert [r.search for r in sorted(made, key=lambda r: r.nth)] == ["chemistry neural nets", "chemistry graph neural nets", "chemistry nets"]
+
+
+def test_corpus_and_vectors_are_stored(spark, tmp_path):
+    from lodestone.sources import stores
+
+    path = str(tmp_path / "corpus")
+    assert stores.read_corpus(spark, path) is None
+    rows_in = rows(spark, [("1", "On Graphs", None, ["a", "b", "a"]), ("2", "123", "x", [])], "arxiv_id string, title string, abstract string, references array<string>")
+    stores.write_corpus(rows_in, path)
+    assert [tuple(r) for r in stores.read_corpus(spark, path).collect()] == [("1", "On Graphs", "", "a b", "ongraphs")] and stores.read_corpus(spark, path, False) is None
+    embed = lambda df: df.select("arxiv_id", F.array(F.length("text").cast("float")).alias("embedding"))
+    vectors = str(tmp_path / "vectors")
+    assert [stores.append_vectors(rows_in.filter("arxiv_id = '1'"), vectors, "arxiv_id", embed), stores.append_vectors(rows_in, vectors, "arxiv_id", embed), stores.append_vectors(rows_in, vectors, "arxiv_id", embed)] == [1, 1, 0]
+    titles = rows(spark, [("1", "On Graphs"), ("2", " ")], "arxiv_id string, title string")
+    assert [r.title for r in stores.vector_index(spark.read.parquet(vectors), titles).collect()] == ["On Graphs"]
+    cache = rows(spark, [("t",)], "text string").select(stores.cache_key("m").alias("hash"), F.lit(1.0).alias("embedding"))
+    assert [r.embedding for r in stores.with_cached_vectors(rows(spark, [("t",), ("u",)], "text string"), cache, "m").orderBy("text").collect()] == [1.0, None]

@@ -46,6 +46,14 @@ def test_components_settle_after_many_rounds(spark):
     assert got == dict.fromkeys(path, 0)
 
 
+def test_components_of_a_long_shuffled_path(spark):
+    names = list(range(2000))
+    Random(7).shuffle(names)
+    edges = spark.createDataFrame([*zip(names, names[1:], strict=False), (5000, 5000), (5001, 5002)], "a long, b long")
+    got = {r.node: r.component for r in resolve.components(edges).collect()}
+    assert got == dict.fromkeys(range(2000), 0) | {5000: 5000, 5001: 5001, 5002: 5001}
+
+
 def test_entity_resolution_links_every_line(spark, tmp_path):
     rows = write_lines(spark, tmp_path)
     first, pairs = {}, []

@@ -38,7 +38,7 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of equal texts, the row with the largest doc_id; of rows that repeat it, one. Names of chunks decide; texts move once, to be kept."""
     if ids_are_unique(docs):
         kept = materialize(exact_dedup.exact_dedup(docs).filter("kept").select("doc_id"), "kept")
-        return docs.join(kept, "doc_id", "left_semi").select(docs.columns)
+        return docs.join(kept.hint("merge"), "doc_id", "left_semi").select(docs.columns)  # ids have no size bound to broadcast by
     key, sha = free(docs, "key"), free(docs, "sha")
     kept = exact_dedup.exact_dedup(docs).filter("kept").select(filled("doc_id").alias(key), F.col("text_sha256").alias(sha))
     named = docs.withColumns({key: filled("doc_id"), sha: F.sha2(F.coalesce("text", F.lit("")), 256)})
@@ -70,7 +70,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     rows, key = numbered(docs)
     found = near_dedup.near_dedup(rows.select(F.col(key).alias("doc_id"), "text"))
     dropped = materialize(found.filter("not kept").select(F.col("doc_id").alias(key)), "dropped")
-    return rows.join(dropped, key, "left_anti").select(docs.columns)
+    return rows.join(dropped.hint("merge"), key, "left_anti").select(docs.columns)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -82,7 +82,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     slots = F.when(F.size("slots") > 0, F.col("slots")).otherwise(F.array(F.lit(2**62)))
     taken = mixed.select(F.col("doc_id").alias(key), copies.alias(times), slots.alias(slot)).filter(F.col(times) > 0)
     taken = taken.select(key, F.explode(F.slice(F.concat(slot, F.array_repeat(F.element_at(slot, -1), F.col(times))), F.lit(1), F.col(times))).alias(slot))
-    joined = rows.join(materialize(taken, "taken"), key)
+    joined = rows.join(materialize(taken, "taken").hint("merge"), key)
     return joined.repartitionByRange(slot, key).sortWithinPartitions(slot, key).select(docs.columns)
 
 

@@ -99,6 +99,11 @@ def dense_of_pool(dense: Column, vector: Column, by: str) -> Column:
     return F.coalesce(dense, F.when(vector.isNotNull() & best.isNotNull(), F.least(vector / best, F.lit(1.0))))
 
 
+def year_broken(year: Column, first: Column, last: Column) -> Column:
+    """Whether a year lies outside first..last; an unknown year or end breaks nothing."""
+    return F.coalesce(year < first, F.lit(False)) | F.coalesce(year > last, F.lit(False))
+
+
 def logistic(score: Column, midpoint: float = 0.5, temperature: float = 0.12) -> Column:
     return 1 / (1 + F.exp(-(score - midpoint) / temperature))
 

@@ -79,13 +79,14 @@ def percentile_drop(ranked: DataFrame, by: str, score: str, drop: float = 0.15,
     return got.select(by, F.when(cliff, F.greatest(floor, F.least("at", F.lit(most)))).otherwise(prefix).cast("long").alias("k"))
 
 
-def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02, most: int | str = 20) -> DataFrame:
+def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", slack: float = 0.02, most: int | str = 20, must_have: str | None = None) -> DataFrame:
     """by, g_hat, k, best: the controller's k for ranked (by, rank, p, kind).
 
     The number of answers is fused from the type's prior, the density of good results and the probabilities. The curve
     2 * hits / (k + answers), to 4 places, ends before the first rank (from 2) under the type's least probability;
     of the k within slack of its maximum the largest is taken. If the first ten probabilities are all alike and low (mean
-    under 0.35, deviation under 0.05), at most 5 results are taken, 10 for broad types. most is a number or a column of ranked.
+    under 0.35, deviation under 0.05), at most 5 results are taken, 10 for broad types. most is a number or a column of ranked. With must_have (a column: how many constraints a
+    query has to meet) the prior is cut by 0.7 above three and raised by 1.3 at none; null leaves it.
     """
     spark = ranked.sparkSession
     profile = F.broadcast(spark.createDataFrame(PROFILES, "query_type string, prior double, least double, broad boolean"))
@@ -96,8 +97,10 @@ def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", sl
         F.avg(F.when(F.col("rank") <= 10, F.col(p))).alias("mean"),
         F.stddev_pop(F.when(F.col("rank") <= 10, F.col(p))).alias("spread"),
         F.max(most if isinstance(most, str) else F.lit(most)).alias("most"),
+        F.max(must_have if must_have else F.lit(None).cast("int")).alias("must"),
     )
-    agg = agg.join(profile, agg[kind] == profile["query_type"], "left").select(agg["*"], F.coalesce("prior", F.lit(4.0)).alias("scope"), F.coalesce("least", F.lit(0.22)).alias("least"), F.coalesce("broad", F.lit(False)).alias("broad"))
+    fewer = F.when(F.col("must") > 3, 0.7).when(F.col("must") == 0, 1.3).otherwise(1.0)
+    agg = agg.join(profile, agg[kind] == profile["query_type"], "left").select(agg["*"], F.greatest(F.lit(1.0), F.coalesce("prior", F.lit(4.0)) * fewer).alias("scope"), F.coalesce("least", F.lit(0.22)).alias("least"), F.coalesce("broad", F.lit(False)).alias("broad"))
     pool = F.greatest(F.lit(1.0), F.col("pool"))
     mixed = lambda a, b, c: a * F.col("scope") + b * pool + c * F.col("visible")
     fused = F.when((F.col("visible") < 3) & (F.col("scope") > 10), mixed(0.45, 0.35, 0.20)).when(F.col("visible") > 8, mixed(0.25, 0.25, 0.50)).otherwise(mixed(0.35, 0.35, 0.30))

@@ -113,6 +113,57 @@ def gold_trace(gold: DataFrame, stages: dict[str, DataFrame], by: str, key: str)
     return out.withColumn("last_stage", last)
 
 
+def transfer_report(pool: DataFrame, selected: DataFrame, final: DataFrame, gold: DataFrame, by: str, ks: Sequence[int] = (50, 100, 300, 500)) -> DataFrame:
+    """by, recall_at_k for each k of the pool, selector_recall, final_transfer: where gold is lost on the way to a result.
+
+    pool, selected and final are (by, rank, keys), gold (by, gold_id, keys). Selector recall is over all gold, the transfer rate over the
+    pool's hits. Each list has gold items merged for itself, so all lists are matched in one go, as cases of their own.
+    """
+    lists = {**{f"at{k}": pool.filter(F.col("rank") <= k) for k in ks}, "pool": pool, "selected": selected, "final": final}
+    case = lambda name: F.struct(F.col(by).alias("of"), name.alias("list"))
+    found = None
+    for name, rows in lists.items():
+        part = rows.select(F.to_json(case(F.lit(name))).alias("case"), "rank", "keys")
+        found = part if found is None else found.unionByName(part)
+    listed = F.explode(F.array(*map(F.lit, lists))).alias("list")
+    wanted = gold.select(by, "gold_id", "keys", listed).select(by, "list", F.to_json(case(F.col("list"))).alias("case"), "gold_id", "keys")
+    scored = scored_against_gold(found, wanted.drop(by, "list"), "case").join(wanted.select("case", by, "list").distinct(), "case")
+    of = lambda name, c: F.max(F.when(F.col("list") == name, F.col(c)))
+    rate = lambda a, b: F.round(F.coalesce(F.when(b > 0, a / b), F.lit(0.0)), 4)
+    recalls = [of(f"at{k}", "recall").alias(f"recall_at_{k}") for k in ks]
+    hits = lambda name: of(name, "true_positive")
+    return scored.groupBy(by).agg(*recalls, rate(hits("selected"), of("pool", "gold_count")).alias("selector_recall"), rate(hits("final"), hits("pool")).alias("final_transfer"))
+
+
+def overdue(cases: DataFrame, elapsed: str, budget: float) -> DataFrame:
+    """One row: cases, and how many took longer than the budget."""
+    return cases.agg(F.count("*").alias("cases"), F.count(F.when(F.col(elapsed) > budget, 1)).alias("over_budget"))
+
+
+def loose_number(c: Column) -> Column:
+    """An arXiv number without what URLs, DOIs, file names and versions put around it; null if nothing is left."""
+    out = F.lower(F.trim(c))
+    for around in (r"^https?://arxiv\.org/(abs|pdf)/", "^arxiv:", r"^10\.48550/arxiv\.", "^10[.]48550/arxiv_", r"\.pdf$", r"v\d+$"):
+        out = F.regexp_replace(out, around, "")
+    return F.nullif(F.trim(out), F.lit(""))
+
+
+def vocabulary_gap(results: DataFrame, gold: DataFrame, by: str) -> DataFrame:
+    """by, variant, results, rank, found: whether each wording of a request finds its paper, and where.
+
+    results (by, variant, rank, ids (array of identifiers of any kind), title), gold (by, number, name): one paper a case. A number
+    matches an identifier that ends in it, or the other way round, or holds it; a title matches one that it holds or that holds it.
+    """
+    plain = lambda c: F.trim(F.regexp_replace(F.lower(c), "[^a-z0-9]+", " "))
+    rows = results.join(gold.select(by, loose_number(F.col("number")).alias("_n"), F.nullif(plain(F.col("name")), F.lit("")).alias("_t")), by)
+    n = F.col("_n")
+    ends = lambda x: F.coalesce(loose_number(x).endswith(n) | n.endswith(loose_number(x)), F.lit(False)) | F.coalesce(F.lower(x).contains(n), F.lit(False))
+    title = F.nullif(plain(F.col("title")), F.lit(""))
+    named = title.contains(F.col("_t")) | F.col("_t").contains(title)
+    met = F.coalesce(F.exists("ids", ends), F.lit(False)) | F.coalesce(named, F.lit(False))
+    return rows.groupBy(by, "variant").agg(F.count("*").alias("results"), F.min(F.when(met, F.col("rank"))).alias("rank")).withColumn("found", F.col("rank").isNotNull())
+
+
 def lost_cases(scored: DataFrame, by: str, hits: str) -> DataFrame:
     """The cases without any hit, of rows per case and setting (by, hits)."""
     return scored.groupBy(by).agg(F.max(hits).alias("best")).filter("best = 0").select(by)

@@ -4,9 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+# Component of a model call, and words of its prompts by which it is known; the first that fits counts.
+PROMPT_COMPONENTS = (
+    ("synthesis", ("highly_relevant_papers", "structuredsynthesis")),
+    ("evidence_selector", ("relevance_level", "evidence")),
+    ("result_review", ("coverage_analysis", "resultreview")),
+    ("search_planning", ("subqueries", "search_goal", "round")),
+    ("query_understanding", ("queryplan",)),
+)
+REVIEW_WORD = "审阅"  # fixed value: in a user prompt it marks a review too
+
 
 def cost(events: DataFrame, by: Sequence[str], value: str, failed: Column) -> DataFrame:
     """Calls, value and failures per group, with sub-totals and the total (null keys); partial sums come before the shuffle."""
@@ -30,6 +42,24 @@ def stages(components: DataFrame, name: str) -> DataFrame:
     return components.withColumn("stage", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))))
 
 
+def prompt_component(system: Column, user: Column) -> Column:
+    """The component that a model call is charged to, by the words of its prompts."""
+    low = F.lower(F.concat_ws("\n", F.coalesce(system, F.lit("")), F.coalesce(user, F.lit(""))))
+    named = F.lit("other_llm_task")
+    for component, words in reversed(PROMPT_COMPONENTS):
+        met = reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+        if component == "result_review":
+            met = met | F.coalesce(user.contains(REVIEW_WORD), F.lit(False))
+        named = F.when(met, component).otherwise(named)
+    return named
+
+
+def model_calls(calls: DataFrame, model: str, elapsed: str, tokens: str, system: str, user: str) -> DataFrame:
+    """model, component, calls, tokens, elapsed of model calls, with sub-totals per model and the total (null keys)."""
+    marked = calls.withColumn("component", prompt_component(F.col(system), F.col(user)))
+    return marked.rollup(model, "component").agg(F.count("*").alias("calls"), F.sum(F.coalesce(tokens, F.lit(0))).alias("tokens"), F.round(F.sum(elapsed), 4).alias("elapsed"))
+
+
 def block_counters(events: DataFrame, by: str, order: Sequence[str], limited: Column, failed: Column, most_limited: int = 3, most_failed: int = 5) -> DataFrame:
     """events with running counts of rate limits and errors, and whether the provider is blocked by then."""
     w = Window.partitionBy(by).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)

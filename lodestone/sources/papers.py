@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Sequence
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -33,11 +35,11 @@ def references(spark: SparkSession, path: str) -> DataFrame:
     return whole.select(T.letters_key(F.col("p.title")).alias("title_key"), F.posexplode(listed).alias("position", "reference"))
 
 
-def from_works(records: DataFrame, column: str = "value") -> DataFrame:
-    """PAPER rows from nested works records (JSON text); the abstract is put together from its word positions."""
-    w = records.select(F.from_json(column, WORK).alias("w")).filter("w.display_name IS NOT NULL")
+def from_works(records: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns keep and PAPER rows from nested works records (JSON text); the abstract is put together from its word positions."""
+    w = records.select(*keep, F.from_json(column, WORK).alias("w")).filter("w.display_name IS NOT NULL")
     return w.select(
-        F.col("w.id").alias("paper_id"), F.col("w.display_name").alias("title"), F.nullif(T.abstract_from_positions(F.col("w.abstract_inverted_index")), F.lit("")).alias("abstract"),
+        *keep, F.col("w.id").alias("paper_id"), F.col("w.display_name").alias("title"), F.nullif(T.abstract_from_positions(F.col("w.abstract_inverted_index")), F.lit("")).alias("abstract"),
         F.col("w.publication_year").alias("year"), F.col("w.primary_location.source.display_name").alias("venue"), F.transform("w.authorships", lambda a: a["author"]["display_name"]).alias("authors"),
         T.identifier(F.col("w.doi")).alias("doi"), F.lit(None).cast("string").alias("arxiv_id"), F.col("w.cited_by_count").alias("citation_count"), F.lit("openalex").alias("source"), F.array().cast("array<string>").alias("retrieval_path"),
     )
@@ -46,13 +48,13 @@ def from_works(records: DataFrame, column: str = "value") -> DataFrame:
 SCHOLAR = "paperId string, title string, abstract string, year int, venue string, url string, citationCount int, authors array<struct<name:string>>, externalIds struct<DOI:string,ArXiv:string>"
 
 
-def from_scholar(records: DataFrame, column: str = "value") -> DataFrame:
-    """PAPER rows from a citation service's records (JSON text): the id, else the URL, else the title names a paper."""
-    p = records.select(F.from_json(column, SCHOLAR).alias("p")).filter("p IS NOT NULL")
+def from_scholar(records: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns keep and PAPER rows from a citation service's records (JSON text): the id, else the URL, else the title names a paper."""
+    p = records.select(*keep, F.from_json(column, SCHOLAR).alias("p")).filter("p IS NOT NULL")
     filled = lambda c: F.nullif(F.col(c), F.lit(""))
     names = F.transform(F.filter("p.authors", lambda a: F.coalesce(a["name"], F.lit("")) != ""), lambda a: a["name"])
     return p.select(
-        F.coalesce(filled("p.paperId"), filled("p.url"), filled("p.title"), F.lit("")).alias("paper_id"), F.coalesce(filled("p.title"), F.lit("Untitled")).alias("title"), F.col("p.abstract").alias("abstract"),
+        *keep, F.coalesce(filled("p.paperId"), filled("p.url"), filled("p.title"), F.lit("")).alias("paper_id"), F.coalesce(filled("p.title"), F.lit("Untitled")).alias("title"), F.col("p.abstract").alias("abstract"),
         F.col("p.year").alias("year"), F.col("p.venue").alias("venue"), F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.col("p.externalIds.DOI").alias("doi"),
         F.col("p.externalIds.ArXiv").alias("arxiv_id"), F.col("p.citationCount").alias("citation_count"), F.lit("semantic_scholar").alias("source"), F.array().cast("array<string>").alias("retrieval_path"),
     )
@@ -75,12 +77,12 @@ PUBMED = (
 )
 
 
-def from_pubmed(records: DataFrame, column: str = "value") -> DataFrame:
-    """paper_id, title, abstract, venue, year, published (text) of article records (XML text); the article's own date goes before the issue's."""
-    a = records.select(F.from_xml(F.col(column), PUBMED).alias("r")).select(F.col("r.MedlineCitation.PMID").alias("paper_id"), "r.MedlineCitation.Article.*")
+def from_pubmed(records: DataFrame, column: str = "value", keep: Sequence[str] = ()) -> DataFrame:
+    """The columns keep, paper_id, title, abstract, venue, year, published (text) of article records (XML text); the article's own date goes before the issue's."""
+    a = records.select(*keep, F.from_xml(F.col(column), PUBMED).alias("r")).select(*keep, F.col("r.MedlineCitation.PMID").alias("paper_id"), "r.MedlineCitation.Article.*")
     part = lambda n: F.coalesce(F.col(f"ArticleDate.{n}"), F.col(f"Journal.JournalIssue.PubDate.{n}"))
     published = assembled_date(part("Year"), part("Month"), part("Day"))
-    return a.select("paper_id", F.trim("ArticleTitle").alias("title"), F.array_join("Abstract.AbstractText", " ").alias("abstract"), F.col("Journal.Title").alias("venue"), F.substring(published, 1, 4).cast("int").alias("year"), published.alias("published"))
+    return a.select(*keep, "paper_id", F.trim("ArticleTitle").alias("title"), F.array_join("Abstract.AbstractText", " ").alias("abstract"), F.col("Journal.Title").alias("venue"), F.substring(published, 1, 4).cast("int").alias("year"), published.alias("published"))
 
 
 def from_atom(records: DataFrame, column: str = "value") -> DataFrame:

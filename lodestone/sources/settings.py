@@ -29,11 +29,23 @@ def env_file(path: str | Path, environ: dict[str, str] | None = None) -> dict[st
     return added
 
 
+def configuration(path: str | Path) -> dict:
+    """The settings in a file: YAML by its ending, where a YAML reader is installed, else JSON. An empty file has none."""
+    content = Path(path).read_text(encoding="utf-8")
+    if Path(path).suffix not in (".yaml", ".yml"):
+        return json.loads(content or "{}")
+    try:
+        import yaml
+    except ImportError as e:
+        raise RuntimeError(f"{path}: reading YAML needs the yaml package") from e
+    return yaml.safe_load(content) or {}
+
+
 def settings(defaults: Mapping, *paths: str | Path, environ: Mapping[str, str] | None = None, prefix: str = "") -> dict:
-    """defaults, overlaid by JSON files section by section, then by variables PREFIX_SECTION_NAME of the environment (read as JSON where they are)."""
+    """defaults, overlaid by JSON or YAML files section by section, then by variables PREFIX_SECTION_NAME of the environment (read as JSON where they are)."""
     out = json.loads(json.dumps(defaults))
     for path in paths:
-        _overlay(out, json.loads(Path(path).read_text(encoding="utf-8")))
+        _overlay(out, configuration(path))
     for section, values in out.items():
         for name in values if isinstance(values, dict) else ():
             value = (os.environ if environ is None else environ).get(f"{prefix}{section}_{name}".upper())
@@ -57,6 +69,16 @@ def _read(value: str) -> object:
         return value
 
 
+TAXONOMY = ("acronyms", "task_synonyms", "method_synonyms", "domain_keywords")
+
+
+def taxonomy(spark: SparkSession, path: str | Path) -> DataFrame:
+    """section, term, place, synonym of a taxonomy file (sections of TAXONOMY: term to list); no rows without a file, so nothing is expanded."""
+    held = configuration(path) if Path(path).exists() else {}
+    rows = [(section, str(term), n, str(value)) for section in TAXONOMY for term, values in (held.get(section) or {}).items() for n, value in enumerate(values or ())]
+    return spark.createDataFrame(rows, "section string, term string, place int, synonym string")
+
+
 @dataclass(frozen=True)
 class Prompt:
     """A template with $fields, those that must be given, and the keys that an answer must have. render may be another function."""

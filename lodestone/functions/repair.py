@@ -95,5 +95,5 @@ def overlap(a: Column, b: Column) -> Column:
 def title_similarity(a: Column, b: Column, weight: float = 0.8) -> Column:
     """The larger of token overlap and weighted sequence ratio; rows with an overlap of weight or more skip the slow part."""
     fast = overlap(a, b)
-    slow = F.when(fast < weight, F.lower(a))
-    return F.greatest(fast, weight * pandas_udf(_ratio, "double")(slow, F.lower(b)))
+    slow = lambda c: F.when(fast < weight, F.lower(c))
+    return F.greatest(fast, weight * pandas_udf(_ratio, "double")(slow(a), slow(b)))

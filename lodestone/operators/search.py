@@ -14,6 +14,22 @@ def ranked(scored: DataFrame, by: list[str], order: list, k: int | None = None,
     return out if k is None else out.filter(F.col(name) <= k)
 
 
+def with_previous(rows: DataFrame, by: str, order: str, value: str, name: str, width: int = 8192) -> DataFrame:
+    """rows with the value of the row before, in order of a whole number within `by` (null: first; equal ones by the value's hash).
+
+    A group may hold most rows, so it is cut into blocks of `width` numbers; only the blocks' last values are ordered group by group.
+    """
+    spot = F.struct(F.coalesce(F.col(order).cast("long"), F.lit(-(2**62))).alias("o"), F.xxhash64(value).alias("h"))
+    rows = rows.withColumn("_at", spot).withColumn("_block", F.floor(F.col("_at.o") / width))
+    within = Window.partitionBy(by, "_block").orderBy("_at")
+    rows = rows.withColumns({"_nth": F.row_number().over(within), "_here": F.lag(value).over(within)})
+    blocks = rows.groupBy(by, "_block").agg(F.max_by(value, "_at").alias("_last"))
+    earlier = blocks.select(by, "_block", F.lag("_last").over(Window.partitionBy(by).orderBy("_block")).alias("_earlier"), F.lit(1).alias("_nth"))
+    joined = rows.alias("r").join(earlier.alias("e"), F.col(f"r.{by}").eqNullSafe(F.col(f"e.{by}")) & F.col("r._block").eqNullSafe(F.col("e._block")) & (F.col("r._nth") == F.col("e._nth")), "left")
+    kept = [F.col(f"r.{c}") for c in rows.columns if not c.startswith("_")]
+    return joined.select(*kept, F.when(F.col("r._nth") == 1, F.col("_earlier")).otherwise(F.col("_here")).alias(name))
+
+
 def query_terms(queries: DataFrame, key: str, text: str, most: int = 12) -> DataFrame:
     """key, token: the first `most` distinct words of three letters and more."""
     found = F.slice(F.array_distinct(F.filter(T.words(F.col(text)), lambda t: F.length(t) > 2)), 1, most)

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from collections.abc import Sequence
-
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from lodestone.functions import repair
 from lodestone.functions import text as T
 from lodestone.operators import resolve, selection
-from lodestone.operators.search import ranked
+from lodestone.operators.search import with_previous
 from lodestone.plans.tables import table
 from lodestone.sources import sessions
 from lodestone.streaming import health
@@ -90,10 +90,10 @@ def rows_only_jsonrepair(spark: SparkSession, d: str) -> DataFrame:
 
 
 def rows_only_seqmatch(spark: SparkSession, d: str) -> DataFrame:
-    docs = table(spark, d, "documents").select("doc_id", "lang", T.first_line(F.col("text")).alias("title"))
-    pairs = ranked(docs, ["lang"], ["doc_id"])
-    other = pairs.select("lang", (F.col("rank") + 1).alias("rank"), F.col("title").alias("before"))
-    return pairs.join(other, ["lang", "rank"]).select("doc_id", F.round(repair.title_similarity(F.col("title"), F.col("before")), 6).alias("similarity"))
+    """How alike each document's first line is to that of the document before it in its language."""
+    docs = table(spark, d, "documents").filter("lang IS NOT NULL").select("doc_id", "lang", T.first_line(F.col("text")).alias("title"))
+    pairs = with_previous(docs.withColumn("title", F.struct("title")), "lang", "doc_id", "title", "before").filter("before IS NOT NULL")
+    return pairs.select("doc_id", F.round(repair.title_similarity(F.col("title.title"), F.col("before.title")), 6).alias("similarity"))
 
 
 def rows_only_pasa_greedy(spark: SparkSession, d: str) -> DataFrame:

@@ -121,3 +121,17 @@ def test_passages_are_planned_and_searched_whole(spark, tmp_path):
     assert {r.query_type: r.queries for r in run("query_types")} == {"survey": 1, "dataset_constraint": 1}
     assert {r.doc_id: r.phase for r in run("two_phase_search") if r.item_id == 4} == {1: 1, 2: 1, 3: 0}
     assert {r.doc_id for r in run("bm25_fields") if r.item_id == 4} == {1, 2, 3}
+
+
+def test_previous_rows_across_blocks(spark):
+    from lodestone.operators.search import with_previous
+
+    data = [(k % 3 if k % 7 else None, k * k % 1009, f"v{k}") for k in range(400)] + [(1, None, "first"), (1, -50, "below")]
+    rows = spark.createDataFrame(data, "g int, n int, v string").dropDuplicates(["g", "n"])
+    want, last = {}, {}
+    for r in sorted(rows.collect(), key=lambda r: (str(r.g), -(10**9) if r.n is None else r.n)):
+        want[(r.g, r.n)] = last.get(r.g)
+        last[r.g] = r.v
+    for width in (1, 64, 10**6):
+        got = with_previous(rows, "g", "n", "v", "before", width)
+        assert got.columns == ["g", "n", "v", "before"] and {(r.g, r.n): r.before for r in got.collect()} == want

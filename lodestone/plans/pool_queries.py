@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import cutoffs, evaluation, pools, resolve, selection
-from lodestone.operators.search import ranked
+from lodestone.operators.search import ranked, with_previous
 from lodestone.planning import feedback
 from lodestone.plans.tables import CUSTOMER_SCORES_SQL, customer_scores, table
 
@@ -119,9 +119,9 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
     """Quotes, constraints and coverage of documents: words of the next document as evidence, words of its own as constraints."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    line = Window.partitionBy("lang").orderBy("doc_id")
-    w = docs.withColumn("w", F.split("text", " ")).withColumn("after", F.coalesce(F.lead("w").over(line), F.array().cast("array<string>")))
-    quotes, wanted, got = F.concat(F.slice("w", 3, 2), F.slice("after", 1, 3)), F.slice("w", 1, 3), F.slice("after", 1, 2)
+    docs = docs.withColumns({"back": -F.coalesce("doc_id", F.lit(-(2**61))), "head": F.slice(F.split("text", " "), 1, 4)})  # the next by id is the one before by its negative
+    w = with_previous(docs, "lang", "back", "head", "after").withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
+    quotes, wanted, got = F.concat(F.slice("head", 3, 2), F.slice("after", 1, 3)), F.slice("head", 1, 3), F.slice("after", 1, 2)
     level = F.when(F.col("doc_id") % 2 == 0, "high").otherwise("low")
     return w.select("doc_id", F.round(S.evidence_ratio(quotes, F.col("text")), 6).alias("evidence"), F.round(S.plan_coverage(wanted, got, level), 6).alias("coverage"))
 

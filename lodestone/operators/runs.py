@@ -3,9 +3,15 @@
 from __future__ import annotations
 
 import random
-from collections.abc import Sequence
+import threading
+import time
+import uuid
+from collections.abc import Callable, Hashable, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import dataclass
+from typing import Any
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 DONE = ("succeeded", "failed", "timed_out", "cancelled")
@@ -18,6 +24,78 @@ def chosen_cases(cases: DataFrame, index: str, n: int, seed: int) -> DataFrame:
     return cases.filter(F.col(index).isin(picked))
 
 
+@dataclass(frozen=True)
+class Outcome:
+    case: Hashable
+    state: str  # one of DONE
+    elapsed: float
+    error: str | None = None
+    value: Any = None
+
+
+def run_cases(spark: SparkSession, cases: Sequence[Hashable], run: Callable[[Hashable], Any], seconds: float, workers: int = 4, should_stop: Callable[[], bool] | None = None, on_result: Callable[[Outcome], None] | None = None) -> list[Outcome]:
+    """The outcomes of run(case), in the order of cases (thousands at most); run starts Spark jobs and returns what is small.
+
+    A case's jobs have a tag of their own, by which they are ended when its time is over or when should_stop says so; then cases that have
+    not begun are cancelled too. Work of run that is no Spark job is not broken off, but counts as timed out. on_result gets each
+    outcome as it comes, one at a time.
+    """
+    if seconds <= 0 or workers <= 0:
+        raise ValueError("seconds and workers must be above 0")
+    context, stopped, over, one = spark.sparkContext, threading.Event(), threading.Event(), threading.Lock()
+    running: set[str] = set()
+
+    def end(tag: str) -> None:
+        context.cancelJobsWithTag(tag)
+
+    def told(out: Outcome) -> Outcome:
+        if on_result:
+            with one:
+                on_result(out)
+        return out
+
+    def one_case(case: Hashable) -> Outcome:
+        if stopped.is_set():
+            return told(Outcome(case, "cancelled", 0.0, "stopped"))
+        tag, began = f"case-{uuid.uuid4().hex}", time.monotonic()
+        context.addJobTag(tag)
+        context.setInterruptOnCancel(True)
+        running.add(tag)
+        timer = threading.Timer(seconds, end, (tag,))
+        timer.start()
+        value = error = None
+        try:
+            value = run(case)
+        except Exception as e:  # noqa: BLE001 - a case may fail in any way; its outcome says how
+            error = f"{type(e).__name__}: {e}"
+        finally:
+            timer.cancel()
+            running.discard(tag)
+            context.removeJobTag(tag)
+        elapsed = time.monotonic() - began
+        if elapsed > seconds:
+            return told(Outcome(case, "timed_out", elapsed, f"took longer than {seconds} s"))
+        if error:
+            return told(Outcome(case, "cancelled", elapsed, "stopped") if stopped.is_set() else Outcome(case, "failed", elapsed, error))
+        return told(Outcome(case, "succeeded", elapsed, None, value))
+
+    def watch() -> None:
+        while should_stop and not over.wait(0.05):
+            if should_stop():
+                stopped.set()
+                for tag in list(running):
+                    end(tag)
+
+    watcher = threading.Thread(target=watch, daemon=True)
+    watcher.start()
+    try:
+        with ThreadPoolExecutor(workers) as pool:
+            return list(pool.map(one_case, cases))
+    finally:
+        over.set()
+        watcher.join()
+
+
 def outcomes(cases: DataFrame, results: DataFrame, index: str, budget: float) -> DataFrame:
     """One row a case in the order of cases: results (index, elapsed, error) as a terminal state; cases without a result were cancelled."""
     joined = cases.select(index).join(results, index, "left")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -62,6 +65,25 @@ def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str, query_key: str,
     return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))
 
 
+def field_bm25(docs: DataFrame, terms: DataFrame, key: str, weights: Mapping[str, float], query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
+    """query_key, key, score: BM25 over several fields; counts are summed by the fields' weights, lengths as they are.
+
+    A field may be null, or an array of texts (a list of references, say).
+    """
+    kinds = dict(docs.dtypes)
+    plain = docs.select(key, *[(F.array_join(f, " ") if kinds[f].startswith("array") else F.col(f)).alias(f) for f in weights])
+    parts = [postings(plain, key, f, terms).withColumn("tf", F.col("tf") * w) for f, w in weights.items()]
+    tf = reduce(DataFrame.unionByName, parts).groupBy(key, "token").agg(F.sum("tf").alias("tf"))
+    words = [F.size(F.coalesce(T.words(F.col(f)), F.array().cast("array<string>"))) for f in weights]
+    sized = plain.select(key, reduce(lambda x, y: x + y, words).alias("len"))
+    stats = sized.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
+    idf = tf.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(stats))  # one row of statistics
+    idf = idf.select("token", "mean", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean")))
+    hits = tf.join(idf, "token").join(sized, key).withColumn("part", part)
+    return terms.join(hits, "token").groupBy(query_key, key).agg(F.round(F.sum("part"), 6).alias("score"))
+
+
 def title_scores(docs: DataFrame, queries: DataFrame, key: str, title: str, query_key: str, text: str, most_postings: int = 80_000) -> DataFrame:
     """query_key, key, score: sum of 1 + ln(tf) over a query's tokens (repeats count), plus 5 if its letters are in the title's.
 

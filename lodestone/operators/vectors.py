@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from math import ceil
 
 import numpy as np
@@ -74,3 +75,30 @@ def summed(hits: DataFrame, by: list[str], key: str, k: int) -> DataFrame:
     """Scores of several queries added up per key."""
     total = hits.groupBy(*by, key).agg(F.round(F.sum("score"), 6).alias("score"), F.count("*").alias("hits"))
     return ranked(total, by, [F.desc("score"), key], k)
+
+
+Encoder = Callable[[list[str]], tuple[np.ndarray, np.ndarray]]
+
+
+def embedded(texts: DataFrame, key: str, text: str, make_encoder: Callable[[], Encoder], known: DataFrame | None = None, batch: int = 64) -> DataFrame:
+    """key, sha256, embedding: the mean of a text's token vectors. An encoder gives, for some texts, states (texts, tokens, width) and a mask
+    of the tokens that count (texts, tokens); make_encoder is called once a partition, on its executor.
+
+    Equal texts are encoded once, and not at all if known (sha256, embedding) has them. A null text has no embedding; one without tokens zeros.
+    """
+    rows = texts.select(key, text, F.sha2(text, 256).alias("sha256"))
+    new = rows.filter(F.col(text).isNotNull()).groupBy("sha256").agg(F.first(text).alias("text"))
+    new = new if known is None else new.join(known.select("sha256"), "sha256", "left_anti")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encoder = make_encoder()
+        for whole in batches:
+            for at in range(0, whole.num_rows, batch):
+                part = whole.slice(at, batch)
+                states, mask = (np.asarray(a, np.float32) for a in encoder(part.column(1).to_pylist()))
+                means = np.einsum("ntd,nt->nd", states, mask) / np.maximum(mask.sum(1, keepdims=True), 1)
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.array(list(means), pa.list_(pa.float32()))], ["sha256", "embedding"])
+
+    made = new.mapInArrow(encode, "sha256 string, embedding array<float>")
+    made = made if known is None else made.unionByName(known.select("sha256", F.col("embedding").cast("array<float>").alias("embedding")))
+    return rows.join(made, "sha256", "left").select(key, "sha256", "embedding")

@@ -115,14 +115,7 @@ def bm25_fields(spark: SparkSession, d: str) -> DataFrame:
     """BM25 over a title that weighs 1.0 and a body that weighs 0.35: the weighted term counts and lengths are summed first."""
     docs = table(spark, d, "documents").select("doc_id", T.first_line(F.col("text")).alias("title"), "text")
     terms = search.query_terms(table(spark, d, "benchmark"), "item_id", "text")
-    parts = [search.postings(docs, "doc_id", c, terms).withColumn("tf", F.col("tf") * w) for c, w in (("title", 1.0), ("text", 0.35))]
-    tf = parts[0].unionByName(parts[1]).groupBy("doc_id", "token").agg(F.sum("tf").alias("tf"))
-    sized = docs.select("doc_id", (F.size(T.words(F.col("title"))) + F.size(T.words(F.col("text")))).alias("len"))
-    stats = sized.agg(F.count("*").alias("docs"), F.avg("len").alias("mean"))
-    idf = tf.groupBy("token").agg(F.count("*").alias("n")).crossJoin(F.broadcast(stats))
-    idf = idf.select("token", "mean", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf"))
-    part = F.col("idf") * F.col("tf") * 2.2 / (F.col("tf") + 1.2 * (0.25 + 0.75 * F.col("len") / F.col("mean")))
-    scored = terms.join(tf.join(idf, "token").join(sized, "doc_id").withColumn("part", part), "token").groupBy("item_id", "doc_id").agg(F.round(F.sum("part"), 6).alias("score"))
+    scored = search.field_bm25(docs, terms, "doc_id", {"title": 1.0, "text": 0.35}, "item_id")
     return ranked(scored, ["item_id"], [F.desc("score"), "doc_id"], 5)
 
 

@@ -2,13 +2,16 @@
 
 import json
 import sys
+import threading
+import time
 import urllib.error
 
+import numpy as np
 import pytest
 from pyspark import cloudpickle
 from pyspark.sql import functions as F
 
-from lodestone.operators import evaluation, listwise, usage
+from lodestone.operators import evaluation, listwise, runs, search, usage, vectors
 from lodestone.planning import review
 from lodestone.sources import remote, settings
 
@@ -170,3 +173,60 @@ def test_taxonomy_and_configuration(spark, tmp_path):
     assert settings.taxonomy(spark, tmp_path / "none.yaml").count() == 0
     (tmp_path / "s.yaml").write_text("llm:\n  timeout: 9\n", encoding="utf-8")
     assert settings.settings({"llm": {"timeout": 1, "mode": "auto"}}, tmp_path / "s.yaml", environ={"X_LLM_MODE": "off"}, prefix="x_") == {"llm": {"timeout": 9, "mode": "off"}}
+
+
+def letters():
+    """States: a token per word, (its length, 1); a text's padding does not count."""
+
+    def encode(texts):
+        words = [t.split() for t in texts]
+        states, mask = np.full((len(texts), 9, 2), 99.0), np.zeros((len(texts), 9))
+        for k, w in enumerate(words):
+            for n, word in enumerate(w):
+                states[k, n], mask[k, n] = (len(word), 1), 1
+        return states, mask
+
+    return encode
+
+
+def test_embedded_takes_the_mean_of_tokens(spark):
+    texts = spark.createDataFrame([(1, "a bbb"), (2, None), (3, ""), (4, "a bbb"), (5, "known")], "id int, t string")
+    known = texts.filter("id = 5").selectExpr("sha2(t, 256) AS sha256", "array(7D, 8D) AS embedding")
+    got = {r.id: r.embedding for r in vectors.embedded(texts, "id", "t", letters, known).collect()}
+    assert got == {1: [2.0, 1.0], 2: None, 3: [0.0, 0.0], 4: [2.0, 1.0], 5: [7.0, 8.0]}
+
+
+def test_references_count_as_a_field(spark):
+    docs = spark.createDataFrame([(1, "alpha", None, ["beta gamma", "delta"]), (2, "beta", "alpha alpha", []), (3, "other", "words", None)], "d int, title string, text string, refs array<string>")
+    terms = spark.createDataFrame([(1, "beta"), (2, "alpha")], "q int, token string")
+    got = {(r.q, r.d): r.score for r in search.field_bm25(docs, terms, "d", {"title": 1.0, "text": 0.35, "refs": 1.0}, "q").collect()}
+    mean = (4 + 3 + 2) / 3
+    want = lambda tf, n: max(1e-6, np.log(1.5 / 2.5)) * tf * 2.2 / (tf + 1.2 * (0.25 + 0.75 * n / mean))
+    assert got == {k: pytest.approx(round(v, 6), abs=1e-6) for k, v in {(1, 1): want(1, 4), (1, 2): want(1, 3), (2, 1): want(1, 4), (2, 2): want(0.7, 3)}.items()}
+
+
+def test_cases_end_in_one_state_each(spark):
+    def run(case):
+        if case == "bad":
+            raise ValueError("no")
+        if case == "slow":
+            spark.range(10**10).selectExpr("pow(id, 0.3) AS s").filter("sin(s) > 2").selectExpr("sum(s)").collect()
+        return spark.range(5).count()
+
+    seen = []
+    got = runs.run_cases(spark, ["good", "bad", "slow", "good"], run, 8.0, 1, on_result=seen.append)
+    assert [(o.case, o.state, o.value) for o in got] == [("good", "succeeded", 5), ("bad", "failed", None), ("slow", "timed_out", None), ("good", "succeeded", 5)]
+    assert sorted(map(id, seen)) == sorted(map(id, got)) and "ValueError" in got[1].error
+
+
+def test_a_stop_cancels_what_has_not_begun(spark):
+    begun = threading.Event()
+
+    def run(case):
+        begun.set()
+        time.sleep(0.3)
+
+    got = runs.run_cases(spark, [1, 2, 3], run, 60.0, 1, should_stop=begun.is_set)
+    assert [o.state for o in got] == ["succeeded", "cancelled", "cancelled"]
+    with pytest.raises(ValueError, match="above 0"):
+        runs.run_cases(spark, [], run, 0)

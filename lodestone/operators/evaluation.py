@@ -119,14 +119,13 @@ def transfer_report(pool: DataFrame, selected: DataFrame, final: DataFrame, gold
     pool, selected and final are (by, rank, keys), gold (by, gold_id, keys). Selector recall is over all gold, the transfer rate over the
     pool's hits. Each list has gold items merged for itself, so all lists are matched in one go, as cases of their own.
     """
-    lists = {**{f"at{k}": pool.filter(F.col("rank") <= k) for k in ks}, "pool": pool, "selected": selected, "final": final}
-    case = lambda name: F.struct(F.col(by).alias("of"), name.alias("list"))
-    found = None
-    for name, rows in lists.items():
-        part = rows.select(F.to_json(case(F.lit(name))).alias("case"), "rank", "keys")
-        found = part if found is None else found.unionByName(part)
-    listed = F.explode(F.array(*map(F.lit, lists))).alias("list")
-    wanted = gold.select(by, "gold_id", "keys", listed).select(by, "list", F.to_json(case(F.col("list"))).alias("case"), "gold_id", "keys")
+    cuts = F.array_compact(F.array(F.lit("pool"), *[F.when(F.col("rank") <= k, f"at{k}") for k in ks]))
+    lists = {"pool": cuts, "selected": F.array(F.lit("selected")), "final": F.array(F.lit("final"))}
+    case = lambda name: F.to_json(F.struct(F.col(by).alias("of"), name.alias("list")))
+    parts = [rows.select(by, "rank", "keys", F.explode(lists[name]).alias("list")) for name, rows in (("pool", pool), ("selected", selected), ("final", final))]
+    found = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(case(F.col("list")).alias("case"), "rank", "keys")
+    listed = F.explode(F.array(*map(F.lit, (*lists, *[f"at{k}" for k in ks])))).alias("list")
+    wanted = gold.select(by, "gold_id", "keys", listed).select(by, "list", case(F.col("list")).alias("case"), "gold_id", "keys")
     scored = scored_against_gold(found, wanted.drop(by, "list"), "case").join(wanted.select("case", by, "list").distinct(), "case")
     of = lambda name, c: F.max(F.when(F.col("list") == name, F.col(c)))
     rate = lambda a, b: F.round(F.coalesce(F.when(b > 0, a / b), F.lit(0.0)), 4)

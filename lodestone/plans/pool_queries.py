@@ -119,8 +119,9 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
     """Quotes, constraints and coverage of documents: words of the next document as evidence, words of its own as constraints."""
     docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
-    docs = docs.withColumns({"back": -F.coalesce("doc_id", F.lit(-(2**61))), "head": F.slice(F.split("text", " "), 1, 4)})  # the next by id is the one before by its negative
-    w = with_previous(docs, "lang", "back", "head", "after").withColumn("after", F.coalesce("after", F.array().cast("array<string>")))
+    heads = docs.select("doc_id", "lang", (-F.coalesce("doc_id", F.lit(-(2**61)))).alias("back"), F.slice(F.split("text", " "), 1, 4).alias("head"))
+    following = with_previous(heads, "lang", "back", "head", "after").select("doc_id", "head", F.coalesce("after", F.array().cast("array<string>")).alias("after"))  # next by id: before by its negative
+    w = docs.join(following, "doc_id")  # texts move once, and stay out of the windows
     quotes, wanted, got = F.concat(F.slice("head", 3, 2), F.slice("after", 1, 3)), F.slice("head", 1, 3), F.slice("after", 1, 2)
     level = F.when(F.col("doc_id") % 2 == 0, "high").otherwise("low")
     return w.select("doc_id", F.round(S.evidence_ratio(quotes, F.col("text")), 6).alias("evidence"), F.round(S.plan_coverage(wanted, got, level), 6).alias("coverage"))

@@ -117,7 +117,10 @@ def batch_summary(spark: SparkSession, d: str) -> DataFrame:
 
 
 def evidence_checks(spark: SparkSession, d: str) -> DataFrame:
-    """Quotes, constraints and coverage of documents: words of the next document as evidence, words of its own as constraints."""
+    """Quotes, constraints and coverage of documents: words of the next document as evidence, words of its own as constraints.
+
+    doc_id is taken as the table's key: rows without one are left out, and rows that share one are paired with each other.
+    """
     docs = table(spark, d, "documents").select("doc_id", "lang", F.coalesce("text", F.lit("")).alias("text"))
     heads = docs.select("doc_id", "lang", (-F.coalesce("doc_id", F.lit(-(2**61)))).alias("back"), F.slice(F.split("text", " "), 1, 4).alias("head"))
     following = with_previous(heads, "lang", "back", "head", "after").select("doc_id", "head", F.coalesce("after", F.array().cast("array<string>")).alias("after"))  # next by id: before by its negative

@@ -13,7 +13,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.llm.common import materialize, table
-from lodestone.llm.dom import Element, parse, run_text
+from lodestone.llm.dom import BLOCKS, Element, parse, run_text
 
 GAMMA = 0.9  # how far a branch's importance comes from its parts rather than from its own layouts
 LOW = 0.8  # importance below which a branch is removed
@@ -216,17 +216,21 @@ def main_text(page: str, low: np.ndarray | None) -> tuple[str, int, int]:
             held.add(id(mark))
             mark = mark.parent
     marked = set(map(id, marks))
-    blocks, style_cut, name_cut = [], 0, 0
-    waiting = [(root, False, False, not marks, False)]  # child, cut by style, by name, in the article, standing directly in it
+    blocks, style_cut, name_cut, last = [], 0, 0, None
+    waiting = [(root, None, False, False, not marks, False)]  # child, run before, cut by style, by name, in the article, directly in it
     while waiting:
-        child, cut, named, inside, plain = waiting.pop()
+        child, before, cut, named, inside, plain = waiting.pop()
         if isinstance(child, list):
             if cut or (id(child) in cut_here and not plain):
                 style_cut += 1
             elif named or not inside:
                 name_cut += 1
+            elif last is not None and last is before:  # a removed inline part stood between: still one block
+                blocks[-1] += child
+                last = child
             else:
-                blocks.append(run_text(child))
+                blocks.append(list(child))
+                last = child
             continue
         plain = id(child) in marked or (plain and child.tag in TEXT_TAGS)
         inside = inside or id(child) in marked
@@ -234,8 +238,12 @@ def main_text(page: str, low: np.ndarray | None) -> tuple[str, int, int]:
             cut = cut or (id(child) in cut_here and not plain)
             outer_header = child.tag == "header" and not (marks and inside)
             named = named or outer_header or child.tag == "head" or is_noise(child.tag, child.attributes)
-        waiting += [(c, cut, named, inside, plain) for c in reversed(shown(child))]
-    return "\n\n".join(blocks), style_cut, name_cut
+        parts, run, following = shown(child), None, []
+        for part in parts:
+            following.append((part, run, cut, named, inside, plain))
+            run = part if isinstance(part, list) else run if part.tag not in BLOCKS else None
+        waiting += reversed(following)
+    return "\n\n".join(map(run_text, blocks)), style_cut, name_cut
 
 
 def extract(pages: DataFrame, most_shipped: int = MOST_SHIPPED) -> DataFrame:

@@ -130,10 +130,14 @@ def calibrated(prior: Column, level: Column, local: Column, signals: Column, con
     return F.round(held, 4)
 
 
-def validated_level(level: Column, notes: Column, year_broken: Column, evidence: Column, coverage: Column, has_constraints: Column, is_fallback: Column) -> Column:
-    """The level after evidence checks: notes push it down one step, two notes or a year to low; then weak evidence does."""
-    down = F.when(level == "high", "medium").when(level == "medium", "low").otherwise(level)
-    first = F.when((notes >= 2) | year_broken, F.lit("low")).when(notes == 1, down).otherwise(level)
+def validated_level(level: Column, failed: Column, notes: Column, year_noted: Column, evidence: Column, coverage: Column, has_constraints: Column, is_fallback: Column) -> Column:
+    """The level after evidence checks; then weak evidence pushes high to medium and medium to low.
+
+    failed: checks that failed now. One takes the level down a step, low to irrelevant. With notes from before (`notes` of
+    them) two in all, or a note on a year (`year_noted`), make it low, even where it was irrelevant.
+    """
+    down = F.when(level == "high", "medium").when(level == "medium", "low").when(level == "low", "irrelevant").otherwise(level)
+    first = F.when(failed == 0, level).when((failed + notes >= 2) | year_noted, F.lit("low")).otherwise(down)
     weak_high = ~is_fallback & (evidence < 0.5) | has_constraints & (coverage < 0.5)
     second = F.when((first == "high") & weak_high, "medium").otherwise(first)
     weak_medium = ~is_fallback & ((evidence < 0.2) | (coverage < 0.25) & (evidence < 0.5))

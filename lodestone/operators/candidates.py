@@ -6,6 +6,7 @@ Candidates have query_id, paper_id, pos (input order), path (array of route and
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -18,28 +19,82 @@ def on_route(path: Column, part: str) -> Column:
 
 
 def rough_score(dense: Column, path: Column, citations: Column, overlap: Column, prerank: Column, coverage: Column) -> Column:
-    """The score by which a pool is sorted before selection; 0.5 where there is no dense score."""
-    base = F.when(dense > 0, dense).otherwise(0.5)
-    of_tag = lambda p: F.when(p.contains("title_exact"), 1.0).when(p.contains("title_like"), 0.2).otherwise(0.0) + F.when(p.contains("reference") | p.contains("citation"), 0.05).otherwise(0.0)
-    routes = F.aggregate(F.transform(path, of_tag), F.lit(0.0), lambda a, x: a + x)
-    return base + 0.01 * F.size(path) + 0.01 * F.log1p(F.coalesce(citations, F.lit(0)).cast("double")) + routes + F.least(0.1 * overlap, F.lit(0.5)) + 0.65 * prerank + 0.35 * coverage
-
+    """The score by which a pool is sorted before selection; 0.5 where there is no dense score.
 
-def evidence_score(title_match: Column, abstract_match: Column, title_constraints: Column, abstract_constraints: Column, path: Column, providers: Column, year: Column, citations: Column) -> Column:
-    """The local evidence score: shares of query words, constraints met, routes, providers, recency, authority; at most 1."""
-    route = F.when(on_route(path, "title_exact"), 0.60).when(on_route(path, "title_like"), 0.40).when(on_route(path, "core_topic"), 0.15).when(on_route(path, "method_task") | on_route(path, "dataset"), 0.12).when(on_route(path, "evolved"), 0.10).when(F.size(path) > 0, 0.05).otherwise(0.0)
+    overlap: words that title and query share. An empty or missing path counts as one route. Without a plan, prerank and
+    coverage are null and add nothing.
+    """
+    base = F.when(dense > 0, dense).otherwise(0.5)
+    expanded = lambda p: F.when(p.contains("reference_expansion") | p.contains("citation_expansion"), 0.05).otherwise(0.0)
+    of_tag = lambda p: F.when(p.contains("title_exact"), 1.0).when(p.contains("title_like"), 0.2).otherwise(0.0) + expanded(p)
+    routes = F.aggregate(F.transform(F.coalesce(path, F.array()), of_tag), F.lit(0.0), lambda a, x: a + x)
+    cited = F.log1p(F.greatest(F.coalesce(citations, F.lit(0)), F.lit(0)).cast("double"))
+    planned = 0.65 * F.coalesce(prerank, F.lit(0.0)) + 0.35 * F.greatest(F.coalesce(coverage, F.lit(0.0)), F.lit(0.0))
+    return base + 0.01 * F.greatest(F.coalesce(F.size(path), F.lit(1)), F.lit(1)) + 0.01 * cited + routes + F.least(0.1 * overlap, F.lit(0.5)) + planned
+
+
+# What a route is worth to the evidence score, and the providers that a tag "name:..." names.
+ROUTE_WORTH = ((0.60, ("title_exact",)), (0.40, ("title_like",)), (0.15, ("core_topic",)), (0.12, ("method_task", "entity_dataset", "dataset")), (0.10, ("evolved", "hybrid", "query2doc", "hyde")))
+PROVIDERS = ("openalex", "semantic_scholar", "arxiv", "pubmed", "pasa_local")
+
+
+def evidence_tokens(text: Column) -> Column:
+    """Distinct lower-case words of two letters or more, plurals cut: -ies to -y, -ches, -shes, -xes and -zes without -es, -s off, not -ss."""
+    words = F.array_distinct(F.regexp_extract_all(F.lower(F.coalesce(text, F.lit(""))), F.lit(r"(?U)\b\w{2,}\b"), F.lit(0)))
+    long, cut = lambda w, n: F.length(w) > n, lambda w, n: F.substring(w, F.lit(1), F.length(w) - n)
+    es = lambda w: w.endswith("ches") | w.endswith("shes") | w.endswith("xes") | w.endswith("zes")
+    single = lambda w: F.when(long(w, 4) & w.endswith("ies"), F.concat(cut(w, 3), F.lit("y"))).when(long(w, 4) & es(w), cut(w, 2)).when(long(w, 3) & w.endswith("s") & ~w.endswith("ss"), cut(w, 1)).otherwise(w)
+    return F.array_distinct(F.transform(words, single))
+
+
+def text_constraints(*lists: Column) -> Column:
+    """The constraints of several lists that can be looked for in a text: trimmed, the first of equal ones, no years."""
+    flat = F.filter(F.transform(F.flatten(F.array(*[F.coalesce(c, F.array().cast("array<string>")) for c in lists])), lambda c: F.trim(c)), lambda c: c.isNotNull() & (c != ""))
+    asked = F.filter(flat, lambda c: ~F.lower(c).startswith("year") & ~F.lower(c).rlike(r"(?:^|\s)(?:year|20\d{2})\s*[<>=]"))
+    return F.filter(asked, lambda c, i: ~F.exists(F.slice(asked, F.lit(1), i), lambda e: F.lower(e) == F.lower(c)))
+
+
+def evidence_features(rows: DataFrame, title: str, abstract: str, query_tokens: Column, constraints: Column, path: str, source: str) -> DataFrame:
+    """rows with what evidence_score() asks for: title_match, abstract_match (shares of the query's tokens), worded (constraints
+    whose tokens all stand in title or abstract), literal (others that stand there as they are), providers (a third each, at most 1)."""
+    of_title, of_abstract = evidence_tokens(F.col(title)), evidence_tokens(F.col(abstract))
+    share = lambda tokens: F.when(F.size(query_tokens) > 0, F.size(F.array_intersect(query_tokens, tokens)) / F.size(query_tokens)).otherwise(0.0)
+    text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))))
+    asked = F.transform(constraints, lambda c: F.struct(F.lower(c).alias("c"), evidence_tokens(c).alias("words")))
+    rows = rows.withColumns({"_title": of_title, "_abstract": of_abstract, "_text": text, "_asked": asked})
+    every = F.array_union("_title", "_abstract")
+    worded = lambda c: (F.size(c["words"]) > 0) & (F.size(F.array_except(c["words"], every)) == 0)
+    named = lambda p: F.when(p.startswith("provider:"), F.replace(p, F.lit("provider:"), F.lit(""))).when(p.startswith("prov:"), F.get(F.split(p, ":"), F.lit(1))).when(F.get(F.split(p, ":"), F.lit(0)).isin(*PROVIDERS) & p.contains(":"), F.get(F.split(p, ":"), F.lit(0)))
+    providers = F.array_distinct(F.array_compact(F.concat(F.transform(F.coalesce(path, F.array().cast("array<string>")), named), F.array(F.nullif(F.col(source), F.lit(""))))))
+    return rows.withColumns({
+        "title_match": share(F.col("_title")), "abstract_match": share(F.col("_abstract")),
+        "worded": F.size(F.filter("_asked", worded)), "literal": F.size(F.filter("_asked", lambda c: ~worded(c) & F.col("_text").contains(c["c"]))),
+        "providers": F.least(F.size(providers) / 3, F.lit(1.0)),
+    }).drop("_title", "_abstract", "_text", "_asked")
+
+
+def evidence_score(title_match: Column, abstract_match: Column, worded: Column, literal: Column, path: Column, providers: Column, year: Column, citations: Column) -> Column:
+    """The local evidence score: shares of query words, constraints met (by words 0.15, literally 0.10), the best route, providers, recency, authority; at most 1."""
+    worth = [(v, reduce(lambda a, b: a | b, [on_route(path, n) for n in names])) for v, names in ROUTE_WORTH]
+    route = F.lit(0.0)
+    for value, met in reversed([*worth, (0.05, F.coalesce(F.size(path), F.lit(0)) > 0)]):
+        route = F.when(met, value).otherwise(route)
+    year = F.nullif(year, F.lit(0))
     recency = F.when(year >= 2023, 0.05).when(year >= 2021, 0.04).when(year >= 2019, 0.03).when(year >= 2017, 0.02).when(year.isNotNull(), 0.01).otherwise(0.0)
-    authority = F.least(0.008 * F.log1p(F.coalesce(citations, F.lit(0)).cast("double")), F.lit(0.05))
-    constraints = F.least(0.15 * title_constraints + 0.10 * abstract_constraints, F.lit(0.30))
+    authority = F.least(0.008 * F.log1p(F.greatest(F.coalesce(citations, F.lit(0)), F.lit(0)).cast("double")), F.lit(0.05))
+    constraints = F.least(0.15 * worded + 0.10 * literal, F.lit(0.30))
     return F.least(F.lit(1.0), 0.25 * title_match + 0.20 * abstract_match + constraints + route + 0.10 * providers + recency + authority)
 
 
 def heuristic_level(hits: Column, citations: Column, year: Column, constrained: Column) -> Column:
-    """The older rule: named methods and datasets in the text, citations and year; high from 0.5, medium from 0.3."""
-    words = F.when(constrained, F.least(0.2 * hits, F.lit(0.4))).otherwise(0.35)
+    """The older rule: named methods and datasets in the text, citations and year; high from 0.5, medium from 0.3.
+
+    A plan that names none (not constrained) scores 0.35, whatever the paper's citations and year.
+    """
+    words = F.least(0.2 * hits, F.lit(0.4))
     cited = F.when(citations > 200, 0.15).when(citations > 50, 0.08).when(citations > 10, 0.03).otherwise(0.0)
     recent = F.when(year >= 2022, 0.15).when(year >= 2020, 0.08).otherwise(0.0)
-    score = F.round(words + F.least(cited + recent, F.lit(0.3)), 6)
+    score = F.when(constrained, F.round(words + F.least(cited + recent, F.lit(0.3)), 6)).otherwise(0.35)
     return F.when(score >= 0.5, "high").when(score >= 0.3, "medium").otherwise("low")
 
 

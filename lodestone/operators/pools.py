@@ -54,13 +54,14 @@ def vector_reranked(pool: DataFrame, scores: DataFrame, by: str, key: str, limit
     return ranked(joined.withColumn("retrieval_path", F.concat("retrieval_path", tags)), [by], [F.desc("vector_score"), key], limit)
 
 
-def verdicts_applied(pool: DataFrame, verdicts: DataFrame, by: str, key: str, citations: str) -> DataFrame:
+def verdicts_applied(pool: DataFrame, verdicts: DataFrame, by: str, key: str, citations: str, order: str | None = None) -> DataFrame:
     """pool with action and reason: a review's verdict (verdicts: by, key, action, reason), keep where there is none.
 
-    Discarded rows go, but at most a tenth of the pool (one at least): the most cited beyond that stay as noise.
+    Discarded rows go, but at most a tenth of the pool (one at least): the most cited beyond that stay as noise, of
+    equally cited ones the first by `order` (the key by default).
     """
     joined = pool.join(verdicts.select(by, key, "action", "reason"), [by, key], "left").fillna({"action": "keep", "reason": ""})
-    cited = Window.partitionBy(by, "action").orderBy(F.asc(F.coalesce(citations, F.lit(0))), key)
+    cited = Window.partitionBy(by, "action").orderBy(F.asc(F.coalesce(citations, F.lit(0))), F.desc(order or key))
     room = F.greatest(F.lit(1), F.floor(F.count("*").over(Window.partitionBy(by)) / 10))
     marked = joined.withColumns({"_n": F.row_number().over(cited), "_room": room})
     gone = (F.col("action") == "discard") & (F.col("_n") <= F.col("_room"))

@@ -16,6 +16,8 @@ PROMPT_COMPONENTS = (
     ("search_planning", ("subqueries", "search_goal", "round")),
     ("query_understanding", ("queryplan",)),
 )
+RETRIEVAL = "retrieval."  # fixed value: how names of retrieval components begin
+STAGE_WORDS = (("retrieval", ()), ("evidence", ("evidence", "rerank", "batch")), ("synthesis", ("synthesis", "llm_pool")))  # fixed values
 REVIEW_WORD = "审阅"  # fixed value: in a user prompt it marks a review too
 
 
@@ -33,11 +35,9 @@ def latest(events: DataFrame, key: str, order: Sequence[str], value: str) -> Dat
 def stages(components: DataFrame, name: str) -> DataFrame:
     """components with stage; a name may be of several stages and then gives a row for each, else `other`."""
     low = F.lower(F.col(name))
-    found = F.array_compact(F.array(
-        F.when(low.startswith("retrieval"), "retrieval"),
-        F.when(low.contains("evidence") | low.contains("selector"), "evidence"),
-        F.when(low.contains("synthesis"), "synthesis"),
-    ))
+    has = lambda words: reduce(lambda a, b: a | b, [low.contains(w) for w in words])
+    met = [(stage, low.startswith(RETRIEVAL) if stage == "retrieval" else has(words)) for stage, words in STAGE_WORDS]
+    found = F.array_compact(F.array(*[F.when(m, stage) for stage, m in met]))
     return components.withColumn("stage", F.explode(F.when(F.size(found) > 0, found).otherwise(F.array(F.lit("other")))))
 
 

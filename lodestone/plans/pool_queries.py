@@ -43,7 +43,7 @@ def rrf_records(spark: SparkSession, d: str) -> DataFrame:
 
 def pool_verdicts(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as a pool; a review discards a third of them."""
-    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round("o_totalprice").cast("long").alias("cited"))
+    o = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("cited"))
     action = F.when(F.col("o_orderkey") % 3 == 0, "discard").when(F.col("o_orderkey") % 3 == 1, "noise")
     said = o.select("o_custkey", "o_orderkey", action.alias("action"), F.lit("r").alias("reason")).filter("action IS NOT NULL AND o_orderkey % 2 = 0")
     return pools.verdicts_applied(o, said, "o_custkey", "o_orderkey", "cited").select("o_custkey", "o_orderkey", "action")
@@ -230,8 +230,8 @@ ORACLE_SQL = {
       p AS (SELECT *, CASE WHEN len(f) > 1 AND ((ab[2] AND NOT ab[1]) OR (ar[2] AND NOT ar[1])) THEN 2 ELSE 1 END AS kept FROM a),
       q AS (SELECT *, CASE WHEN len(f) > 2 AND ((ab[3] AND NOT ab[kept]) OR (ar[3] AND NOT ar[kept])) THEN 3 ELSE kept END AS last_kept FROM p)
       SELECT p_brand, key, round(score, 9) AS score, f[last_kept] || key AS id, last, names FROM (SELECT *, row_number() OVER (PARTITION BY p_brand ORDER BY score DESC, first_list, first_rank) AS r FROM q) WHERE r <= 20""",
-    "pool_verdicts": """WITH x AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'discard' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 1 THEN 'noise' ELSE 'keep' END AS action, round(o_totalprice)::BIGINT AS cited FROM orders),
-      y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, action ORDER BY cited, o_orderkey) AS n, greatest(1, count(*) OVER (PARTITION BY o_custkey) // 10) AS room FROM x)
+    "pool_verdicts": """WITH x AS (SELECT o_custkey, o_orderkey, CASE WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 0 THEN 'discard' WHEN o_orderkey % 2 = 0 AND o_orderkey % 3 = 1 THEN 'noise' ELSE 'keep' END AS action, round(o_totalprice / 1000)::BIGINT AS cited FROM orders),
+      y AS (SELECT *, row_number() OVER (PARTITION BY o_custkey, action ORDER BY cited, o_orderkey DESC) AS n, greatest(1, count(*) OVER (PARTITION BY o_custkey) // 10) AS room FROM x)
       SELECT o_custkey, o_orderkey, CASE WHEN action = 'discard' THEN 'noise' ELSE action END AS action FROM y WHERE NOT (action = 'discard' AND n <= room)""",
     "exact_title_lookup": "WITH k AS (SELECT p_partkey, lower(regexp_replace(p_name, '[^\\p{L}]', '', 'g')) AS k FROM part) SELECT * FROM (SELECT a.p_partkey, b.p_partkey AS found, row_number() OVER (PARTITION BY a.p_partkey ORDER BY b.p_partkey) AS rank FROM k a JOIN k b USING (k) WHERE a.p_partkey % 5 = 0 AND k <> '') WHERE rank <= 3",
     "title_fan_out": f"WITH {_TITLED}, n AS (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS nth FROM tl WHERE title_like) SELECT source, doc_id, nth, provider FROM n CROSS JOIN (VALUES ('openalex'), ('arxiv'), ('pubmed')) p(provider) WHERE nth <= 2",

@@ -117,14 +117,15 @@ def calibrate(spark: SparkSession, d: str) -> DataFrame:
 def validate(spark: SparkSession, d: str) -> DataFrame:
     """The level ladder over every combination that order lines give."""
     k = F.col("l_orderkey") + F.col("l_linenumber")
-    level = F.when(k % 3 == 0, "high").when(k % 3 == 1, "medium").otherwise("low")
-    out = S.validated_level(level, F.col("l_linenumber") % 3, F.col("l_orderkey") % 11 == 0, F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 5 == 0)
+    level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "irrelevant"))), (k % 4 + 1).cast("int"))
+    year = (F.col("l_orderkey") % 11 == 0) & (F.col("l_linenumber") % 3 > 0)
+    out = S.validated_level(level, F.col("l_linenumber") % 3, (F.col("l_partkey") % 5 == 0).cast("int"), year, F.col("l_discount") * 10, F.col("l_tax") * 10, F.col("l_orderkey") % 2 == 0, F.col("l_orderkey") % 5 == 0)
     return table(spark, d, "lineitem").select(level.alias("before"), out.alias("after")).groupBy("before", "after").agg(F.count("*").alias("n"))
 
 
-VALIDATE_SQL = """WITH x AS (SELECT CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN 'high' WHEN 1 THEN 'medium' ELSE 'low' END AS level, l_linenumber % 3 AS notes, l_orderkey % 11 = 0 AS y,
+VALIDATE_SQL = """WITH x AS (SELECT ['high', 'medium', 'low', 'irrelevant'][(l_orderkey + l_linenumber) % 4 + 1] AS level, l_linenumber % 3 AS failed, (l_partkey % 5 = 0)::INT AS before, l_orderkey % 11 = 0 AS y,
   l_discount * 10 AS e, l_tax * 10 AS c, l_orderkey % 2 = 0 AS hc, l_orderkey % 5 = 0 AS fb FROM lineitem),
-a AS (SELECT *, CASE WHEN notes >= 2 OR y THEN 'low' WHEN notes = 1 THEN CASE level WHEN 'high' THEN 'medium' ELSE 'low' END ELSE level END AS l1 FROM x),
+a AS (SELECT *, CASE WHEN failed = 0 THEN level WHEN failed + before >= 2 OR y THEN 'low' WHEN level = 'high' THEN 'medium' WHEN level = 'medium' THEN 'low' ELSE 'irrelevant' END AS l1 FROM x),
 b AS (SELECT *, CASE WHEN l1 = 'high' AND ((NOT fb AND e < 0.5) OR (hc AND c < 0.5)) THEN 'medium' ELSE l1 END AS l2 FROM a)
 SELECT level AS before, CASE WHEN l2 = 'medium' AND NOT fb AND (e < 0.2 OR (c < 0.25 AND e < 0.5)) THEN 'low' ELSE l2 END AS after, count(*) AS n FROM b GROUP BY 1, 2"""
 
@@ -270,8 +271,11 @@ def run_latest(spark: SparkSession, d: str) -> DataFrame:
     return out.select("user_id", shown("started_at"), shown("updated_at"), "status", "updates")
 
 
+STAGE_NAMES = ("planning", "listwise_rerank", "batch_llm", "llm_pool_reviewer", "selector", "retrieval", "evidence_synthesis")
+
+
 def stage_budget(spark: SparkSession, d: str) -> DataFrame:
-    name = F.concat(F.when(F.col("event_type") == "view", "retrieval.local").when(F.col("event_type") == "click", "retrieval.evidence").when(F.col("event_type") == "purchase", "synthesis").otherwise("planning"))
+    name = F.concat(F.when(F.col("event_type") == "view", "retrieval.local").when(F.col("event_type") == "click", "retrieval.evidence").when(F.col("event_type") == "purchase", "Synthesis").otherwise(F.element_at(F.array(*map(F.lit, STAGE_NAMES)), (F.col("event_id") % len(STAGE_NAMES) + 1).cast("int"))))
     return usage.stages(_log(spark, d).withColumn("component", name), "component").groupBy("stage").agg(F.count("*").alias("calls"), F.round(F.sum("value"), 4).alias("elapsed"))
 
 
@@ -367,7 +371,7 @@ ORACLE_SQL = {
     "cost_rollup": "SELECT event_type, user_id % 10 AS job, count(*) AS calls, round(sum(value), 4) AS elapsed, count(*) FILTER (event_type = 'error') AS failures FROM events GROUP BY ROLLUP (event_type, user_id % 10)",
     "llm_usage": "SELECT 'm' || (user_id % 3) AS model, count(*) AS calls, sum(greatest(1, floor(value))::BIGINT)::BIGINT AS tokens, round(sum(value), 4) AS elapsed FROM events GROUP BY 1",
     "run_latest": "SELECT user_id, strftime(min(ts), '%Y-%m-%d %H:%M:%S') AS started_at, strftime(max(ts), '%Y-%m-%d %H:%M:%S') AS updated_at, arg_max(event_type, row(ts, event_id)) AS status, count(*) AS updates FROM events GROUP BY 1",
-    "stage_budget": "SELECT stage, count(*) AS calls, round(sum(value), 4) AS elapsed FROM (SELECT value, unnest(CASE event_type WHEN 'view' THEN ['retrieval'] WHEN 'click' THEN ['retrieval', 'evidence'] WHEN 'purchase' THEN ['synthesis'] ELSE ['other'] END) AS stage FROM events) GROUP BY 1",
+    "stage_budget": "SELECT stage, count(*) AS calls, round(sum(value), 4) AS elapsed FROM (SELECT value, unnest(CASE event_type WHEN 'view' THEN ['retrieval'] WHEN 'click' THEN ['retrieval', 'evidence'] WHEN 'purchase' THEN ['synthesis'] ELSE CASE event_id % 7 WHEN 1 THEN ['evidence'] WHEN 2 THEN ['evidence'] WHEN 3 THEN ['synthesis'] WHEN 6 THEN ['evidence', 'synthesis'] ELSE ['other'] END END) AS stage FROM events) GROUP BY 1",
     "provider_health": "WITH r AS (SELECT user_id % 20 AS provider, event_id, count(*) FILTER (event_type = 'signup') OVER w AS limits, count(*) FILTER (event_type = 'error') OVER w AS errors FROM events WINDOW w AS (PARTITION BY user_id % 20 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)) SELECT provider, max(limits) AS limits, max(errors) AS errors, min(event_id) FILTER (limits >= 30 OR errors >= 40) AS any_blocked, count(*) FILTER (limits >= 30 OR errors >= 40) AS blocked_events FROM r GROUP BY 1",
     "budget_reserve": "WITH r AS (SELECT user_id % 20 AS provider, sum(round(value * 100)::BIGINT) OVER (PARTITION BY user_id % 20 ORDER BY ts, event_id ROWS UNBOUNDED PRECEDING)::BIGINT AS used FROM events) SELECT provider, count(*) FILTER (used <= 500000) AS allowed, max(used) AS used FROM r GROUP BY 1",
 }

@@ -48,7 +48,7 @@ def user_visits(spark: SparkSession, d: str) -> DataFrame:
 
 
 def noise_drop(spark: SparkSession, d: str) -> DataFrame:
-    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice")).cast("long").alias("citations"))
+    rows = table(spark, d, "orders").select("o_custkey", "o_orderkey", F.round(F.col("o_totalprice") / 1000).cast("long").alias("citations"))
     kept = selection.noise_dropped(rows, ["o_custkey"], F.col("o_orderkey") % 3 == 0, "citations", "o_orderkey")
     return kept.select("o_custkey", "o_orderkey")
 
@@ -113,7 +113,7 @@ ORACLE_SQL = {
     "session_bundle": "SELECT 'a' || (conv_id % 4) AS agent, conv_id::VARCHAR AS session_id, turn AS ordinal, role, md5(text) AS text_md5 FROM conversations",
     "windowed_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "user_visits": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events) SELECT user_id, sum(s)::BIGINT AS visits, count(*) AS events FROM g GROUP BY 1",
-    "noise_drop": "WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AS noise, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY round(o_totalprice)::BIGINT, o_orderkey) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE NOT (noise AND nth <= n // 5)",
+    "noise_drop": "WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AS noise, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY round(o_totalprice / 1000)::BIGINT, o_orderkey DESC) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE NOT (noise AND nth <= greatest(1, n // 5))",
     "selection_budgets": "SELECT o_custkey, least([40, 65, 50, 45][o_custkey % 4 + 1], count(*) * 5)::BIGINT AS budget FROM orders GROUP BY 1",
     "admitted_queries": "WITH r(route, provider, cap) AS (VALUES ('R', 'arxiv', 2), ('A', 'arxiv', 2), ('N', 'pubmed', 3)), x AS (SELECT provider, cap, row_number() OVER (PARTITION BY l_orderkey, provider ORDER BY l_linenumber) AS nth FROM lineitem JOIN r ON route = l_returnflag) SELECT provider, count(*) AS admitted FROM x WHERE nth <= cap GROUP BY 1",
 }

@@ -18,11 +18,6 @@ def test_evidence_score_is_capped(spark):
     assert got == [1.0, 0.0]
 
 
-def test_heuristic_level(spark):
-    df = spark.createDataFrame([(2, 300, 2023, True), (0, 60, 2019, True), (0, 0, None, False)], "h int, c int, y int, k boolean")
-    assert [r[0] for r in df.select(C.heuristic_level(*[F.col(c) for c in "hcyk"])).collect()] == ["high", "low", "medium"]
-
-
 def test_shield(spark):
     df = spark.createDataFrame([("q", k, 0.8 if k == 60 else 0.1) for k in range(80)], "q string, pos int, s double")
     got = C.shielded(df, ["q"], "s", k=52).collect()

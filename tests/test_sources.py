@@ -4,7 +4,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from lodestone.sources import cases, papers, sessions
-from lodestone.streaming import health
 
 
 def test_typed_lines(spark, tmp_path):
@@ -65,24 +64,6 @@ def test_papers(spark, tmp_path):
     assert (hits.count(), misses.count()) == (1, 1)
 
 
-EVENTS = [("p", 0.0, "timeout", 1.0, 0), ("p", 5.0, "success", 1.0, 3), ("p", 20.0, "success", 1.0, 3), ("p", 30.0, "timeout", 1.0, 0), ("q", 0.0, "rate_limit", 0.0, 0), ("q", 200.0, "rate_limit", 0.0, 0), ("r", 0.0, "success", 20.0, 0)]
-SCHEMA = "provider string, ts double, kind string, elapsed double, items int"
-
-
-def test_health_replay_and_stream(spark, tmp_path):
-    want = {(r.provider, r.ts): (r.state, r.allowed) for r in health.replay(spark.createDataFrame(EVENTS, SCHEMA)).collect()}
-    assert want["p", 0.0] == ("cooldown", True) and want["p", 5.0] == ("cooldown", False)
-    assert want["p", 20.0] == ("healthy", True) and want["p", 30.0] == ("blocked", True)
-    assert want["q", 200.0] == ("blocked", True)
-    source = tmp_path / "in"
-    for k, part in enumerate((EVENTS[:2], EVENTS[2:])):
-        spark.createDataFrame(part, SCHEMA).coalesce(1).write.mode("append").parquet(str(source / f"b{k}"))
-    rows = spark.readStream.schema(SCHEMA).option("recursiveFileLookup", "true").option("maxFilesPerTrigger", 10).parquet(str(source))
-    query = health.stream(rows).writeStream.format("memory").queryName("health").option("checkpointLocation", str(tmp_path / "ck")).trigger(availableNow=True).start()
-    query.awaitTermination()
-    assert {(r.provider, r.ts): (r.state, r.allowed) for r in spark.table("health").collect()} == want
-
-
 def test_stores(spark, tmp_path):
     from lodestone.sources import stores
 

@@ -144,21 +144,34 @@ def batch_summary(cases: DataFrame, values: Sequence[str]) -> DataFrame:
     return cases.agg(F.count("*").alias("cases"), F.count(F.when(done, 1)).alias("succeeded"), *[F.round(F.avg(F.when(done, F.col(v))), 4).alias(v) for v in values])
 
 
-def in_rounds(pool: DataFrame, search: Round, key: Sequence[str], order: Sequence, most: int, target: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, int]:
-    """(pool, rounds run): search(pool, round) adds rows until a round adds none, the pool has target rows, or most rounds are run.
+def in_rounds(pool: DataFrame, search: Round, by: str, key: Sequence[str], order: Sequence, most: int, target: int, cut: Callable[[DataFrame], DataFrame] | None = None) -> DataFrame:
+    """pool grown by rounds, with `rounds`: the rounds that the row's request (by) took part in.
 
-    Of equal keys the first by order stays. Each round's pool is cut off its lineage: by checkpoint() in the shared folder unless cut is given.
+    search(pool, round) adds rows to the requests still going. A request ends when a round adds none to it or it has target
+    rows; the others go on, most rounds at the most. Of equal keys within a request the first by order stays, earlier rounds
+    first. Only going requests are searched and moved again: the pool is split after each round, and both parts are cut off
+    their lineage (by checkpoint() in the shared folder unless cut is given), so a lost executor costs a round.
     """
     cut = cut or (lambda df: df.checkpoint())
-    size = pool.count()
+    sized = lambda df: df.groupBy(by).agg(F.count("*").alias("_size"))
+    finished, columns = [], pool.columns
+    going = cut(first_by_key(pool.withColumn("_key", F.struct(by, *key)), "_key", [*order]).drop("_key"))
+    before = cut(sized(going))
     for n in range(1, most + 1):
-        joined = pool.withColumn("_round", F.lit(0)).unionByName(search(pool, n).withColumn("_round", F.lit(n)))
-        pool = cut(first_by_key(joined.withColumn("_key", F.struct(*key)), "_key", ["_round", *order]).drop("_key", "_round"))
-        now = pool.count()
-        if now == size or now >= target:
-            return pool, n
-        size = now
-    return pool, most
+        joined = going.withColumn("_round", F.lit(0)).unionByName(search(going, n).select(columns).withColumn("_round", F.lit(n)))
+        grown = first_by_key(joined.withColumn("_key", F.struct(by, *key)), "_key", ["_round", *order]).drop("_key", "_round")
+        old = before.select(F.col(by).alias("_by"), F.col("_size").alias("_old"))
+        now = sized(grown := cut(grown)).join(old, F.col(by).eqNullSafe(F.col("_by")), "left").withColumn("_ends", F.col("_size").eqNullSafe(F.col("_old")) | (F.col("_size") >= target))
+        before = cut(now.select(by, "_size", "_ends"))
+        marks = before.select(F.col(by).alias("_by"), "_ends")
+        marked = grown.join(marks, F.col(by).eqNullSafe(F.col("_by"))).drop("_by")
+        last = F.lit(True) if n == most else F.col("_ends")
+        finished.append(marked.filter(last).drop("_ends").withColumn("rounds", F.lit(n)))
+        if n == most or before.filter("NOT _ends").isEmpty():
+            return reduce(DataFrame.unionByName, finished)
+        going = marked.filter("NOT _ends").select(columns)
+        before = before.filter("NOT _ends").select(by, "_size")
+    return going.withColumn("rounds", F.lit(0))
 
 
 def simulated_cutoffs(curves: DataFrame, cutoffs: dict[str, DataFrame], by: str) -> DataFrame:

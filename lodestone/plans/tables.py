@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from lodestone.operators.containment import contained
 from lodestone.operators.search import ranked
 
 
@@ -36,26 +37,9 @@ scores AS (SELECT o_custkey, o_orderkey, round(o_totalprice / top, 6) AS score,
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Gold pairs (item_id, doc_id): documents that hold a benchmark passage.
-
-    Blocked by the passage's second to fifth words, which stand whole in any text that holds it; so a document meets few
-    passages. Passages of under six words (none in the tables) would match anywhere and meet every document.
-    """
-    four_from = lambda w, i: F.xxhash64(*[F.get(w, i + n) for n in range(4)])  # noqa: E731 - a block, not a match: texts are compared below
-    inner = four_from(F.split("passage", r"\s+"), F.lit(1))
-    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage")).filter("passage <> ''")
-    long = F.size(F.split("passage", r"\s+")) >= 6
-    asked = items.filter(long).withColumn("k", inner)
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    worded = docs.filter(F.col("text").isNotNull()).select("doc_id", F.split("text", r"\s+").alias("w")).filter(F.size("w") >= 4)
-    four = F.transform(F.sequence(F.lit(0), F.size("w") - 4), lambda i: four_from(F.col("w"), i))
-    grams = worded.select("doc_id", F.explode(four).alias("k"))
-    hits = grams.join(asked.select("k").distinct(), "k", "left_semi").distinct()
-    pairs = hits.join(asked, "k").join(docs, "doc_id").filter(F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")
-    few = items.filter(~long)
-    if few.isEmpty():
-        return pairs.distinct()
-    return pairs.union(few.join(docs, F.col("text").contains(F.col("passage"))).select("item_id", "doc_id")).distinct()
+    """Gold pairs (item_id, doc_id): documents that hold a benchmark passage, found in one pass over the texts."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", F.col("text").alias("passage"))
+    return contained(table(spark, sf_dir, "documents"), "doc_id", "text", items, "item_id", "passage")
 
 
 PASSAGES_SQL = "gold AS (SELECT DISTINCT item_id, doc_id FROM benchmark b JOIN documents d ON contains(d.text, b.text) AND b.text <> '')"

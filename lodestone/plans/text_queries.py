@@ -9,6 +9,8 @@ from lodestone.functions import text as T
 from lodestone.operators import evaluation, search, selection
 from lodestone.operators.search import ranked
 from lodestone.plans.tables import PASSAGES_SQL, passages, table
+from lodestone.sources import postings
+from lodestone.sources.shared import new_folder
 
 LIST = lambda c: f"list_filter(regexp_extract_all(lower({c}), '[a-z0-9]+'), lambda w: len(w) > 1)"
 STOP = "(" + ", ".join(f"'{w}'" for w in T.QUERY_STOPWORDS) + ")"
@@ -104,6 +106,24 @@ def hybrid_search(spark: SparkSession, d: str) -> DataFrame:
     return ranked(fused, ["item_id"], [F.desc("score"), "doc_id"], 10)
 
 
+def _stored(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame]:
+    """The scores of a search over an index that is written first, and its terms."""
+    path = new_folder(spark, "index")
+    postings.add_to_index(table(spark, d, "documents"), "doc_id", "text", path, buckets=16)
+    terms = search.query_terms(table(spark, d, "benchmark"), "item_id", "text")
+    return postings.stored_bm25(spark, path, terms, "doc_id", "item_id"), terms
+
+
+def indexed_bm25(spark: SparkSession, d: str) -> DataFrame:
+    scored = _stored(spark, d)[0].withColumn("score", F.round("score", 6))
+    return ranked(scored, ["item_id"], [F.desc("score"), "doc_id"], 5).select("item_id", "doc_id", "score", "rank")
+
+
+def indexed_two_phase(spark: SparkSession, d: str) -> DataFrame:
+    scored, terms = _stored(spark, d)
+    return search.two_phase(scored, terms, "item_id", "doc_id", 20).select("item_id", "doc_id", "phase", F.round("score", 6).alias("score"), "rank")
+
+
 def two_phase_search(spark: SparkSession, d: str) -> DataFrame:
     terms = search.query_terms(table(spark, d, "benchmark"), "item_id", "text")
     docs = table(spark, d, "documents")
@@ -313,7 +333,7 @@ def _domain_sql(name: str) -> str:
 QUERIES = {
     "normalize_title": normalize_title, "keep_letters_key": letters, "normalize_url": normalize_url, "html_title_extract": html_title, "normalize_identifiers": identifiers,
     "tokenize_counts": tokenize_counts, "stem_tokens": stem_tokens, "html_to_text_tokens": html_to_text_tokens, "bm25_topk": bm25_topk, "title_tf_topk": title_tf_topk, "hybrid_search": hybrid_search,
-    "two_phase_search": two_phase_search, "bm25_fields": bm25_fields, "dedupe_exact": dedupe_exact, "dedupe_merge": dedupe_merge, "containment_match": containment_match, "prf_at_k": _swept,
+    "two_phase_search": two_phase_search, "indexed_bm25": indexed_bm25, "indexed_two_phase": indexed_two_phase, "bm25_fields": bm25_fields, "dedupe_exact": dedupe_exact, "dedupe_merge": dedupe_merge, "containment_match": containment_match, "prf_at_k": _swept,
     "oracle_k": oracle_k, "micro_macro_recall": micro_macro, "gold_coverage": gold_coverage, "candidate_loss": candidate_loss, "drop_reason": drop_reasons, "selector_fp_fn": selector_counts, "gold_scores": gold_scores, "micro_scores": micro, "relaxed_hits": relaxed_hits,
     "ngram_terms": ngram_terms, "domain_route": domain_route, "round_robin": round_robin, "stratified_topn": stratified, "session_list": session_list, "session_stats": session_stats,
     "session_search_bm25": session_search, "search_grouped": search_grouped,
@@ -356,3 +376,4 @@ ORACLE_SQL = {
     "session_search_bm25": f"WITH {SESSION_SQL} SELECT item_id, agent, conv_id, turn, score FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, msg) AS n FROM sh) WHERE n <= 20",
     "search_grouped": f"WITH {SESSION_SQL} SELECT item_id, agent, conv_id, count(*) AS hits, max(score) AS best FROM sh GROUP BY 1, 2, 3",
 }
+ORACLE_SQL |= {"indexed_bm25": ORACLE_SQL["bm25_topk"], "indexed_two_phase": ORACLE_SQL["two_phase_search"]}

@@ -79,17 +79,20 @@ class Access:
 
 
 def fetched(requests: DataFrame, keys: Sequence[str], url: str, make_http: Callable[[], Http], access: Sequence[Access] = ()) -> DataFrame:
-    """keys, body, error: the answers to the addresses in column url; null addresses are not asked. Accesses take turns, and where one
-    is refused for now (429, or no answer in time) the next is tried."""
-    kinds = dict(requests.dtypes)
+    """keys, body, error: the answers to the addresses in column url; null addresses are not asked, equal ones once. Accesses take
+    turns, and where one is refused for now (429, or no answer in time) the next is tried.
+
+    The requests are sent when this is called, not when its result is read: the answers are kept in the folder of
+    spark.checkpoint.dir, so that no later step asks again.
+    """
 
     def ask(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         http, turns, n = make_http(), cycle(access or (Access(),)), max(1, len(access))
         for batch in batches:
             bodies, errors = [], []
-            for address in batch.column(len(keys)).to_pylist():
+            for address in batch.column(0).to_pylist():
                 body = error = None
-                for _ in range(n if address else 0):
+                for _ in range(n):
                     params, headers = next(turns).read()
                     try:
                         body, error = http.get(address + ("&" + urlencode(params) if params else ""), headers), None
@@ -100,10 +103,11 @@ def fetched(requests: DataFrame, keys: Sequence[str], url: str, make_http: Calla
                             break
                 bodies.append(body)
                 errors.append(error)
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(keys)], pa.array(bodies, pa.string()), pa.array(errors, pa.string())], [*keys, "body", "error"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bodies, pa.string()), pa.array(errors, pa.string())], ["_asked", "body", "error"])
 
-    ddl = ", ".join([f"`{k}` {kinds[k]}" for k in keys] + ["body string", "error string"])
-    return requests.select(*keys, url).mapInArrow(ask, ddl).checkpoint()
+    asked = requests.select(F.col(url).alias("_asked")).filter("_asked IS NOT NULL").distinct()
+    answers = asked.mapInArrow(ask, "_asked string, body string, error string").checkpoint()
+    return requests.select(*keys, F.col(url).alias("_url")).join(answers, F.col("_url") == F.col("_asked"), "left").select(*keys, "body", "error")
 
 
 def address(base: str, **params: Column) -> Column:

@@ -42,11 +42,33 @@ def test_broad_search(spark):
     assert [r.x for r in got] == [True, True, False, True]
 
 
-def test_rounds_end_when_nothing_is_new(spark):
-    search = lambda pool, n: pool.select("q", (F.col("id") + 1).alias("id")).filter("id <= 4")
-    pool, n = pools.in_rounds(rows(spark, [(1, 0)], "q int, id int"), search, ["q", "id"], ["id"], 9, 100)
-    assert sorted(r.id for r in pool.collect()) == [0, 1, 2, 3, 4] and n == 5
-    assert pools.in_rounds(rows(spark, [(1, 0)], "q int, id int"), search, ["q", "id"], ["id"], 9, 3)[1] == 2
+def test_rounds_end_request_by_request(spark):
+    """Requests end in different rounds, each as if it ran alone: nothing new, the target reached, rounds used up."""
+    last = {1: 0, 2: 2, 3: 50, None: 1, 5: 4}
+    start = [(q, 0) for q in last] + [(2, 0)]
+    limits = rows(spark, [(q, n) for q, n in last.items()], "q2 int, most int")
+    asked = []
+
+    def search(pool, n):
+        asked.append((n, {r.q for r in pool.select("q").distinct().collect()}))
+        more = pool.join(limits, F.col("q").eqNullSafe(F.col("q2"))).filter("id < most").select("q", (F.col("id") + 1).alias("id"))
+        return more.unionByName(pool.select("q", "id"))
+
+    found = pools.in_rounds(rows(spark, start, "q int, id int"), search, "q", ["id"], ["id"], 7, 6).collect()
+    ends = {}
+    for q in last:
+        alone = pools.in_rounds(rows(spark, [r for r in start if r[0] == q], "q int, id int"), search, "q", ["id"], ["id"], 7, 6)
+        ends[q] = sorted((r.id, r.rounds) for r in alone.collect())
+        assert sorted((r.id, r.rounds) for r in found if r.q == q) == ends[q]
+    assert {q: v[0][1] for q, v in ends.items()} == {1: 1, 2: 3, 3: 5, None: 2, 5: 5}
+    assert [q for _, q in asked[:5]] == [set(last), {2, 3, None, 5}, {2, 3, 5}, {3, 5}, {3, 5}]
+
+
+def test_rounds_are_limited(spark):
+    found = pools.in_rounds(rows(spark, [(1, 0), (2, 0)], "q int, id int"), lambda p, n: p.select("q", (F.col("id") + 1).alias("id")), "q", ["id"], ["id"], 2, 99).collect()
+    assert sorted((r.q, r.id, r.rounds) for r in found) == [(q, k, 2) for q in (1, 2) for k in range(3)]
+    none = rows(spark, [], "q int, id int")
+    assert pools.in_rounds(none, lambda p, n: p, "q", ["id"], ["id"], 3, 9).count() == 0
 
 
 def test_titles_tokens_and_dates(spark):

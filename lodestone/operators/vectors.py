@@ -37,32 +37,34 @@ def similar(queries: DataFrame, candidates: DataFrame, k: int, least: float | No
         rows = rows.withColumn(own, F.pmod(F.xxhash64(key), F.lit(blocks)).cast("int"))
         return rows.withColumn(other, F.explode(F.sequence(F.lit(0), F.lit(others - 1)))).groupBy("i", "j")
 
-    def best(q: pa.Table, c: pa.Table) -> pa.Table:
-        c = c.sort_by("vec_id")
-        names, ids = (t.column(n).to_numpy() for t, n in ((q, "query_id"), (c, "vec_id")))
-        x, y = _matrices(q.column("asked"), c.column("embedding"))
-        found: list[tuple[np.ndarray, ...]] = [(names[:0], ids[:0], np.zeros(0))]
-        for first in range(0, len(names), STEP):
-            part = x[first : first + STEP]
-            sums = np.zeros((len(part), len(ids)))
-            for n in range(x.shape[1]):  # in the order of inner(), so that sums are the same
-                sums += part[:, n, None] * y[None, :, n]
-            rounded = np.copysign(np.floor(np.abs(sums) * 10**digits + 0.5) / 10**digits, sums)
-            for row, name in enumerate(names[first : first + STEP]):
-                own = np.flatnonzero(ids != name)
-                if least is not None:
-                    own = own[rounded[row, own] >= least]
-                own = own[np.argsort(-rounded[row, own], kind="stable")[:k]]
-                found.append((np.full(len(own), name, names.dtype), ids[own], sums[row, own]))
-        out = [np.concatenate(part) for part in zip(*found, strict=True)]
-        return pa.table({"query_id": out[0], "vec_id": out[1], "score": pa.array(out[2], from_pandas=True)})
-
     kinds = f"query_id {dict(queries.dtypes)['query_id']}, vec_id {dict(candidates.dtypes)['vec_id']}, score double"
     cells = dealt(queries, "query_id", "i", blocks, "j", others).cogroup(dealt(candidates, "vec_id", "j", others, "i", blocks))
-    scored = cells.applyInArrow(best, kinds).select("query_id", "vec_id", F.round("score", digits).alias("score"))
+    scored = cells.applyInArrow(lambda q, c: best_of_cell(q, c, k, least, digits), kinds).select("query_id", "vec_id", F.round("score", digits).alias("score"))
     return ranked(scored, ["query_id"], [F.desc("score"), "vec_id"], k)
 
 
+def best_of_cell(q: pa.Table, c: pa.Table, k: int, least: float | None = None, digits: int = 6) -> pa.Table:
+    """query_id, vec_id, score: the k best candidates (vec_id, embedding) of each query (query_id, asked) of a cell, by score to `digits` places, then vec_id."""
+    c = c.sort_by("vec_id")
+    names, ids = (t.column(n).to_numpy() for t, n in ((q, "query_id"), (c, "vec_id")))
+    x, y = _matrices(q.column("asked"), c.column("embedding"))
+    found: list[tuple[np.ndarray, ...]] = [(names[:0], ids[:0], np.zeros(0))]
+    for first in range(0, len(names), STEP):
+        part = x[first : first + STEP]
+        sums = np.zeros((len(part), len(ids)))
+        for n in range(x.shape[1]):  # in the order of inner(), so that sums are the same
+            sums += part[:, n, None] * y[None, :, n]
+        rounded = np.copysign(np.floor(np.abs(sums) * 10**digits + 0.5) / 10**digits, sums)
+        for row, name in enumerate(names[first : first + STEP]):
+            own = np.flatnonzero(ids != name)
+            if least is not None:
+                own = own[rounded[row, own] >= least]
+            own = own[np.argsort(-rounded[row, own], kind="stable")[:k]]
+            found.append((np.full(len(own), name, names.dtype), ids[own], sums[row, own]))
+    out = [np.concatenate(part) for part in zip(*found, strict=True)]
+    return pa.table({"query_id": out[0], "vec_id": out[1], "score": pa.array(out[2], from_pandas=True)})
+
+
 def _matrices(*columns: pa.ChunkedArray) -> list[np.ndarray]:
     """Rows of equal length; those of null or shorter vectors are NaN."""
     rows = [c.to_pylist() for c in columns]

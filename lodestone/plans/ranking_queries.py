@@ -10,6 +10,8 @@ from lodestone.functions import text as T
 from lodestone.operators import cutoffs, graphs, resolve, search, usage, vectors
 from lodestone.operators.search import ranked
 from lodestone.plans.tables import CUSTOMER_SCORES_SQL, PART_STATS_SQL, customer_scores, part_stats, table
+from lodestone.sources import vector_blocks
+from lodestone.sources.shared import new_folder
 
 
 def _lists(spark: SparkSession, d: str) -> DataFrame:
@@ -45,6 +47,14 @@ def vector_topk(spark: SparkSession, d: str) -> DataFrame:
     return _hits(spark, d, 5)
 
 
+def blocked_topk(spark: SparkSession, d: str) -> DataFrame:
+    """vector_topk out of stored blocks, of which those are skipped that cannot reach a query's fifth score."""
+    vecs, path = table(spark, d, "embeddings").select("vec_id", "embedding"), new_folder(spark, "vectors")
+    vector_blocks.write_blocks(vecs, path)
+    asked = vecs.filter("vec_id % 50 = 0").select(F.col("vec_id").alias("query_id"), "embedding")
+    return vector_blocks.search_blocks(spark, asked, path, 5)[0]
+
+
 def vector_multi(spark: SparkSession, d: str) -> DataFrame:
     hits = _hits(spark, d, 20).withColumn("query_group", F.col("query_id") % 3)
     return vectors.summed(hits, ["query_group"], "vec_id", 10)
@@ -291,7 +301,7 @@ def budget_reserve(spark: SparkSession, d: str) -> DataFrame:
 
 
 QUERIES = {
-    "rrf_fusion": rrf_fusion, "rrf_weighted": rrf_weighted, "vector_topk": vector_topk, "vector_multi": vector_multi, "vector_recall_at_k": vector_recall, "citation_score": citation_score,
+    "rrf_fusion": rrf_fusion, "rrf_weighted": rrf_weighted, "vector_topk": vector_topk, "blocked_topk": blocked_topk, "vector_multi": vector_multi, "vector_recall_at_k": vector_recall, "citation_score": citation_score,
     "prerank_score": prerank, "final_score": final, "calibrate": calibrate, "evidence_validation": validate, "fbeta_cutoff": fbeta, "tier_partition": tier_partition, "score_gap_k": score_gap,
     "percentile_drop_k": percentile_drop, "expected_f1_k": expected_f1, "dynamic_k_rules": dynamic_k, "composed_k": composed, "tier_summary": tier_summary, "refchain_expand": refchain, "induced_graph": induced, "link_prior": link_prior,
     "components": components, "key_overlap_join": key_overlap, "topic_clusters": topic_clusters, "cutoff_filter": cutoff_filter, "publication_dates": publication_dates, "parse_event_props": event_props,
@@ -348,6 +358,7 @@ _TOP = f"WITH {EDGES_SQL}, top AS (SELECT p_partkey AS node FROM part_stats ORDE
 ORACLE_SQL = {
     "rrf_fusion": f"WITH {RRF_SQL} " + _RRF.format("1.0::DOUBLE", ""),
     "rrf_weighted": f"WITH {RRF_SQL} " + _RRF.format("CASE WHEN l_returnflag = 'A' THEN 1.0 ELSE 1.5 END::DOUBLE", "WHERE l_returnflag <> 'R'"),
+    "blocked_topk": f"WITH {VEC_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5",
     "vector_topk": f"WITH {VEC_SQL} SELECT query_id, vec_id, score, rank FROM r WHERE rank <= 5",
     "vector_multi": f"WITH {VEC_SQL}, t AS (SELECT query_id % 3 AS query_group, vec_id, round(sum(score), 6) AS score, count(*) AS hits FROM r WHERE rank <= 20 GROUP BY 1, 2) SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY query_group ORDER BY score DESC, vec_id) AS rank FROM t) WHERE rank <= 10",
     "vector_recall_at_k": f"WITH {VEC_SQL} SELECT query_id, round(count(*) FILTER (a.label = b.label) / count(*), 4) AS precision_at_10 FROM r JOIN v a ON a.vec_id = r.vec_id JOIN v b ON b.vec_id = r.query_id WHERE rank <= 10 GROUP BY 1",

@@ -252,3 +252,40 @@ def test_containment_of_nothing(spark):
     texts = spark.createDataFrame([(1, "a")], "id long, text string")
     assert containment.contained(texts, "id", "text", texts.limit(0).toDF("p", "x"), "p", "x").count() == 0
     assert containment.contained(texts.limit(0), "id", "text", texts.toDF("p", "x"), "p", "x").count() == 0
+
+
+def some_vectors(n, width, clusters, seed=3):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(clusters, width)) * 6
+    return [(k, (middles[k % clusters] + rng.normal(size=width)).astype("float32").tolist()) for k in range(n)]
+
+
+@pytest.mark.parametrize(("n", "clusters", "block"), [(400, 8, None), (90, 1, 3), (7, 2, 2)])
+def test_stored_blocks_search_as_all_vectors(spark, tmp_path, n, clusters, block):
+    from lodestone.operators import vectors
+    from lodestone.sources import vector_blocks
+
+    rows = some_vectors(n, 12, clusters)
+    rows += [(1000, rows[3][1]), (1001, rows[3][1]), (1002, [0.0] * 12)]
+    bad = [(2000, None), (2001, [1.0, None] + [0.0] * 10), (2002, [float("nan")] * 12), (None, rows[0][1])]
+    schema, path = "vec_id long, embedding array<float>", str(tmp_path / "blocks")
+    good = spark.createDataFrame(rows, schema)
+    blocks = vector_blocks.write_blocks(spark.createDataFrame(rows + bad, schema).repartition(3), path, block)
+    asked = good.filter("vec_id % 5 = 0").withColumnRenamed("vec_id", "query_id")
+    found, met = vector_blocks.search_blocks(spark, asked.unionByName(spark.createDataFrame([(2000, None), (2003, [1.0])], "query_id long, embedding array<float>")), path, 6)
+    want = vectors.similar(asked, good, 6)
+    order = lambda df: sorted((r.query_id, r["rank"], r.vec_id, r.score) for r in df.collect())
+    assert order(found) == order(want)
+    share = met.count() / (asked.count() * blocks)
+    assert share < 0.5 if clusters == 8 else share <= 1
+
+
+def test_a_large_centre_is_several_blocks(spark, tmp_path, monkeypatch):
+    from lodestone.sources import vector_blocks
+
+    monkeypatch.setattr(vector_blocks, "BLOCK", 20)
+    rows = some_vectors(100, 4, 1)
+    assert vector_blocks.write_blocks(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), str(tmp_path / "b"), 1) == 5
+    assert vector_blocks.write_blocks(spark.createDataFrame([], "vec_id long, embedding array<float>"), str(tmp_path / "none")) == 0

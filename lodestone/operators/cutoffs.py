@@ -117,6 +117,22 @@ def expected_f1(ranked: DataFrame, by: str, p: str, kind: str = "query_type", sl
     return rows.groupBy(by).agg(F.round(F.max("g_hat"), 4).alias("g_hat"), F.max("rank").alias("k"), F.max("best").alias("best"))
 
 
+# Words by which a request of unknown type tells its type; the first that fits counts.
+TYPE_WORDS = (
+    ("survey", ("survey", "review", "综述")), ("method_comparison", ("comparison", "compare", "对比", "比较")),
+    ("dataset_constraint", ("dataset", "bench", "eval", "数据集")), ("latest_work", ("latest", "recent", "newest", "最新")),
+)
+
+
+def guessed_type(kind: Column, query: Column) -> Column:
+    """A query type, read from the request's words where it is unknown or null."""
+    low, found = F.lower(F.coalesce(query, F.lit(""))), F.lit("unknown")
+    for name, words in reversed(TYPE_WORDS):
+        for word in words:
+            found = F.when(low.contains(word), name).otherwise(found)
+    return F.when(F.coalesce(kind, F.lit("unknown")) == "unknown", found).otherwise(kind)
+
+
 def dynamic_k(ranked: DataFrame, by: str, score: str, kind: str, cliff: float = 0.15, least_score: float = 0.40, fallback: int = 5, most: int = 20, hard: int = 12) -> DataFrame:
     """by, k by query type: 1, 2, 6 or 10, a cliff after the first for exact types, else the scores above least_score."""
     top = ranked.groupBy(by, kind).agg(

@@ -183,3 +183,26 @@ def simulated_cutoffs(curves: DataFrame, cutoffs: dict[str, DataFrame], by: str)
     hits = curves.join(every, by).filter(F.col("rank") <= F.col("k")).groupBy(by, "approach").agg(F.count(F.when(F.col("gold"), 1)).alias("hits"), F.count("*").alias("n"))
     rows = every.join(total, by).join(hits, [by, "approach"], "left").fillna(0, ["hits", "n"])
     return rows.select(by, "approach", "k", *ratios(F.col("hits"), F.col("n"), F.col("gold_count")))
+
+
+def before_cutoff(rows: DataFrame, day: str, last: DataFrame | None = None, by: str | None = None, cutoff: str = "cutoff") -> DataFrame:
+    """rows whose day is not after their request's cut-off (last: by, cutoff; without by one row for all); unknown days and cut-offs pass."""
+    if last is None:
+        return rows
+    if by is None:
+        return rows.join(F.broadcast(last.select(F.col(cutoff).alias("_cut")).limit(1)), how="left").filter(F.col(day).isNull() | F.col("_cut").isNull() | (F.col(day) <= F.col("_cut"))).drop("_cut")  # one row
+    cuts = last.groupBy(F.col(by).alias("_by")).agg(F.min(cutoff).alias("_cut"))
+    joined = rows.join(cuts, F.col(by).eqNullSafe(F.col("_by")), "left")
+    return joined.filter(F.col(day).isNull() | F.col("_cut").isNull() | (F.col(day) <= F.col("_cut"))).drop("_by", "_cut")
+
+
+def most_recent(rows: DataFrame, time: str, key: Sequence[str], k: int, by: Sequence[str] = ()) -> DataFrame:
+    """The k rows of the latest time (of each `by`), unknown times last, ties by key; with rank.
+
+    Without `by` each task keeps k rows before the last step numbers them.
+    """
+    order = [F.desc_nulls_last(time), *key]
+    if by:
+        return ranked(rows, list(by), order, k)
+    first = rows.orderBy(*order).limit(k)
+    return ranked(first.withColumn("_all", F.lit(1)), ["_all"], order).drop("_all")

@@ -26,6 +26,16 @@ def cost(events: DataFrame, by: Sequence[str], value: str, failed: Column) -> Da
     return events.rollup(*by).agg(F.count("*").alias("calls"), F.round(F.sum(value), 4).alias("elapsed"), F.count(F.when(failed, 1)).alias("failures"))
 
 
+def by_provider(components: DataFrame, name: str, values: Sequence[str]) -> DataFrame:
+    """kind (retrieval or component), name, values summed: retrieval.<provider>.<route> goes to its provider, other components stand alone.
+
+    A name that ends after the dot has an empty provider; "retrieval" without a dot is a component.
+    """
+    part = F.col(name).startswith(RETRIEVAL)
+    named = components.select(F.when(part, "retrieval").otherwise("component").alias("kind"), F.when(part, F.split_part(F.col(name), F.lit("."), F.lit(2))).otherwise(F.col(name)).alias("name"), *values)
+    return named.groupBy("kind", "name").agg(*[F.sum(v).alias(v) for v in values])
+
+
 def latest(events: DataFrame, key: str, order: Sequence[str], value: str) -> DataFrame:
     """Per key: the first time, the last time and the last value, as an upsert log is read back."""
     last = F.max(F.struct(*order, value)).alias("last")

@@ -17,12 +17,12 @@ def _lists(spark: SparkSession, d: str) -> DataFrame:
     """Per brand and return flag, parts by quantity; a part's record has an abstract or an arxiv id in some lists only."""
     lines = table(spark, d, "lineitem").groupBy("l_partkey", "l_returnflag").agg(F.sum("l_quantity").alias("q"))
     rows = lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_brand"), "l_partkey")
-    rows = ranked(rows, ["p_brand", "l_returnflag"], [F.desc("q"), "l_partkey"], 60)
+    rows = ranked(rows, ["p_brand", "l_returnflag"], [F.desc("q"), "l_partkey"])
     return rows.select("p_brand", F.col("l_partkey").alias("key"), F.ascii("l_returnflag").alias("list_no"), (F.col("rank") - 1).alias("rank"), "l_returnflag")
 
 
 LISTS_SQL = """l AS (SELECT * FROM (SELECT p_brand, l_partkey AS key, ascii(l_returnflag) AS list_no, l_returnflag AS flag, row_number() OVER (PARTITION BY p_brand, l_returnflag ORDER BY sum(l_quantity) DESC, l_partkey) - 1 AS rank
-  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, l_partkey, l_returnflag) WHERE rank < 60)"""
+  FROM lineitem JOIN part ON p_partkey = l_partkey GROUP BY p_brand, l_partkey, l_returnflag))"""
 
 
 def pool_append(spark: SparkSession, d: str) -> DataFrame:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from lodestone.functions import scoring as S
 from lodestone.functions import text as T
-from lodestone.operators import cutoffs, graphs, resolve, search, usage, vectors
+from lodestone.operators import cutoffs, graphs, pools, resolve, search, usage, vectors
 from lodestone.operators.search import ranked
 from lodestone.plans.tables import CUSTOMER_SCORES_SQL, PART_STATS_SQL, customer_scores, part_stats, table
 from lodestone.sources import vector_blocks
@@ -246,8 +246,7 @@ def topic_clusters(spark: SparkSession, d: str) -> DataFrame:
 
 def cutoff_filter(spark: SparkSession, d: str) -> DataFrame:
     o = table(spark, d, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("day"))
-    latest = o.agg(F.date_sub(F.max("day"), 7).alias("cut"))
-    return o.join(F.broadcast(latest), F.col("day").isNull() | (F.col("day") <= F.col("cut"))).select("o_orderkey", F.col("day").cast("string").alias("day"))
+    return pools.before_cutoff(o, "day", o.agg(F.date_sub(F.max("day"), 7).alias("cutoff"))).select("o_orderkey", F.col("day").cast("string").alias("day"))
 
 
 def publication_dates(spark: SparkSession, d: str) -> DataFrame:

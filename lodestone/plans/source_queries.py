@@ -67,11 +67,11 @@ def admitted_queries(spark: SparkSession, d: str) -> DataFrame:
 
 
 def entity_resolution(spark: SparkSession, d: str) -> DataFrame:
-    """All order lines as records: equal part and return flag, or equal supplier and quantity, are one entity."""
+    """All order lines as records: equal part, supplier and quantity, or equal order and return flag, are one entity."""
     rows = table(spark, d, "lineitem").select(
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("pos"),
-        F.concat_ws("|", "l_partkey", "l_returnflag").alias("doi"),
-        F.concat_ws("|", "l_suppkey", "l_quantity").alias("arxiv_id"),
+        F.concat_ws("|", "l_partkey", "l_suppkey", "l_quantity").alias("doi"),
+        F.concat_ws("|", "l_orderkey", "l_returnflag").alias("arxiv_id"),
     )
     return resolve.resolve_entities(rows, ["doi", "arxiv_id"], "pos").groupBy("entity").agg(F.count("*").alias("records"))
 
@@ -113,6 +113,10 @@ ORACLE_SQL = {
     "session_bundle": "SELECT 'a' || (conv_id % 4) AS agent, conv_id::VARCHAR AS session_id, turn AS ordinal, role, md5(text) AS text_md5 FROM conversations",
     "windowed_events": "SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY 1, 2",
     "user_visits": "WITH g AS (SELECT user_id, ts, CASE WHEN ts < lag(ts) OVER (PARTITION BY user_id ORDER BY ts) + INTERVAL 2 HOUR THEN 0 ELSE 1 END AS s FROM events) SELECT user_id, sum(s)::BIGINT AS visits, count(*) AS events FROM g GROUP BY 1",
+    "entity_resolution": """WITH RECURSIVE l AS (SELECT l_orderkey * 10 + l_linenumber AS id, concat_ws('|', l_partkey, l_suppkey, l_quantity) AS a, concat_ws('|', l_orderkey, l_returnflag) AS b FROM lineitem),
+      e AS (SELECT x.id, y.id AS other FROM l x JOIN l y ON x.a = y.a UNION SELECT x.id, y.id FROM l x JOIN l y ON x.b = y.b),
+      r AS (SELECT id, id AS other FROM l UNION SELECT r.id, e.other FROM r JOIN e ON e.id = r.other),
+      n AS (SELECT id, min(other) AS entity FROM r GROUP BY 1) SELECT entity, count(*) AS records FROM l JOIN n USING (id) GROUP BY 1""",
     "noise_drop": "WITH r AS (SELECT o_custkey, o_orderkey, o_orderkey % 3 = 0 AS noise, row_number() OVER (PARTITION BY o_custkey, o_orderkey % 3 = 0 ORDER BY round(o_totalprice / 1000)::BIGINT, o_orderkey DESC) AS nth, count(*) OVER (PARTITION BY o_custkey) AS n FROM orders) SELECT o_custkey, o_orderkey FROM r WHERE NOT (noise AND nth <= greatest(1, n // 5))",
     "selection_budgets": "SELECT o_custkey, least([40, 65, 50, 45][o_custkey % 4 + 1], count(*) * 5)::BIGINT AS budget FROM orders GROUP BY 1",
     "admitted_queries": "WITH r(route, provider, cap) AS (VALUES ('R', 'arxiv', 2), ('A', 'arxiv', 2), ('N', 'pubmed', 3)), x AS (SELECT provider, cap, row_number() OVER (PARTITION BY l_orderkey, provider ORDER BY l_linenumber) AS nth FROM lineitem JOIN r ON route = l_returnflag) SELECT provider, count(*) AS admitted FROM x WHERE nth <= cap GROUP BY 1",

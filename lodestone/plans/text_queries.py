@@ -197,16 +197,16 @@ def drop_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _judged(spark: SparkSession, d: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    """Per customer: a pool (order lines of odd suppliers, titled by their part), its levels, and gold (returned lines)."""
+    """Per customer: a pool (order lines that were not returned, titled by their part), its levels, and gold (returned lines)."""
     one = [F.min(c).alias(c) for c in ("l_partkey", "l_suppkey", "l_returnflag")]  # lines may repeat their number
     lines = table(spark, d, "lineitem").groupBy("l_orderkey", "l_linenumber").agg(*one).join(table(spark, d, "orders").select(F.col("o_orderkey").alias("l_orderkey"), "o_custkey"), "l_orderkey")
     lines = lines.join(table(spark, d, "part").select(F.col("p_partkey").alias("l_partkey"), "p_name"), "l_partkey")
     paper_id = F.col("l_orderkey") * 10 + F.col("l_linenumber")
-    keys = F.array(F.concat(F.lit("t"), F.col("l_partkey") % 40), F.concat(F.lit("a"), F.col("l_suppkey") % 30))
+    keys = F.array(F.concat(F.lit("t"), F.col("l_partkey") % 400), F.concat(F.lit("a"), F.col("l_suppkey") % 30, F.lit("-"), F.col("l_orderkey") % 10))
     rows = lines.select("o_custkey", paper_id.alias("paper_id"), keys.alias("keys"), T.title_key(F.concat("p_name", F.lit(" "), F.col("l_suppkey") % 4)).alias("title"), "l_returnflag", "l_suppkey", "l_linenumber")
     level = F.element_at(F.array(*map(F.lit, ("high", "medium", "low", "irrelevant"))), (F.col("l_linenumber") % 4 + 1).cast("int"))
-    pool = rows.filter("l_suppkey % 2 = 1 AND l_returnflag <> 'R'")
-    gold = rows.filter("l_returnflag = 'R' AND l_linenumber = 1").withColumnRenamed("paper_id", "gold_id")
+    pool = rows.filter("l_returnflag <> 'R'")
+    gold = rows.filter("l_returnflag = 'R'").withColumnRenamed("paper_id", "gold_id")
     return pool.select("o_custkey", "paper_id", "keys", "title"), pool.filter("l_linenumber <> 5").select("o_custkey", "paper_id", level.alias("level")), gold.select("o_custkey", "gold_id", "keys", "title")
 
 
@@ -231,9 +231,9 @@ def micro(spark: SparkSession, d: str) -> DataFrame:
     return evaluation.micro_scores(gold_scores(spark, d), "true_positive", "predicted_count", "gold_count")
 
 
-JUDGED_SQL = """lines AS (SELECT o_custkey, l_orderkey * 10 + l_linenumber AS id, ['t' || (l_partkey % 40), 'a' || (l_suppkey % 30)] AS keys, trim(regexp_replace(lower(p_name || ' ' || (l_suppkey % 4)), '[^a-z0-9]+', ' ', 'g')) AS title,
+JUDGED_SQL = """lines AS (SELECT o_custkey, l_orderkey * 10 + l_linenumber AS id, ['t' || (l_partkey % 400), 'a' || (l_suppkey % 30) || '-' || (l_orderkey % 10)] AS keys, trim(regexp_replace(lower(p_name || ' ' || (l_suppkey % 4)), '[^a-z0-9]+', ' ', 'g')) AS title,
   l_returnflag, l_suppkey, l_linenumber AS line FROM (SELECT l_orderkey, l_linenumber, min(l_partkey) AS l_partkey, min(l_suppkey) AS l_suppkey, min(l_returnflag) AS l_returnflag FROM lineitem GROUP BY 1, 2) JOIN orders ON o_orderkey = l_orderkey JOIN part ON p_partkey = l_partkey),
-pool AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY id) AS rank FROM lines WHERE l_suppkey % 2 = 1 AND l_returnflag <> 'R'), golds AS (SELECT * FROM lines WHERE l_returnflag = 'R' AND line = 1),
+pool AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY id) AS rank FROM lines WHERE l_returnflag <> 'R'), golds AS (SELECT * FROM lines WHERE l_returnflag = 'R'),
 pairs AS (SELECT DISTINCT p.o_custkey, p.id, p.rank, p.line FROM pool p JOIN golds g ON g.o_custkey = p.o_custkey AND (list_has_any(p.keys, g.keys) OR contains(p.title, g.title) OR contains(g.title, p.title)))"""
 SCORED_SQL = f"""RECURSIVE {JUDGED_SQL}, gk AS (SELECT DISTINCT o_custkey AS c, unnest(keys) AS k FROM golds),
 near AS (SELECT DISTINCT a.c, a.k AS a, b.k AS b FROM (SELECT o_custkey AS c, 'g' || id AS r, unnest(keys) AS k FROM golds UNION ALL SELECT o_custkey, 'p' || id, unnest(keys) FROM pool) a

@@ -43,3 +43,19 @@ def load_cases(spark: SparkSession, path: str) -> DataFrame:
 
 def by_gold_count(cases: DataFrame, low: int = 2, high: int = 8) -> DataFrame:
     return cases.filter(F.size("gold").between(low, high))
+
+
+def paired_cases(records: DataFrame, record: str = "value") -> DataFrame:
+    """name, question, gold (array of title, arxiv_id) of JSON records whose answers and ids are lists side by side.
+
+    The n-th title takes the n-th id, if there is one and it is not empty; answers that are objects keep their own. Names count
+    the records that have none. Null names of lists: answer or answers, answer_arxiv_id or answer_arxiv_ids; empty lists count as absent.
+    """
+    r, at = F.col(record), lambda f: F.get_json_object(F.col(record), f"$.{f}")
+    listed = lambda *names: F.coalesce(*[F.when(F.size(F.from_json(at(n), "array<string>")) > 0, F.from_json(at(n), "array<string>")) for n in names], F.array().cast("array<string>"))
+    answers, ids = listed("answer", "answers"), listed("answer_arxiv_id", "answer_arxiv_ids")
+    own = lambda a, f: F.when(a.startswith("{"), F.get_json_object(a, f"$.{f}"))
+    pair = lambda a, i: F.struct(F.when(a.startswith("{"), own(a, "title")).otherwise(a).alias("title"), F.when(a.startswith("{"), own(a, "arxiv_id")).otherwise(F.nullif(F.get(ids, i), F.lit(""))).alias("arxiv_id"))
+    rows = records.filter(F.trim(r) != "").withColumn("_line", F.monotonically_increasing_id())
+    question = F.coalesce(F.nullif(at("question"), F.lit("")), F.nullif(at("query"), F.lit("")), F.lit(""))
+    return rows.select(F.coalesce(F.nullif(at("qid"), F.lit("")), F.concat(F.lit("case-"), F.col("_line") + 1)).alias("name"), question.alias("question"), F.transform(answers, pair).alias("gold"))

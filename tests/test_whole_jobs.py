@@ -58,7 +58,7 @@ def test_entity_resolution_links_every_line(spark, tmp_path):
     rows = write_lines(spark, tmp_path)
     first, pairs = {}, []
     for order, line, part, supplier, quantity, _, _, flag in rows:
-        for key in (("d", part, flag), ("a", supplier, quantity)):
+        for key in (("d", part, supplier, quantity), ("a", order, flag)):
             pairs.append((order * 10 + line, first.setdefault(key, order * 10 + line)))
     want = Counter(union_find(pairs).values())
     assert 1 < len(want) < len(rows)

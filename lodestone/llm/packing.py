@@ -28,6 +28,8 @@ END_ID = 2
 CACHE_WORDS, BATCH_RUNS = 1_200_000, 4096
 SLICE_BYTES = 8 << 20
 MARK = r"([a-z])([.,;:!?|#*])"
+# Texts on which a tokenizer must split as Encoder.runs does: case, white space, marks, digits, marks within words, other scripts, special tokens.
+PROBES = ("Ab cD. e,f G!h", "tab\tline\n two  blanks ", "it's 3.14 a-b c_d (e) #f g#h *i* j|k", "\u00c9t\u00e9 na\u00efve \u65e5\u672c\u8a9e stra\u00dfe", "x<|y |> <|pad|> Z", "word" * 40, ".,;:!?", "A.B.C. u.s.a")
 TOKENIZER = "word_bpe_49k.json"
 PIECES = pa.schema(
     [("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("ids", pa.binary()), ("doc_tokens", pa.int64()), ("sequence_id", pa.int64()), ("offset", pa.int64()), ("left", pa.bool_())]
@@ -53,6 +55,11 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.forget()
+        for probe in PROBES:
+            made = self.ids(pa.array([probe]))[0][:-1].tolist()
+            if made != self.tokenizer.encode(probe, add_special_tokens=False).ids:
+                raise ValueError(f"{path} splits texts in another way than this encoder")
+        self.forget()
 
     def forget(self) -> None:
         """Known runs by number; the first two are the empty run and the end of a text."""

@@ -251,3 +251,15 @@ def test_few_pages_lose_nothing(spark):
     rows, texts = unmarked_site(3)
     found = sitestyle.extract(spark.createDataFrame(rows, PAGES)).collect()
     assert all(texts[r.page_id] in r.text and r.style_cut == 0 for r in found)
+
+
+def test_another_tokenizer_is_refused():
+    """Runs are split as one tokenizer splits; any other would give wrong ids."""
+    from pathlib import Path
+
+    from lodestone.llm import packing
+
+    own = Path(packing.tokenizer_file())
+    packing.Encoder(str(own))
+    with pytest.raises(ValueError, match="another way"):
+        packing.Encoder(str(own.with_name("byte_bpe_50k.json")))

@@ -20,6 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.functions.provider_text import arxiv_search
 from lodestone.sources import papers
 from lodestone.sources.providers import Provider
 
@@ -147,6 +148,58 @@ class Works(Provider):
         return self.rows(requests, F.when(T.looks_like_title(title), address(self.base, filter=quoted, per_page=F.lit(limit))), limit)
 
 
+    def expand(self, seeds: DataFrame, limit: int) -> DataFrame:
+        """seed, route, position and PAPER rows of seeds (seed, references: addresses or ids of works, cited_by_url): the works of the
+        first `limit` references, each asked once whoever refers to it, and the first `limit` works that cite the seed."""
+        name = lambda c: F.nullif(F.upper(F.regexp_extract(F.trim(c), r"(?i)(?:^|/)(W\d+)$", 1)), F.lit(""))
+        address_of = lambda c: F.concat(F.lit(self.base.rstrip("/") + "/"), name(c))
+        named = seeds.select("seed", F.posexplode(F.slice(F.filter("references", lambda r: F.trim(r) != ""), 1, limit)).alias("_at", "_ref"))
+        named = named.select("seed", F.lit("reference_expansion").alias("route"), (F.col("_at") + 1).cast("long").alias("position"), address_of(F.col("_ref")).alias("_url"))
+        got = fetched(named, ["seed", "route", "position"], "_url", self.make_http, self.access).filter("body IS NOT NULL")
+        references = papers.from_works(got.withColumnRenamed("body", "value"), keep=("seed", "route", "position"))
+        paged = F.concat("cited_by_url", F.when(F.col("cited_by_url").contains("?"), "&").otherwise("?"), F.lit(f"per-page={limit}"))
+        cited = seeds.filter("cited_by_url <> ''").select("seed", F.lit("citation_expansion").alias("route"), paged.alias("_url"))
+        answers = fetched(cited, ["seed", "route"], "_url", self.make_http, self.access)
+        items = F.slice(F.from_json(F.get_json_object("body", "$.results"), "array<string>"), 1, limit)
+        listed = answers.select("seed", "route", F.posexplode(items).alias("_at", "value")).withColumn("position", (F.col("_at") + 1).cast("long"))
+        return references.unionByName(papers.from_works(listed, keep=("seed", "route", "position")))
+
+
+class Preprints(Provider):
+    """Search in a preprint archive that answers with Atom feeds: in all fields, or for a title as it is."""
+
+    name = "arxiv"
+    EMPTY = "machine learning"  # fixed value: what is asked where nothing of a search text is left
+    FEED = "entry array<struct<id:string,title:string,summary:string,published:string,author:array<struct<name:string>>>>"
+
+    def __init__(self, base: str, make_http: Callable[[], Http] = Http) -> None:
+        self.base, self.make_http = base, make_http
+
+    def rows(self, requests: DataFrame, text: Column, limit: int) -> DataFrame:
+        url = F.when(text.isNotNull(), address(self.base, search_query=text, start=F.lit(0), max_results=F.lit(limit)))
+        url = F.replace(F.replace(url, F.lit("search-query="), F.lit("search_query=")), F.lit("max-results="), F.lit("max_results="))
+        got = fetched(requests.withColumn("_url", url), ["query_id"], "_url", self.make_http)
+        feed = F.from_xml(F.col("body"), self.FEED)
+        listed = got.filter("body IS NOT NULL").select("query_id", F.posexplode(F.slice(feed["entry"], 1, limit)).alias("_at", "e"))
+        one_line = lambda c: F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " "))
+        title, ident = one_line(F.col("e.title")), F.nullif(F.trim("e.id"), F.lit(""))
+        names = F.transform(F.filter("e.author", lambda a: F.trim(a["name"]) != ""), lambda a: F.trim(a["name"]))
+        return listed.select(
+            "query_id", (F.col("_at") + 1).cast("long").alias("rank"), F.coalesce(ident, title).alias("paper_id"), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled")).alias("title"),
+            F.nullif(one_line(F.col("e.summary")), F.lit("")).alias("abstract"), F.substring(F.trim("e.published"), 1, 4).try_cast("int").alias("year"), F.lit(None).cast("string").alias("venue"),
+            F.coalesce(names, F.array().cast("array<string>")).alias("authors"), F.lit(None).cast("string").alias("doi"), F.element_at(F.split(ident, "/"), -1).alias("arxiv_id"),
+            F.lit(None).cast("int").alias("citation_count"), F.lit("arxiv").alias("source"), F.array().cast("array<string>").alias("retrieval_path"), F.substring(F.trim("e.published"), 1, 10).alias("published"),
+        )
+
+    def search(self, requests: DataFrame, limit: int) -> DataFrame:
+        plain = F.nullif(F.trim(arxiv_search(F.col("search"))), F.lit(""))
+        return self.rows(requests, F.concat(F.lit("all:"), F.coalesce(plain, F.lit(self.EMPTY))), limit)
+
+    def exact_title(self, requests: DataFrame, limit: int = 10) -> DataFrame:
+        title = F.nullif(F.trim(F.regexp_replace("search", r"[\r\n]+", " ")), F.lit(""))
+        return self.rows(requests, F.concat(F.lit('ti:"'), title, F.lit('"')), limit)
+
+
 class Scholar(Provider):
     """Search in a citation service. It is available where its key is, if it needs one."""
 
@@ -168,6 +221,24 @@ class Scholar(Provider):
         return papers.from_scholar(listed, keep=("query_id", "rank"))
 
 
+    def expand(self, seeds: DataFrame, limit: int) -> DataFrame:
+        """seed, route, position and PAPER rows of seeds (seed, lookup_id): papers that the seed refers to and papers that cite it.
+
+        The service's papers are asked below base without its last part; seeds without an id and papers without one are left out.
+        """
+        access, found = [Access(headers=(("x-api-key", self.key),))] if self.key else [], None
+        root = self.base.rstrip("/").rsplit("/", 1)[0]
+        for suffix, part, route in (("references", "citedPaper", "reference_expansion"), ("citations", "citingPaper", "citation_expansion")):
+            url = F.concat(F.lit(root + "/"), F.url_encode("lookup_id"), F.lit(f"/{suffix}?fields={self.FIELDS}&limit={limit}&offset=0"))
+            got = fetched(seeds.filter("lookup_id <> ''").withColumn("_url", url), ["seed"], "_url", self.make_http, access)
+            items = F.slice(F.from_json(F.get_json_object("body", "$.data"), "array<string>"), 1, limit)
+            listed = got.select("seed", F.lit(route).alias("route"), F.posexplode(items).alias("_at", "_item"))
+            listed = listed.select("seed", "route", (F.col("_at") + 1).cast("long").alias("position"), F.get_json_object("_item", f"$.{part}").alias("value")).filter(F.get_json_object("value", "$.paperId") != "")
+            rows = papers.from_scholar(listed, keep=("seed", "route", "position"))
+            found = rows if found is None else found.unionByName(rows)
+        return found
+
+
 class Articles(Provider):
     """Search in an article index in two steps: the ids that fit, then their records. base is the folder of its services."""
 

@@ -230,3 +230,113 @@ def test_a_stop_cancels_what_has_not_begun(spark):
     assert [o.state for o in got] == ["succeeded", "cancelled", "cancelled"]
     with pytest.raises(ValueError, match="above 0"):
         runs.run_cases(spark, [], run, 0)
+
+
+def test_works_expand_references_and_citations(spark, tmp_path):
+    """A work that two seeds refer to is asked once; a dead one gives no row; only works' ids are asked."""
+    log = tmp_path / "asked"
+    log.mkdir()
+
+    def http():
+        def opener(url, headers, seconds):
+            import uuid
+
+            (log / uuid.uuid4().hex).write_text(url)
+            if "W404" in url:
+                raise refused(404)
+            if "cites" in url:
+                return json.dumps({"results": [{"id": f"c{k}", "display_name": f"Citing {k}"} for k in range(5)]})
+            return json.dumps({"id": url, "display_name": "Work " + url.rsplit("/", 1)[-1], "publication_year": 2020})
+
+        return remote.Http(retries=0, opener=opener)
+
+    rows = [(1, ["http://x/W7", "w8", "W404", "W9"], "http://w/works?filter=cites:W1"), (2, [" W8 ", "", "doi:1", None], None), (3, None, ""), (4, [], "http://w/cites")]
+    seeds = spark.createDataFrame(rows, "seed int, references array<string>, cited_by_url string")
+    got = sorted((r.seed, r.route, r.position, r.title) for r in remote.Works("http://w/works", http).expand(seeds, 3).collect())
+    refs = [(1, "reference_expansion", 1, "Work W7"), (1, "reference_expansion", 2, "Work W8"), (2, "reference_expansion", 1, "Work W8")]
+    assert got == sorted(refs + [(s, "citation_expansion", k + 1, f"Citing {k}") for s in (1, 4) for k in range(3)])
+    asked = sorted(p.read_text() for p in log.iterdir())
+    assert asked == ["http://w/cites?per-page=3", "http://w/works/W404", "http://w/works/W7", "http://w/works/W8", "http://w/works?filter=cites:W1&per-page=3"]
+
+
+def test_scholar_expands(spark):
+    def http():
+        def opener(url, headers, seconds):
+            part = "citedPaper" if "/references?" in url else "citingPaper"
+            return json.dumps({"data": [{part: {"paperId": f"{part}{k}", "title": url}} for k in range(2)] + [{part: None}, {part: {"title": "no id"}}]})
+
+        return remote.Http(retries=0, opener=opener)
+
+    seeds = spark.createDataFrame([(1, "DOI:10.1/a b"), (2, None), (3, "")], "seed int, lookup_id string")
+    got = {(r.seed, r.route, r.position): (r.paper_id, r.title) for r in remote.Scholar("http://s/paper/search", http).expand(seeds, 9).collect()}
+    assert set(got) == {(1, route, k) for route in ("reference_expansion", "citation_expansion") for k in (1, 2)}
+    assert got[1, "reference_expansion", 1][0] == "citedPaper0" and got[1, "citation_expansion", 2][1].startswith("http://s/paper/DOI%3A10.1%2Fa+b/citations?fields=")
+
+
+FEED = """<?xml version="1.0"?><feed xmlns="http://www.w3.org/2005/Atom"><title>{0}</title>
+<entry><id>http://arxiv.org/abs/2401.1v2</id><title>Graph
+  nets</title><summary> S </summary><published>2024-01-02T00:00:00Z</published><author><name>N</name></author><author><name> </name></author></entry>
+<entry><title>No id</title><published>soon</published></entry><entry><id>x/3</id></entry></feed>"""
+
+
+def test_preprints_search_and_exact_title(spark):
+    def http():
+        def opener(url, headers, seconds):
+            if "broken" in url:
+                return "<feed><entry>"
+            return "<feed/>" if "nothing" in url else FEED.replace("{0}", url.replace("&", "&amp;"))
+
+        return remote.Http(retries=0, opener=opener)
+
+    asked = spark.createDataFrame([(1, "graph nets"), (2, "the of"), (3, "nothing"), (4, "broken")], "query_id int, search string")
+    found = remote.Preprints("http://a", http).search(asked, 2).orderBy("query_id", "rank").collect()
+    assert [(r.query_id, r["rank"], r.paper_id, r.title, r.year, r.arxiv_id, r.authors, r.published) for r in found if r.query_id == 1] == [
+        (1, 1, "http://arxiv.org/abs/2401.1v2", "Graph nets", 2024, "2401.1v2", ["N"], "2024-01-02"), (1, 2, "No id", "No id", None, None, [], "soon")
+    ]
+    assert {r.query_id for r in found} == {1, 2}
+    titles = spark.createDataFrame([(1, "A \n title"), (2, " ")], "query_id int, search string")
+    assert {r.query_id for r in remote.Preprints("http://a", http).exact_title(titles).collect()} == {1}
+
+
+def test_calls_within_a_budget(spark):
+    from lodestone.operators import models
+
+    rows = spark.createDataFrame([("a", k) for k in range(4)] + [("b", 0), (None, 1)], "q string, n int")
+    used = spark.createDataFrame([("a", 1), (None, 3)], "q string, calls int")
+    got = {(r.q, r.n): r.reserved for r in models.within_budget(rows, ["q"], ["n"], 3, used).collect()}
+    assert got == {("a", 0): True, ("a", 1): True, ("a", 2): False, ("a", 3): False, ("b", 0): True, (None, 1): False}
+    assert models.within_budget(rows, ["q"], ["n"], 2).filter("reserved").count() == 4
+
+
+def test_batches_are_reviewed_in_steps(spark):
+    """q answers at once but for one paper; h only in halves, the first; t with short abstracts; l with local features; n never; two papers are not halved."""
+    from lodestone.operators import models
+
+    def client():
+        def answer(prompt, seconds):
+            papers = json.loads(prompt)["papers"]
+            ids, longest = [p["paper_id"] for p in papers], max(len(p["abstract"]) for p in papers)
+            judged = lambda names: json.dumps({"selections": [{"paper_id": "other"}] + [{"paper_id": n, "relevance_level": v} for v in ("low", "high") for n in names]})
+            kind = ids[0][0]
+            if kind == "q":
+                return judged(ids[1:])
+            if kind == "h":
+                return judged(ids) if ids[0] == "h0" and len(ids) == 4 else "[]"
+            if kind == "t":
+                return judged(ids) if longest == 200 else '{"selections": "none"}'
+            if kind == "l":
+                return judged(ids[:1]) if "local" in papers[0] and longest == 100 else "{}"
+            raise TimeoutError("late")
+
+        return answer
+
+    rows = [(kind, f"{kind}{k}", k, "T", "word " * 300, 0.5) for kind, n in (("q", 11), ("h", 8), ("t", 2), ("l", 3), ("n", 3)) for k in range(n)]
+    extra = ["CAST(NULL AS int) AS year", "CAST(NULL AS string) AS venue", "CAST(NULL AS int) AS citation_count", "array('x') AS retrieval_path"]
+    papers_ = spark.createDataFrame(rows, "q string, paper_id string, pos int, title string, abstract string, local double").selectExpr("*", *extra)
+    got = models.reviewed_in_steps(papers_, "q", ["pos"], client, features=["local"], most=10).collect()
+    steps = {}
+    for r in got:
+        steps.setdefault((r.q, r.step), set()).add(r.paper_id)
+        assert json.loads(r.selection)["relevance_level"] == "high"
+    assert steps == {("q", 1): {f"q{k}" for k in (1, 2, 3, 4, 5, 6, 7, 9)}, ("h", 2): {"h0", "h1", "h2", "h3"}, ("t", 3): {"t0", "t1"}, ("l", 4): {"l0"}}
+    assert models.reviewed_in_steps(papers_.limit(0), "q", ["pos"], client).count() == 0

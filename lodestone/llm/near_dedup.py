@@ -183,6 +183,24 @@ def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
     return set(zip(*(w[k:] for k in range(SHINGLE)), strict=False)) if len(w) >= SHINGLE else {tuple(w)} if w else set()
 
 
+def dealt_rows(rows: DataFrame) -> DataFrame:
+    """key, node, label, block, i, j: rows (key, node, label) of buckets with several labels, dealt to pairs of blocks.
+
+    A bucket's largest label is apart: its members, linked already, meet the blocks of the other labels only, and those
+    meet all blocks. So copies of a large group are dealt once for every BLOCK strangers, not once for every BLOCK copies.
+    """
+    sizes = materialize(rows.groupBy("key", "label").agg(F.count("*").alias("n")), "sizes")
+    per = sizes.groupBy("key").agg(F.max(F.struct("n", "label")).alias("most"), F.sum("n").alias("all"))
+    in_blocks = lambda n: F.ceil(n / BLOCK).cast("int")
+    per = per.select("key", F.col("most.label").alias("largest"), in_blocks(F.col("all") - F.col("most.n")).alias("others"), in_blocks(F.col("most.n")).alias("own"))
+    rows = rows.select("key", "node", "label").join(per, "key").withColumn("apart", F.col("label") == F.col("largest"))
+    spot = lambda n: F.pmod(F.xxhash64("node"), n).cast("int")
+    rows = rows.withColumn("block", F.when(F.col("apart"), F.col("others") + spot(F.col("own"))).otherwise(spot(F.col("others"))))
+    met = F.when(F.col("apart"), F.col("others")).otherwise(F.col("others") + F.col("own"))
+    rows = rows.withColumn("other", F.explode(F.sequence(F.lit(0), met - 1)))
+    return rows.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); other columns are ignored.
 
@@ -231,11 +249,7 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         if mixed.isEmpty():
             break
         if last:
-            blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-            rows = labelled.join(mixed.select("key"), "key")
-            dealt = rows.select("key", "node", "label", blocks.alias("blocks")).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-            dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-            dealt = materialize(dealt.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j")), "dealt")
+            dealt = materialize(dealt_rows(labelled.join(mixed.select("key"), "key")), "dealt")
             cells = max(1, ceil(dealt.count() / CELL_ROWS))
             dealt = dealt.join(known.select("node", "n_shingles", "bands", "signature"), "node")
             dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))

@@ -187,3 +187,23 @@ def test_gram_ranks_are_those_of_the_bytes(monkeypatch):
     for hashes in (None, np.zeros(len(rows), np.uint64)):  # all collide
         ranks = repeats.gram_ranks(data, 25, hashes)
         assert len(set(zip(rows, ranks.tolist(), strict=True))) == len(set(rows)) == len(set(ranks.tolist())) and ranks.min() == 1
+
+
+def test_copies_are_dealt_to_strangers_only(spark):
+    """One large label and few strangers: rows grow with the copies, and every pair of different labels meets once or more."""
+    from lodestone.llm import near_dedup
+
+    rows = [(7, k, 0) for k in range(3000)] + [(7, 5000 + k, 5000 + k) for k in range(9)] + [(8, k, k % 2) for k in range(600)]
+    dealt = near_dedup.dealt_rows(spark.createDataFrame(rows, "key long, node long, label long")).collect()
+    of = lambda key: [r for r in dealt if r.key == key]
+    assert sum(r.label == 0 for r in of(7)) == 3000 and len(of(7)) == 3000 + 9 * 13
+    met = set()
+    cells = {}
+    for r in dealt:
+        cells.setdefault((r.key, r.i, r.j), []).append(r)
+    for (key, i, j), held in cells.items():
+        pairs = ((a, b) for a in held for b in held) if key == 8 or i == j else ((a, b) for a in held if a.block == i for b in held if b.block == j)
+        met |= {(key, min(a.node, b.node), max(a.node, b.node)) for a, b in pairs if a.label != b.label and {a.block, b.block} == {i, j}}
+    want = {(7, a, b) for a in range(3000) for b in range(5000, 5009)} | {(7, a, b) for a in range(5000, 5009) for b in range(a + 1, 5009)}
+    want |= {(8, a, b) for a in range(600) for b in range(a + 1, 600) if a % 2 != b % 2}
+    assert met == want

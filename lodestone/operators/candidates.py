@@ -11,6 +11,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lodestone.functions.scoring import level_of_score
+from lodestone.operators.hooks import default_score
 from lodestone.operators.search import ranked
 
 
@@ -56,19 +58,23 @@ def text_constraints(*lists: Column) -> Column:
 
 def evidence_features(rows: DataFrame, title: str, abstract: str, query_tokens: Column, constraints: Column, path: str, source: str) -> DataFrame:
     """rows with what evidence_score() asks for: title_match, abstract_match (shares of the query's tokens), worded (constraints
-    whose tokens all stand in title or abstract), literal (others that stand there as they are), providers (a third each, at most 1)."""
+    whose tokens all stand in title or abstract), literal (others that stand there as they are), matched and missing (the constraints
+    of either kind, and the rest), providers (a third each, at most 1)."""
     of_title, of_abstract = evidence_tokens(F.col(title)), evidence_tokens(F.col(abstract))
     share = lambda tokens: F.when(F.size(query_tokens) > 0, F.size(F.array_intersect(query_tokens, tokens)) / F.size(query_tokens)).otherwise(0.0)
     text = F.lower(F.concat(F.coalesce(title, F.lit("")), F.lit(" "), F.coalesce(abstract, F.lit(""))))
-    asked = F.transform(constraints, lambda c: F.struct(F.lower(c).alias("c"), evidence_tokens(c).alias("words")))
+    asked = F.transform(constraints, lambda c: F.struct(F.lower(c).alias("c"), evidence_tokens(c).alias("words"), c.alias("own")))
     rows = rows.withColumns({"_title": of_title, "_abstract": of_abstract, "_text": text, "_asked": asked})
     every = F.array_union("_title", "_abstract")
     worded = lambda c: (F.size(c["words"]) > 0) & (F.size(F.array_except(c["words"], every)) == 0)
+    literal = lambda c: ~worded(c) & F.col("_text").contains(c["c"])
+    own = lambda test: F.transform(F.filter("_asked", test), lambda c: c["own"])
     named = lambda p: F.when(p.startswith("provider:"), F.replace(p, F.lit("provider:"), F.lit(""))).when(p.startswith("prov:"), F.get(F.split(p, ":"), F.lit(1))).when(F.get(F.split(p, ":"), F.lit(0)).isin(*PROVIDERS) & p.contains(":"), F.get(F.split(p, ":"), F.lit(0)))
     providers = F.array_distinct(F.array_compact(F.concat(F.transform(F.coalesce(path, F.array().cast("array<string>")), named), F.array(F.nullif(F.col(source), F.lit(""))))))
     return rows.withColumns({
         "title_match": share(F.col("_title")), "abstract_match": share(F.col("_abstract")),
-        "worded": F.size(F.filter("_asked", worded)), "literal": F.size(F.filter("_asked", lambda c: ~worded(c) & F.col("_text").contains(c["c"]))),
+        "worded": F.size(F.filter("_asked", worded)), "literal": F.size(F.filter("_asked", literal)),
+        "matched": own(lambda c: worded(c) | literal(c)), "missing": own(lambda c: ~worded(c) & ~literal(c)),
         "providers": F.least(F.size(providers) / 3, F.lit(1.0)),
     }).drop("_title", "_abstract", "_text", "_asked")
 
@@ -86,6 +92,20 @@ def evidence_score(title_match: Column, abstract_match: Column, worded: Column,
     return F.least(F.lit(1.0), 0.25 * title_match + 0.20 * abstract_match + constraints + route + 0.10 * providers + recency + authority)
 
 
+def local_selection(rows: DataFrame, score: str) -> DataFrame:
+    """rows (evidence_features(), a local score) as a selection: level, relevance_score, constraint_score, evidence_score, confidence.
+
+    A level's default numbers are raised by the score and by the share of constraints that are matched.
+    """
+    s, asked = F.col(score), F.size("matched") + F.size("missing")
+    rows = rows.withColumn("level", level_of_score(s))
+    met = F.when(asked > 0, F.size("matched") / asked).otherwise(0.0)
+    return rows.withColumns({
+        "relevance_score": F.greatest(default_score(F.col("level")), s), "constraint_score": F.greatest(default_score(F.col("level"), 1), met),
+        "evidence_score": default_score(F.col("level"), 2), "confidence": F.least(s + 0.1, F.lit(0.9)),
+    })
+
+
 def heuristic_level(hits: Column, citations: Column, year: Column, constrained: Column) -> Column:
     """The older rule: named methods and datasets in the text, citations and year; high from 0.5, medium from 0.3.
 

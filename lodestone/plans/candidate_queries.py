@@ -45,7 +45,8 @@ def local_evidence(spark: SparkSession, d: str) -> DataFrame:
     got = C.evidence_features(rows, "p_name", "abstract", F.col("words"), F.col("asked"), F.col("tags"), "source")
     score = C.evidence_score(*map(F.col, ("title_match", "abstract_match", "worded", "literal", "tags", "providers")), F.col("year") + 20, F.col("citations"))
     six = lambda c: F.round(c, 6).alias(c)
-    return got.select("p_partkey", six("title_match"), six("abstract_match"), F.col("worded").cast("long").alias("worded"), F.col("literal").cast("long").alias("literal"), six("providers"), F.round(score, 6).alias("score"))
+    got = C.local_selection(got.withColumn("score", F.round(score, 6)), "score")
+    return got.select("p_partkey", "level", six("relevance_score"), six("constraint_score"), six("confidence"), F.size("missing").cast("long").alias("missing"), "score", six("title_match"), six("abstract_match"), F.col("worded").cast("long").alias("worded"), F.col("literal").cast("long").alias("literal"), six("providers"))
 
 
 def three_phase_recall(spark: SparkSession, d: str) -> DataFrame:
@@ -82,12 +83,16 @@ ORACLE_SQL = {
     con AS (SELECT p_partkey, trim(unnest(uniq)) AS c FROM once),
     met AS (SELECT p_partkey, count(*) FILTER (w) AS worded, count(*) FILTER (NOT w AND contains(lower(title || ' ' || abstract), lower(c))) AS literal
       FROM (SELECT *, len(ct) > 0 AND list_has_all(list_concat(t, a), ct) AS w FROM (SELECT tok.*, c, {TOKENS_SQL.format("c")} AS ct FROM tok JOIN con USING (p_partkey))) GROUP BY 1),
-    f AS (SELECT p_partkey, citations, year, tags, len(list_intersect(q, t)) / len(q) AS title_match, len(list_intersect(q, a)) / len(q) AS abstract_match, coalesce(worded, 0) AS worded, coalesce(literal, 0) AS literal,
-      least(len(list_distinct(list_filter(CASE WHEN p_partkey % 2 = 0 THEN ['arxiv', 'openalex', source] ELSE ['s2', source] END, lambda p: p <> ''))) / 3, 1) AS providers FROM tok LEFT JOIN met USING (p_partkey))
-    SELECT p_partkey, round(title_match, 6) AS title_match, round(abstract_match, 6) AS abstract_match, worded, literal, round(providers, 6) AS providers,
+    f AS (SELECT p_partkey, citations, year, tags, len(uniq) AS asked, len(list_intersect(q, t)) / len(q) AS title_match, len(list_intersect(q, a)) / len(q) AS abstract_match, coalesce(worded, 0) AS worded, coalesce(literal, 0) AS literal,
+      least(len(list_distinct(list_filter(CASE WHEN p_partkey % 2 = 0 THEN ['arxiv', 'openalex', source] ELSE ['s2', source] END, lambda p: p <> ''))) / 3, 1) AS providers FROM tok LEFT JOIN met USING (p_partkey)),
+    s AS (SELECT p_partkey, asked, round(title_match, 6) AS title_match, round(abstract_match, 6) AS abstract_match, worded, literal, round(providers, 6) AS providers,
       round(least(1, 0.25 * title_match + 0.2 * abstract_match + least(0.15::DOUBLE * worded + 0.1::DOUBLE * literal, 0.3::DOUBLE)
       + CASE WHEN list_contains(tags, 'title_exact') THEN 0.6 WHEN list_contains(tags, 'title_like') THEN 0.4 WHEN list_contains(tags, 'core_topic') THEN 0.15 WHEN list_has_any(tags, ['method_task', 'entity_dataset']) THEN 0.12 WHEN list_has_any(tags, ['evolved', 'hybrid', 'query2doc', 'hyde']) THEN 0.1 ELSE 0.05 END::DOUBLE
-      + 0.1 * providers + CASE WHEN year + 20 >= 2023 THEN 0.05 WHEN year + 20 >= 2021 THEN 0.04 WHEN year + 20 >= 2019 THEN 0.03 WHEN year + 20 >= 2017 THEN 0.02 WHEN year IS NOT NULL THEN 0.01 ELSE 0 END::DOUBLE + least(0.008 * ln(1 + citations), 0.05)), 6) AS score FROM f""",
+      + 0.1 * providers + CASE WHEN year + 20 >= 2023 THEN 0.05 WHEN year + 20 >= 2021 THEN 0.04 WHEN year + 20 >= 2019 THEN 0.03 WHEN year + 20 >= 2017 THEN 0.02 WHEN year IS NOT NULL THEN 0.01 ELSE 0 END::DOUBLE + least(0.008 * ln(1 + citations), 0.05)), 6) AS score FROM f)
+    SELECT p_partkey, title_match, abstract_match, worded, literal, providers, score, asked - worded - literal AS missing, round(least(score + 0.1, 0.9), 6) AS confidence,
+      CASE WHEN score >= 0.5 THEN 'high' WHEN score >= 0.2 THEN 'medium' WHEN score >= 0.08 THEN 'low' ELSE 'irrelevant' END AS level,
+      round(greatest(score, CASE WHEN score >= 0.5 THEN 0.9 WHEN score >= 0.2 THEN 0.55 WHEN score >= 0.08 THEN 0.2 ELSE 0 END), 6) AS relevance_score,
+      round(greatest((worded + literal) / asked, CASE WHEN score >= 0.5 THEN 0.75 WHEN score >= 0.2 THEN 0.45 WHEN score >= 0.08 THEN 0.2 ELSE 0 END), 6) AS constraint_score FROM s""",
     "three_phase_recall": f"""WITH {BM25_SQL}, {PASSAGES_SQL}, g AS (SELECT item_id, count(*) AS gold, count(rank) FILTER (rank <= 10) AS p, count(rank) FILTER (rank <= 3) AS s, count(rank) FILTER (rank = 1) AS f FROM gold LEFT JOIN bmr USING (item_id, doc_id) GROUP BY 1)
       SELECT item_id, gold, p AS pool_hits, round(p / gold, 4) AS pool_recall, s AS selection_hits, round(s / gold, 4) AS selection_recall, f AS final_hits, round(f / gold, 4) AS final_recall FROM g""",
     "circuit_breaker": """WITH e AS (SELECT event_id, ts, user_id % 25 AS client, CASE WHEN event_type = 'error' THEN 1 WHEN event_type IN ('view', 'click') THEN -1 ELSE 0 END AS step FROM events),

@@ -67,6 +67,15 @@ def test_evidence_features(spark):
     assert (got[0].title_match, got[0].abstract_match) == (0.5, 0.25) and (got[0].worded, got[0].literal, got[0].providers) == (2, 1, 1.0)
     assert (got[1].worded, got[1].literal, got[1].providers, got[1].title_match) == (0, 0, 0.0, 0.0)
     assert got[2].providers == 0.0 and got[2].asked == ["indexes"]
+    assert (got[0].matched, got[0].missing) == (["Indexes", "policy", "raph stu"], ["graph neural"]) and (got[1].matched, got[1].missing) == ([], ["a", "indexes"])
+
+
+def test_local_selection(spark):
+    rows = [(0.6, ["a"], ["b"], "high", 0.9, 0.75, 0.7, 0.7), (0.95, ["a"], [], "high", 0.95, 1.0, 0.7, 0.9), (0.2, [], ["b"], "medium", 0.55, 0.45, 0.45, 0.3), (0.1, ["a"], ["b"], "low", 0.2, 0.5, 0.15, 0.2), (0.0, [], [], "irrelevant", 0.0, 0.0, 0.0, 0.1)]
+    df = spark.createDataFrame([r[:3] for r in rows], "s double, matched array<string>, missing array<string>")
+    got = candidates.local_selection(df, "s").select("level", "relevance_score", "constraint_score", "evidence_score", "confidence").collect()
+    assert [r.level for r in got] == [r[3] for r in rows]
+    assert [tuple(r)[1:] for r in got] == [pytest.approx(r[4:]) for r in rows]
 
 
 STAGES = {

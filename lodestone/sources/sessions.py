@@ -6,11 +6,13 @@ directories; a line or file that is no JSON is skipped. Further shapes are added
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from lodestone.sources.shared import Folder
+
 MESSAGES = "agent string, session_id string, ordinal int, role string, ts string, plain_text string, workspace string"
 Parser = Callable[[SparkSession, str], DataFrame]
 PARSERS: dict[str, Parser] = {}
@@ -32,6 +34,19 @@ def load(spark: SparkSession, agent: str, path: str) -> DataFrame:
     return PARSERS[agent](spark, path)
 
 
+def discovered(spark: SparkSession, roots: Mapping[str, str]) -> dict[str, str]:
+    """The agents whose shape is registered and whose folder is there, in order of registration."""
+    return {agent: roots[agent] for agent in PARSERS if roots.get(agent) and Folder(spark, roots[agent]).has()}
+
+
+def load_all(spark: SparkSession, roots: Mapping[str, str]) -> DataFrame:
+    """The messages of all agents that are discovered under their folders; no rows without any."""
+    found = spark.createDataFrame([], MESSAGES)
+    for agent, path in discovered(spark, roots).items():
+        found = found.unionByName(load(spark, agent, path))
+    return found
+
+
 def utc_time(c: Column) -> Column:
     """ISO-8601 UTC from epoch seconds or milliseconds or ISO text; other text unchanged."""
     number = c.try_cast("double")

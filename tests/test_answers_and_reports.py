@@ -107,3 +107,17 @@ def test_vector_rerank_and_levels_from_checks(spark):
     papers = spark.createDataFrame([("q", 1, 2000)], "q string, id int, year int")
     level = F.when(F.col("year") < 2010, "low").otherwise(F.col("level"))
     assert {r.id: r.level for r in pools.passed_through(chosen, papers, "q", "id", level).collect()} == {1: "low", 9: "high"}
+
+
+def test_sessions_are_discovered_under_their_roots(spark, tmp_path):
+    from lodestone.sources import sessions
+
+    notes, lines = tmp_path / "notes", tmp_path / "lines"
+    notes.mkdir()
+    lines.mkdir()
+    (notes / "a.md").write_text("#### <user> hello </user>")
+    (lines / "b.jsonl").write_text('{"type": "user", "message": {"role": "user", "content": "hi"}, "timestamp": "2024-01-01T00:00:00Z"}\n')
+    roots = {"markdown": str(notes), "typed_lines": str(lines), "session_json": str(tmp_path / "missing"), "unknown": str(notes), "rollout_lines": ""}
+    assert sessions.discovered(spark, roots) == {"typed_lines": str(lines), "markdown": str(notes)}
+    assert {(r.agent, r.plain_text) for r in sessions.load_all(spark, roots).collect()} == {("markdown", "hello"), ("typed_lines", "hi")}
+    assert sessions.load_all(spark, {}).count() == 0

@@ -26,7 +26,7 @@ def query_plans(spark: SparkSession, d: str) -> DataFrame:
 
 
 def routed_searches(spark: SparkSession, d: str) -> DataFrame:
-    made = searches.search_queries(understanding.understand(_asked(spark, d)), "item_id")
+    made = searches.search_queries(searches.for_routing(understanding.understand(_asked(spark, d))), "item_id")
     return searches.routed(made, searches.routing_table(spark), "item_id").select("item_id", "provider", "route", "priority", "nth", "search")
 
 

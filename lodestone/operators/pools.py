@@ -86,9 +86,13 @@ def not_yet_run(calls: DataFrame, log: DataFrame) -> DataFrame:
 
 
 def exact_titles(asked: DataFrame, titles: DataFrame, by: str, text: str, limit: int = 10) -> DataFrame:
-    """by and the columns of titles (title_key, title, ...) whose letters are those of the asked text; at most limit a request."""
+    """by and the columns of titles (title_key, title, ...) whose letters are those of the asked text; at most limit a request.
+
+    Of equal letters only the first `limit` titles can be among a request's, so no others meet the requests.
+    """
     keyed = asked.select(by, T.letters_key(F.col(text)).alias("title_key")).filter("title_key <> ''")
-    return ranked(keyed.join(titles, "title_key"), [by], ["title"], limit)
+    first = ranked(titles, ["title_key"], ["title"], limit, "_nth").drop("_nth")
+    return ranked(keyed.join(first, "title_key"), [by], ["title"], limit)
 
 
 def passed_through(selections: DataFrame, papers: DataFrame, by: str, key: str, level: Column) -> DataFrame:

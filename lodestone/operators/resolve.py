@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterator, Sequence
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -63,11 +64,29 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
     return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
 
 
+PAIRS_A_TASK = 8_000_000
+
+
 def key_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, keys: str = "keys") -> DataFrame:
-    """Distinct pairs that share any key of the array column keys: an equi-join of exploded keys."""
-    a = left.select(left_key, F.explode(keys).alias("_k"))
-    b = right.select(right_key, F.explode(keys).alias("_k"))
-    return a.join(b, "_k").groupBy(left_key, right_key).agg(F.count("*").alias("shared"))
+    """left_key, right_key, shared (how many keys): distinct pairs that share any key of the array column keys.
+
+    Rows with the same keys, as far as the other side has them, are one class. Classes are paired by an equi-join of exploded keys; their
+    pairs are written out row by row and never shuffled.
+    """
+    names = ("_a", "_b")
+    exploded = [df.select(F.struct(key).alias(name), F.explode(keys).alias("_k")) for df, key, name in zip((left, right), (left_key, right_key), names, strict=True)]
+    a, b = (one.join(other.select("_k").distinct(), "_k", "left_semi").groupBy(name, "_k").agg(F.count("*").alias(f"{name}_n")) for one, other, name in zip(exploded, exploded[::-1], names, strict=True))
+    counts = [df.groupBy("_k").agg(F.sum(f"{name}_n").alias(f"{name}_n")) for df, name in ((a, "_a"), (b, "_b"))]
+    pairs = counts[0].join(counts[1], "_k").agg(F.sum(F.col("_a_n").cast("double") * F.col("_b_n"))).first()[0] or 0
+    classes, members = [], []
+    for df, name in ((a, "_a"), (b, "_b")):
+        own = df.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(f"{name}_n").alias("n")))).alias("own"))
+        found = own.groupBy("own").agg(F.min(name).alias(f"{name}_class"))
+        members.append(own.join(found, "own").select(name, f"{name}_class"))
+        classes.append(found.select(f"{name}_class", F.explode("own").alias("o")).select(f"{name}_class", F.col("o._k").alias("_k"), F.col("o.n").alias(f"{name}_n")))
+    met = classes[0].join(classes[1], "_k").groupBy("_a_class", "_b_class").agg(F.sum(F.col("_a_n") * F.col("_b_n")).alias("shared"))
+    dealt = met.join(members[0], "_a_class").select("_a", "_b_class", "shared").repartition(max(1, ceil(pairs / PAIRS_A_TASK)), "_a", "_b_class")
+    return dealt.join(members[1], "_b_class").select(F.col("_a")[left_key].alias(left_key), F.col("_b")[right_key].alias(right_key), "shared")
 
 
 def resolve_entities(rows: DataFrame, key_columns: Sequence[str], order: str, cut: Cut | None = None) -> DataFrame:

@@ -17,3 +17,19 @@ def test_exact_titles_meet_only_the_first_of_equal_letters(spark):
     out = pools.exact_titles(asked, titles, "q", "text", 2)
     assert sorted((r.q, r.title, r["rank"]) for r in out.collect()) == [(n, f"{k:03}", k + 1) for n in range(50) for k in (0, 1)] + [(99, "x", 1)]
     assert any("WindowGroupLimit" in line and "title_key" in line for line in plan_of(out).splitlines())
+
+
+def test_key_pairs_of_copies_arent_shuffled(spark):
+    left = [(1, ["a", "b", "b"]), (2, ["b", "b", "a"]), (3, ["c", None]), (4, []), (5, None), (6, ["x"]), (1, ["c"]), (None, ["a"])]
+    right = [(10, ["b", "a"]), (11, ["a", "b", "z"]), (12, ["c", "b"]), (13, ["y"]), (14, [None])]
+    a, b = rows(spark, left, "l int, keys array<string>"), rows(spark, right, "r long, keys array<string>")
+    out = resolve.key_pairs(a, b, "l", "r")
+    want = {}
+    for n, own in left:
+        for m, other in right:
+            shared = sum(x == y for x in own or [] if x for y in other if y)
+            if shared:
+                want[n, m] = want.get((n, m), 0) + shared
+    assert {(r.l, r.r): r.shared for r in out.collect()} == want and out.count() == len(want)
+    plan = plan_of(out)
+    assert plan.index("Repartition") < plan.index("Aggregate")

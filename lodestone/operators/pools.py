@@ -182,10 +182,14 @@ def simulated_cutoffs(curves: DataFrame, cutoffs: dict[str, DataFrame], by: str)
     """by, approach, k, precision, recall, f1 of cut-offs (by, k) over curves (by, rank, gold as boolean)."""
     from lodestone.operators.evaluation import ratios
 
-    every = reduce(DataFrame.unionByName, [c.select(by, F.col("k").cast("long").alias("k")).withColumn("approach", F.lit(n)) for n, c in cutoffs.items()])
-    total = curves.groupBy(by).agg(F.count(F.when(F.col("gold"), 1)).alias("gold_count"))
-    hits = curves.join(every, by).filter(F.col("rank") <= F.col("k")).groupBy(by, "approach").agg(F.count(F.when(F.col("gold"), 1)).alias("hits"), F.count("*").alias("n"))
-    rows = every.join(total, by).join(hits, [by, "approach"], "left").fillna(0, ["hits", "n"])
+    names = {n: f"_k{i}" for i, n in enumerate(cutoffs)}
+    beside = [c.select(by, F.struct(F.col("k").cast("long").alias("k")).alias(names[n])) for n, c in cutoffs.items()]
+    every = reduce(lambda a, b: a.join(b, by, "full_outer"), beside)  # not a union, whose parts adaptive execution may split differently
+    gold, inside = F.when(F.col("gold"), 1), lambda c: F.col("rank") <= F.col(c)["k"]
+    counts = [F.struct(F.count(F.when(inside(c), 1)).alias("n"), F.count(F.when(inside(c), gold)).alias("hits")).alias(f"{c}_n") for c in names.values()]
+    whole = curves.join(every, by).groupBy(by).agg(F.count(gold).alias("gold_count"), *[F.max(c).alias(c) for c in names.values()], *counts)
+    parts = F.array(*[F.struct(F.lit(n).alias("approach"), F.col(c).alias("at"), F.col(f"{c}_n").alias("found")) for n, c in names.items()])
+    rows = whole.select(by, "gold_count", F.explode(parts).alias("p")).filter("p.at IS NOT NULL").select(by, "gold_count", "p.approach", "p.at.k", "p.found.*")
     return rows.select(by, "approach", "k", *ratios(F.col("hits"), F.col("n"), F.col("gold_count")))
 
 

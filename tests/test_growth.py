@@ -33,3 +33,14 @@ def test_key_pairs_of_copies_arent_shuffled(spark):
     assert {(r.l, r.r): r.shared for r in out.collect()} == want and out.count() == len(want)
     plan = plan_of(out)
     assert plan.index("Repartition") < plan.index("Aggregate")
+
+
+def test_simulated_cutoffs_need_no_union(spark):
+    curve = rows(spark, [(q, k, k % q == 0) for q in (1, 2, 3) for k in range(1, 7)], "q int, rank int, gold boolean")
+    cuts = {"two": rows(spark, [(1, 2), (2, None), (9, 1)], "q int, k int"), "five": rows(spark, [(1, 5), (2, 5), (3, 5)], "q int, k int")}
+    out = pools.simulated_cutoffs(curve, cuts, "q")
+    assert {(r.q, r.approach): tuple(r)[2:] for r in out.collect()} == {
+        (1, "two"): (2, 1.0, 0.3333, 0.5), (2, "two"): (None, 0.0, 0.0, 0.0),
+        (1, "five"): (5, 1.0, 0.8333, 0.9091), (2, "five"): (5, 0.4, 0.6667, 0.5), (3, "five"): (5, 0.2, 0.5, 0.2857),
+    }
+    assert "Union" not in plan_of(out)

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from collections.abc import Mapping
 from functools import reduce
+from math import ceil
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
@@ -47,22 +48,40 @@ def postings(docs: DataFrame, key: str, text: str, terms: DataFrame | None = Non
     return found.groupBy(key, "token").agg(F.count("*").alias("tf"))
 
 
+WORDS_A_TASK, MOST_SENT_TERMS = 1_000_000, 200_000
+
+
+def tasks_for(spark: SparkSession, words: float | None) -> int:
+    """Over how many tasks so many words go, so that a task's share stays the same when a table grows."""
+    return max(int(spark.conf.get("spark.sql.shuffle.partitions")), ceil((words or 0) / WORDS_A_TASK))
+
+
+def sent(terms: DataFrame, few: bool) -> DataFrame:
+    """A few terms go to all tasks, so that documents need not move to them; many are joined."""
+    return F.broadcast(terms) if few else terms
+
+
+def few_terms(terms: DataFrame) -> bool:
+    return terms.limit(MOST_SENT_TERMS + 1).count() <= MOST_SENT_TERMS
+
+
 def bm25(docs: DataFrame, terms: DataFrame, key: str, text: str, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_key, key, score, held (how many of the query's terms) for each document that shares a term with a query; higher is better.
 
-    idf is log((N - n + 0.5) / (n + 0.5)), at least 1e-6; lengths count all words. One pass counts the asked words with their
-    document's length beside them, so lengths are never joined; another, without a shuffle of rows, gives the two statistics.
+    idf is log((N - n + 0.5) / (n + 0.5)), at least 1e-6; lengths count all words. A first pass gives the two statistics; then
+    documents are dealt by key, over more tasks the more words they have, and stay there: words are counted and scores added without
+    another shuffle. One row a document and query never waits for those of other tasks.
     """
-    stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"))
-    split = docs.select(key, T.words(F.col(text)).alias("_w")).select(key, F.size("_w").alias("len"), F.explode("_w").alias("token"))
-    found = split.join(terms.select("token").distinct(), "token", "left_semi").groupBy(key, "token", "len").agg(F.count("*").alias("tf"))
+    spark, few = docs.sparkSession, few_terms(terms)
+    stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("docs"), F.avg("len").alias("mean_len"), F.sum("len").alias("words")).first()
+    dealt = docs.select(key, text).repartition(tasks_for(spark, stats.words), key)
+    split = dealt.select(key, T.words(F.col(text)).alias("_w")).select(key, F.size("_w").alias("len"), F.explode("_w").alias("token"))
+    found = split.join(sent(terms.select("token").distinct(), few), "token", "left_semi").groupBy(key, "token", "len").agg(F.count("*").alias("tf"))
     df = found.groupBy("token").agg(F.count("*").alias("n"))
-    idf = df.crossJoin(F.broadcast(stats)).select(  # one row of statistics
-        "token", "mean_len", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf")
-    )
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    hits = found.join(idf, "token").select(key, "token", part.alias("part"))
-    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))
+    idf = df.select("token", F.greatest(F.lit(1e-6), F.log((stats.docs - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(stats.mean_len)))
+    hits = found.join(sent(terms.join(idf, "token"), few), "token").select(query_key, key, part.alias("part"))
+    return hits.groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))
 
 
 def field_bm25(docs: DataFrame, terms: DataFrame, key: str, weights: Mapping[str, float], query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:

@@ -1,6 +1,6 @@
 """Steps that must not grow faster than their input: what their plans hold, and their results on copies."""
 
-from lodestone.operators import pools, resolve
+from lodestone.operators import pools, resolve, search
 
 
 def rows(spark, data, schema):
@@ -44,3 +44,15 @@ def test_simulated_cutoffs_need_no_union(spark):
         (1, "five"): (5, 1.0, 0.8333, 0.9091), (2, "five"): (5, 0.4, 0.6667, 0.5), (3, "five"): (5, 0.2, 0.5, 0.2857),
     }
     assert "Union" not in plan_of(out)
+
+
+def test_bm25_deals_documents_once_and_by_their_words(spark, monkeypatch):
+    docs = rows(spark, [(n, f"graph word{n % 7} graph") for n in range(300)] + [(300, None)], "id int, body string")
+    terms = rows(spark, [(1, "graph"), (1, "word3"), (2, "word3")], "q int, token string")
+    want = {(r.q, r.id): (round(r.score, 9), r.held) for r in search.bm25(docs, terms, "id", "body", "q").collect()}
+    monkeypatch.setattr(search, "WORDS_A_TASK", 50)
+    out = search.bm25(docs, terms, "id", "body", "q")
+    assert {(r.q, r.id): (round(r.score, 9), r.held) for r in out.collect()} == want and len(want) == 343
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert out.rdd.getNumPartitions() == 18  # 900 words
+    assert "hashpartitioning(q#" not in plan

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lodestone.functions import text as T
+from lodestone.operators.search import few_terms, sent, tasks_for
 from lodestone.sources.shared import Folder
 
 BUCKETS = 256
@@ -22,10 +23,10 @@ def bucket_of(token: str, buckets: int = BUCKETS) -> Column:
     return F.pmod(F.xxhash64(token), F.lit(buckets)).cast("int")
 
 
-def _written(rows: DataFrame, path: str, *order: str) -> None:
+def _written(rows: DataFrame, path: str, tasks: int, *order: str) -> None:
     """Rows go by ranges of bucket and token, so a token of a third of all postings is cut over tasks and files."""
     keys = ["bucket", *order]
-    rows.repartitionByRange(*keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(path)
+    rows.repartitionByRange(tasks, *keys).sortWithinPartitions(*keys).write.partitionBy("bucket").parquet(path)
 
 
 def add_to_index(docs: DataFrame, key: str, text: str, path: str, buckets: int = BUCKETS) -> str:
@@ -38,14 +39,16 @@ def add_to_index(docs: DataFrame, key: str, text: str, path: str, buckets: int =
     spark, segment = docs.sparkSession, uuid.uuid4().hex
     if (stored := _stats(spark, path)) is not None:
         buckets = stored.first().buckets
-    split = docs.select(F.col(key).alias("key"), T.words(F.col(text)).alias("_w"))
+    counted = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("docs"), F.sum("len").alias("words"), F.count("len").alias("filled")).first()
+    tasks = tasks_for(spark, counted.words)
+    split = docs.select(F.col(key).alias("key"), text).repartition(tasks, "key").select("key", T.words(F.col(text)).alias("_w"))
     sized = split.select("key", F.size("_w").alias("len"), F.explode("_w").alias("token"))
     found = sized.groupBy("key", "token", "len").agg(F.count("*").alias("tf")).withColumn("bucket", bucket_of("token", buckets))
-    _written(found.select("bucket", "token", "key", "tf", "len"), f"{path}/postings/segment={segment}", "token", "key")
+    _written(found.select("bucket", "token", "key", "tf", "len"), f"{path}/postings/segment={segment}", tasks, "token", "key")
     any_posting = any(n.startswith("bucket=") for n in Folder(spark, f"{path}/postings/segment={segment}").names())
     again = spark.read.parquet(f"{path}/postings/segment={segment}") if any_posting else found.limit(0)
-    _written(again.groupBy("bucket", "token").agg(F.count("*").alias("n")), f"{path}/tokens/segment={segment}", "token")
-    stats = docs.select(F.regexp_count(F.lower(text), F.lit("[a-z0-9]+")).alias("len")).agg(F.count("*").alias("docs"), F.sum("len").alias("words"), F.count("len").alias("filled"), F.lit(buckets).alias("buckets"))
+    _written(again.groupBy("bucket", "token").agg(F.count("*").alias("n")), f"{path}/tokens/segment={segment}", tasks, "token")
+    stats = spark.createDataFrame([(counted.docs, counted.words, counted.filled, buckets)], "docs long, words long, filled long, buckets int").coalesce(1)
     stats.write.parquet(f"{path}/stats/segment={segment}")
     return segment
 
@@ -74,19 +77,20 @@ def read_buckets(spark: SparkSession, path: str, kind: str, buckets: list[int] |
 def stored_bm25(spark: SparkSession, path: str, terms: DataFrame, key: str, query_key: str, k1: float = 1.2, b: float = 0.75) -> DataFrame:
     """query_key, key, score, held, as search.bm25() gives them over the indexed texts; terms has query_key and token.
 
-    Only the buckets of asked tokens are read; their numbers pass the driver. Postings meet tokens in a join
-    that can be split where a token is hot.
+    Only the buckets of asked tokens are read; their numbers pass the driver. Asked postings are dealt by key, over more tasks the more
+    words are indexed, and a document's scores are added where it lies.
     """
-    asked, stats = terms.select("token").distinct(), _stats(spark, path)
+    asked, stats, few = terms.select("token").distinct(), _stats(spark, path), few_terms(terms)
     parts = stats.first().buckets if stats is not None else BUCKETS
     buckets = [r.bucket for r in asked.select(bucket_of("token", parts).alias("bucket")).distinct().collect()]
     found, counts = (read_buckets(spark, path, kind, buckets) for kind in ("postings", "tokens"))
     if found is None or counts is None:
         kinds = dict(terms.dtypes)
         return spark.createDataFrame([], f"`{query_key}` {kinds[query_key]}, `{key}` long, score double, held long")
-    stats = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("filled")).alias("mean_len"))
-    known = counts.join(asked, "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n")).crossJoin(F.broadcast(stats))  # one row of statistics
-    idf = known.select("token", "mean_len", F.greatest(F.lit(1e-6), F.log((F.col("docs") - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf"))
-    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.col("mean_len")))
-    hits = found.join(idf, "token").select(F.col("key").alias(key), "token", part.alias("part"))
-    return terms.join(hits, "token").groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))
+    whole = stats.agg(F.sum("docs").alias("docs"), (F.sum("words") / F.sum("filled")).alias("mean_len"), F.sum("words").alias("words")).first()
+    known = counts.join(sent(asked, few), "token", "left_semi").groupBy("token").agg(F.sum("n").alias("n"))
+    idf = known.select("token", F.greatest(F.lit(1e-6), F.log((whole.docs - F.col("n") + 0.5) / (F.col("n") + 0.5))).alias("idf"))
+    part = F.col("idf") * F.col("tf") * (k1 + 1) / (F.col("tf") + k1 * (1 - b + b * F.col("len") / F.lit(whole.mean_len)))
+    dealt = found.join(sent(asked, few), "token", "left_semi").repartition(tasks_for(spark, whole.words), "key")
+    hits = dealt.join(sent(terms.join(idf, "token"), few), "token").select(query_key, F.col("key").alias(key), part.alias("part"))
+    return hits.groupBy(query_key, key).agg(F.sum("part").alias("score"), F.count("*").alias("held"))

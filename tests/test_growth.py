@@ -1,6 +1,7 @@
 """Steps that must not grow faster than their input: what their plans hold, and their results on copies."""
 
 from lodestone.operators import pools, resolve, search
+from lodestone.sources import postings
 
 
 def rows(spark, data, schema):
@@ -56,3 +57,12 @@ def test_bm25_deals_documents_once_and_by_their_words(spark, monkeypatch):
     plan = out._jdf.queryExecution().executedPlan().toString()
     assert out.rdd.getNumPartitions() == 18  # 900 words
     assert "hashpartitioning(q#" not in plan
+
+
+def test_stored_postings_are_dealt_by_the_words_indexed(spark, tmp_path, monkeypatch):
+    docs = rows(spark, [(n, f"graph word{n % 7} graph") for n in range(300)], "id int, body string")
+    terms = rows(spark, [(1, "graph"), (2, "word3")], "q int, token string")
+    monkeypatch.setattr(search, "WORDS_A_TASK", 50)
+    postings.add_to_index(docs, "id", "body", f"file://{tmp_path}/index", buckets=2)
+    out = postings.stored_bm25(spark, f"file://{tmp_path}/index", terms, "id", "q")
+    assert out.count() == 343 and out.rdd.getNumPartitions() == 18  # 900 words

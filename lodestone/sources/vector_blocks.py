@@ -20,6 +20,7 @@ from lodestone.operators.vectors import BLOCK, QUERY_BLOCK, best_of_cell
 MOST_BLOCKS = 4096  # blocks of one index; their centres are all that every task is sent
 SAMPLE = 20_000  # vectors that centres are found on; every vector is stored whatever they are
 ROUNDS = 8
+PAIRS = 8_192  # pairs of query and block that a task makes at once
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -110,6 +111,23 @@ class Bounds:
         return order[: 1 + int(np.searchsorted(np.cumsum(self.sizes[order]), k + 1))]
 
 
+def chosen(known: Bounds, batch: pa.RecordBatch, k: int, digits: int, first: bool) -> Iterator[pa.RecordBatch]:
+    """query_id, asked, part, block of a batch's queries and the blocks that each one meets; a few queries at a time, so that at most about PAIRS rows are made at once."""
+    step = max(1, PAIRS // len(known.names))
+    for start in range(0, batch.num_rows, step):
+        some = batch.slice(start, step)
+        floors = None if first else some.column(3).to_numpy(zero_copy_only=False)
+        rows, blocks = [], []
+        for at, bound in enumerate(known.of(_matrix(some.column(1)))):
+            now = known.first(bound, k)
+            if not first:
+                now = np.setdiff1d(np.flatnonzero(bound >= floors[at] - 10.0**-digits), now)
+            rows.append(np.full(len(now), at))
+            blocks += [known.names[b] for b in now]
+        taken = some.select(["query_id", "asked", "part"]).take(pa.array(np.concatenate(rows).astype(np.int64)))
+        yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(blocks, pa.string())], ["query_id", "asked", "part", "block"])
+
+
 def search_blocks(spark: SparkSession, queries: DataFrame, path: str, k: int, digits: int = 6) -> tuple[DataFrame, DataFrame]:
     """(query_id, rank, vec_id, score), (query_id, block): the k best stored vectors of each query (query_id, embedding) but itself,
     and the blocks that were scored for it. Scores and ties are those of vectors.similar().
@@ -126,24 +144,7 @@ def search_blocks(spark: SparkSession, queries: DataFrame, path: str, k: int, di
     pairs_ddl = f"query_id {kinds['query_id']}, asked {kinds['asked']}, part int, block string"
 
     def met(first: bool):
-        def choose(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            known = sent.value
-            for batch in batches:
-                if not batch.num_rows:
-                    continue
-                every = known.of(_matrix(batch.column(1)))
-                floors = None if first else batch.column(3).to_numpy(zero_copy_only=False)
-                rows, blocks = [], []
-                for at, bound in enumerate(every):
-                    now = known.first(bound, k)
-                    if not first:
-                        now = np.setdiff1d(np.flatnonzero(bound >= floors[at] - 10.0**-digits), now)
-                    rows.append(np.full(len(now), at))
-                    blocks += [known.names[b] for b in now]
-                taken = batch.select(["query_id", "asked", "part"]).take(pa.array(np.concatenate(rows).astype(np.int64)))
-                yield pa.RecordBatch.from_arrays([*taken.columns, pa.array(blocks, pa.string())], ["query_id", "asked", "part", "block"])
-
-        return choose
+        return lambda batches: (pairs for batch in batches for pairs in chosen(sent.value, batch, k, digits, first))
 
     def scored(pairs: DataFrame) -> DataFrame:
         dealt = vectors.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))

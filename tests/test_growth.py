@@ -1,7 +1,10 @@
 """Steps that must not grow faster than their input: what their plans hold, and their results on copies."""
 
+import pyarrow as pa
+from pyspark.sql import Row
+
 from lodestone.operators import pools, resolve, search
-from lodestone.sources import postings
+from lodestone.sources import postings, vector_blocks
 
 
 def rows(spark, data, schema):
@@ -66,3 +69,15 @@ def test_stored_postings_are_dealt_by_the_words_indexed(spark, tmp_path, monkeyp
     postings.add_to_index(docs, "id", "body", f"file://{tmp_path}/index", buckets=2)
     out = postings.stored_bm25(spark, f"file://{tmp_path}/index", terms, "id", "q")
     assert out.count() == 343 and out.rdd.getNumPartitions() == 18  # 900 words
+
+
+def test_pairs_of_queries_and_blocks_come_a_few_at_a_time(monkeypatch):
+    known = vector_blocks.Bounds([Row(block=str(b), middle=[float(b), 1.0], radius=0.5, n=3) for b in range(20)])
+    ids = list(range(100))
+    batch = pa.RecordBatch.from_arrays([pa.array(ids), pa.array([[n / 50 - 1, 1.0] for n in ids]), pa.array([0] * 100), pa.array([float("-inf")] * 100)], ["query_id", "asked", "part", "floor"])
+    whole = [pa.Table.from_batches(vector_blocks.chosen(known, batch, 5, 6, first)) for first in (True, False)]
+    monkeypatch.setattr(vector_blocks, "PAIRS", 60)
+    for first, want in zip((True, False), whole, strict=True):
+        parts = list(vector_blocks.chosen(known, batch, 5, 6, first))
+        assert max(p.num_rows for p in parts) <= 60 and pa.Table.from_batches(parts).to_pylist() == want.to_pylist()
+    assert sum(t.num_rows for t in whole) == 100 * 20

@@ -52,10 +52,13 @@ def paired_cases(records: DataFrame, record: str = "value") -> DataFrame:
     the records that have none. Null names of lists: answer or answers, answer_arxiv_id or answer_arxiv_ids; empty lists count as absent.
     """
     r, at = F.col(record), lambda f: F.get_json_object(F.col(record), f"$.{f}")
-    listed = lambda *names: F.coalesce(*[F.when(F.size(F.from_json(at(n), "array<string>")) > 0, F.from_json(at(n), "array<string>")) for n in names], F.array().cast("array<string>"))
-    answers, ids = listed("answer", "answers"), listed("answer_arxiv_id", "answer_arxiv_ids")
     own = lambda a, f: F.when(a.startswith("{"), F.get_json_object(a, f"$.{f}"))
-    pair = lambda a, i: F.struct(F.when(a.startswith("{"), own(a, "title")).otherwise(a).alias("title"), F.when(a.startswith("{"), own(a, "arxiv_id")).otherwise(F.nullif(F.get(ids, i), F.lit(""))).alias("arxiv_id"))
+    names = ("answer", "answers", "answer_arxiv_id", "answer_arxiv_ids")
+    listed = lambda *of: F.coalesce(*[F.when(F.size(f"_{n}") > 0, F.col(f"_{n}")) for n in of], F.array().cast("array<string>"))
+    pair = lambda a, i: F.struct(F.when(a.startswith("{"), own(a, "title")).otherwise(a).alias("title"), F.when(a.startswith("{"), own(a, "arxiv_id")).otherwise(F.nullif(i, F.lit(""))).alias("arxiv_id"))
     rows = records.filter(F.trim(r) != "").withColumn("_line", F.monotonically_increasing_id())
+    rows = rows.withColumns({f"_{n}": F.from_json(at(n), "array<string>") for n in names})  # each list is read once, not once an answer
+    rows = rows.withColumns({"_a": listed(*names[:2]), "_i": listed(*names[2:])})
+    beside = F.slice(F.arrays_zip("_a", "_i"), F.lit(1), F.size("_a"))
     question = F.coalesce(F.nullif(at("question"), F.lit("")), F.nullif(at("query"), F.lit("")), F.lit(""))
-    return rows.select(F.coalesce(F.nullif(at("qid"), F.lit("")), F.concat(F.lit("case-"), F.col("_line") + 1)).alias("name"), question.alias("question"), F.transform(answers, pair).alias("gold"))
+    return rows.select(F.coalesce(F.nullif(at("qid"), F.lit("")), F.concat(F.lit("case-"), F.col("_line") + 1)).alias("name"), question.alias("question"), F.transform(beside, lambda x: pair(x["_a"], x["_i"])).alias("gold"))

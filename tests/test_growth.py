@@ -4,7 +4,7 @@ import pyarrow as pa
 from pyspark.sql import Row
 
 from lodestone.operators import pools, resolve, search
-from lodestone.sources import postings, vector_blocks
+from lodestone.sources import cases, postings, vector_blocks
 
 
 def rows(spark, data, schema):
@@ -81,3 +81,9 @@ def test_pairs_of_queries_and_blocks_come_a_few_at_a_time(monkeypatch):
         parts = list(vector_blocks.chosen(known, batch, 5, 6, first))
         assert max(p.num_rows for p in parts) <= 60 and pa.Table.from_batches(parts).to_pylist() == want.to_pylist()
     assert sum(t.num_rows for t in whole) == 100 * 20
+
+
+def test_paired_lists_are_read_once(spark):
+    out = cases.paired_cases(rows(spark, [('{"qid":"a","answers":["x",null,"z"],"answer_arxiv_id":["1","","3","4"]}',), ('{"answer":[],"answers":["y"]}',), ("{}",)], "value string"))
+    assert [[tuple(g) for g in r.gold] for r in out.collect()] == [[("x", "1"), (None, None), ("z", "3")], [("y", None)], []]
+    assert plan_of(out).count("from_json(") == 4

@@ -59,20 +59,21 @@ def ranked_lists(candidates: DataFrame, by: str, score: str, make_client: Callab
 
     candidates: by, paper_id, query, title, abstract, score, features. An attempt holds when it scores half of its papers or more (one at
     least); requests without such an answer are asked again for fewer papers, then for titles only. Requests that never got one are
-    left out, and fall back to their local scores.
+    left out, and fall back to their local scores. Each step is written once (checkpoint), as one plan over all attempts would hold the
+    joins of each attempt several times, and every join takes memory of its task.
     """
     placed = ranked(candidates, [by], [F.desc_nulls_last(score), "paper_id"], max(n for n, _ in attempts), "nth")
-    left, papers, sizes = placed, None, None
+    left, papers, sizes = placed.checkpoint(), None, None
     for attempt, (n, letters) in enumerate(attempts, 1):
         asked = left.filter(F.col("nth") <= n)
         answers = completed(list_prompt(asked, by, letters, features), by, "prompt", make_client, tries, seconds).checkpoint()
-        found = listed(answers, asked, by)
+        found = listed(answers, asked, by).checkpoint()
         share = asked.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2)).alias("least_scored"))
-        held = found.groupBy(by).agg(F.count("*").alias("scored")).join(share, by).filter("scored >= least_scored").select(by)
+        held = found.groupBy(by).agg(F.count("*").alias("scored")).join(share, by).filter("scored >= least_scored").select(by).checkpoint()
         part = found.join(held, by, "left_semi").withColumn("attempt", F.lit(attempt))
         size = wanted_sizes(answers.join(held, by, "left_semi"), by)
         papers, sizes = (part, size) if papers is None else (papers.unionByName(part), sizes.unionByName(size))
-        left = left.join(held, by, "left_anti")
+        left = left.join(held, by, "left_anti").checkpoint()
     return papers, sizes
 
 

@@ -3,7 +3,8 @@
 import pyarrow as pa
 from pyspark.sql import Row
 
-from lodestone.operators import pools, resolve, search
+from lodestone.operators import listwise, pools, resolve, search
+from lodestone.plans import report_queries, tables
 from lodestone.sources import cases, postings, vector_blocks
 
 
@@ -87,3 +88,24 @@ def test_paired_lists_are_read_once(spark):
     out = cases.paired_cases(rows(spark, [('{"qid":"a","answers":["x",null,"z"],"answer_arxiv_id":["1","","3","4"]}',), ('{"answer":[],"answers":["y"]}',), ("{}",)], "value string"))
     assert [[tuple(g) for g in r.gold] for r in out.collect()] == [[("x", "1"), (None, None), ("z", "3")], [("y", None)], []]
     assert plan_of(out).count("from_json(") == 4
+
+
+def test_attempts_are_stored_so_that_no_plan_holds_all_of_them(spark):
+    candidates = rows(spark, [(q, str(n), "q", "t", "a", float(-n)) for q in (1, 2, 3) for n in range(1, 9)], "q int, paper_id string, query string, title string, abstract string, score double")
+    papers, sizes = listwise.ranked_lists(candidates, "q", "score", report_queries.every_other_paper)
+    assert {(r.q, int(r.paper_id), r.attempt) for r in papers.collect()} == {(q, n, 1) for q in (1, 2, 3) for n in (2, 4, 6, 8)} and sizes.count() == 3
+    assert plan_of(papers).count("Join") <= 3 and plan_of(sizes).count("Join") <= 3
+
+
+def test_score_lists_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
+    data = [(n % 5 if n % 7 else None, n, 10.0 + n % 3) for n in range(60)] + [(9, 100, 1.0)]
+    rows(spark, data, "o_custkey long, o_orderkey long, o_totalprice double").write.parquet(str(tmp_path / "orders.parquet"))
+    monkeypatch.setattr(tables, "ROWS_A_TASK", 5)
+    out = tables.customer_scores(spark, str(tmp_path))
+    assert plan_of(out).count("Join") == 0 and "RepartitionByExpression [o_custkey" in plan_of(out) and ", 11" in plan_of(out)  # 52 rows have a customer
+    want = []
+    for c in range(5):
+        own = [(k, p) for q, k, p in data if q == c]
+        top = max(p for _, p in own)
+        want += [(c, k, s, n) for n, (s, k) in enumerate(sorted(((round(p / top, 6), k) for k, p in own), key=lambda x: (-x[0], x[1])), 1)]
+    assert sorted(tuple(r) for r in out.collect()) == sorted(want)

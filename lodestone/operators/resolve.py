@@ -30,38 +30,43 @@ def merged(rows: DataFrame, key: Column, order: str, absorb: Sequence[str] = (),
     return rows.groupBy(key.alias("key")).agg(F.min(order).alias(order), *fields, F.count("*").alias("merged"))
 
 
-def _to_least(edges: DataFrame) -> DataFrame:
-    """Every node's larger neighbours, linked to its least neighbour or itself."""
-    both = edges.unionByName(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
-    least = both.groupBy("a").agg(F.min("b").alias("m"))
-    return both.filter("b > a").join(least, "a").select(F.col("b").alias("a"), F.least("a", "m").alias("b")).distinct()
+EDGES_A_TASK = 500_000
 
 
-def _between_smaller(edges: DataFrame) -> DataFrame:
-    """Every node's smaller neighbours and the node itself, linked to the least of them."""
-    least = edges.groupBy("a").agg(F.min("b").alias("m"))
-    moved = edges.join(least, "a").filter("b <> m").select(F.col("b").alias("a"), F.col("m").alias("b"))
-    return moved.unionByName(least.select("a", F.col("m").alias("b"))).distinct()
+def _stars(edges: DataFrame, tasks: int) -> DataFrame:
+    """Two star steps over edges (a, b) with a > b: to the least neighbour of the smaller end, then between the smaller neighbours of a node.
+
+    Every node's larger neighbours are linked to its least neighbour or itself, which for an edge is a look-up of its smaller end. Then
+    every node's smaller neighbours and the node itself are linked to the least of them.
+    """
+    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    risen = edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition(tasks, "a")
+    near = risen.withColumn("m", F.min("b").over(Window.partitionBy("a")))
+    return near.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).repartition(tasks, "a").distinct()
+
+
+def _settled(links: DataFrame) -> bool:
+    """Whether every node a has one b only, which is no a: then each b is the least node of its component."""
+    return links.groupBy("a").count().filter("count > 1").isEmpty() and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
-    """node, component (smallest node reachable) for edges (a, b), by alternating two star steps until the edges no longer change.
+    """node, component (smallest node reachable) for edges (a, b), by alternating two star steps until all links form stars.
 
     Edges only move to smaller nodes, so this ends, and after about log(n) rounds; it never stops earlier. cut materialises a
-    round's edges (checkpoint() in the shared folder of spark.checkpoint.dir by default).
+    round's edges (checkpoint() in the shared folder of spark.checkpoint.dir by default). Tasks grow in number with the edges.
     """
     cut = cut or (lambda df: df.checkpoint())
-    nodes = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
-    links = cut(edges.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
-    state = lambda df: tuple(df.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
-    before = state(links)
-    while before[0]:
-        links = cut(_between_smaller(_to_least(links)))
-        now = state(links)
-        if now == before:
-            break
-        before = now
-    return nodes.join(links.select(F.col("a").alias("node"), F.col("b").alias("component")), "node", "left").select("node", F.coalesce("component", "node").alias("component"))
+    down = F.col("a") < F.col("b")
+    first = cut(edges.select(F.when(down, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("b")).distinct())
+    apart = F.coalesce(F.col("a") != F.col("b"), F.lit(False))
+    tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(first.count() / EDGES_A_TASK))
+    links = first.filter(apart)
+    while not _settled(links):
+        links = cut(_stars(links, tasks))
+    linked = links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b").distinct().select("b", "b"))
+    alone = first.filter(~apart).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked, "node", "left_anti")
+    return linked.union(alone.select("node", F.col("node").alias("component")))
 
 
 PAIRS_A_TASK = 8_000_000

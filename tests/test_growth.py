@@ -109,3 +109,14 @@ def test_score_lists_are_dealt_by_their_rows(spark, tmp_path, monkeypatch):
         top = max(p for _, p in own)
         want += [(c, k, s, n) for n, (s, k) in enumerate(sorted(((round(p / top, 6), k) for k, p in own), key=lambda x: (-x[0], x[1])), 1)]
     assert sorted(tuple(r) for r in out.collect()) == sorted(want)
+
+
+def test_components_look_up_edges_once_and_deal_them_by_their_number(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "EDGES_A_TASK", 30)
+    cuts = []
+    data = [(n, n + 1) for n in range(100, 160)] + [(500, n) for n in range(501, 560)] + [(n, 900) for n in range(880, 900)] + [(7, 7), (None, 8), (600, 100)]
+    out = resolve.components(rows(spark, data, "a long, b long"), lambda df: cuts.append(df) or df.checkpoint())
+    want = {n: 100 for n in [*range(100, 161), 600]} | {n: 500 for n in range(500, 560)} | {n: 880 for n in range(880, 901)} | {7: 7, 8: 8, None: None}
+    assert {r.node: r.component for r in out.collect()} == want and out.count() == len(want)
+    plans = [plan_of(df) for df in cuts[1:]]
+    assert plans and all(p.count("Join") == 1 and ", 5" in p for p in plans)  # 144 edges in 5 tasks

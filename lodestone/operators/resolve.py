@@ -97,8 +97,7 @@ def key_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str,
 def resolve_entities(rows: DataFrame, key_columns: Sequence[str], order: str, cut: Cut | None = None) -> DataFrame:
     """rows with `entity`: records linked through any shared non-null key, transitively; named by the least order value."""
     keyed = rows.select(order, F.explode(F.array(*[F.when(F.col(c).isNotNull(), F.concat(F.lit(f"{c}:"), F.col(c).cast("string"))) for c in key_columns])).alias("k")).filter("k IS NOT NULL")
-    hub = keyed.groupBy("k").agg(F.min(order).alias("b"))
-    edges = keyed.join(hub, "k").select(F.col(order).alias("a"), "b")
+    edges = keyed.select(F.col(order).alias("a"), F.min(order).over(Window.partitionBy("k")).alias("b")).filter("a <> b")
     found = components(edges, cut)
     return rows.join(found, rows[order] == found["node"], "left").select(rows["*"], F.coalesce("component", rows[order]).alias("entity"))
 

@@ -120,3 +120,9 @@ def test_components_look_up_edges_once_and_deal_them_by_their_number(spark, monk
     assert {r.node: r.component for r in out.collect()} == want and out.count() == len(want)
     plans = [plan_of(df) for df in cuts[1:]]
     assert plans and all(p.count("Join") == 1 and ", 5" in p for p in plans)  # 144 edges in 5 tasks
+
+
+def test_keys_of_one_record_make_no_edges(spark):
+    cuts = []
+    out = resolve.resolve_entities(rows(spark, [(1, "x", "p"), (2, "y", "p"), (3, "z", None), (4, None, None)], "pos int, doi string, other string"), ["doi", "other"], "pos", lambda df: cuts.append(df.checkpoint()) or cuts[-1])
+    assert {r.pos: r.entity for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4} and cuts[0].count() == 1

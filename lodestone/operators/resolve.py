@@ -145,28 +145,58 @@ def greedy_unique(rows: DataFrame, by: str, order: str, keys: str = "keys") -> D
     return rows.groupBy(by).applyInArrow(unique, rows.schema)
 
 
+ROWS_A_TASK = 500_000
+
+
 def greedy_score(predicted: DataFrame, gold: DataFrame, by: str, order: str) -> DataFrame:
     """by, true_positive, false_positive, false_negative, precision, recall, f1 of predicted and gold (by, order, keys).
 
-    Both sides are made unique first. A prediction that only meets gold already matched is neither true nor false.
+    Both sides are made unique first (as greedy_unique does). A prediction that only meets gold already matched is neither true nor false.
+    Cases pass their task as a sorted stream, gold first, so that a small case costs no call of its own; rows of one order go by their keys.
     """
-    sides = [greedy_unique(df.select(by, order, "keys"), by, order).withColumn("side", F.lit(s)) for s, df in ((0, predicted), (1, gold))]
-
-    def score(batches: Iterator[pa.Table] | pa.Table) -> pa.Table:
-        part = batches.sort_by(order)
-        rows = list(zip(part.column("side").to_pylist(), map(set, part.column("keys").to_pylist()), strict=True))
-        golds, taken, wrong = [k for s, k in rows if s == 1], set(), 0
-        for own in (k for s, k in rows if s == 0):
-            near = [i for i, g in enumerate(golds) if g & own]
-            wrong += not near
-            taken |= set([i for i in near if i not in taken][:1])
-        wrong = wrong if golds else 0
-        tp, fn = len(taken), len(golds) - len(taken)
-        p = tp / (tp + wrong) if tp + wrong else 0.0
-        r = tp / (tp + fn) if tp + fn else 0.0
-        f = 2 * p * r / (p + r) if p + r else 0.0
-        return pa.table({by: part.column(by)[:1], "true_positive": [tp], "false_positive": [wrong], "false_negative": [fn], "precision": [round(p, 4)], "recall": [round(r, 4)], "f1": [round(f, 4)]})
-
-    kind = dict(predicted.dtypes)[by]
-    ddl = f"{by} {kind}, true_positive long, false_positive long, false_negative long, precision double, recall double, f1 double"
-    return sides[0].unionByName(sides[1]).groupBy(by).applyInArrow(score, ddl)
+    sides = [df.select(by, order, "keys").withColumn("side", F.lit(s)) for s, df in ((0, gold), (1, predicted))]
+    rows = sides[0].unionByName(sides[1])
+    tasks = max(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(rows.count() / ROWS_A_TASK))
+    rows = rows.repartition(tasks, by).sortWithinPartitions(by, "side", F.asc_nulls_last(order), "keys").select(by, "side", "keys")
+    names = ("true_positive", "false_positive", "false_negative", "precision", "recall", "f1")
+
+    def table_of(done: list[tuple], kind: pa.DataType | None) -> list[pa.RecordBatch]:
+        return [pa.RecordBatch.from_arrays([pa.array(c) if n else pa.array(c, kind) for n, c in enumerate(zip(*done, strict=True))], [by, *names])] if done else []
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        case, some, golds, owner, seen, taken, wrong = None, False, 0, {}, set(), set(), 0
+        done: list[tuple] = []
+
+        def finish() -> None:
+            if some:
+                tp, fp, fn = len(taken), wrong if golds else 0, golds - len(taken)
+                p = tp / (tp + fp) if tp + fp else 0.0
+                r = tp / (tp + fn) if tp + fn else 0.0
+                f = 2 * p * r / (p + r) if p + r else 0.0
+                done.append((case, tp, fp, fn, round(p, 4), round(r, 4), round(f, 4)))
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field(0).type
+            for of, side, own in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if of != case:
+                    finish()
+                    case, some, golds, owner, seen, taken, wrong = of, False, 0, {}, set(), set(), 0
+                if not own:
+                    continue
+                if side == 0:
+                    if owner.keys().isdisjoint(own):
+                        owner.update(dict.fromkeys(own, golds))
+                        golds, some = golds + 1, True
+                elif seen.isdisjoint(own):
+                    seen.update(own)
+                    near, some = sorted({owner[k] for k in own if k in owner}), True
+                    wrong += not near
+                    taken.update([i for i in near if i not in taken][:1])
+            yield from table_of(done, kind)
+            done.clear()
+        finish()
+        yield from table_of(done, kind)
+
+    ddl = f"`{by}` {dict(predicted.dtypes)[by]}, true_positive long, false_positive long, false_negative long, precision double, recall double, f1 double"
+    return rows.mapInArrow(score, ddl)

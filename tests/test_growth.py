@@ -1,9 +1,12 @@
 """Steps that must not grow faster than their input: what their plans hold, and their results on copies."""
 
 import pyarrow as pa
+from helpers import DATA
 from pyspark.sql import Row
 
-from lodestone.operators import listwise, pools, resolve, search
+from lodestone.functions import text
+from lodestone.operators import cutoffs, evaluation, listwise, pools, resolve, search
+from lodestone.planning import answers
 from lodestone.plans import report_queries, tables
 from lodestone.sources import cases, postings, vector_blocks
 
@@ -126,3 +129,15 @@ def test_keys_of_one_record_make_no_edges(spark):
     cuts = []
     out = resolve.resolve_entities(rows(spark, [(1, "x", "p"), (2, "y", "p"), (3, "z", None), (4, None, None)], "pos int, doi string, other string"), ["doi", "other"], "pos", lambda df: cuts.append(df.checkpoint()) or cuts[-1])
     assert {r.pos: r.entity for r in out.collect()} == {1: 1, 2: 1, 3: 3, 4: 4} and cuts[0].count() == 1
+
+
+def test_greedy_cases_pass_as_streams(spark, monkeypatch):
+    monkeypatch.setattr(resolve, "ROWS_A_TASK", 40)
+    gold = [(c, n, [f"g{n}", f"h{n % 3}"]) for c in (None, *range(30)) for n in range(4)] + [(99, 1, [])]
+    found = [(c, n, [f"g{n + (c or 0) % 3}"]) for c in (None, *range(30)) for n in range(4)] + [(77, 1, ["x"]), (78, 1, None)]
+    schema = "q int, pos int, keys array<string>"
+    out = resolve.greedy_score(rows(spark, found, schema), rows(spark, gold, schema), "q", "pos")
+    # of gold, 3 shares h0 with 0 and goes
+    want = {c: (3 - (c or 0) % 3, 1 + (c or 0) % 3, (c or 0) % 3) for c in (None, *range(30))} | {77: (0, 0, 0)}
+    assert {r.q: tuple(r)[1:4] for r in out.collect()} == want
+    assert "FlatMapGroups" not in plan_of(out) and ", 7" in plan_of(out)  # 252 rows

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -17,6 +18,7 @@ TITLE_QUERIES = {"field": "title_queries", "route": "title_like", "intent": "llm
 TERM_QUERIES = {"field": "term_queries", "route": "broad_synonym", "intent": "llm_term_mapping", "priority": 6, "most": 15, "words": 2, "letters": 120}
 CHINESE = "[\\u4e00-\\u9fff]"
 TEXTS = "array<string>"
+ANSWERS_A_TASK = 20_000
 
 
 def _kind(value: Column) -> Column:
@@ -112,8 +114,10 @@ def recalled_queries(plans: DataFrame, answers: DataFrame, by: str, answer: str,
 
     An answer is a list of texts or an object with one. The first `most` items count, those that are texts of enough words; titles
     must look like titles. Where an answer has no list, titles are made of the plan (fallback_titles) and terms are none. Plans without an answer get nothing.
+    Answers are dealt over tasks in number with them, as a table of few bytes would otherwise be read by one task.
     """
-    rows = plans.join(answers.select(F.col(by).alias("_by"), F.col(answer).alias("_answer")), F.col(by).eqNullSafe(F.col("_by"))).withColumn("_a", F.try_parse_json("_answer"))
+    tasks = max(int(plans.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(answers.count() / ANSWERS_A_TASK))
+    rows = plans.join(answers.select(F.col(by).alias("_by"), F.col(answer).alias("_answer")), F.col(by).eqNullSafe(F.col("_by"))).repartition(tasks, by).withColumn("_a", F.try_parse_json("_answer"))
     whole = _kind(F.col("_a"))
     listed = F.when(whole.startswith("OBJECT"), _get(F.col("_a"), what["field"])).otherwise(F.col("_a"))
     items = F.slice(F.try_variant_get(listed, "$", "array<variant>"), 1, what["most"])

@@ -141,3 +141,15 @@ def test_greedy_cases_pass_as_streams(spark, monkeypatch):
     want = {c: (3 - (c or 0) % 3, 1 + (c or 0) % 3, (c or 0) % 3) for c in (None, *range(30))} | {77: (0, 0, 0)}
     assert {r.q: tuple(r)[1:4] for r in out.collect()} == want
     assert "FlatMapGroups" not in plan_of(out) and ", 7" in plan_of(out)  # 252 rows
+
+
+def test_answers_are_dealt_and_titles_read_once(spark, monkeypatch):
+    plan = "q int, methods array<string>, research_topic string, entities array<string>"
+    plans = rows(spark, [(n, ["Graph Nets"], "Deep Models", ["one two three four five"]) for n in range(40)], plan)
+    asked = rows(spark, [(n, '{"title_queries": ["A Survey of Graphs", "find papers about graphs and more"]}' if n % 2 else "{}") for n in range(40)], "q int, answer string")
+    monkeypatch.setattr(answers, "ANSWERS_A_TASK", 5)
+    out = answers.recalled_queries(plans, asked, "q", "answer")
+    want = {(n, 1, "A Survey of Graphs") for n in range(1, 40, 2)} | {(n, k, t) for n in range(0, 40, 2) for k, t in ((1, "Graph Nets: Deep Models"), (2, "one two three four five"))}
+    assert {(r.q, r["rank"], r.search) for r in out.collect()} == want
+    assert "RepartitionByExpression [q" in plan_of(out) and ", 8" in plan_of(out)
+    assert plan_of(rows(spark, [("A",)], "c string").select(text.looks_like_title(text.F.col("c")).alias("t"))).count("regexp_extract_all") == 1

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lodestone.functions.text import corpus_id, identifier, title_key
@@ -23,12 +23,12 @@ def merged_gold(gold: DataFrame, results: DataFrame, by: str, key: str) -> DataF
     gold (by, gold_id, keys) and results (by, rank, keys). Each record links its keys to its first one, so links grow with the keys.
     """
     named = lambda k: F.concat_ws("|", F.col(by).cast("string"), k)
-    golds = gold.select(by, "gold_id", F.explode("keys").alias(key))
-    known = golds.select(by, key).distinct()
-    touched = results.select(by, "rank", F.explode("keys").alias(key)).join(known, [by, key])
-    ends = [df.withColumn("node", named(F.col(key))) for df in (golds.withColumnRenamed("gold_id", "of"), touched.withColumnRenamed("rank", "of"))]
-    links = [df.join(df.groupBy(by, "of").agg(F.min("node").alias("first")), [by, "of"]).select(F.col("node").alias("a"), F.col("first").alias("b")) for df in ends]
-    found = components(links[0].union(links[1]).filter("a <> b").distinct())
+    known = gold.select(by, F.explode("keys").alias(key)).distinct()
+    several = F.size("keys") > 1  # a record of one key links nothing
+    golds = gold.filter(several).select(by, F.col("gold_id").alias("of"), F.explode("keys").alias(key)).filter(F.col(key).isNotNull())
+    touched = results.filter(several).select(by, F.col("rank").alias("of"), F.explode("keys").alias(key)).join(known, [by, key]).select(by, "of", key)
+    ends = [df.withColumn("node", named(F.col(key))).select("node", F.min("node").over(Window.partitionBy(by, "of")).alias("first")) for df in (golds, touched)]
+    found = components(ends[0].union(ends[1]).filter("node <> first").select(F.col("node").alias("a"), F.col("first").alias("b")))
     marked = known.withColumn("node", named(F.col(key))).join(found, "node", "left")
     return marked.select(by, key, F.coalesce("component", "node").alias("item"))
 
@@ -41,10 +41,11 @@ def scored_against_gold(results: DataFrame, gold: DataFrame, by: str, k: int | N
     """
     results = results if k is None else results.filter(F.col("rank") <= k)
     items = merged_gold(gold, results, by, "key")
-    total = items.groupBy(by).agg(F.countDistinct("item").alias("gold_count"))
-    met = results.select(by, F.explode("keys").alias("key")).join(items, [by, "key"]).groupBy(by).agg(F.countDistinct("item").alias("true_positive"))
+    asked = results.select(by, F.explode("keys").alias("key")).distinct().withColumn("touched", F.lit(1))
+    met = items.join(asked, [by, "key"], "left").groupBy(by, "item").agg(F.max("touched").alias("touched"))
+    total = met.groupBy(by).agg(F.count("item").alias("gold_count"), F.count("touched").alias("true_positive"))
     n = results.groupBy(by).agg(F.count("*").alias("predicted_count"))
-    rows = total.join(met, by, "left").join(n, by, "left").fillna(0, ["true_positive", "predicted_count"])
+    rows = total.join(n, by, "left").fillna(0, ["predicted_count"])
     return rows.select(by, "true_positive", "predicted_count", "gold_count", *ratios(F.col("true_positive"), F.col("predicted_count"), F.col("gold_count")))
 
 
@@ -125,8 +126,9 @@ def transfer_report(pool: DataFrame, selected: DataFrame, final: DataFrame, gold
     parts = [rows.select(by, "rank", "keys", F.explode(lists[name]).alias("list")) for name, rows in (("pool", pool), ("selected", selected), ("final", final))]
     found = parts[0].unionByName(parts[1]).unionByName(parts[2]).select(case(F.col("list")).alias("case"), "rank", "keys")
     listed = F.explode(F.array(*map(F.lit, (*lists, *[f"at{k}" for k in ks])))).alias("list")
-    wanted = gold.select(by, "gold_id", "keys", listed).select(by, "list", case(F.col("list")).alias("case"), "gold_id", "keys")
-    scored = scored_against_gold(found, wanted.drop(by, "list"), "case").join(wanted.select("case", by, "list").distinct(), "case")
+    wanted = gold.select(by, "gold_id", "keys", listed).select(case(F.col("list")).alias("case"), "gold_id", "keys")
+    cases = gold.select(by).distinct().select(by, listed).select(case(F.col("list")).alias("case"), by, "list")
+    scored = scored_against_gold(found, wanted, "case").join(cases, "case")
     of = lambda name, c: F.max(F.when(F.col("list") == name, F.col(c)))
     rate = lambda a, b: F.round(F.coalesce(F.when(b > 0, a / b), F.lit(0.0)), 4)
     recalls = [of(f"at{k}", "recall").alias(f"recall_at_{k}") for k in ks]

@@ -218,7 +218,7 @@ def gold_scores(spark: SparkSession, d: str) -> DataFrame:
     """Pools against merged gold items, by keys."""
     pool, _, gold = _judged(spark, d)
     results = pool.withColumn("rank", F.row_number().over(Window.partitionBy("o_custkey").orderBy("paper_id")))
-    return evaluation.scored_against_gold(results, gold, "o_custkey")
+    return evaluation.scored_against_gold(results.select("o_custkey", "rank", "keys").checkpoint(), gold.select("o_custkey", "gold_id", "keys").checkpoint(), "o_custkey")
 
 
 def relaxed_hits(spark: SparkSession, d: str) -> DataFrame:

@@ -153,3 +153,11 @@ def test_answers_are_dealt_and_titles_read_once(spark, monkeypatch):
     assert {(r.q, r["rank"], r.search) for r in out.collect()} == want
     assert "RepartitionByExpression [q" in plan_of(out) and ", 8" in plan_of(out)
     assert plan_of(rows(spark, [("A",)], "c string").select(text.looks_like_title(text.F.col("c")).alias("t"))).count("regexp_extract_all") == 1
+
+
+def test_gold_is_counted_item_by_item(spark):
+    gold = rows(spark, [(1, 1, ["a", "b"]), (1, 2, ["b", "c"]), (1, 3, ["z"]), (1, 4, ["y"]), (2, 1, ["a"]), (3, 1, [None])], "q int, gold_id int, keys array<string>")
+    found = rows(spark, [(1, 1, ["a"]), (1, 2, ["c", "x"]), (1, 3, ["z", "y"]), (1, 4, ["n", None]), (4, 1, ["a"])], "q int, rank int, keys array<string>")
+    out = evaluation.scored_against_gold(found, gold, "q")
+    assert {r.q: tuple(r)[1:4] for r in out.collect() if r.q != 3} == {1: (2, 4, 2), 2: (0, 0, 1)}
+    assert "count(distinct" not in plan_of(out)

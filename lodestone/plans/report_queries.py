@@ -42,7 +42,7 @@ def model_calls(spark: SparkSession, d: str) -> DataFrame:
 
 def transfer_report(spark: SparkSession, d: str) -> DataFrame:
     """Orders of a customer as a pool, of which some are gold, some selected, some final."""
-    rows = customer_scores(spark, d).select("o_custkey", "o_orderkey", "rank", F.array(F.col("o_orderkey").cast("string")).alias("keys"))
+    rows = customer_scores(spark, d).select("o_custkey", "o_orderkey", "rank", F.array(F.col("o_orderkey").cast("string")).alias("keys")).checkpoint()
     k = F.col("o_orderkey")
     gold = rows.filter(k % 3 == 0).select("o_custkey", k.alias("gold_id"), "keys")
     return evaluation.transfer_report(rows.filter("rank <= 12"), rows.filter((F.col("rank") <= 12) & (k % 2 == 0)), rows.filter((F.col("rank") <= 6) & (k % 2 == 0)), gold, "o_custkey", (2, 5, 10))

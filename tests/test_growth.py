@@ -161,3 +161,7 @@ def test_gold_is_counted_item_by_item(spark):
     out = evaluation.scored_against_gold(found, gold, "q")
     assert {r.q: tuple(r)[1:4] for r in out.collect() if r.q != 3} == {1: (2, 4, 2), 2: (0, 0, 1)}
     assert "count(distinct" not in plan_of(out)
+
+
+def test_lists_of_a_transfer_report_are_stored_once(spark):
+    assert "parquet" not in plan_of(report_queries.transfer_report(spark, DATA))

@@ -48,11 +48,10 @@ def score_gap(ranked: DataFrame, by: str, score: str, gap: float = 0.05, relativ
     """by, k: the rank before the largest drop that passes both thresholds, among the first most + 5; null without one."""
     w = Window.partitionBy(by).orderBy("rank")
     drops = ranked.select(by, "rank", score, (F.col(score) - F.lead(score).over(w)).alias("gap"))
-    n = drops.groupBy(by).agg(F.count("*").alias("n"))
     good = (F.col("gap") > gap) & (F.col("gap") / F.greatest(F.col(score), F.lit(1e-6)) > relative) & (F.col("rank") <= most + 5)
-    best = drops.filter(good).groupBy(by).agg(F.max_by("rank", F.struct("gap", -F.col("rank"))).alias("at"))
+    best = drops.groupBy(by).agg(F.count("*").alias("n"), F.max_by("rank", F.when(good, F.struct("gap", -F.col("rank")))).alias("at"))
     k = F.when(F.col("n") < 2, F.least(F.lit(least), F.col("n"))).otherwise(F.least(F.lit(most), F.greatest(F.lit(least), F.col("at"))))
-    return n.join(best, by, "left").select(by, F.when((F.col("n") < 2) | F.col("at").isNotNull(), k).cast("long").alias("k"))
+    return best.select(by, F.when((F.col("n") < 2) | F.col("at").isNotNull(), k).cast("long").alias("k"))
 
 
 def percentile_drop(ranked: DataFrame, by: str, score: str, drop: float = 0.15, most: int = 20, least: int = 1, ratio: float = 2.5) -> DataFrame:
@@ -174,11 +173,12 @@ def composed_k(ranked: DataFrame, by: str, score: str, p: str | None = None, kin
     """by, k as a synthesis step takes it: the score gap, else the percentile drop, bounds the results.
 
     With probabilities p of a model the controller may take fewer. Without, at least `floor` are taken, and for recall-first types
-    with 50 results or more and two query terms (column terms) or more, recall_floor; at most `most` and what there is.
+    with 50 results or more and two query terms (column terms) or more, recall_floor; at most `most` and what there is. The bound is
+    written once (checkpoint), so that no task holds all steps at once.
     """
     gap = score_gap(ranked, by, score, 0.08, 0.10, most, 2).withColumnRenamed("k", "gap")
     drop = percentile_drop(ranked, by, score, most=most, least=least).withColumnRenamed("k", "drop")
-    bound = gap.join(drop, by).select(by, F.least(F.coalesce("gap", "drop"), F.lit(most)).alias("bound"))
+    bound = gap.join(drop, by).select(by, F.least(F.coalesce("gap", "drop"), F.lit(most)).alias("bound")).checkpoint()
     if p is not None:
         chosen = expected_f1(ranked.join(bound, by), by, p, kind, most="bound").select(by, F.col("k").alias("chosen"))
         return bound.join(chosen, by, "left").select(by, F.greatest(F.lit(least), F.least(F.col("bound"), F.coalesce("chosen", "bound"))).cast("long").alias("k"))

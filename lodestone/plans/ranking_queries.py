@@ -171,7 +171,7 @@ def dynamic_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composed(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d)
+    rows = _typed(spark, d).checkpoint()
     with_model = cutoffs.composed_k(rows, "o_custkey", "score", "score").withColumnRenamed("k", "model_k")
     return cutoffs.composed_k(rows, "o_custkey", "score").withColumnRenamed("k", "fallback_k").join(with_model, "o_custkey")
 

@@ -165,3 +165,10 @@ def test_gold_is_counted_item_by_item(spark):
 
 def test_lists_of_a_transfer_report_are_stored_once(spark):
     assert "parquet" not in plan_of(report_queries.transfer_report(spark, DATA))
+
+
+def test_bounds_of_composed_cutoffs_are_stored(spark):
+    lists = rows(spark, [(q, n, 1 / n, "survey") for q in (1, 2) for n in range(1, 9)], "q int, rank int, score double, query_type string")
+    assert plan_of(cutoffs.score_gap(lists, "q", "score")).count("Join") == 0
+    out = cutoffs.composed_k(lists, "q", "score", "score")
+    assert plan_of(out).count("Join") <= 5 and out.count() == 2

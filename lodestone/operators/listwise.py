@@ -7,6 +7,7 @@ to the shared folder of spark.checkpoint.dir, so that no call is made again when
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from math import ceil
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,7 @@ from lodestone.functions.text import unit_score
 from lodestone.operators.models import SECONDS, TRIES, Client, completed
 from lodestone.operators.search import ranked
 
+ROWS_A_TASK = 250_000
 ATTEMPTS = ((40, 300), (20, 300), (20, 0))  # how many papers, and how many letters of their abstracts
 LEVELS = ("high", "medium", "low", "irrelevant")
 RANKED = "array<struct<paper_id:string,listwise_score:string,relevance_probability:string,relevance_level:string,confidence:string,matched_aspects:array<string>,should_include:string>>"
@@ -64,8 +66,9 @@ def ranked_lists(candidates: DataFrame, by: str, score: str, make_client: Callab
     """
     placed = ranked(candidates, [by], [F.desc_nulls_last(score), "paper_id"], max(n for n, _ in attempts), "nth")
     left, papers, sizes = placed.checkpoint(), None, None
+    tasks = max(int(left.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(left.count() / ROWS_A_TASK))
     for attempt, (n, letters) in enumerate(attempts, 1):
-        asked = left.filter(F.col("nth") <= n)
+        asked = left.repartition(tasks, by).filter(F.col("nth") <= n)
         answers = completed(list_prompt(asked, by, letters, features), by, "prompt", make_client, tries, seconds).checkpoint()
         found = listed(answers, asked, by).checkpoint()
         share = asked.groupBy(by).agg(F.greatest(F.lit(1), F.floor(F.count("*") / 2)).alias("least_scored"))

@@ -9,7 +9,7 @@ from lodestone.functions import scoring as S
 from lodestone.functions import text as T
 from lodestone.operators import cutoffs, graphs, pools, resolve, search, usage, vectors
 from lodestone.operators.search import ranked
-from lodestone.plans.tables import CUSTOMER_SCORES_SQL, PART_STATS_SQL, customer_scores, part_stats, table
+from lodestone.plans.tables import CUSTOMER_SCORES_SQL, PART_STATS_SQL, customer_scores, dealt, part_stats, table
 from lodestone.sources import vector_blocks
 from lodestone.sources.shared import new_folder
 
@@ -171,7 +171,7 @@ def dynamic_k(spark: SparkSession, d: str) -> DataFrame:
 
 
 def composed(spark: SparkSession, d: str) -> DataFrame:
-    rows = _typed(spark, d).checkpoint()
+    rows = dealt(_typed(spark, d).checkpoint(), "o_custkey")  # what is stored forgets how it was dealt
     with_model = cutoffs.composed_k(rows, "o_custkey", "score", "score").withColumnRenamed("k", "model_k")
     return cutoffs.composed_k(rows, "o_custkey", "score").withColumnRenamed("k", "fallback_k").join(with_model, "o_custkey")
 

@@ -39,15 +39,16 @@ def _stars(edges: DataFrame, tasks: int) -> DataFrame:
     Every node's larger neighbours are linked to its least neighbour or itself, which for an edge is a look-up of its smaller end. Then
     every node's smaller neighbours and the node itself are linked to the least of them.
     """
-    least = edges.groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
-    risen = edges.join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition(tasks, "a")
+    least = edges.repartition(tasks, "a").groupBy("a").agg(F.min("b").alias("m")).select(F.col("a").alias("b"), "m")
+    risen = edges.repartition(tasks, "b").join(least, "b", "left").select("a", F.coalesce("m", "b").alias("b")).repartition(tasks, "a")
     near = risen.withColumn("m", F.min("b").over(Window.partitionBy("a")))
     return near.select(F.when(F.col("b") == F.col("m"), F.col("a")).otherwise(F.col("b")).alias("a"), F.col("m").alias("b")).repartition(tasks, "a").distinct()
 
 
-def _settled(links: DataFrame) -> bool:
+def _settled(links: DataFrame, tasks: int) -> bool:
     """Whether every node a has one b only, which is no a: then each b is the least node of its component."""
-    return links.groupBy("a").count().filter("count > 1").isEmpty() and links.join(links.select(F.col("a").alias("b")), "b", "left_semi").isEmpty()
+    once = links.repartition(tasks, "a").groupBy("a").count().filter("count > 1").isEmpty()
+    return once and links.repartition(tasks, "b").join(links.select(F.col("a").alias("b")).repartition(tasks, "b"), "b", "left_semi").isEmpty()
 
 
 def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
@@ -58,14 +59,14 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
     """
     cut = cut or (lambda df: df.checkpoint())
     down = F.col("a") < F.col("b")
-    first = cut(edges.select(F.when(down, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("b")).distinct())
+    first = cut(edges.select(F.when(down, F.col("b")).otherwise(F.col("a")).alias("a"), F.when(down, F.col("a")).otherwise(F.col("b")).alias("b")))
     apart = F.coalesce(F.col("a") != F.col("b"), F.lit(False))
     tasks = max(int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")), ceil(first.count() / EDGES_A_TASK))
     links = first.filter(apart)
-    while not _settled(links):
+    while not _settled(links, tasks):
         links = cut(_stars(links, tasks))
     linked = links.select(F.col("a").alias("node"), F.col("b").alias("component")).union(links.select("b").distinct().select("b", "b"))
-    alone = first.filter(~apart).select(F.explode(F.array("a", "b")).alias("node")).distinct().join(linked, "node", "left_anti")
+    alone = first.filter(~apart).select(F.explode(F.array("a", "b")).alias("node")).distinct().repartition(tasks, "node").join(linked.repartition(tasks, "node"), "node", "left_anti")
     return linked.union(alone.select("node", F.col("node").alias("component")))
 
 

@@ -9,8 +9,10 @@ is below MISS. Survivors are verified exactly, on the words of their full shingl
 
 Pairs are taken so that groups of copies never expand into all pairs. In two rounds members meet a pivot: the member of
 their buckets that shares most buckets with most others, then the like member of those not yet linked with it. Last, the pairs
-across components in buckets that still hold several are compared in blocks of BLOCK members, in memory, and only
-survivors become rows. Pairs within one component add nothing and are left out.
+across components in buckets that still hold several are compared in blocks of BLOCK members, in memory. Pairs never become
+rows there: a member that has survivors is one row, with its mates as bits, and meets their texts in cells of about
+CELL_SHINGLES shingles, from which only links that join two components leave, fewer than members. Pairs within one component
+add nothing and are left out.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ PERCENT = 85
 BANDS, ROWS, HASHES, BATCH = 24, 5, 384, 64
 MISS = 1e-6
 PAIR_BYTES = 1 << 20
-BLOCK, CELL_ROWS = 256, 4096
+BLOCK, CELL_ROWS, CELL_SHINGLES = 256, 4096, 1 << 18
+POSSIBLE = "key long, i int, j int, node long, label long, n_shingles long, place int, mates binary, members int, total long"
 _rng = np.random.Generator(np.random.PCG64(99))
 _XOR = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32)
 _ODD = _rng.integers(0, 2**32, BANDS * ROWS + HASHES, dtype=np.uint32) | np.uint32(1)
@@ -124,19 +127,29 @@ def prune(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([batch.column(k).take(pa.array(alive)) for k in (0, 1)], ["a", "b"])
 
 
+def runs(cell: pa.Table, names: tuple[str, ...]) -> list[tuple[int, int]]:
+    """First and last row + 1 of the runs of equal values of the columns named."""
+    new = np.zeros(max(cell.num_rows - 1, 0), bool)
+    for name in names:
+        new |= np.diff(cell.column(name).to_numpy()) != 0
+    cuts = (np.flatnonzero(new) + 1).tolist()
+    return list(zip([0, *cuts], [*cuts, cell.num_rows], strict=True)) if cell.num_rows else []
+
+
 def prune_cell(cell: pa.Table) -> pa.Table:
-    """Pairs a, b that survive among the members of each block pair (key, i, j) of a cell, across labels.
+    """The members with survivors of each block pair (key, i, j) of a cell, across labels, one row each (POSSIBLE).
 
-    A pair that shares an earlier band is left to that band's bucket.
+    A member's place is its number among them, mates has a bit for each place of a pair, at the pair's first place only;
+    total is the shingles of all members. A pair that shares an earlier band is left to that band's bucket.
     """
     least = least_matches()
     cell = cell.sort_by([("key", "ascending"), ("i", "ascending"), ("j", "ascending"), ("node", "ascending")])
     key, i, j, block, node, label, size = (cell.column(c).to_numpy() for c in ("key", "i", "j", "block", "node", "label", "n_shingles"))
     signatures = matrix(cell.column("signature"))
     bands = cell.column("bands").combine_chunks().flatten().to_numpy().reshape(-1, BANDS)
-    cuts = np.flatnonzero((np.diff(key) != 0) | (np.diff(i) != 0) | (np.diff(j) != 0)) + 1
-    out: list[np.ndarray] = [np.zeros((0, 2), np.int64)]
-    for first, last in zip([0, *cuts], [*cuts, len(key)], strict=True):
+    kept, places, counts, totals = [np.zeros(0, np.int64)], [np.zeros(0, np.int32)], [np.zeros(0, np.int32)], [np.zeros(0, np.int64)]
+    mates: list[bytes] = []
+    for first, last in runs(cell, ("key", "i", "j")):
         rows = np.arange(first, last)
         if i[first] == j[first]:
             p, q = np.triu_indices(len(rows), 1)
@@ -155,9 +168,63 @@ def prune_cell(cell: pa.Table) -> pa.Table:
         if len(a):
             band = int(np.flatnonzero(bands[first] == key[first])[0])
             good = ~(bands[a, :band] == bands[b, :band]).any(1)
-            out.append(np.column_stack([node[a[good]], node[b[good]]]))
-    found = np.concatenate(out)
-    return pa.table({"a": np.ascontiguousarray(found[:, 0]), "b": np.ascontiguousarray(found[:, 1])})
+            a, b = a[good], b[good]
+        if len(a):
+            members, at = np.unique(np.concatenate((node[a], node[b])), return_inverse=True)  # rows that repeat an id are one member
+            bits = np.zeros((len(members), len(members)), bool)
+            bits[np.minimum(*np.split(at, 2)), np.maximum(*np.split(at, 2))] = True
+            kept.append(first + np.searchsorted(node[first:last], members))
+            places.append(np.arange(len(members), dtype=np.int32))
+            counts.append(np.full(len(members), len(members), np.int32))
+            mates += [x.tobytes() for x in np.packbits(bits, axis=1)]
+            totals.append(np.full(len(members), size[kept[-1]].sum()))
+    out = cell.select(["key", "i", "j", "node", "label", "n_shingles"]).take(pa.array(np.concatenate(kept)))
+    for name, made in {"place": np.concatenate(places), "mates": pa.array(mates, pa.binary()), "members": np.concatenate(counts), "total": np.concatenate(totals)}.items():
+        out = out.append_column(name, pa.array(made))
+    return out
+
+
+def link_cell(cell: pa.Table) -> pa.Table:
+    """Links a, b of the survivors that prune_cell left, in each (key, i, j, u, v): those that join two labels not joined yet.
+
+    Shared shingles are counted by their hashes, links confirmed on words.
+    """
+    names = ("key", "i", "j", "u", "v")
+    cell = cell.sort_by([(c, "ascending") for c in (*names, "place")])
+    node, label, place, part, u, v = (cell.column(c).to_numpy() for c in ("node", "label", "place", "part", "u", "v"))
+    texts, mates = cell.column("text").combine_chunks(), cell.column("mates")
+    out: list[tuple[int, int]] = []
+    joined: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while joined[x] != x:
+            joined[x] = x = joined[joined[x]]
+        return x
+
+    for first, last in runs(cell, names):
+        sets: list[np.ndarray] = []
+        for _, data, offsets in text_slices(texts.slice(first, last - first)):
+            found, ends = distinct(*shingles(*words(data, offsets)))
+            sets += np.split(found, ends[1:-1])
+        named, numbers = np.unique(np.concatenate(sets), return_inverse=True)
+        ids = np.split(numbers, np.cumsum([len(x) for x in sets])[:-1])
+        at: dict[int, list[int]] = {}
+        for row in range(first, last):
+            at.setdefault(int(place[row]), []).append(row)
+        joined = {x: x for x in label[first:last].tolist()}
+        mine = np.zeros(len(named), bool)
+        for a in range(first, last):
+            mine[ids[a - first]] = True
+            for other in np.flatnonzero(np.unpackbits(np.frombuffer(mates[a].as_py(), np.uint8))).tolist():
+                for b in at.get(other, ()):
+                    if u[a] != v[a] and part[a] == part[b] or (one := top(int(label[a]))) == (two := top(int(label[b]))):
+                        continue
+                    both = int(np.count_nonzero(mine[ids[b - first]]))
+                    if 100 * both >= PERCENT * (len(ids[a - first]) + len(ids[b - first]) - both) and alike(texts[a].as_py(), texts[b].as_py()):
+                        joined[one] = two
+                        out.append((int(node[a]), int(node[b])))
+            mine[ids[a - first]] = False
+    return pa.table({"a": pa.array([x for x, _ in out], pa.int64()), "b": pa.array([x for _, x in out], pa.int64())})
 
 
 def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -168,15 +235,18 @@ def verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         while at < batch.num_rows:
             end = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + PAIR_BYTES)))
             part = batch.slice(at, end - at)
-            good = []
-            for k, (x, y) in enumerate(zip(*(map(shingle_set, part.column(c).to_pylist()) for c in (2, 3)), strict=True)):
-                both = len(x & y)
-                if x and y and 100 * both >= PERCENT * (len(x) + len(y) - both):
-                    good.append(k)
+            good = [k for k, (x, y) in enumerate(zip(part.column(2).to_pylist(), part.column(3).to_pylist(), strict=True)) if alike(x, y)]
             yield pa.RecordBatch.from_arrays([part.column(k).take(pa.array(good, pa.int64())) for k in (0, 1)], ["a", "b"])
             at = end
 
 
+def alike(one: str | None, two: str | None) -> bool:
+    """Whether the full shingle sets of two texts are similar enough."""
+    x, y = shingle_set(one), shingle_set(two)
+    both = len(x & y)
+    return bool(x and y) and 100 * both >= PERCENT * (len(x) + len(y) - both)
+
+
 def shingle_set(text: str | None) -> set[tuple[bytes, ...]]:
     """The shingles of a text, as words."""
     w = word_list((text or "").encode("utf-8", "surrogatepass"))
@@ -201,6 +271,18 @@ def dealt_rows(rows: DataFrame) -> DataFrame:
     return rows.select("key", "node", "label", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
 
 
+def text_cells(possible: DataFrame) -> DataFrame:
+    """possible (POSSIBLE) with part, u, v, cell: block pairs of more than CELL_SHINGLES shingles are dealt to pairs of parts.
+
+    A part has two members or more in the mean, so that long texts of few members are not repeated for nothing.
+    """
+    parts = F.least(F.ceil(F.col("total") / CELL_SHINGLES), F.ceil(F.col("members") / 2)).cast("int")
+    rows = possible.withColumn("part", F.pmod(F.xxhash64("node", "key"), parts).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), parts - 1)))
+    rows = rows.withColumn("u", F.least("part", "other")).withColumn("v", F.greatest("part", "other")).drop("other", "members", "total")
+    shingles_ = rows.agg(F.sum("n_shingles")).first()[0] or 0
+    return rows.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j", "u", "v"), F.lit(max(1, ceil(shingles_ / CELL_SHINGLES))))).drop("n_shingles")
+
+
 def near_dedup(docs: DataFrame) -> DataFrame:
     """doc_id, n_shingles, component_id, kept for each row of docs (doc_id, text); other columns are ignored.
 
@@ -251,9 +333,10 @@ def near_dedup(docs: DataFrame) -> DataFrame:
         if last:
             dealt = materialize(dealt_rows(labelled.join(mixed.select("key"), "key")), "dealt")
             cells = max(1, ceil(dealt.count() / CELL_ROWS))
-            dealt = dealt.join(known.select("node", "n_shingles", "bands", "signature"), "node")
+            dealt = dealt.join(known.select("node", "n_shingles", "bands", "signature"), "node").filter(F.array_contains("bands", F.col("key")))
             dealt = dealt.withColumn("cell", F.pmod(F.xxhash64("key", "i", "j"), F.lit(cells)))
-            found = similar(materialize(dealt.groupBy("cell").applyInArrow(prune_cell, "a long, b long"), "survivors"))
+            possible = materialize(dealt.groupBy("cell").applyInArrow(prune_cell, POSSIBLE), "possible")
+            found = text_cells(possible).join(known.select("node", "text"), "node").groupBy("cell").applyInArrow(link_cell, "a long, b long")
         else:
             rest = named.join(mixed, "key").filter(F.col("label") != F.col("top.label"))
             second = materialize(rest.groupBy("key").agg(F.max(F.struct("best", "label")).alias("second")), "second")

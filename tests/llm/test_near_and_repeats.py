@@ -207,3 +207,57 @@ def test_copies_are_dealt_to_strangers_only(spark):
     want = {(7, a, b) for a in range(3000) for b in range(5000, 5009)} | {(7, a, b) for a in range(5000, 5009) for b in range(a + 1, 5009)}
     want |= {(8, a, b) for a in range(600) for b in range(a + 1, 600) if a % 2 != b % 2}
     assert met == want
+
+
+def below_rows(rng, copies=200):
+    """Copies of one text with 3 of 300 words changed: most pairs are 82 % alike, a few are links, all pass the pruning."""
+    base = ["w%d" % rng.randint(0, 10**6) for _ in range(300)]
+    docs = []
+    for k in range(copies):
+        text = list(base)
+        for at in rng.sample(range(300), 3):
+            text[at] = "z%d" % rng.randint(0, 10**6)
+        docs.append((k, " ".join(text)))
+    return docs
+
+
+def test_near_copies_below_the_threshold_make_no_rows_by_pairs(spark, monkeypatch):
+    made, plain = {}, near_dedup.materialize
+
+    def counted(df, label):
+        out = plain(df, label)
+        made[label] = max(made.get(label, 0), out.count())
+        return out
+
+    monkeypatch.setattr(near_dedup, "materialize", counted)
+    docs = below_rows(random.Random(11))
+    compare(docs, near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+    assert made["possible"] <= made["dealt"] and max(made.values()) <= 2 * near_dedup.BANDS * len(docs), made  # 11,104 rows when pairs were rows
+
+
+@pytest.mark.parametrize("most", [1, 5000])
+def test_near_dedup_in_parts_of_texts(spark, monkeypatch, most):
+    """Block pairs whose texts are too many for a cell are dealt to pairs of parts; no link is lost."""
+    monkeypatch.setattr(near_dedup, "BLOCK", 16)
+    monkeypatch.setattr(near_dedup, "CELL_SHINGLES", most)
+    docs = below_rows(random.Random(12), 60) + [(1000 + k, t) for k, t in near_rows(random.Random(4), 3, 30)]
+    compare(docs, near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string").repartition(3)).collect())
+
+
+def test_links_of_a_cell_join_each_label_once():
+    """All of 12 members are mates, the first four of one label: 8 links leave, not 60."""
+    text = " ".join("w%d" % k for k in range(30))
+    rows = [{"key": 1, "i": 0, "j": 0, "u": 0, "v": 0, "part": 0, "node": k, "label": max(k, 3), "place": k, "text": text + f" x{k}", "mates": np.packbits(np.arange(12) > k).tobytes()} for k in range(12)]
+    found = near_dedup.link_cell(pa.Table.from_pylist(rows)).to_pylist()
+    assert len(found) == 8 and {max(r[x], 3) for r in found for x in "ab"} == set(range(3, 12))
+    assert near_dedup.link_cell(pa.Table.from_pylist(rows).slice(0, 0)).num_rows == 0
+
+
+def test_a_repeated_id_in_the_last_round(spark):
+    """The bands of an id's other text do not name the bucket; they must not stop the cell."""
+    rng = random.Random(13)
+    docs = below_rows(rng, 40)
+    docs = [(k + 1, t) for k, t in docs] + [(0, docs[0][1] + " end"), (0, " ".join("v%d" % rng.randint(0, 10**6) for _ in range(296)))]
+    got = {r.doc_id: r.component_id for r in near_dedup.near_dedup(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    want = brute_components(docs[:-1])
+    assert got == {k: c for k, (_, c) in want.items()}

@@ -71,28 +71,55 @@ def components(edges: DataFrame, cut: Cut | None = None) -> DataFrame:
 
 
 PAIRS_A_TASK = 8_000_000
+IDS_A_CELL = 4096
+IDS_A_RUN = 256
+ROWS_HELD = 16_384
+SETS_TO_BROADCAST = 100_000
+
+
+def _runs(ids: str, n: int) -> Column:
+    """Arrays of up to n entries of the array ids. Exploding them is not compiled, so pairs are held for one array at a time, not for a cell."""
+    return F.transform(F.sequence(F.lit(0), F.floor((F.size(ids) - 1) / n).cast("int")), lambda k: F.slice(ids, k * n + 1, n))
+
+
+def _class_parts(ids: DataFrame, sets: DataFrame, asked: DataFrame, few: bool, name: str) -> tuple[DataFrame, DataFrame]:
+    """Keys of each class (_class, _parts, _k, _n) and lists of its members (_class, _part, _ids), each about IDS_A_CELL long at most.
+
+    A class holds the ids with the same keys, as far as they are asked for, and is named by the least of them.
+    """
+    kept = sets.select("_own", "_first", "_size", F.explode("_own").alias("_k")).join(asked, "_k", "left_semi").groupBy("_own", "_first", "_size").agg(F.array_sort(F.collect_list("_k")).alias("_kept"))
+    found = kept.groupBy("_kept").agg(F.min("_first").alias(f"{name}_class"), F.ceil(F.sum("_size") / IDS_A_CELL).cast("int").alias(f"{name}_parts"))
+    named = kept.join(found, "_kept").select("_own", f"{name}_class", f"{name}_parts")
+    part = F.pmod(F.xxhash64("_id"), F.col(f"{name}_parts")).cast("int")
+    lists = ids.join(F.broadcast(named) if few else named, "_own").groupBy(f"{name}_class", part.alias(f"{name}_part")).agg(F.array_sort(F.collect_list(F.struct("_id")))["_id"].alias(f"{name}_ids"))
+    return found.select(f"{name}_class", f"{name}_parts", F.explode("_kept").alias("_k")).groupBy(f"{name}_class", f"{name}_parts", "_k").agg(F.count("*").alias(f"{name}_n")), lists
 
 
 def key_pairs(left: DataFrame, right: DataFrame, left_key: str, right_key: str, keys: str = "keys") -> DataFrame:
     """left_key, right_key, shared (how many keys): distinct pairs that share any key of the array column keys.
 
-    Rows with the same keys, as far as the other side has them, are one class. Classes are paired by an equi-join of exploded keys; their
-    pairs are written out row by row and never shuffled.
+    Rows with the same keys, as far as the other side has them, are one class. Classes are paired by an equi-join of exploded keys; a pair
+    of classes becomes cells of two lists of ids each, and only these are shuffled. Pairs are written out in the tasks that cells are dealt
+    to, a run of right ids for one left id after the other, so that columnar files, which write runs and repeats once, stay small.
     """
     names = ("_a", "_b")
-    exploded = [df.select(F.struct(key).alias(name), F.explode(keys).alias("_k")) for df, key, name in zip((left, right), (left_key, right_key), names, strict=True)]
-    a, b = (one.join(other.select("_k").distinct(), "_k", "left_semi").groupBy(name, "_k").agg(F.count("*").alias(f"{name}_n")) for one, other, name in zip(exploded, exploded[::-1], names, strict=True))
-    counts = [df.groupBy("_k").agg(F.sum(f"{name}_n").alias(f"{name}_n")) for df, name in ((a, "_a"), (b, "_b"))]
-    pairs = counts[0].join(counts[1], "_k").agg(F.sum(F.col("_a_n").cast("double") * F.col("_b_n"))).first()[0] or 0
-    classes, members = [], []
-    for df, name in ((a, "_a"), (b, "_b")):
-        own = df.groupBy(name).agg(F.array_sort(F.collect_list(F.struct("_k", F.col(f"{name}_n").alias("n")))).alias("own"))
-        found = own.groupBy("own").agg(F.min(name).alias(f"{name}_class"))
-        members.append(own.join(found, "own").select(name, f"{name}_class"))
-        classes.append(found.select(f"{name}_class", F.explode("own").alias("o")).select(f"{name}_class", F.col("o._k").alias("_k"), F.col("o.n").alias(f"{name}_n")))
-    met = classes[0].join(classes[1], "_k").groupBy("_a_class", "_b_class").agg(F.sum(F.col("_a_n") * F.col("_b_n")).alias("shared"))
-    dealt = met.join(members[0], "_a_class").select("_a", "_b_class", "shared").repartition(max(1, ceil(pairs / PAIRS_A_TASK)), "_a", "_b_class")
-    return dealt.join(members[1], "_b_class").select(F.col("_a")[left_key].alias(left_key), F.col("_b")[right_key].alias(right_key), "shared")
+    ids = [df.select(F.col(key).alias("_id"), F.array_sort(F.filter(keys, lambda k: k.isNotNull())).alias("_own")).filter(F.size("_own") > 0) for df, key in ((left, left_key), (right, right_key))]
+    most = ids[0].groupBy("_id").count().agg(F.max("count")).crossJoin(ids[1].groupBy("_id").count().agg(F.max("count"))).first()
+    ids = [df.groupBy("_id").agg(F.array_sort(F.flatten(F.collect_list("_own"))).alias("_own")) if (n or 0) > 1 else df for df, n in zip(ids, most, strict=True)]  # keys are only moved if ids repeat
+    sets = [df.groupBy("_own").agg(F.min(F.struct("_id")).alias("_first"), F.count("*").alias("_size")) for df in ids]
+    held = [df.select("_size", F.explode("_own").alias("_k")).groupBy("_k").agg(F.sum("_size").alias(f"{name}_n")) for df, name in zip(sets, names, strict=True)]
+    pairs = held[0].join(held[1], "_k").agg(F.sum(F.col("_a_n").cast("double") * F.col("_b_n")))
+    pairs, *known = pairs.crossJoin(sets[0].agg(F.count("*"))).crossJoin(sets[1].agg(F.count("*"))).first()
+    few = [n <= SETS_TO_BROADCAST for n in known]
+    (a, a_lists), (b, b_lists) = (_class_parts(df, own, other.select("_k"), n, name) for df, own, other, n, name in zip(ids, sets, held[::-1], few, names, strict=True))
+    met = a.join(b, "_k").groupBy("_a_class", "_a_parts", "_b_class", "_b_parts").agg(F.sum(F.col("_a_n") * F.col("_b_n")).alias("shared"))
+    numbers = lambda name: F.explode(F.sequence(F.lit(0), F.col(f"{name}_parts") - 1)).alias(f"{name}_part")
+    cells = met.select("*", numbers("_a")).select("*", numbers("_b")).drop("_a_parts", "_b_parts")
+    cell, tasks = ["_a_class", "_a_part", "_b_class", "_b_part"], max(1, ceil((pairs or 0) / PAIRS_A_TASK))
+    dealt = [cells.join(df, cell[at : at + 2]).select(*cell, *more).repartition(tasks, *cell) for df, at, more in ((a_lists, 0, ("_a_ids", "shared")), (b_lists, 2, ("_b_ids",)))]
+    # long lists first, as writers judge by the first rows whether a column repeats
+    rows = dealt[0].join(dealt[1], cell).sortWithinPartitions(F.desc(F.size("_b_ids"))).select("_a_ids", "shared", F.explode(_runs("_b_ids", IDS_A_RUN)).alias("_b_run"))
+    return rows.select(F.explode(_runs("_a_ids", ROWS_HELD // IDS_A_RUN)).alias("_a_run"), "_b_run", "shared").select(F.explode("_a_run").alias(left_key), "_b_run", "shared").select(left_key, F.explode("_b_run").alias(right_key), "shared")
 
 
 def resolve_entities(rows: DataFrame, key_columns: Sequence[str], order: str, cut: Cut | None = None) -> DataFrame:

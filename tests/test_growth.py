@@ -43,6 +43,27 @@ def test_key_pairs_of_copies_arent_shuffled(spark):
     assert plan.index("Repartition") < plan.index("Aggregate")
 
 
+def test_key_pairs_come_in_cells_of_two_lists(spark, monkeypatch):
+    for name, n in (("IDS_A_CELL", 8), ("IDS_A_RUN", 3), ("ROWS_HELD", 12), ("PAIRS_A_TASK", 500), ("SETS_TO_BROADCAST", 2)):
+        monkeypatch.setattr(resolve, name, n, raising=False)
+    left = [(n, ["a", "b", "a"]) for n in range(40)] + [(n, ["c"]) for n in (None, *range(40, 45))] + [(3, ["c", "d"]), (50, ["x"])]
+    right = [(n, ["b", "a", None, f"own{n}"]) for n in range(30)] + [(n, ["c"]) for n in (*range(30, 50), None)]
+    out = resolve.key_pairs(rows(spark, left, "l long, keys array<string>"), rows(spark, right, "r int, keys array<string>"), "l", "r")
+    want = {(n, m): 3 for n in range(40) for m in range(30)} | {(n, m): 1 for n in (None, 3, *range(40, 45)) for m in (None, *range(30, 50))}
+    assert {(r.l, r.r): r.shared for r in out.collect()} == want and out.count() == len(want)
+    steps = [line for line in out._jdf.queryExecution().executedPlan().toString().split("== Initial Plan")[0].splitlines() if "Generate explode" in line][:4]
+    assert ["*(" in line for line in steps] == [True, True, False, False]  # compiled steps hold all rows that they make from one
+    assert "RepartitionByExpression [_a_class" in plan_of(out) and ", 8" in plan_of(out)  # 3,747 pairs at most
+
+
+def test_files_of_key_pairs_are_small(spark, tmp_path):
+    ids = spark.range(400).withColumns({"k": text.F.col("id") % 2, "keys": text.F.expr("array(concat('k', id % 2))")})
+    resolve.key_pairs(ids.select(text.F.col("id").alias("l"), "keys"), spark.range(8000).selectExpr("id * 7919 AS r", "array(concat('k', id % 2)) AS keys"), "l", "r").write.parquet(str(tmp_path / "pairs"))
+    written = spark.read.parquet(str(tmp_path / "pairs"))
+    assert written.count() == written.distinct().count() == 1_600_000 and written.filter("shared = 1 AND l % 2 = r % 2").count() == 1_600_000
+    assert sum(f.stat().st_size for f in (tmp_path / "pairs").glob("*.parquet")) < 600_000
+
+
 def test_simulated_cutoffs_need_no_union(spark):
     curve = rows(spark, [(q, k, k % q == 0) for q in (1, 2, 3) for k in range(1, 7)], "q int, rank int, gold boolean")
     cuts = {"two": rows(spark, [(1, 2), (2, None), (9, 1)], "q int, k int"), "five": rows(spark, [(1, 5), (2, 5), (3, 5)], "q int, k int")}
